@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import table
+from stratasize.llm.common import shared_dir, table
 from stratasize.llm.exact_dedup import exact_dedup
+from stratasize.llm.packing import pack
 from stratasize.llm.simhash import near_duplicates
 from stratasize.llm.substring_dedup import remove_repeats
+from stratasize.llm.token_files import checksums, read_tokens, write_tokens
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return checksums(read_tokens(spark, path))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +35,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
