@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from stratasize.llm.common import shared_dir, table
 from stratasize.llm.exact_dedup import exact_dedup
+from stratasize.llm.mixing import mix
 from stratasize.llm.packing import pack
 from stratasize.llm.simhash import near_duplicates
 from stratasize.llm.substring_dedup import remove_repeats
 from stratasize.llm.token_files import checksums, read_tokens, write_tokens
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("first_time", 9).alias("first_time"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path)
@@ -40,6 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
@@ -48,6 +54,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS kind FROM s),
+        l AS (SELECT *, [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM w),
+        c AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
+        v AS (SELECT arg_min(level, cap / weight) AS level FROM c WHERE level * weight <= cap),
+        t AS (SELECT source, source_size, kind, least(cap, v.level * weight) AS target FROM c, v),
+        p AS (SELECT d.*, source_size, kind, target, round(target)::BIGINT AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT *, least(greatest(goal - place, 0), size) + least(greatest(goal - place - source_size, 0), size) AS taken, place / nullif(goal, 0)::DOUBLE AS x FROM p)
+        SELECT doc_id, size::BIGINT AS size, source_size, target, taken::BIGINT AS taken, round(CASE WHEN taken > 0 THEN CASE
+            WHEN kind = 0 AND x <= 0.6 / 0.88 THEN x * 0.88
+            WHEN kind = 0 THEN 0.6 + 2 * (x * 0.88 - 0.6) / (1 + sqrt(1 - 3 * (x * 0.88 - 0.6)))
+            WHEN kind = 1 THEN 2 * x / (0.8 + sqrt(0.64 + 0.8 * x))
+            WHEN kind = 2 AND x <= 0.35 / 1.05 THEN 2 * (x * 1.05) / (0.4 + sqrt(0.16 + 2.4 * (x * 1.05)))
+            ELSE 0.5 + 2 * (x * 1.05 - 0.35) / (1 + sqrt(1 + 3.2 * (x * 1.05 - 0.35))) END END::DOUBLE, 9) AS first_time
+        FROM q""",
     "op4_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
