@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratasize.llm import language_id
 from stratasize.llm.common import shared_dir, table
 from stratasize.llm.exact_dedup import exact_dedup
 from stratasize.llm.mixing import mix
@@ -17,6 +18,18 @@ from stratasize.llm.substring_dedup import remove_repeats
 from stratasize.llm.token_files import checksums, read_tokens, write_tokens
 
 
+def held_out() -> Column:
+    """Rows that language models don't learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out()))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("first_time", 9).alias("first_time"))
 
@@ -45,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
