@@ -12,6 +12,7 @@ from stratasize.llm import language_id
 from stratasize.llm.common import shared_dir, table
 from stratasize.llm.exact_dedup import exact_dedup
 from stratasize.llm.mixing import mix
+from stratasize.llm.neighbours import nearest
 from stratasize.llm.packing import pack
 from stratasize.llm.simhash import near_duplicates
 from stratasize.llm.substring_dedup import remove_repeats
@@ -45,6 +46,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_neighbours": op6_neighbours,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
