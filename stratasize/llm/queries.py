@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratasize.llm import language_id
 from stratasize.llm.common import shared_dir, table
 from stratasize.llm.exact_dedup import exact_dedup
+from stratasize.llm.html_text import extract
 from stratasize.llm.mixing import mix
 from stratasize.llm.neighbours import nearest
 from stratasize.llm.packing import pack
@@ -50,6 +51,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_neighbours": op6_neighbours,
+    "op7_html_text": op7_html_text,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
