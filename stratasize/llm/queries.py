@@ -12,6 +12,7 @@ from stratasize.llm import language_id
 from stratasize.llm.common import shared_dir, table
 from stratasize.llm.exact_dedup import exact_dedup
 from stratasize.llm.html_text import extract
+from stratasize.llm.line_dedup import drop_repeated_lines
 from stratasize.llm.mixing import mix
 from stratasize.llm.neighbours import nearest
 from stratasize.llm.packing import pack
@@ -47,6 +48,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_neighbours": op6_neighbours,
     "op7_html_text": op7_html_text,
     "op8_exact_dedup": op8_exact_dedup,
