@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratasize.llm.common import slices
-from stratasize.llm.tokens import DEFAULT_TOKENIZER, WordEncoder
+from stratasize.llm.tokens import DEFAULT_TOKENIZER, encoder
 
 
 class Bins:
@@ -122,10 +122,10 @@ def pack(
     groups = max(1, -(-docs.count() // group_documents))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, end_id)
+        words = encoder(tokenizer, end_id)
         for batch in batches:
             for part in slices(batch, 2):
-                ids, size = encoder.encode(part.column(2))
+                ids, size = words.encode(part.column(2))
                 bounds = np.concatenate(([0], np.cumsum(size))) * ids.itemsize
                 raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), raw, pa.array(np.full(len(size), ids.itemsize, np.int32))], ["pack", "doc_id", "raw", "width"])

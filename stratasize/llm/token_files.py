@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratasize.llm.common import shuffle_partitions, slices
-from stratasize.llm.tokens import DEFAULT_TOKENIZER, WordEncoder
+from stratasize.llm.tokens import DEFAULT_TOKENIZER, encoder
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -40,10 +40,10 @@ def write_tokens(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = WordEncoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        words, part, at = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in slices(batch, 1):
-                ids, size = encoder.encode(rows.column(1))
+                ids, size = words.encode(rows.column(1))
                 ends = np.cumsum(size)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(size), part, np.int32)), pa.array(at + ends - size), pa.array(size), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])

@@ -2,66 +2,181 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 
 from stratasize.llm.common import Words
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Characters below this one have the same classes in every edition of Unicode that a tokenizer may carry.
+SETTLED = "Ԁ"
+_OTHER_SPACE = re.compile(r"[^\S ]")
+#: Words that are put through the library at once.
+BATCH = 20_000
+#: Distinct parts in one text for the library's model.
+PARTS = 200
+
+
+class _Lists:
+    """Id lists by number, in one array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.offset, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, size: np.ndarray, flat: np.ndarray) -> None:
+        self.waiting.append((size, flat.astype(self.flat.dtype)))
+        self.count += len(size)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(size of each list, all ids) of the lists with the numbers given."""
+        if self.waiting:
+            self.size = np.concatenate([self.size, *[x for x, _ in self.waiting]])
+            self.flat = np.concatenate([self.flat, *[x for _, x in self.waiting]])
+            self.offset = np.cumsum(self.size) - self.size
+            self.waiting = []
+        size = self.size[numbers]
+        before = np.cumsum(size) - size
+        return size, self.flat[np.repeat(self.offset[numbers] - before, size) + np.arange(int(size.sum()))]
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins across ASCII white space, such as the default one: its
-    pre-tokenizer drops white space and works inside what is left. Each distinct word of a slice is encoded once,
-    and up to `cache` of them are remembered; ids of documents are put together from those of their words.
+    pre-tokenizer drops white space and works inside what is left.
+
+    Each distinct word of a slice is encoded once, and ids of documents are put together from those of their words.
+    Where the tokenizer splits words by a pattern and marks the last id of each part by a suffix, words of settled
+    characters are split here, after the tokenizer's own normaliser, and each distinct part goes through the library's
+    model once, many at a time. All other words go through the whole tokenizer, one by one. Up to `cache` words and
+    parts are remembered.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = 200_000):
+    def __init__(self, path: str, end_id: int, cache: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.end_id, self.cache = Tokenizer.from_file(path), end_id, cache
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        said = json.loads(self.tokenizer.to_str())
+        self.special = [x["content"] for x in said["added_tokens"]]
+        self.pattern = self.parts = None
+        split, *rest = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        suffix = said["model"].get("end_of_word_suffix")
+        if suffix and split.get("behavior") == "Removed" and split.get("invert") and "Regex" in split["pattern"] and [x["type"] for x in rest] == ["ByteLevel"]:
+            said_pattern = split["pattern"]["Regex"] + "| "
+            self.pattern = regex.compile(said_pattern)
+            # In lower-cased ASCII, letters are a-z and numbers 0-9.
+            self.ascii_pattern = re.compile(said_pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+            self.lowers = {x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])} == {"NFC", "Replace", "Lowercase"}
+            spaces, bytes_ = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.parts, self.ascii_parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
+            self.parts.normalizer = self.ascii_parts.normalizer = normalizers.Sequence([])
+            # The byte level leaves printable ASCII as it is.
+            self.parts.pre_tokenizer, self.ascii_parts.pre_tokenizer = pre_tokenizers.Sequence([spaces, bytes_]), spaces
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.offset, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.known_parts: dict[str, int] = {" ": -1}
+        self.words, self.part_ids = _Lists(self.dtype), _Lists(self.dtype)
+
+    def _plain(self, text: str) -> bool:
+        """Whether all words of a text, joined by spaces, are ones to split here."""
+        return self.pattern is not None and max(text) < SETTLED and not any(x in text for x in self.special) and not _OTHER_SPACE.search(text)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        new = [p for p in dict.fromkeys(parts) if p not in self.known_parts]
+        if not new:
+            return
+        texts = [" ".join(new[i : i + PARTS]) for i in range(0, len(new), PARTS)]
+        model = self.ascii_parts if all(x.isascii() and x.isprintable() for x in texts) else self.parts
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in model.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new) or (len(ids) and ends[-1] != len(ids)):
+            raise ValueError("the tokenizer doesn't end each part with a suffixed id")
+        self.known_parts.update(zip(new, range(self.part_ids.count, self.part_ids.count + len(new)), strict=True))
+        self.part_ids.add(np.diff(ends, prepend=0), ids)
 
-    def _codes(self, distinct: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(distinct) > self.cache:
+    def _learn(self, words: list[bytes]) -> None:
+        other = []
+        groups = [[w for w in words if w.isascii()], [w for w in words if not w.isascii()]]
+        for some in [g[at : at + BATCH] for g in groups for at in range(0, len(g), BATCH)]:
+            text = b" ".join(some).decode() + " "
+            if not self._plain(text):
+                mask = [self._plain(w.decode()) for w in some]
+                other += [w for w, m in zip(some, mask, strict=True) if not m]
+                some = [w for w, m in zip(some, mask, strict=True) if m]
+                text = b" ".join(some).decode() + " "
+            self._learn_plain(some, text[:-1])
+        if other:
+            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)]
+            self._remember(other, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for ids in found for i in ids), np.int64))
+
+    def _learn_plain(self, plain: list[bytes], text: str) -> None:
+        if plain:
+            if self.lowers and text.isascii():  # where that normaliser changes nothing but case
+                parts = self.ascii_pattern.findall(text.lower())
+            else:
+                parts = self.pattern.findall(self.tokenizer.normalizer.normalize_str(text))
+            self._learn_parts(parts)
+            number = np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))
+            owner = np.cumsum(number == -1)[number != -1]
+            if (number == -1).sum() != len(plain) - 1:
+                raise ValueError("the tokenizer's normaliser changes spaces")
+            size, flat = self.part_ids.joined(number[number != -1])
+            self._remember(plain, np.bincount(owner, size, len(plain)).astype(np.int64), flat)
+
+    def _remember(self, words: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
+        self.known.update(zip(words, range(self.words.count, self.words.count + len(words)), strict=True))
+        self.words.add(size, flat)
+
+    def _numbers(self, distinct: list[bytes]) -> np.ndarray:
+        if len(self.known) + len(distinct) > self.cache or len(self.known_parts) + len(distinct) > self.cache:
             self._forget()
         new = [w for w in distinct if w not in self.known]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            at = len(self.flat)
-            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.offset = np.append(self.offset, at + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.flat = np.append(self.flat, np.fromiter((i for ids in found for i in ids), self.dtype, int(size.sum())))
-        return np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each with the end id; number of ids of each). A null text has the end id only."""
         words = Words(texts)
         n_docs = len(words.first) - 1
+        number = np.zeros(0, np.int64)
         if len(words.start):
-            bounds = np.append(words.start, len(words.data)).astype(np.int64)
+            bounds = np.append(words.start, len(words.data)).astype(np.int64)  # a word with the space after it
             each = pa.Array.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(bounds), pa.py_buffer(words.data)]).dictionary_encode()
-            code = self._codes(each.dictionary.to_pylist())[each.indices.to_numpy()]
-            size = self.size[code]
-        else:
-            code = size = np.zeros(0, np.int64)
+            number = self._numbers(_words(each.dictionary))[each.indices.to_numpy()]
+        size, flat = self.words.joined(number)
         sums = np.concatenate(([0], np.cumsum(size)))
         per_doc = np.diff(sums[words.first]) + 1
-        out = np.empty(int(sums[-1]) + n_docs, dtype=self.dtype)
+        out = np.empty(len(flat) + n_docs, dtype=self.dtype)
         ends = np.cumsum(per_doc) - 1
         inner = np.ones(len(out), dtype=bool)
         inner[ends] = False
         out[ends] = self.end_id
-        out[inner] = self.flat[np.repeat(self.offset[code] - sums[:-1], size) + np.arange(int(sums[-1]))]
+        out[inner] = flat
         return out, per_doc
+
+
+def _words(values: pa.Array) -> list[bytes]:
+    """Values that each end with their only space, without it."""
+    low, high = (int(np.frombuffer(values.buffers()[1], np.int64)[values.offset + i]) for i in (0, len(values)))
+    return values.buffers()[2].to_pybytes()[low:high].split(b" ")[:-1]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> WordEncoder:
+    """One encoder for a Python worker, whose memory of words serves its later tasks."""
+    return WordEncoder(path, end_id)
