@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import slices
+from stratasize.llm.common import free_names, slices
 
 #: The label of a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -235,5 +235,6 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", label:
         return pa.StructArray.from_arrays([pa.array([model.labels[k] for k in scores.argmax(axis=1)], pa.string()), pa.array(np.minimum(scores.max(axis=1), 1.0) if len(scores) else np.zeros(0))], ["label", "score"])
 
     judged = F.when(has_letter(text_col), judge(F.when(has_letter(text_col), F.col(text_col))))
-    out = docs.withColumn("__judged", judged)
-    return out.withColumns({label: F.coalesce("__judged.label", F.lit(UNDETERMINED)), score: F.coalesce("__judged.score", F.lit(0.0))}).drop("__judged")
+    (both,) = free_names(docs, "__judged")
+    out = docs.withColumn(both, judged)
+    return out.withColumns({label: F.coalesce(f"{both}.label", F.lit(UNDETERMINED)), score: F.coalesce(f"{both}.score", F.lit(0.0))}).drop(both)

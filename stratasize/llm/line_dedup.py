@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratasize.llm.common import id_or_null_id, written
+from stratasize.llm.common import free_names, id_or_null_id, written
 
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _SPACE = " \t\n\v\f\r"
@@ -83,7 +83,8 @@ def removals(docs: DataFrame, rare: int = 64, id_col: str = "doc_id", text_col:
     """
     lines = written(docs.select(_key(id_col, text_col).alias("key"), line_hashes(F.col(text_col)).alias("lines")).where("lines IS NOT NULL").dropDuplicates(["key"]), "lines")
     held = lines.select("key", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line"))
-    known = held.groupBy("line").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    # A table of its own, so that the join below has two plain exchanges and Spark can split a hot line's holders.
+    known = written(held.groupBy("line").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1"), "known-lines")
     shared = written(held.join(known, "line").where("key > first"), "shared-lines")
     pairs = shared.where(F.col("holders") <= rare).select("first", "key").distinct()
     earlier, later = lines.select(F.col("key").alias("first"), F.col("lines").alias("a")), lines.select("key", F.col("lines").alias("b"))
@@ -121,7 +122,8 @@ def drop_repeated_lines(docs: DataFrame, rare: int = 64, id_col: str = "doc_id",
     with different texts are ordered by a hash of them; fully repeated rows are one document and get the same verdict.
     Empty table: empty result. Other columns pass through, except n_lines and n_removed, which are replaced.
     """
-    gone = removals(docs, rare, id_col, text_col).select(F.col("key").alias("__key"), F.col("places").alias("__places"), F.col("common").alias("__common"))
-    found = docs.withColumn("__key", _key(id_col, text_col)).join(gone, "__key", "left").withColumn("__cut", _cut(F.col(text_col), F.col("__places"), F.col("__common")))
-    found = found.withColumns({text_col: F.col("__cut.text"), "n_lines": F.col("__cut.n_lines"), "n_removed": F.col("__cut.n_removed")})
-    return found.drop("__key", "__places", "__common", "__cut")
+    key, places, common, cut = free_names(docs, "__key", "__places", "__common", "__cut")
+    gone = removals(docs, rare, id_col, text_col).select(F.col("key").alias(key), F.col("places").alias(places), F.col("common").alias(common))
+    found = docs.withColumn(key, _key(id_col, text_col)).join(gone, key, "left").withColumn(cut, _cut(F.col(text_col), F.col(places), F.col(common)))
+    found = found.withColumns({text_col: F.col(f"{cut}.text"), "n_lines": F.col(f"{cut}.n_lines"), "n_removed": F.col(f"{cut}.n_removed")})
+    return found.drop(key, places, common, cut)

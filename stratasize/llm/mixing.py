@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import SPACE_PATTERN, WORD_PATTERN, written
+from stratasize.llm.common import SPACE_PATTERN, WORD_PATTERN, free_names, written
 
 #: Weights of the sources in order of name, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -114,18 +114,20 @@ def mix(
     return written(out, "mix").orderBy(F.col("first_time").asc_nulls_last(), "key").drop("key")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: docs' rows with their columns, once for each time that they are taken, the last time cut to the
     words that are taken of it, in order of training time. Documents that are not taken are left out.
 
     Rows that repeat an id and source share what is taken of their first, each as often.
     """
-    took = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
-    took = took.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(*[F.max(c).alias(f"__{c}") for c in ("size", "taken", "first_time", "last_time")])
-    rows = docs.join(took, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__nth", F.explode(F.sequence(F.lit(0), ((F.col("__taken") - 1) / F.greatest("__size", F.lit(1))).cast("int"))))
-    left = F.col("__taken") - F.col("__nth") * F.col("__size")
-    text = F.trim(F.regexp_replace(F.col(text_col), SPACE_PATTERN, " "))
-    cut = F.when(left >= F.col("__size"), F.col(text_col)).otherwise(F.call_function("substring_index", text, F.lit(" "), left.cast("int")))
-    time = F.when(F.col("__nth") == 0, F.col("__first_time")).otherwise(F.col("__last_time"))
-    return rows.withColumn(text_col, cut).withColumn("__time", time).orderBy("__time", id_col, "__nth").select(*docs.columns)
+    one, other, size, taken, first, last, nth, when = free_names(docs, "__id", "__source", "__size", "__taken", "__first", "__last", "__nth", "__time")
+    took = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
+    most = {"size": size, "taken": taken, "first_time": first, "last_time": last}
+    took = took.groupBy(F.col("doc_id").alias(one), F.col("source").alias(other)).agg(*[F.max(c).alias(n) for c, n in most.items()])
+    rows = docs.join(took, docs[id_col].cast("long").eqNullSafe(took[one]) & docs[source_col].eqNullSafe(took[other]))
+    rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(0), ((F.col(taken) - 1) / F.greatest(size, F.lit(1))).cast("int"))))
+    left = F.col(taken) - F.col(nth) * F.col(size)
+    text = F.regexp_replace(F.regexp_replace(text_col, SPACE_PATTERN, " "), "^ ", "")
+    cut = F.when(left >= F.col(size), F.col(text_col)).otherwise(F.call_function("substring_index", text, F.lit(" "), left.cast("int")))
+    time = F.when(F.col(nth) == 0, F.col(first)).otherwise(F.col(last))
+    return rows.withColumn(text_col, cut).withColumn(when, time).orderBy(when, id_col, nth).select(*[F.col(f"`{c}`") for c in docs.columns])
