@@ -54,7 +54,10 @@ def rule_number(df: DataFrame, rules: Sequence[Rule], prefixes: Sequence[str] =
 
 def rule_field(rules: Sequence[Rule], field: str, default: str, number: str = "rule_no") -> Column:
     """A field of the rule with a row's number."""
-    return F.coalesce(F.element_at(F.array(*[F.lit(getattr(r, field)) for r in rules]), F.col(number) + 1), F.lit(default)) if rules else F.lit(default)
+    if not rules:
+        return F.lit(default)
+    # Not coalesce(): Spark takes an element of an array of literals for never null, even at a null index.
+    return F.when(F.col(number).isNotNull(), F.element_at(F.array(*[F.lit(getattr(r, field)) for r in rules]), F.col(number) + 1)).otherwise(F.lit(default))
 
 
 def _ordered(rules: Sequence[Rule] | None) -> list[Rule]:
