@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratasize.llm.common import slices
-from stratasize.llm.tokens import DEFAULT_TOKENIZER, encoder
+from stratasize.llm.tokens import DEFAULT_TOKENIZER, SLICE, encoder
 
 
 class Bins:
@@ -124,7 +124,7 @@ def pack(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer, end_id)
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 ids, size = words.encode(part.column(2))
                 bounds = np.concatenate(([0], np.cumsum(size))) * ids.itemsize
                 raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratasize.llm.common import shuffle_partitions, slices
-from stratasize.llm.tokens import DEFAULT_TOKENIZER, encoder
+from stratasize.llm.tokens import DEFAULT_TOKENIZER, SLICE, encoder
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -42,7 +42,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, SLICE):
                 ids, size = words.encode(rows.column(1))
                 ends = np.cumsum(size)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -51,7 +51,7 @@ def write_tokens(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    out = ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd")
+    out = ordered.mapInArrow(run, SCHEMA).write.option("compression", "snappy")
     settings = {
         "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20,

@@ -20,6 +20,8 @@ SETTLED = "Ԁ"
 _OTHER_SPACE = re.compile(r"[^\S ]")
 #: Words that are put through the library at once.
 BATCH = 20_000
+#: Bytes of texts that are encoded at once.
+SLICE = 2 << 20
 #: Distinct parts in one text for the library's model.
 PARTS = 200
 
@@ -55,15 +57,15 @@ class WordEncoder:
     Each distinct word of a slice is encoded once, and ids of documents are put together from those of their words.
     Where the tokenizer splits words by a pattern and marks the last id of each part by a suffix, words of settled
     characters are split here, after the tokenizer's own normaliser, and each distinct part goes through the library's
-    model once, many at a time. All other words go through the whole tokenizer, one by one. Up to `cache` words and
-    parts are remembered.
+    model once, many at a time. All other words go through the whole tokenizer, one by one. Up to most_words words and
+    most_parts parts are remembered; parts come again more often.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = 400_000):
+    def __init__(self, path: str, end_id: int, most_words: int = 300_000, most_parts: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.end_id, self.cache = Tokenizer.from_file(path), end_id, cache
+        self.tokenizer, self.end_id, self.most_words, self.most_parts = Tokenizer.from_file(path), end_id, most_words, most_parts
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         said = json.loads(self.tokenizer.to_str())
         self.special = [x["content"] for x in said["added_tokens"]]
@@ -84,18 +86,24 @@ class WordEncoder:
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
-        self._forget()
+        self._forget_words()
+        self._forget_parts()
 
-    def _forget(self) -> None:
+    def _forget_words(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.words = _Lists(self.dtype)
+
+    def _forget_parts(self) -> None:
         self.known_parts: dict[str, int] = {" ": -1}
-        self.words, self.part_ids = _Lists(self.dtype), _Lists(self.dtype)
+        self.part_ids = _Lists(self.dtype)
 
     def _plain(self, text: str) -> bool:
         """Whether all words of a text, joined by spaces, are ones to split here."""
         return self.pattern is not None and max(text) < SETTLED and not any(x in text for x in self.special) and not _OTHER_SPACE.search(text)
 
     def _learn_parts(self, parts: list[str]) -> None:
+        if len(self.known_parts) > self.most_parts:
+            self._forget_parts()
         new = [p for p in dict.fromkeys(parts) if p not in self.known_parts]
         if not new:
             return
@@ -142,8 +150,8 @@ class WordEncoder:
         self.words.add(size, flat)
 
     def _numbers(self, distinct: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(distinct) > self.cache or len(self.known_parts) + len(distinct) > self.cache:
-            self._forget()
+        if len(self.known) + len(distinct) > self.most_words:
+            self._forget_words()
         new = [w for w in distinct if w not in self.known]
         if new:
             self._learn(new)
