@@ -142,7 +142,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def best_routes(vectors: DataFrame, exemplars: DataFrame, key: str = "row_index", nearest: int = 3, threshold: float | None = None, bound: int = 20_000) -> DataFrame:
+def best_routes(vectors: DataFrame, exemplars: DataFrame, key: str = "row_index", nearest: int = 1, threshold: float | None = None, bound: int = 20_000) -> DataFrame:
     """(key, route, category, subcategory, score): the best route of each vector.
 
     vectors: (key, vector); exemplars: (route, category, subcategory, vector). A route's score is the mean of the cosines

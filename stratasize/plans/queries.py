@@ -271,7 +271,7 @@ def _routes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 _BEST = """e AS (SELECT 'route' || label AS route, embedding AS b FROM embeddings WHERE vec_id < 100),
     p AS (SELECT vec_id AS row_index, 'route' || label AS label, route, list_cosine_similarity(embedding::DOUBLE[], b::DOUBLE[]) AS c FROM embeddings, e WHERE vec_id >= 100),
-    t AS (SELECT *, row_number() OVER (PARTITION BY row_index, route ORDER BY c DESC) AS n FROM p), s AS (SELECT row_index, label, route, avg(c) AS score FROM t WHERE n <= 3 GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY row_index, route ORDER BY c DESC) AS n FROM p), s AS (SELECT row_index, label, route, avg(c) AS score FROM t WHERE n <= 1 GROUP BY ALL),
     best AS (SELECT row_index, label, route, score FROM (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY score DESC, route) AS n FROM s) WHERE n = 1)"""
 
 

@@ -41,9 +41,11 @@ def test_report_and_layout(spark, small):
 
 
 def test_similarity_needs_no_rule(spark, small):
-    rows = fx.inventory(spark, small).limit(60).withColumn("vm_name", F.when(F.col("row_index") % 2 == 0, "kubernets wrker nod").otherwise(F.col("vm_name")))
-    found = flows.classified(rows, T.exemplars(spark), learn=False).where("vm_name = 'kubernets wrker nod' AND classification_confidence = 'semantic'")
-    assert found.count() > 0 and {r["workload_category"] for r in found.collect()} <= {"Containers", "File", "Virtual Machines", "Database", "VDI", "Web Servers"}
+    even = F.col("row_index") % 2 == 0
+    rows = fx.inventory(spark, small).where("row_index < 60").withColumns({"vm_name": F.when(even, "kubernets wrker nod").otherwise(F.col("vm_name")), "os_name": F.lit("")})
+    found = flows.classified(rows, T.exemplars(spark), learn=False).where(even).collect()
+    assert len(found) == 30 and {(r["workload_category"], r["classification_confidence"]) for r in found} == {("Containers", "semantic")}
+    assert flows.classified(rows, T.exemplars(spark), learn=True).where("classification_confidence = 'semantic'").count() >= 30
 
 
 def test_streams(spark, tmp_path):
