@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -74,17 +75,12 @@ def best_fit(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -
     takes its space, IOPS and count, or a new one. Ties keep the row order."""
     share = pd.concat([rows["required_mib"] / usable if usable > 0 else rows["required_mib"] * 0, rows["peak_iops"] / iops_budget if iops_budget > 0 else rows["peak_iops"] * 0], axis=1).max(axis=1)
     order = share.reset_index(drop=True).sort_values(ascending=False, kind="stable").index
-    space, iops = rows["required_mib"].to_list(), rows["peak_iops"].to_list()
-    used, busy, count, out = [], [], [], [0] * len(rows)
+    space, iops, out = rows["required_mib"].to_numpy(), rows["peak_iops"].to_numpy(), [0] * len(rows)
+    used, busy, count, n = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), np.int64), 0
     for i in order:
-        fits = [b for b in range(len(used)) if used[b] + space[i] <= usable and busy[b] + iops[i] <= iops_budget and count[b] < most]
-        if fits:
-            b = max(fits, key=lambda k: (used[k], -k))
-        else:
-            b = len(used)
-            used.append(0.0)
-            busy.append(0.0)
-            count.append(0)
+        fits = (used[:n] + space[i] <= usable) & (busy[:n] + iops[i] <= iops_budget) & (count[:n] < most)
+        b = int(np.where(fits, used[:n], -1.0).argmax()) if fits.any() else n
+        n = max(n, b + 1)
         used[b] += space[i]
         busy[b] += iops[i]
         count[b] += 1
@@ -95,15 +91,14 @@ def best_fit(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -
 def least_loaded(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -> list[int]:
     """The bin of each row: as many bins as space or IOPS need, the largest row first into the emptiest that has the
     space; if none has, a new one."""
-    space = rows["required_mib"].to_list()
+    space, out = rows["required_mib"].to_numpy(), [0] * len(rows)
     need = lambda total, each: -int(-total // each) if each > 0 else 1
-    used = [0.0] * max(need(sum(space), usable), need(rows["peak_iops"].sum(), iops_budget), 1)
-    out = [0] * len(rows)
-    for i in sorted(range(len(rows)), key=lambda k: -space[k]):
-        fits = [b for b in range(len(used)) if used[b] + space[i] <= usable]
-        b = min(fits, key=lambda k: (used[k], k)) if fits else len(used)
-        if not fits:
-            used.append(0.0)
+    n = max(need(space.sum(), usable), need(rows["peak_iops"].sum(), iops_budget), 1)
+    used = np.zeros(n + len(rows))
+    for i in np.argsort(-space, kind="stable"):
+        fits = used[:n] + space[i] <= usable
+        b = int(np.where(fits, used[:n], np.inf).argmin()) if fits.any() else n
+        n = max(n, b + 1)
         used[b] += space[i]
         out[i] = b
     return out
