@@ -161,7 +161,7 @@ def test_substrings_odd_rows(odd):
 
 def test_patience():
     assert line_dedup.patience("abcdef", "abxdef") == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
-    assert line_dedup.patience("xaybz", "qaraybt") == [(1, 3), (2, 4), (3, 5)] or line_dedup.patience("xaybz", "qaraybt")
+    assert line_dedup.patience("xaybz", "qaraybt") == [(1, 3), (2, 4), (3, 5)]
     assert line_dedup.patience([None, 1], [2, None]) == [] and line_dedup.patience([], [1]) == []
 
 
