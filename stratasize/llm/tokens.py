@@ -61,7 +61,7 @@ class WordEncoder:
     most_parts parts are remembered; parts come again more often.
     """
 
-    def __init__(self, path: str, end_id: int, most_words: int = 300_000, most_parts: int = 700_000):
+    def __init__(self, path: str, end_id: int, most_words: int = 200_000, most_parts: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
