@@ -18,10 +18,72 @@ _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _SPACE = " \t\n\v\f\r"
 
 
+#: Cells of a table of bits for a longest common subsequence; a larger one is halved first (Hirschberg).
+_CELLS = 1 << 27
+
+
+def common_subsequence(a: Sequence, b: Sequence, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence of a[a0:a1] and b[b0:b1] without Nones, by rows of bits."""
+    out, in_a, in_b = [], set(a[a0:a1]) - {None}, set(b[b0:b1]) - {None}
+    todo = [([i for i in range(a0, a1) if a[i] in in_b and a[i] is not None], [j for j in range(b0, b1) if b[j] in in_a and b[j] is not None])]
+    while todo:
+        x, y = todo.pop()
+        if not x or not y:
+            continue
+        if len(x) > 1 and len(x) * len(y) > _CELLS:
+            half = len(x) // 2
+            ahead = _lengths(_rows(a, b, x[:half], y, keep=False)[-1], len(y))
+            back = _lengths(_rows(a, b, x[half:][::-1], y[::-1], keep=False)[-1], len(y))
+            cut = max(range(len(y) + 1), key=lambda k: ahead[k] + back[len(y) - k])
+            todo += [(x[:half], y[:cut]), (x[half:], y[cut:])]
+            continue
+        rows, j = _rows(a, b, x, y), len(y) - 1
+        for i in range(len(x) - 1, -1, -1):
+            # Zeros among a row's lowest bits count the longest common subsequence up to there.
+            while j >= 0 and rows[i + 1] >> j & 1:
+                j -= 1
+            if j < 0:
+                break
+            if rows[i] >> j & 1:
+                out.append((x[i], y[j]))
+                j -= 1
+    return out
+
+
+def _rows(a: Sequence, b: Sequence, x: list[int], y: list[int], keep: bool = True) -> list[int]:
+    """After each item of x, a number whose k-th bit is zero where y[:k + 1] has a longer common subsequence than y[:k]."""
+    full, at = (1 << len(y)) - 1, {}
+    for k, j in enumerate(y):
+        at.setdefault(b[j], []).append(k)
+    bits = {}
+    for item, ks in at.items():
+        place = bytearray(len(y) // 8 + 1)
+        for k in ks:
+            place[k >> 3] |= 1 << (k & 7)
+        bits[item] = int.from_bytes(place, "little")
+    row, rows = full, [full]
+    for i in x:
+        met = row & bits.get(a[i], 0)
+        row = ((row + met) | (row - met)) & full
+        if keep:
+            rows.append(row)
+        else:
+            rows = [row]
+    return rows
+
+
+def _lengths(row: int, n: int) -> list[int]:
+    """The length of the longest common subsequence with each prefix of y."""
+    out = [0]
+    for k in format(row | 1 << n, "b")[:0:-1]:
+        out.append(out[-1] + (k == "0"))
+    return out
+
+
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Index pairs of equal items, ascending in both: common ends of a range match; then the longest ascending run of
-    items that are once in either part anchors it, and the parts between anchors go on alike. Items that are None
-    (blank lines) match at ends but anchor nothing.
+    items that are once in either part anchors it, and the parts between anchors go on alike. A part without such items
+    is aligned by a longest common subsequence. Items that are None (blank lines) match at ends but nowhere else.
     """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -38,6 +100,7 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
         place = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
         both = [(i, place[a[i]]) for i in range(a0, a1) if a[i] is not None and in_a[a[i]] == 1 and a[i] in place]
         if not both:
+            out += common_subsequence(a, b, a0, a1, b0, b1)
             continue
         ends, at, before = [], [], [-1] * len(both)
         for n, (_, j) in enumerate(both):
