@@ -138,21 +138,44 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["key", "places"])
 
 
-def removals(docs: DataFrame, rare: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _aligned(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, places): the lines of each pair's later document that the alignment matches."""
+    earlier, later = lines.select(F.col("key").alias("first"), F.col("lines").alias("a")), lines.select("key", F.col("lines").alias("b"))
+    matched = pairs.join(earlier, "first").join(later, "key").select("key", "a", "b").mapInArrow(_align, "key struct<id:long,h:long>, places array<int>")
+    return matched.where(F.size("places") > 0)
+
+
+def _other_pairs(lines: DataFrame, held: DataFrame, shared: DataFrame, pairs: DataFrame, matched: DataFrame, most: int) -> DataFrame:
+    """Pairs of documents not yet aligned, for the lines of up to `most` holders that the later one has unmatched."""
+    places = matched.select("key", F.explode("places").alias("pos")).distinct()
+    few = shared.where(F.col("holders") <= most).select("key", "line")
+    lone = lines.select("key", F.posexplode("lines").alias("pos", "line")).where("line IS NOT NULL").join(few, ["key", "line"], "left_semi")
+    lone = written(lone.join(places, ["key", "pos"], "left_anti").select("key", "line").distinct(), "unmatched-lines")
+    other = lone.join(held.select(F.col("key").alias("first"), "line"), "line").where("first < key").select("first", "key").distinct()
+    return other.join(pairs, ["first", "key"], "left_anti")
+
+
+def removals(docs: DataFrame, rare: int | None = None, id_col: str = "doc_id", text_col: str = "text", others: int = 0) -> DataFrame:
     """(key, places, common): for each document with something to delete, the indices of aligned lines and the MD5s of
     common lines, which go wherever they stand.
 
-    A line's holders are compared with its first holder only (the smallest key), so pairs grow with the lines.
+    A line's holders are compared with its first holder (the smallest key), so pairs grow with the lines; then, for a
+    line of up to `others` holders that stays unmatched, with all its other earlier holders.
     """
     lines = written(docs.select(_key(id_col, text_col).alias("key"), line_hashes(F.col(text_col)).alias("lines")).where("lines IS NOT NULL").dropDuplicates(["key"]), "lines")
     held = lines.select("key", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line"))
     # A table of its own, so that the join below has two plain exchanges and Spark can split a hot line's holders.
     known = written(held.groupBy("line").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1"), "known-lines")
     shared = written(held.join(known, "line").where("key > first"), "shared-lines")
-    pairs = shared.where(F.col("holders") <= rare).select("first", "key").distinct()
-    earlier, later = lines.select(F.col("key").alias("first"), F.col("lines").alias("a")), lines.select("key", F.col("lines").alias("b"))
-    matched = pairs.join(earlier, "first").join(later, "key").select("key", "a", "b").mapInArrow(_align, "key struct<id:long,h:long>, places array<int>")
-    aligned = matched.where(F.size("places") > 0).groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    # Written for the same reason: a hot line's first holder is in many pairs.
+    pairs = written((shared if rare is None else shared.where(F.col("holders") <= rare)).select("first", "key").distinct(), "line-pairs")
+    matched = _aligned(pairs, lines)
+    if others:
+        matched = written(matched, "matched-lines")
+        matched = matched.unionByName(_aligned(written(_other_pairs(lines, held, shared, pairs, matched, others), "other-pairs"), lines))
+    aligned = matched.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    if rare is None:
+        return aligned.withColumn("common", F.lit(None).cast("array<binary>"))
     common = shared.where(F.col("holders") > rare).groupBy("key").agg(F.collect_list("line").alias("common"))
     return aligned.join(common, "key", "full")
 
@@ -169,16 +192,17 @@ def _cut(texts: pa.Array, places: pa.Array, common: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))], ["text", "n_lines", "n_removed"])
 
 
-def drop_repeated_lines(docs: DataFrame, rare: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, rare: int | None = None, id_col: str = "doc_id", text_col: str = "text", others: int = 0) -> DataFrame:
     """docs with the lines deleted that an earlier document has as well, and n_lines and n_removed.
 
-    Lines are equal when identical without white space at their ends. For each line that 2 to `rare` documents hold,
-    its later holders are aligned with its first; lines of the later one in the alignment's common blocks go. A line
-    that more documents hold is no rare one: it goes from all its later holders without an alignment. Documents are
+    Lines are equal when identical without white space at their ends. For each line that several documents hold, its
+    later holders are aligned with its first; lines of the later one in the alignment's common blocks go. With
+    `others`, a line of up to so many holders that stays unmatched has its later holders aligned with all its earlier
+    ones. With `rare`, a line that more documents hold is not aligned and goes from all its later holders. Documents are
     judged on the input, earlier is a smaller doc_id, and nothing is deleted for a repeat inside one document.
     A text of which only blank lines are left becomes empty; the document stays.
 
-    Work: a pair for each rare line of a later document at most, each aligned alone; hot lines' holders spread over
+    Work: a pair for each shared line of a later document at most (and `others` for each unmatched one), each aligned alone; hot lines' holders spread over
     tasks by skew-join splitting, and no group of holders is gathered.
 
     Nulls: a null text has no lines and stays null; a null doc_id is earlier than all others. Rows that share an id
@@ -186,7 +210,7 @@ def drop_repeated_lines(docs: DataFrame, rare: int = 64, id_col: str = "doc_id",
     Empty table: empty result. Other columns pass through, except n_lines and n_removed, which are replaced.
     """
     key, places, common, cut = free_names(docs, "__key", "__places", "__common", "__cut")
-    gone = removals(docs, rare, id_col, text_col).select(F.col("key").alias(key), F.col("places").alias(places), F.col("common").alias(common))
+    gone = removals(docs, rare, id_col, text_col, others).select(F.col("key").alias(key), F.col("places").alias(places), F.col("common").alias(common))
     found = docs.withColumn(key, _key(id_col, text_col)).join(gone, key, "left").withColumn(cut, _cut(F.col(text_col), F.col(places), F.col(common)))
     found = found.withColumns({text_col: F.col(f"{cut}.text"), "n_lines": F.col(f"{cut}.n_lines"), "n_removed": F.col(f"{cut}.n_removed")})
     return found.drop(key, places, common, cut)

@@ -34,3 +34,10 @@ def test_repeated_lines_go_without_a_unique_anchor(spark):
     rows = [(1, "\n".join(["one", *refrain, "two"])), (2, "\n".join(["three", "la", "la", "four", "la", "five"]))]
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2] == "three\nfour\nfive" and got[1] == rows[0][1]
+
+
+def test_common_lines_follow_the_same_rule_at_any_count(spark):
+    for n in (3, 80):
+        rows = [(0, "p\nq\nshared"), *((i, f"shared\nown {i}\np\nq") for i in range(1, n))]
+        got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(got[i] == f"shared\nown {i}" for i in range(1, n))
