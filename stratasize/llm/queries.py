@@ -49,7 +49,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"), others=64)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -36,6 +36,12 @@ def test_repeated_lines_go_without_a_unique_anchor(spark):
     assert got[2] == "three\nfour\nfive" and got[1] == rows[0][1]
 
 
+def test_blocks_of_a_later_holder_go(spark):
+    rows = [(1, "x\na\ny"), (2, "y\nb\nx"), (3, "y\nc\nx")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), others=64).collect()}
+    assert got[3] == "c" and got[1] == "x\na\ny"
+
+
 def test_common_lines_follow_the_same_rule_at_any_count(spark):
     for n in (3, 80):
         rows = [(0, "p\nq\nshared"), *((i, f"shared\nown {i}\np\nq") for i in range(1, n))]
