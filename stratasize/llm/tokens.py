@@ -1,11 +1,13 @@
-"""Token ids of whole texts with a public tokenizer, a distinct word at a time."""
+"""Token ids of whole texts with a public tokenizer, a distinct part of a word at a time."""
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
-import re
+import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -15,14 +17,15 @@ import regex
 from stratasize.llm.common import Words
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Characters below this one have the same classes in every edition of Unicode that a tokenizer may carry.
-SETTLED = "Ԁ"
-_OTHER_SPACE = re.compile(r"[^\S ]")
-#: Words that are put through the library at once.
-BATCH = 20_000
+#: How that tokenizer splits words into parts (a fixed value): contractions, letters, single numbers, and all other runs.
+PARTS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Code points below this one have the same classes in every edition of Unicode that a tokenizer may carry.
+SETTLED = 0x500
+SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
 #: Bytes of texts that are encoded at once.
 SLICE = 2 << 20
-#: Distinct parts in one text for the library's model.
+#: Parts in one text for the library's model.
 PARTS = 200
 
 
@@ -31,144 +34,145 @@ class _Lists:
 
     def __init__(self, dtype: np.dtype):
         self.offset, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        self.count = 0
 
     def add(self, size: np.ndarray, flat: np.ndarray) -> None:
-        self.waiting.append((size, flat.astype(self.flat.dtype)))
-        self.count += len(size)
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+        self.offset = np.cumsum(self.size) - self.size
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(size of each list, all ids) of the lists with the numbers given."""
-        if self.waiting:
-            self.size = np.concatenate([self.size, *[x for x, _ in self.waiting]])
-            self.flat = np.concatenate([self.flat, *[x for _, x in self.waiting]])
-            self.offset = np.cumsum(self.size) - self.size
-            self.waiting = []
         size = self.size[numbers]
         before = np.cumsum(size) - size
         return size, self.flat[np.repeat(self.offset[numbers] - before, size) + np.arange(int(size.sum()))]
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that never joins across ASCII white space, such as the default one: its
-    pre-tokenizer drops white space and works inside what is left.
-
-    Each distinct word of a slice is encoded once, and ids of documents are put together from those of their words.
-    Where the tokenizer splits words by a pattern and marks the last id of each part by a suffix, words of settled
-    characters are split here, after the tokenizer's own normaliser, and each distinct part goes through the library's
-    model once, many at a time. All other words go through the whole tokenizer, one by one. Up to most_words words and
-    most_parts parts are remembered; parts come again more often.
+    """Encodes texts with a tokenizer that never joins across ASCII white space, such as the default one.
+
+    Where the tokenizer has the default's normaliser and split, words of settled characters are lower-cased and cut into
+    parts here, a slice at a time in arrays; each distinct part goes through the library's model once, and ids of
+    documents are put together from those of their parts. All other words go through the whole tokenizer, each distinct
+    one once. Up to most_parts parts of most_bytes in all are remembered for later slices, and forgotten together.
     """
 
-    def __init__(self, path: str, end_id: int, most_words: int = 200_000, most_parts: int = 500_000):
+    def __init__(self, path: str, end_id: int, most_parts: int = 300_000, most_bytes: int = 4 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.end_id, self.most_words, self.most_parts = Tokenizer.from_file(path), end_id, most_words, most_parts
-        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        said = json.loads(self.tokenizer.to_str())
-        self.special = [x["content"] for x in said["added_tokens"]]
-        self.pattern = self.parts = None
+        self.path, self.end_id, self.most_parts, self.most_bytes, self.whole = path, end_id, most_parts, most_bytes, None
+        model = Tokenizer.from_file(path)
+        vocabulary = model.get_vocab()
+        self.dtype = np.dtype("<u2" if max(*vocabulary.values(), end_id) < 1 << 16 else "<u4")
+        said = json.loads(model.to_str())
+        self.special = [x["content"].encode() for x in said["added_tokens"]]
         split, *rest = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
         suffix = said["model"].get("end_of_word_suffix")
-        if suffix and split.get("behavior") == "Removed" and split.get("invert") and "Regex" in split["pattern"] and [x["type"] for x in rest] == ["ByteLevel"]:
-            said_pattern = split["pattern"]["Regex"] + "| "
-            self.pattern = regex.compile(said_pattern)
-            # In lower-cased ASCII, letters are a-z and numbers 0-9.
-            self.ascii_pattern = re.compile(said_pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
-            self.lowers = {x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])} == {"NFC", "Replace", "Lowercase"}
-            spaces, bytes_ = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.parts, self.ascii_parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
-            self.parts.normalizer = self.ascii_parts.normalizer = normalizers.Sequence([])
+        self.splits = suffix and steps == ["NFC", "Replace", "Lowercase"] and split.get("invert") and split.get("pattern") == {"Regex": PARTS_PATTERN} and [x["type"] for x in rest] == ["ByteLevel"]
+        if self.splits:
+            self.kind, self.lower = _tables(model.normalizer.normalize_str)
+            self.ascii_kind, self.ascii_lower = (np.append(t[:128].astype(np.uint8), np.full(128, ODD, np.uint8)).tobytes() for t in (self.kind, self.lower))
+            model.normalizer = normalizers.Sequence([])
+            spaces = pre_tokenizers.WhitespaceSplit()
             # The byte level leaves printable ASCII as it is.
-            self.parts.pre_tokenizer, self.ascii_parts.pre_tokenizer = pre_tokenizers.Sequence([spaces, bytes_]), spaces
-            vocabulary = self.tokenizer.get_vocab()
+            self.model, self.cuts = model, (pre_tokenizers.Sequence([spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]), spaces)
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
-        self._forget_words()
-        self._forget_parts()
+        self._forget()
 
-    def _forget_words(self) -> None:
+    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.words = _Lists(self.dtype)
-
-    def _forget_parts(self) -> None:
-        self.known_parts: dict[str, int] = {" ": -1}
-        self.part_ids = _Lists(self.dtype)
-
-    def _plain(self, text: str) -> bool:
-        """Whether all words of a text, joined by spaces, are ones to split here."""
-        return self.pattern is not None and max(text) < SETTLED and not any(x in text for x in self.special) and not _OTHER_SPACE.search(text)
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        if len(self.known_parts) > self.most_parts:
-            self._forget_parts()
-        new = [p for p in dict.fromkeys(parts) if p not in self.known_parts]
-        if not new:
-            return
-        texts = [" ".join(new[i : i + PARTS]) for i in range(0, len(new), PARTS)]
-        model = self.ascii_parts if all(x.isascii() and x.isprintable() for x in texts) else self.parts
-        ids = np.concatenate([np.array(e.ids, np.int64) for e in model.encode_batch_fast(texts, add_special_tokens=False)])
+        self.lists, self.bytes = _Lists(self.dtype), 0
+
+    def _numbers(self, parts: list[bytes], odd: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct parts, and of distinct odd words (known with a space before them), are in lists."""
+        if len(self.known) > self.most_parts or self.bytes > self.most_bytes:
+            self._forget()
+        return self._found(parts, self._of_parts), self._found([b" " + w for w in odd], self._of_words)
+
+    def _found(self, some: list[bytes], learn: Callable) -> np.ndarray:
+        out = np.fromiter(map(self.known.get, some, itertools.repeat(-1)), np.int64, len(some))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            plain = np.fromiter((some[i].isascii() for i in missing.tolist()), bool, len(missing))
+            missing = missing[np.argsort(plain, kind="stable")]
+            new = [some[i] for i in missing.tolist()]
+            size, flat = learn(new, len(new) - int(plain.sum()))
+            out[missing] = numbers = np.arange(len(self.lists.size), len(self.lists.size) + len(new))
+            self.known.update(zip(new, numbers.tolist(), strict=True))
+            self.lists.add(size, flat)
+            self.bytes += sum(map(len, new))
+        return out
+
+    def _of_parts(self, parts: list[bytes], middle: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each part, all ids); parts from the middle on are ASCII."""
+        ids = []
+        for some, self.model.pre_tokenizer in zip((parts[:middle], parts[middle:]), self.cuts, strict=True):
+            texts = [b" ".join(some[i : i + PARTS]).decode() for i in range(0, len(some), PARTS)]
+            ids += [np.array(e.ids, np.int64) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(new) or (len(ids) and ends[-1] != len(ids)):
+        if len(ends) != len(parts) or ends[-1] != len(ids):
             raise ValueError("the tokenizer doesn't end each part with a suffixed id")
-        self.known_parts.update(zip(new, range(self.part_ids.count, self.part_ids.count + len(new)), strict=True))
-        self.part_ids.add(np.diff(ends, prepend=0), ids)
-
-    def _learn(self, words: list[bytes]) -> None:
-        other = []
-        groups = [[w for w in words if w.isascii()], [w for w in words if not w.isascii()]]
-        for some in [g[at : at + BATCH] for g in groups for at in range(0, len(g), BATCH)]:
-            text = b" ".join(some).decode() + " "
-            if not self._plain(text):
-                mask = [self._plain(w.decode()) for w in some]
-                other += [w for w, m in zip(some, mask, strict=True) if not m]
-                some = [w for w, m in zip(some, mask, strict=True) if m]
-                text = b" ".join(some).decode() + " "
-            self._learn_plain(some, text[:-1])
-        if other:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)]
-            self._remember(other, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for ids in found for i in ids), np.int64))
-
-    def _learn_plain(self, plain: list[bytes], text: str) -> None:
-        if plain:
-            if self.lowers and text.isascii():  # where that normaliser changes nothing but case
-                parts = self.ascii_pattern.findall(text.lower())
-            else:
-                parts = self.pattern.findall(self.tokenizer.normalizer.normalize_str(text))
-            self._learn_parts(parts)
-            number = np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))
-            owner = np.cumsum(number == -1)[number != -1]
-            if (number == -1).sum() != len(plain) - 1:
-                raise ValueError("the tokenizer's normaliser changes spaces")
-            size, flat = self.part_ids.joined(number[number != -1])
-            self._remember(plain, np.bincount(owner, size, len(plain)).astype(np.int64), flat)
-
-    def _remember(self, words: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
-        self.known.update(zip(words, range(self.words.count, self.words.count + len(words)), strict=True))
-        self.words.add(size, flat)
-
-    def _numbers(self, distinct: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(distinct) > self.most_words:
-            self._forget_words()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return np.diff(ends, prepend=0), ids
+
+    def _of_words(self, words: list[bytes], middle: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        found = [e.ids for e in self.whole.encode_batch([w[1:].decode() for w in words], add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for ids in found for i in ids), np.int64)
+
+    def _kinds(self, codes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The kind of each byte's character, and the bytes of the lower-case text, which has the same length."""
+        kind, low = (np.frombuffer(bytearray(data.translate(t)), np.uint8) for t in (self.ascii_kind, self.ascii_lower))
+        if not data.isascii():
+            lead = np.flatnonzero((codes >= 0xC2) & (codes < 0xE0))
+            point = np.minimum((codes[lead].astype(np.int64) & 0x1F) << 6 | codes[lead + 1] & 0x3F, SETTLED)
+            kind[lead] = kind[lead + 1] = self.kind[point]
+            low[lead], low[lead + 1] = 0xC0 | self.lower[point] >> 6, 0x80 | self.lower[point] & 0x3F
+        return kind, low
+
+    def _odd_words(self, words: Words, data: bytes, kind: np.ndarray, spaces: np.ndarray) -> np.ndarray:
+        """Indices of the words that aren't cut into parts here."""
+        odd = [np.searchsorted(spaces, np.flatnonzero(kind == ODD))]
+        for mark in self.special:
+            at = data.find(mark)
+            while at >= 0:
+                odd.append(np.searchsorted(words.start, [at], side="right") - 1)
+                at = data.find(mark, at + 1)
+        return np.unique(np.concatenate(odd))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each with the end id; number of ids of each). A null text has the end id only."""
         words = Words(texts)
         n_docs = len(words.first) - 1
-        number = np.zeros(0, np.int64)
-        if len(words.start):
-            bounds = np.append(words.start, len(words.data)).astype(np.int64)  # a word with the space after it
-            each = pa.Array.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(bounds), pa.py_buffer(words.data)]).dictionary_encode()
-            number = self._numbers(_words(each.dictionary))[each.indices.to_numpy()]
-        size, flat = self.words.joined(number)
+        if not len(words.start):
+            return np.full(n_docs, self.end_id, self.dtype), np.ones(n_docs, np.int64)
+        data = words.data.tobytes()
+        spaces = np.append(-1, words.start + words.length)  # one before and after each word
+        kind, low = self._kinds(words.data, data) if self.splits else (np.full(len(data), ODD, np.uint8), words.data)
+        odd = self._odd_words(words, data, kind, spaces[1:])
+        for a, b in zip(spaces[odd].tolist(), spaces[odd + 1].tolist(), strict=True):
+            kind[a + 1 : b] = SPACE
+        begin = _begins(kind, low)
+        inside = kind != SPACE
+        place = np.cumsum(inside)[begin] - 1
+        buffer, bounds = low[inside], np.append(place, np.count_nonzero(inside))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(buffer)]).dictionary_encode()
+        whole = pa.array([data[a:b] for a, b in zip(words.start[odd].tolist(), words.end(odd).tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+        of_parts, of_words = self._numbers(_values(parts.dictionary), _values(whole.dictionary))
+        number = of_parts[parts.indices.to_numpy()]
+        word = begin - place  # as many spaces are before it
+        if len(odd):
+            word = np.searchsorted(spaces[1:], begin)
+            order = np.argsort(np.concatenate([word, odd]), kind="stable")
+            number = np.concatenate([number, of_words[whole.indices.to_numpy()]])[order]
+            word = np.concatenate([word, odd])[order]
+        size, flat = self.lists.joined(number)
         sums = np.concatenate(([0], np.cumsum(size)))
-        per_doc = np.diff(sums[words.first]) + 1
+        per_doc = np.diff(sums[np.searchsorted(word, words.first)]) + 1
         out = np.empty(len(flat) + n_docs, dtype=self.dtype)
         ends = np.cumsum(per_doc) - 1
         inner = np.ones(len(out), dtype=bool)
@@ -178,13 +182,51 @@ class WordEncoder:
         return out, per_doc
 
 
-def _words(values: pa.Array) -> list[bytes]:
-    """Values that each end with their only space, without it."""
-    low, high = (int(np.frombuffer(values.buffers()[1], np.int64)[values.offset + i]) for i in (0, len(values)))
-    return values.buffers()[2].to_pybytes()[low:high].split(b" ")[:-1]
-
-
-@functools.lru_cache(maxsize=2)
+def _values(values: pa.Array) -> list[bytes]:
+    """All values of a large binary array."""
+    bounds, data = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1].tolist(), (values.buffers()[2] or b"")
+    data = data.to_pybytes() if len(data) else b""
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _tables(normalised) -> tuple[np.ndarray, np.ndarray]:
+    """By code point: its kind, and the lower-case one. Odd: what the normaliser joins with others, or isn't one settled
+    character of as many bytes after it; white space besides the ASCII one; control characters; everything from SETTLED on."""
+    kind, lower = np.full(SETTLED + 1, ODD, np.uint8), np.arange(SETTLED + 1, dtype=np.uint16)
+    kind[0x20] = SPACE
+    for code in range(0x21, SETTLED):
+        own = chr(code)
+        new = normalised(own)
+        if len(new) == 1 and ord(new) < SETTLED and (ord(new) < 0x80) == (code < 0x80) and not own.isspace() and unicodedata.category(own) not in ("Cc", "Cn", "Mn", "Me", "Mc"):
+            lower[code] = ord(new)
+            kind[code] = LETTER if regex.match(r"\p{L}", new) else NUMBER if regex.match(r"\p{N}", new) else OTHER
+    return kind, lower
+
+
+def _begins(kind: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where parts begin: at a change of kind and at each number; a contraction is a part and ends after its letters."""
+    new = np.empty(len(kind), dtype=bool)
+    new[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new |= (kind == NUMBER) & ((low & 0xC0) != 0x80)
+    new &= kind != SPACE
+    mark = np.flatnonzero((low == 0x27) & new)
+    if len(mark):
+        after = np.concatenate([low[min(int(mark[0]), len(low)) :], [0, 0, 0]])
+        base = int(mark[0])
+        one, two, three = (after[mark - base + k] for k in (1, 2, 3))
+        for ending in ENDINGS:
+            hit = (one == ord(ending[0])) & (kind[np.minimum(mark + 1, len(kind) - 1)] == LETTER)
+            if len(ending) == 2:
+                hit &= two == ord(ending[1])
+            ends = mark[hit] + 1 + len(ending)
+            new[mark[hit] + 1] = False
+            ends = ends[ends < len(kind)]
+            new[ends] |= kind[ends] != SPACE
+    return np.flatnonzero(new)
+
+
+@functools.lru_cache(maxsize=1)
 def encoder(path: str, end_id: int) -> WordEncoder:
-    """One encoder for a Python worker, whose memory of words serves its later tasks."""
+    """One encoder for a Python worker, whose memory of parts serves its later tasks."""
     return WordEncoder(path, end_id)
