@@ -98,6 +98,14 @@ def _by_powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
     return out
 
 
+def _nth_of_equal(x: np.ndarray) -> np.ndarray:
+    """How many values before each one in the order of a stable sort equal it."""
+    order = np.argsort(x, kind="stable")
+    ranked, out = x[order], np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.searchsorted(ranked, ranked)
+    return out
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str = DEFAULT_TOKENIZER,
@@ -113,10 +121,11 @@ def pack(
     before it), length, ids_crc32, doc_tokens, sequence_id, offset (in the sequence, without gaps), and ids if asked for.
 
     Documents are dealt at random (a hash of id and text) into groups of about so many, each packed alone by
-    pack_lengths() in order of length, id and ids, so reruns agree and no group grows with the corpus.
-    A group's padding is under least_cut ids a sequence; sequences of powers of two take its last rest.
+    pack_lengths() in order of length, id and ids, so reruns agree and no group grows with the corpus; equal rows of a
+    slice go to one group after the other. A group's padding is under least_cut ids a sequence; sequences of powers of two take its last rest.
 
-    Nulls: a null text is empty, one end id; a null doc_id stays null. Repeated rows are packed each.
+    Nulls: a null text is empty, one end id; a null doc_id stays null. Repeated rows are packed each. A very long text is
+    encoded whole, as a slice of its own.
     Empty table: empty result. Other columns are not read.
     """
     groups = max(1, -(-docs.count() // group_documents))
@@ -126,9 +135,10 @@ def pack(
         for batch in batches:
             for part in slices(batch, 2, SLICE):
                 ids, size = words.encode(part.column(2))
+                pack = pa.array(np.mod(part.column(0).to_numpy() + _nth_of_equal(part.column(0).to_numpy()), groups))
                 bounds = np.concatenate(([0], np.cumsum(size))) * ids.itemsize
                 raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), raw, pa.array(np.full(len(size), ids.itemsize, np.int32))], ["pack", "doc_id", "raw", "width"])
+                yield pa.RecordBatch.from_arrays([pack, part.column(1), raw, pa.array(np.full(len(size), ids.itemsize, np.int32))], ["pack", "doc_id", "raw", "width"])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
@@ -147,6 +157,6 @@ def pack(
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(groups)).alias("pack"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    dealt = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("h"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded = dealt.mapInArrow(encode, "pack long, doc_id long, raw binary, width int")
     return encoded.groupBy("pack").applyInArrow(fill, ", ".join(f"{n} long" if n != "ids" else "ids array<int>" for n in names))
