@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,14 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one is set for
+    a local master (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after Arrow batches of its session got SLICE_BYTES as their limit, unless a limit other than Spark's default is
+    set. A batch of thousands of long texts would otherwise be held several times beside each Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m") in ("67108864b", "64m"):
+        conf.set(key, str(SLICE_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads survive lost executors and nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

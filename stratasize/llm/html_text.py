@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratasize.llm.common import bounded_batches
+
 #: Fixed values of HTML: elements without an end tag, elements whose content is no text, elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
@@ -209,4 +211,4 @@ def extract(pages: DataFrame, html_col: str = "html", text: str = "text") -> Dat
     def run(html: pa.Array) -> pa.Array:
         return pa.array([main_text(x) for x in html.to_pylist()], pa.string())
 
-    return pages.withColumn(text, run(F.col(html_col))).withColumn("n_chars", F.length(text).cast("long"))
+    return bounded_batches(pages).withColumn(text, run(F.col(html_col))).withColumn("n_chars", F.length(text).cast("long"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import free_names, slices
+from stratasize.llm.common import bounded_batches, free_names, slices
 
 #: The label of a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -236,5 +236,5 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", label:
 
     judged = F.when(has_letter(text_col), judge(F.when(has_letter(text_col), F.col(text_col))))
     (both,) = free_names(docs, "__judged")
-    out = docs.withColumn(both, judged)
+    out = bounded_batches(docs).withColumn(both, judged)
     return out.withColumns({label: F.coalesce(f"{both}.label", F.lit(UNDETERMINED)), score: F.coalesce(f"{both}.score", F.lit(0.0))}).drop(both)

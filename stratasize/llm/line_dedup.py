@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratasize.llm.common import free_names, id_or_null_id, written
+from stratasize.llm.common import bounded_batches, free_names, id_or_null_id, written
 
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _SPACE = " \t\n\v\f\r"
@@ -162,7 +162,7 @@ def removals(docs: DataFrame, rare: int | None = None, id_col: str = "doc_id", t
     A line's holders are compared with its first holder (the smallest key), so pairs grow with the lines; then, for a
     line of up to `others` holders that stays unmatched, with all its other earlier holders.
     """
-    lines = written(docs.select(_key(id_col, text_col).alias("key"), line_hashes(F.col(text_col)).alias("lines")).where("lines IS NOT NULL").dropDuplicates(["key"]), "lines")
+    lines = written(bounded_batches(docs).select(_key(id_col, text_col).alias("key"), line_hashes(F.col(text_col)).alias("lines")).where("lines IS NOT NULL").dropDuplicates(["key"]), "lines")
     held = lines.select("key", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line"))
     # A table of its own, so that the join below has two plain exchanges and Spark can split a hot line's holders.
     known = written(held.groupBy("line").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1"), "known-lines")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import written
+from stratasize.llm.common import bounded_batches, written
 
 
 @dataclass
@@ -144,7 +144,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).distinct()
-    rows = written(rows, "vectors")
+    rows = written(bounded_batches(rows), "vectors")
     classes = written(distinct_vectors(rows, k + 1), "vector-classes")
     n = classes.count()
     sought = written(rows.where(F.col("vec_id") % every == 0).join(classes.select("v", "class_id"), "v").select("vec_id", "class_id"), "vector-queries")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import slices
+from stratasize.llm.common import bounded_batches, slices
 from stratasize.llm.tokens import DEFAULT_TOKENIZER, SLICE, encoder
 
 
@@ -157,6 +157,6 @@ def pack(
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    dealt = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("h"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    dealt = bounded_batches(docs).select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("h"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded = dealt.mapInArrow(encode, "pack long, doc_id long, raw binary, width int")
     return encoded.groupBy("pack").applyInArrow(fill, ", ".join(f"{n} long" if n != "ids" else "ids array<int>" for n in names))

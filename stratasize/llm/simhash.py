@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import Words, id_or_null_id, null_id_to_null, slices, written
+from stratasize.llm.common import bounded_batches, id_or_null_id, null_id_to_null, slices, Words, written
 from stratasize.llm.components import connected_components
 
 #: 64 bits in four segments of 16; links at three differing bits or fewer.
@@ -30,7 +30,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_simhash(part.column(1), width).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(id_or_null_id(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(id_or_null_id(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _simhash(texts: pa.Array, width: int) -> np.ndarray:

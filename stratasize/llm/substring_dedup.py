@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import Words, id_or_null_id, mixed, null_id_to_null, powers, shuffle_partitions, slices, word_hashes
+from stratasize.llm.common import bounded_batches, id_or_null_id, mixed, null_id_to_null, powers, shuffle_partitions, slices, word_hashes, Words
 
 #: Words in the m-mers of which the least hash is a window's minimiser.
 MINIMISER = 3
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     buckets = 4 * shuffle_partitions(spark)
-    rows = docs.select(id_or_null_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(id_or_null_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(_packing(window, buckets), _PACKED)
     spans = packed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_counting(window), "doc_id long, start int, end int")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))

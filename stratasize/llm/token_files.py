@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import shuffle_partitions, slices
+from stratasize.llm.common import bounded_batches, shuffle_partitions, slices
 from stratasize.llm.tokens import DEFAULT_TOKENIZER, SLICE, encoder
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -49,7 +49,7 @@ def write_tokens(
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(size), part, np.int32)), pa.array(at + ends - size), pa.array(size), lists], ["doc_id", "part", "part_start", "n_tokens", "ids"])
                 at += int(ends[-1]) if len(ends) else 0
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     out = ordered.mapInArrow(run, SCHEMA).write.option("compression", "snappy")
     settings = {
@@ -94,4 +94,4 @@ def checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip((ends - batch.column(2).to_numpy()).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return bounded_batches(tokens).select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
