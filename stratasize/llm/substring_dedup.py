@@ -10,14 +10,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import bounded_batches, id_or_null_id, mixed, null_id_to_null, powers, shuffle_partitions, slices, word_hashes, Words
+from stratasize.llm.common import Words, bounded_batches, id_or_null_id, mixed, null_id_to_null, powers, shuffle_partitions, slices
 
 #: Words in the m-mers of which the least hash is a window's minimiser.
 MINIMISER = 3
 #: Windows in one super-k-mer at most; a longer stretch (one word again and again) goes on in the next.
 LONGEST = 4096
+#: Bytes of text for each bucket, and bytes of strings in a task from which equal ones are combined before more are read.
+BUCKET_BYTES, HELD_BYTES = 4 << 20, 32 << 20
+#: An m-mer that makes up this share of a sample of so many bytes is no minimiser where a window has another.
+FREQUENT, SAMPLE_BYTES = 2e-5, 8 << 20
 _PACKED = "bucket int, ids binary, starts binary, packed binary, gone binary"
-_GONE = np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("end", "<i4")])
+#: What tells documents apart and orders them: doc_id, then a hash of the text for rows that share an id.
+_DOC = np.dtype([("doc_id", "<i8"), ("h", "<i8")])
+_GONE = np.dtype([("doc_id", "<i8"), ("h", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _BASE = 0xD1B54A32D192ED03
 
 
@@ -30,18 +36,27 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - span)], out[width - span :]) if span < width else out
 
 
-def super_kmers(texts: pa.Array, window: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """words; first word, number of windows and minimiser of each maximal run of windows with one minimiser."""
+def _mers(words: Words) -> np.ndarray:
+    h = words.hashes()
+    out = np.zeros(max(len(h) - MINIMISER + 1, 0), dtype=np.uint64)
+    for i in range(MINIMISER):
+        out = out * np.uint64(_BASE) + h[i : len(h) - MINIMISER + 1 + i]
+    return mixed(out)
+
+
+def super_kmers(texts: pa.Array, window: int, frequent: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """words; first word, number of windows and minimiser of each maximal run of windows with one minimiser: the m-mer
+    with the least hash, those that are frequent (sorted) after all others."""
     words = Words(texts)
     n = len(words.start)
     none = np.zeros(0, np.int64)
     if n < window:
         return words, none, none, none.astype(np.uint64)
-    h = words.hashes()
-    mers = np.zeros(n - MINIMISER + 1, dtype=np.uint64)
-    for i in range(MINIMISER):
-        mers = mers * np.uint64(_BASE) + h[i : len(h) - MINIMISER + 1 + i]
-    least = _sliding_min(mixed(mers), window - MINIMISER + 1)
+    mers = _mers(words)
+    order = mers >> np.uint64(1)
+    if len(frequent):
+        order |= (frequent[np.minimum(np.searchsorted(frequent, mers), len(frequent) - 1)] == mers).astype(np.uint64) << np.uint64(63)
+    least = _sliding_min(order, window - MINIMISER + 1)
     doc = words.document()
     within = doc[: n - window + 1] == doc[window - 1 :]
     at = np.flatnonzero(within)
@@ -60,60 +75,86 @@ def super_kmers(texts: pa.Array, window: int) -> tuple[Words, np.ndarray, np.nda
     return words, at[begin], size, value[begin]
 
 
-def _first_of_equal(packed: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the earliest occurrence of each distinct string, in order of (id, start); a mask of the others."""
+def _first_of_equal(packed: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the earliest occurrence of each distinct string, in order of (document, start); a mask of later ones.
+    An occurrence at the same place of a fully repeated row is neither."""
     code = pa.array(packed, pa.binary()).dictionary_encode().indices.to_numpy()
-    order = np.lexsort((starts, ids, code))
+    order = np.lexsort((starts, docs["h"], docs["doc_id"], code))
     new = np.ones(len(order), dtype=bool)
     new[1:] = code[order[1:]] != code[order[:-1]]
+    leader = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.zeros(len(order), dtype=bool)
+    later[order] = (docs[order] != docs[leader]) | (starts[order] != starts[leader])
     first = order[new]
-    first = first[np.lexsort((starts[first], ids[first]))]
-    later = np.ones(len(order), dtype=bool)
-    later[first] = False
-    return first, later
+    return first[np.lexsort((starts[first], docs["h"][first], docs["doc_id"][first]))], later
 
 
-def _spans(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(ids), dtype=_GONE)
-    out["doc_id"], out["start"], out["end"] = ids, starts, ends
+def _spans(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.empty(len(docs), dtype=_GONE)
+    out["doc_id"], out["h"], out["start"], out["end"] = docs["doc_id"], docs["h"], starts, ends
     return out
 
 
-def _packing(window: int, buckets: int):
+def _documents(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    out = np.empty(len(ids), dtype=_DOC)
+    out["doc_id"], out["h"] = ids.to_numpy(), hashes.to_numpy()
+    return out
+
+
+def frequent_mers(rows: DataFrame, total: int) -> np.ndarray:
+    """Sorted hashes of the m-mers that are frequent in a hashed sample of rows (doc_id, h, text) of `total` bytes. Any
+    set gives the same removals; this one keeps a common phrase from gathering its windows in one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                words = Words(part.column(0))
+                mer, n = np.unique(_mers(words), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(mer[n > 1].view(np.int64), 0)), pa.array(np.append(n[n > 1], 0)), pa.array(np.append(np.zeros((n > 1).sum(), np.int64), len(words.start)))], ["mer", "n", "words"])
+
+    space = 1 << 20
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(space)) < max(1, min(space, space * SAMPLE_BYTES // max(total, 1)))).select("text")
+    found = sample.mapInArrow(run, "mer long, n long, words long").groupBy("mer").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    # No more m-mers than 1 / FREQUENT can have that share, so the list is bounded.
+    every = found.agg(F.sum("words")).first()[0] or 0
+    return np.sort(np.array([r["mer"] for r in found.where(F.col("n") >= max(8, FREQUENT * every)).select("mer").collect()], np.int64).view(np.uint64))
+
+
+def _packing(window: int, buckets: int, frequent: np.ndarray):
     """Cuts texts into super-k-mers, combines equal ones of a slice, and packs the rest by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for part in slices(batch, 1):
-                words, first, size, value = super_kmers(part.column(1), window)
+            for part in slices(batch, 2):
+                words, first, size, value = super_kmers(part.column(2), window, frequent)
                 if not len(first):
                     continue
                 doc = np.searchsorted(words.first, first, side="right") - 1
-                ids = part.column(0).to_numpy()[doc]
+                docs = _documents(part.column(0), part.column(1))[doc]
                 starts = (first - words.first[doc]).astype(np.int32)
                 data = words.data.tobytes()
                 packed = [data[a:b] for a, b in zip(words.start[first].tolist(), words.end(first + size + window - 2).tolist(), strict=True)]
                 bucket = (value % np.uint64(buckets)).astype(np.int64)
-                keep, later = _first_of_equal(packed, ids, starts)
-                gone = _spans(ids[later], starts[later], starts[later] + size[later] + window - 1)
+                keep, later = _first_of_equal(packed, docs, starts)
+                gone = _spans(docs[later], starts[later], starts[later] + size[later] + window - 1)
                 keep = keep[np.argsort(bucket[keep], kind="stable")]
                 found, begin = np.unique(bucket[keep], return_index=True)
                 rows = []
                 for i, (b, own) in enumerate(zip(found.tolist(), np.split(keep, begin[1:]), strict=True)):
                     text = b"\n".join([packed[k] for k in own.tolist()])
-                    rows.append((b, squeeze(ids[own].astype("<i8").tobytes()), squeeze(starts[own].astype("<i4").tobytes()), squeeze(text), gone[i :: len(found)].tobytes()))
+                    rows.append((b, squeeze(docs[own].tobytes()), squeeze(starts[own].astype("<i4").tobytes()), squeeze(text), gone[i :: len(found)].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "ids", "starts", "packed", "gone"])
 
     return run
 
 
-def repeated_windows(packed: list[bytes], ids: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(packed: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """Spans of the words covered by windows that occur earlier, among all super-k-mers of some minimisers.
 
-    Sorts window hashes, so equal windows meet in order of (id, start), and compares each with its first by content.
+    Sorts window hashes, so equal windows meet in order of (document, start), and compares each with its first by content.
     """
-    first, later = _first_of_equal(packed, ids, starts)
+    first, later = _first_of_equal(packed, docs, starts)
     unique = [packed[k] for k in first.tolist()]
     words = Words(pa.array([b"\n".join(unique)], pa.binary()))
     n = len(words.start)
@@ -123,7 +164,7 @@ def repeated_windows(packed: list[bytes], ids: np.ndarray, starts: np.ndarray, w
     size_of = np.zeros(len(packed), np.int64)
     size_of[first] = counts
     code = {p: c for p, c in zip(unique, counts.tolist(), strict=True)} if later.any() else {}
-    gone = [_spans(ids[later], starts[later], starts[later] + np.array([code[packed[k]] for k in np.flatnonzero(later).tolist()], np.int64))]
+    gone = [_spans(docs[later], starts[later], starts[later] + np.array([code[packed[k]] for k in np.flatnonzero(later).tolist()], np.int64))]
     h = words.hashes()
     power = powers(_BASE, n)
     sums = np.zeros(n + 1, dtype=np.uint64)
@@ -131,7 +172,7 @@ def repeated_windows(packed: list[bytes], ids: np.ndarray, starts: np.ndarray, w
     at = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
     code64 = mixed((sums[at + window] - sums[at]) * powers(pow(_BASE, -1, 1 << 64), n)[at])
     del power, sums, h
-    order = np.argsort(code64, kind="stable")  # at is in order of (id, start)
+    order = np.argsort(code64, kind="stable")  # at is in order of (document, start)
     ranked = code64[order]
     again = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
     if len(again):
@@ -153,7 +194,7 @@ def repeated_windows(packed: list[bytes], ids: np.ndarray, starts: np.ndarray, w
         w = hit[begin]
         first_word = np.searchsorted(owner, np.arange(len(unique)))
         s = starts[first][owner[w]] + (w - first_word[owner[w]])
-        gone.append(_spans(ids[first][owner[w]], s, s + size + window - 1))
+        gone.append(_spans(docs[first][owner[w]], s, s + size + window - 1))
     return np.concatenate(gone)
 
 
@@ -170,31 +211,46 @@ def _told_apart(data: bytes, words: Words, ordered: np.ndarray, ranked: np.ndarr
 
 
 def _counting(window: int):
-    """Takes rows in order of bucket and judges the windows of one bucket at a time."""
+    """Takes rows in order of bucket and judges the windows of one bucket at a time. Where a bucket's strings outgrow
+    HELD_BYTES, equal ones are combined first, so that a task holds a bucket's distinct strings at most."""
 
-    def judged(rows: list[tuple]) -> pa.RecordBatch:
-        loose = zstandard.ZstdDecompressor().decompress
-        ids = np.concatenate([np.frombuffer(loose(r[1]), "<i8") for r in rows])
-        starts = np.concatenate([np.frombuffer(loose(r[2]), "<i4") for r in rows]).astype(np.int64)
-        packed = [p for r in rows for p in loose(r[3]).split(b"\n")]
-        gone = np.concatenate([repeated_windows(packed, ids, starts, window), *[np.frombuffer(r[4], _GONE) for r in rows]])
+    def batch_of(gone: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(gone[k])) for k in _GONE.names], list(_GONE.names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[0] != bucket and held:
-                    yield judged(held)
-                    held = []
-                bucket = row[0]
-                held.append(row)
-        if held:
-            yield judged(held)
+        loose = zstandard.ZstdDecompressor().decompress
+        bucket, docs, starts, packed, held, most = None, [], [], [], 0, HELD_BYTES
+        for row in _rows_and_end(batches):
+            if packed and (row is None or row[0] != bucket):
+                yield batch_of(repeated_windows(packed, np.concatenate(docs), np.concatenate(starts), window))
+                docs, starts, packed, held, most = [], [], [], 0, HELD_BYTES
+            if row is None:
+                return
+            bucket, text = row[0], loose(row[3])
+            docs.append(np.frombuffer(loose(row[1]), _DOC))
+            starts.append(np.frombuffer(loose(row[2]), "<i4").astype(np.int64))
+            packed += text.split(b"\n")
+            held += len(text)
+            if row[4]:
+                yield batch_of(np.frombuffer(row[4], _GONE))
+            if held > most:
+                of, at = np.concatenate(docs), np.concatenate(starts)
+                first, later = _first_of_equal(packed, of, at)
+                words = np.array([packed[k].count(b" ") + 1 for k in np.flatnonzero(later).tolist()], np.int64)
+                yield batch_of(_spans(of[later], at[later], at[later] + words))
+                docs, starts, packed = [of[first]], [at[first]], [packed[k] for k in first.tolist()]
+                held = sum(map(len, packed))
+                most = max(HELD_BYTES, 2 * held)
 
     return run
 
 
+def _rows_and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple | None]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+    yield None
+
+
 def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the words in each document's spans (starts, ends: word positions, in any order)."""
     for batch in batches:
@@ -222,20 +278,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """(doc_id, n_words, n_removed, kept) for each row: the words left after each word went that lies in a window of so
     many words which starts earlier as well (in a smaller doc_id, or earlier in the document); kept joins them by spaces.
 
-    Windows with one minimiser (the least hash of their m-mers) that follow each other travel as one packed string to
-    the minimiser's bucket; a slice's equal strings combine before that. A bucket is judged alone, and rows of a task
-    come sorted by bucket, so a task holds one bucket. Windows are judged on the input, by content.
+    Windows with one minimiser (the least hash of their m-mers, frequent ones last) that follow each other travel as one
+    packed string to the minimiser's bucket; a slice's equal strings combine before that. Buckets follow the measured
+    bytes of all texts; each is judged alone, and rows of a task come sorted by bucket, so a task holds the distinct
+    strings of one bucket. Windows are judged on the input, by content.
 
-    Nulls: a null text has no words; a null doc_id counts as smaller than all others. Rows that repeat a doc_id count
-    as one document when their texts are equal, and all get its verdict (different texts under one id share the spans).
-    Empty table or empty texts: no words. Other columns are neither read nor returned.
+    Nulls: a null text has no words; a null doc_id counts as smaller than all others. Rows that share a doc_id with
+    different texts are documents in the order of a hash of the text; fully repeated rows are one document, which is no
+    repeat of itself, and get the same verdict. A very long text is one slice, whole. Empty table or empty texts: no
+    words. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
-    rows = bounded_batches(docs).select(id_or_null_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    packed = rows.mapInArrow(_packing(window, buckets), _PACKED)
-    spans = packed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_counting(window), "doc_id long, start int, end int")
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    spans = spans.select("doc_id", F.col("gone.start").alias("starts"), F.col("gone.end").alias("ends"))
-    kept = rows.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_cutting, "doc_id long, n_words long, n_removed long, kept string")
+    rows = bounded_batches(docs).select(id_or_null_id(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * shuffle_partitions(spark), min(total // BUCKET_BYTES, (1 << 31) - 1))
+    packed = rows.mapInArrow(_packing(window, buckets, frequent_mers(rows, total)), _PACKED)
+    spans = packed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_counting(window), "doc_id long, h long, start int, end int")
+    spans = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    spans = spans.select("doc_id", "h", F.col("gone.start").alias("starts"), F.col("gone.end").alias("ends"))
+    kept = rows.join(spans, ["doc_id", "h"], "left").select("doc_id", "text", "starts", "ends").mapInArrow(_cutting, "doc_id long, n_words long, n_removed long, kept string")
     return kept.withColumn("doc_id", null_id_to_null("doc_id"))

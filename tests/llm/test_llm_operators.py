@@ -144,8 +144,8 @@ def test_substrings_equal_brute_force(spark, window):
 def test_substrings_with_one_hash_for_all(monkeypatch):
     """Windows that collide are told apart by content."""
     monkeypatch.setattr(substring_dedup, "mixed", lambda x: x * np.uint64(0))
-    gone = substring_dedup.repeated_windows([b"a b c d", b"b c d", b"x y z", b"x y z q"], np.array([1, 2, 3, 4]), np.array([0, 5, 0, 2]), 3)
-    assert sorted(gone.tolist()) == [(2, 5, 8), (4, 2, 5)]
+    gone = substring_dedup.repeated_windows([b"a b c d", b"b c d", b"x y z", b"x y z q"], np.array([(1, 0), (2, 0), (3, 0), (4, 0)], substring_dedup._DOC), np.array([0, 5, 0, 2]), 3)
+    assert sorted(gone.tolist()) == [(2, 0, 5, 8), (4, 0, 2, 5)]
 
 
 def test_substrings_odd_rows(odd):
