@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of the word pattern [^\x20\x09-\x0D]+, as byte values (fixed values).
@@ -59,6 +60,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def label_sample(rows: DataFrame, most: int) -> DataFrame | None:
+    """The rows (label, h and more) of each label with the least hashes h, at most so many; None if there are no rows.
+
+    Hashes below a label's share of all pass first, about twice the sample; then rows are numbered, which Spark limits
+    in each task before it shuffles, so rows that repeat one hash don't gather.
+    """
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    space = 1 << 30
+    part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(space, space * 2 * most // n + 1))])
+    thin = rows.where(F.pmod("h", F.lit(space)) < part[F.col("label")])
+    return thin.withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("h"))).where(F.col("nth") <= most).drop("nth")
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has already."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import bounded_batches, free_names, slices
+from stratasize.llm.common import bounded_batches, free_names, label_sample, slices
 
 #: The label of a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -199,22 +199,16 @@ def fit(docs: DataFrame, sample_documents: int = 500, windows_per_document: int
     a letter are not learned from. None if nothing is left.
     """
     rows = docs.where(F.col(label_col).isNotNull() & has_letter(text_col)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("h"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    sample = label_sample(rows, sample_documents)
+    if sample is None:
         return None
-    # A hash below a label's share passes: about twice the sample, so that the cut below finds enough.
-    space = 1 << 30
-    part = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(space, space * 2 * sample_documents // n + 1))])
-    sample = rows.where(F.pmod("h", F.lit(space)) < part[F.col("label")])
     place = lambda i: (F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int")
     cuts = F.array(*[F.substring("text", place(i), F.lit(WINDOW)) for i in range(windows_per_document)])
     found = sorted((r["h"], r["label"], r["cuts"]) for r in sample.select("h", "label", cuts.alias("cuts")).collect())
-    windows, labels, taken = [], [], dict.fromkeys(counts, 0)
+    windows, labels = [], []
     for _, label, own in found:
-        if taken[label] < sample_documents:
-            taken[label] += 1
-            windows += [w.encode()[:WINDOW] for w in own if w]
-            labels += [label for w in own if w]
+        windows += [w.encode()[:WINDOW] for w in own if w]
+        labels += [label for w in own if w]
     return train(windows, labels, **options)
 
 
