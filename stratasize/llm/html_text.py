@@ -29,46 +29,50 @@ WORDS = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related recommended replies "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_SLOPPY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: Words for what readers say, which may be longer than the article.
+TALK = frozenset("comment comments disqus replies".split())
+#: What is only called beside the text goes up to this share of an article's text, or from this share of link text on.
+SMALL_SHARE, LINK_SHARE = 0.3, 0.5
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+#: The same without quotes, from where one never ends.
+_SLOPPY = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
-def _looks_aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element stands beside the text for certain (its kind), or by what it is called."""
+def _looks_aside(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element stands beside the text for certain (its kind); 1 if it is called so, 2 if it is called talk."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     sure = tag in ASIDE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    named = any(p.lower() in WORDS for p in _PARTS.findall(found.get("class", "") + " " + found.get("id", "")))
-    return sure, named
+    parts = {p.lower() for p in _PARTS.findall(found.get("class", "") + " " + found.get("id", ""))}
+    return sure, 2 if parts & TALK else int(bool(parts & WORDS))
 
 
 class Page:
     """A page's elements in page order, and its text in pieces of (element, block, text)."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.sure, self.named = ["#root"], [0], [False], [False]
+        self.tag, self.parent, self.sure, self.named = ["#root"], [0], [False], [0]
         self.pieces: list[tuple[int, int, str]] = []
-        block, at, open_ = 0, 0, [0]
-        count: dict[str, int] = {}
+        block, at, markup = 0, 0, _MARKUP
+        open_, blocks = [0], []  # open elements, and at which depths those are that end a block
+        depths: dict[str, list[int]] = {}  # by tag
 
         def close_to(depth: int) -> None:
             for e in open_[depth:]:
-                count[self.tag[e]] -= 1
+                depths[self.tag[e]].pop()
             del open_[depth:]
+            while blocks and blocks[-1] >= depth:
+                blocks.pop()
 
         def ended(tags: tuple[str, ...]) -> None:
-            for depth in range(len(open_) - 1, 0, -1):
-                name = self.tag[open_[depth]]
-                if name in tags:
-                    close_to(depth)
-                elif name in BLOCK:
-                    return
+            while blocks and self.tag[open_[blocks[-1]]] in tags:
+                close_to(blocks[-1])
 
         while at < len(html):
-            m = _MARKUP.search(html, at)
+            m = markup.search(html, at)
             if m is None:
                 self.pieces.append((open_[-1], block, html[at:]))
                 break
@@ -77,8 +81,9 @@ class Page:
             at = m.end()
             if not m[2]:
                 continue
-            if m.end() == len(html) and html[-1] != ">":  # a quote that never ends hides no text
-                m = _SLOPPY.match(html, m.start()) or m
+            if at == len(html) and html[-1] != ">" and markup is _MARKUP:  # a quote that never ends hides no text
+                markup = _SLOPPY
+                m = markup.match(html, m.start()) or m
                 at = m.end()
             tag = m[2].lower()
             if tag in BLOCK:
@@ -86,10 +91,10 @@ class Page:
             elif tag == "br":
                 self.pieces.append((open_[-1], block, " "))
             if m[1]:
-                if count.get(tag):
-                    close_to(max(d for d in range(len(open_)) if self.tag[open_[d]] == tag) if self.tag[open_[-1]] != tag else len(open_) - 1)
+                if depths.get(tag):
+                    close_to(depths[tag][-1])
                 continue
-            if tag in BLOCK and count.get("p"):
+            if tag in BLOCK:
                 ended(("p",))
             if tag in ENDS:
                 ended(ENDS[tag])
@@ -102,8 +107,10 @@ class Page:
                 self.parent.append(open_[-1])
                 self.sure.append(sure)
                 self.named.append(named)
+                depths.setdefault(tag, []).append(len(open_))
+                if tag in BLOCK:
+                    blocks.append(len(open_))
                 open_.append(len(self.tag) - 1)
-                count[tag] = count.get(tag, 0) + 1
 
     def inside(self, marks: list[bool]) -> list[bool]:
         """For each element, whether it or an ancestor is marked."""
@@ -136,9 +143,12 @@ def _scores(page: Page, gone: list[bool]) -> tuple[list[float], list[float], lis
         one[1] += size
         one[2] += text.count(",")
         one[3] += size * linked[e]
+    within = list(range(n))  # the nearest element that is a block of its own
+    for e in range(1, n):
+        if page.tag[e] not in BLOCK:
+            within[e] = within[page.parent[e]]
     for e, size, commas, link in blocks.values():
-        while page.tag[e] not in BLOCK and e:
-            e = page.parent[e]
+        e = within[e]
         if page.tag[e] in HEADINGS:
             continue
         worth = (min(size / 100, 3.0) + (1 + commas if size >= 25 else size / 100)) * (1 - link / size)
@@ -151,20 +161,43 @@ def _scores(page: Page, gone: list[bool]) -> tuple[list[float], list[float], lis
     return points, page.summed(length), page.summed(links)
 
 
+def _beside(page: Page, sure: list[bool]) -> list[bool]:
+    """Whether each element stands beside the text: for certain, or by its name where text and links agree.
+
+    A name counts in an element that doesn't hold the article (on a page without one, most of the text). Inside an
+    article, named elements go if they hold a small share of its text or mostly link text, unless all that go for being
+    small make up more than half of it. What is called talk goes at any share.
+    """
+    n, hidden, linked = len(page.tag), page.inside(sure), page.inside([t == "a" for t in page.tag])
+    size, links = [0.0] * n, [0.0] * n
+    for e, _, text in page.pieces:
+        if not hidden[e]:
+            size[e] += len(text)
+            links[e] += len(text) * linked[e]
+    below, links = page.summed(size), page.summed(links)
+    core = page.summed([float(t in ("article", "main") and not m) for t, m in zip(page.tag, page.named, strict=True)])
+    around, top = [0] * n, [0] * n  # the article around each element; its outermost named element below that
+    for e in range(1, n):
+        up = page.parent[e]
+        around[e] = up if page.tag[up] in ("article", "main") and not page.named[up] else around[up]
+        top[e] = top[up] if around[e] == around[up] and top[up] else e * (page.named[e] > 0)
+    may = [bool(m) and not core[e] and t not in ("html", "body", "main") and (core[0] > 0 or below[e] <= 0.5 * below[0]) for e, (m, t) in enumerate(zip(page.named, page.tag, strict=True))]
+    small, total = [False] * n, [0.0] * n
+    for e in range(1, n):
+        small[e] = may[e] and page.named[e] < 2 and below[e] <= SMALL_SHARE * below[around[e]]
+        if small[e] and top[e] == e:
+            total[around[e]] += below[e]
+    by_name = [may[e] and (not around[e] or page.named[e] == 2 or links[e] > LINK_SHARE * below[e] or (small[e] and total[around[e]] <= 0.5 * below[around[e]]) or not below[e]) for e in range(n)]
+    return page.inside([s or b for s, b in zip(sure, by_name, strict=True)])
+
+
 def main_text(html: str | None) -> str:
     """The page's article: blocks joined by one new line, white space inside a block as one space."""
     page = Page(html or "")
     n = len(page.tag)
     articles = page.inside([t == "article" for t in page.tag])
     sure = [s or (t == "header" and not a) for s, t, a in zip(page.sure, page.tag, articles, strict=True)]
-    # What is only called beside the text stays if it holds the article, or on a page without one most of the text.
-    size = [0.0] * n
-    for e, _, text in page.pieces:
-        size[e] += len(text)
-    hidden = page.inside(sure)
-    below = page.summed([0.0 if h else s for s, h in zip(size, hidden, strict=True)])
-    core = page.summed([float(t in ("article", "main") and not m) for t, m in zip(page.tag, page.named, strict=True)])
-    gone = page.inside([s or (m and not core[e] and t not in ("html", "body", "main") and (core[0] > 0 or below[e] <= 0.5 * below[0])) for e, (s, m, t) in enumerate(zip(sure, page.named, page.tag, strict=True))])
+    gone = _beside(page, sure)
     points, length, links = _scores(page, gone)
     menus = [t in ("ul", "ol", "dl") and length[e] > 0 and links[e] > 0.8 * length[e] for e, t in enumerate(page.tag)]
     # In an article's header only headings belong to the text.
@@ -201,7 +234,9 @@ def extract(pages: DataFrame, html_col: str = "html", text: str = "text") -> Dat
     Elements pass the points of their paragraphs (length and commas, less by the share of link text) to the ancestors,
     ever less; the container with the most points, less by its own link share, is kept, in a whole article or main
     element where it has one, with siblings that score well. Menus, headers, footers, sidebars, notices, adverts,
-    forms and comments are known by element, role, or a word of class or id.
+    forms and comments are known by element and role; a word of class or id decides only with the text's share and
+    links (_beside()). Each page is read once from start to end, so hostile nesting or quotes cost no more than length;
+    a very long page is read whole.
 
     Nulls and pages without text: an empty text. Markup that never ends closes with the page. Repeated rows get equal
     results; an empty table stays empty. Other columns pass through, except those with the names of the new ones.
