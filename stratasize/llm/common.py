@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,25 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written in the block go to a folder that is deleted after it. Gives a function that writes one to stay."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield lambda df, name: written(df, name, shared_dir(spark))
+    finally:
+        _scratch.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """df as a table in the shared folder: later reads survive lost executors and nothing is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or _scratch.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import bounded_batches, id_or_null_id, null_id_to_null, slices, Words, written
+from stratasize.llm.common import Words, bounded_batches, id_or_null_id, null_id_to_null, slices, written
 from stratasize.llm.components import connected_components
 
 #: 64 bits in four segments of 16; links at three differing bits or fewer.
