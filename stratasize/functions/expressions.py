@@ -93,9 +93,14 @@ def label_category(label: Column) -> Column:
     return F.split(label, " / ", 2)[0]
 
 
-def label_subcategory(label: Column) -> Column:
-    """What follows the first separator; null for a bare category."""
-    return F.try_element_at(F.split(label, " / ", 2), F.lit(2))
+def label_subcategory(label: Column, table: Sequence[tuple] = ()) -> Column:
+    """What follows the first separator. A bare category takes its first entry in the table, rows of (order, category,
+    subcategory, ...), and an empty text without one; without a table it takes null."""
+    first: dict[str, str] = {}
+    for _, category, subcategory, *_ in table:
+        first.setdefault(category, subcategory)
+    bare = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), label), F.lit("")) if first else F.lit(None).cast("string")
+    return F.coalesce(F.try_element_at(F.split(label, " / ", 2), F.lit(2)), bare)
 
 
 def workload_key(category: Column, subcategory: Column) -> Column:

@@ -9,102 +9,74 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_VM = "Virtual Machines>VMware / Hyper-V / KVM - No Database, File nor Email"
-_WEB, _VEEAM = "Web Servers>Content included", "VM Replication>Veeam, Zerto, RP4VM"
-_EMAIL, _K8S = "Email>Domino/Notes, Exchange, Sendmail, Zimbra, etc", "Containers>Kubernetes, OpenShift, Docker, Tanzu, etc"
-_LOGS, _LINKED, _DDVE = "Logging - Analytics>FortiNet, Elastic Search, Splunk, ELK, etc", "VDI>Linked Clone / PVS (Citrix)", "VM Replication>Data Domain Virtual Edition (DDVE)"
-
-# Fixed values, in table order: priority, name, category>subcategory, literal patterns of the machine's name (separated
-# by |), then further patterns: name~regex, folder~regex, os~regex, or `description`, which lets name patterns match
-# the description as well.
-RULES: list[tuple] = [
-    (88, "Oracle HCC + TDE", "Database>Oracle - HCC + TDE", "", r"name~(?=.*(?:ORACLE|ORA))(?=.*HCC)(?=.*TDE)"),
-    (89, "Oracle HCC", "Database>Oracle - HCC (App Compressed)", "", r"name~(?=.*(?:ORACLE|ORA))(?=.*\bHCC\b)"),
-    (90, "Oracle TDE", "Database>Oracle - TDE (Encrypted)", "ORACLE-TDE|ORA-TDE|ORATDE|ORACLE-ENC|ORA-ENC"),
-    (91, "SQL Page Compressed + TDE", "Database>Microsoft SQL - Page Compressed + TDE", "", r"name~(?=.*(?:MSSQL|SQL))(?=.*(?:COMPRESS|PAGE))(?=.*TDE)"),
-    (92, "SQL Page Compressed", "Database>Microsoft SQL - Page Compressed", "SQL-COMPRESS|SQL-COMP|SQL-PAGE|MSSQL-COMPRESS|MSSQL-PAGE|DWH"),
-    (93, "SQL TDE", "Database>Microsoft SQL - TDE (Encrypted)", "SQL-TDE|MSSQL-TDE|SQL-ENC|MSSQL-ENC"),
-    (94, "MongoDB Encrypted", "Database>MongoDB - Encrypted", "MONGO-ENC|MONGO-ENCRYPT|MONGODB-ENC"),
-    (95, "PostgreSQL Encrypted", "Database>PostgreSQL - Encrypted", "PGSQL-ENC|POSTGRES-ENC|PG-ENC|POSTGRESQL-ENC"),
-    (96, "MySQL / NoSQL Encrypted", "Database>My SQL / NoSQL - Encrypted", "MYSQL-ENC|MYSQL-ENCRYPT|NOSQL-ENC|MARIADB-ENC"),
-    (97, "Kubernetes Encrypted PVs", "Containers>Kubernetes - Encrypted PVs", "K8S-ENC|K8S-LUKS|KUBE-ENC|KUBE-LUKS|K8S-ENCRYPT"),
-    (100, "Oracle Database", "Database>Oracle", "ORACLE"),
-    (101, "MySQL / NoSQL", "Database>My SQL / NoSQL", "MYSQL|NOSQL|MARIADB|FILEMAKER|CLARIS|SQLITE|REDIS"),
-    (102, "PostgreSQL", "Database>PostgreSQL", "PGSQL|POSTGRES|POSTGRESQL|INSIGHTIQ"),
-    (103, "Microsoft SQL", "Database>Microsoft SQL", "SQL|MSSQL|SECDB"),
-    (104, "DB2", "Database>DB2", "", r"name~\bDB2\b"),
-    (105, "MongoDB", "Database>MongoDB", "MONGODB|MONGO"),
-    (106, "Prometheus", "Database>Prometheus", "PROMETHEUS"),
-    (107, "SAP HANA", "Database>SAP HANA(S4)", "HANA|S4HANA", r"name~S4[A-Z]\d"),
-    (
-        108, "SAP Traditional", "Database>SAP Traditional (R/3 / ECC)", "SAP-|SAP_", r"name~\bSAP\b", r"name~^SAP(?![a-z])",
-        r"name~^SAP(?:ERP|NWG|BOBI|BODS|BPC|ADS|CCM|SOM|CUA|BCOM|ENOW|COCKPIT|LICENSE|FRONT)",
-    ),
-    (109, "SAP HANA HDB", "Database>SAP HANA(S4)", "SAPHDB", r"name~\bHDB\d+\b", r"folder~HanaDB|HANA[-_ ]?DB"),
-    (175, "SAP general (folder)", "Database>SAP Traditional (R/3 / ECC)", "", r"folder~/SAP[_ -]|/SAP$"),
-    (
-        200, "HealthCare EMR/EHR", "HealthCare>EMR/EHR (Epic, McKesson)",
-        "EPIC|MCKESSON|EMR|EHR|PACS|INTELLISPACE|GLEAMER|AZMED|RAYVOLVE|TRAUMACAD|OPALE|CARIATIDE|HANDYLIFE|POLYPOINT|PLAISIR|MEDIDATA|DATABICS|PROCAMED|SEDIA|"
-        "DGLAB|DGLIM|STERIGEST|WINSCRIBE|SYNLAB|EXOLIS|SCENARA|MIRTH|KODIP|CARDIO|ORAMED|EMEDISTA|EASYDOSE|CODMED|DCIMED|HEMA",
-        r"name~\bRIS\b", r"name~\bSIEMS\b", r"name~\bHESTIA\b", r"name~Bloc-?Op|BLOCOP",
-    ),
-    (215, "Microsoft Exchange (folder)", _EMAIL, "", r"folder~/EXCH(?:ANGE)?(?:/|$)"),
-    (
-        250, "Cisco Unified Communications", _WEB, "Cisco Unity Connection", r"name~\b(?:CUCM|UCCX|CUIC|FINESSE|IPCC|CCX|CUIM|CUC|CER|PCD)\b",
-        r"folder~/UC(?:M)?(?:/|$)", "description",
-    ),
-    (210, "Email", _EMAIL, "EXCHANGE|DOMINO|ZIMBRA|SENDMAIL|MSG|EXCHG|EXCH", r"name~[-_]EX\d", r"name~EXC\d", r"name~\bMAIL\b"),
-    (220, "VDI Full Clone / MCS", "VDI>Full Clone / MCS (Citrix)", "CITRIX|CIT|MCS"),
-    (221, "VDI Linked Clone / PVS", _LINKED, "PVS|CP-REPLICA|CP-TEMPLATE|MST-W10"),
-    (222, "VDI Instant Clone", "VDI>Instant Clone", "HORIZON"),
-    (223, "VDI Profiles", "VDI>VDI Profiles", "APPVOL|APP VOLUMES|APP-VOL", r"name~VDI.*PROFIL|PROFIL.*VDI"),
-    (224, "VDI Generic", _LINKED, "VDI|DESKTOP|LOGINVSI|LOGINENTERPRISE|UAG|RDS"),
-    (294, "Nutanix CVM", _DDVE, "NTNX-|NTNX_|Nutanix Controller VM", r"name~[-_]CVM(?:[-_]|$)", r"folder~/NTNX[ _-]?CVMs?(?:/|$)", "description"),
-    (293, "DDVE", _DDVE, "DDVE|DATADOMAIN|DATA-DOMAIN"),
-    (295, "Veeam Compressed + Dedup", "VM Replication>Veeam - Compressed + Dedup", "VEEAM-DD|VBR-DD"),
-    (296, "Commvault Compressed + Dedup", "VM Replication>Commvault - Compressed + Dedup", "COMMVAULT-DD|CVD-DD"),
-    (297, "Commvault", "VM Replication>Commvault", "COMMVAULT|CVD"),
-    (298, "Veritas / NetBackup", _VEEAM, "VERITAS|NETBACKUP|NBU"),
-    (299, "Dell PowerProtect (description)", _VEEAM, "PowerProtect", "description"),
-    (300, "VM Replication", _VEEAM, "VEEAM|VBR|ZERTO|RP4VM"),
-    (311, "Dell PowerFlex SDS", _K8S, "", r"name~\bpflex\w*", r"folder~/PowerFlex(?:/|$)"),
-    (
-        320, "Domain Controller / AAD", _VM, "", r"name~\bDC\d+\b", r"name~\bAADC?\d*\b", r"name~\bADDS\b", r"name~\b(?:INFRA|JUS|INFRAPOL|EXPLOIT)DC\b",
-        r"folder~/AD$|/AADC|/Domain Controllers",
-    ),
-    (325, "IPAM", _WEB, "", r"name~\bIPAM\b", r"name~\bphpipam\b", r"folder~/IPAM(?:/|$)"),
-    (330, "Identity / Auth (Nevis)", _WEB, "", r"name~\bnevis\b", r"folder~/IAM|/EID|/NEVIS"),
-    (310, "Containers", _K8S, "DOCKER|KUBERNETES|K8S|OPENSHIFT|TANZU|TKG|HARBOR", r"name~photon-.*-kube", r"name~^worker\d", r"name~^master\d", r"name~^bootstrap\b"),
-    (315, "WSUS", _WEB, "WSUS"),
-    (320, "Web Servers", _WEB, "WEB|WWW|APACHE|NGINX|IIS|TOMCAT|FORTIWEB|INTRANET"),
-    (330, "File General Purpose", "File>General Purpose", "FILE", r"name~^FS\d", r"name~^FS[-_]", r"name~DFS\d", r"name~DFS[-_]"),
-    (
-        340, "File Content Servers", "File>Content Servers (Git, Sharepoint)",
-        "GIT|GITLAB|BITBUCKET|SHAREPOINT|ALFRESCO|SPBE|SPFE|SPOWA|SPOFFICE|SPAPP|SPWFE|KENDOX|AUTOSTORE|AUSTORE|YOUDOC|OTRECM|DOCPRO", r"name~^ECM",
-    ),
-    (350, "File Developer Workspaces", "File>Developer Workspaces (DevOps)", "DEVOPS|JENKINS|ANSIBLE|DEPLOY|ARTIFACT|CICD"),
-    (360, "File Archive", "File>Archive / Backup / Compressed / Encrypted / Rich Media / ISO / PACS / CAD", "ARCHIVE|BACKUP|MAILARCH|VIDEOMGMT"),
-    (395, "VMware Infrastructure VMs", _VM, "VCLS|VXRAIL"),
-    (396, "vCenter / vSAN Witness (description)", _VM, "vCenter Server Appliance|vSAN Witness", "description"),
-    (397, "Application servers (identified)", _VM, "ABACUS|MIDPOINT|METADIR|MESSERLI|TALEND|EYEGLASS"),
-    (401, "FortiDeceptor (description)", _LOGS, "FortiDeceptor", "description"),
-    (430, "BeyondTrust / Bomgar (description)", _WEB, "BeyondTrust|Bomgar", "description"),
-    (435, "Tenable Nessus (description)", _WEB, "Tenable|Nessus", "description"),
-    (450, "NetApp OnCommand UM (description)", _WEB, "OnCommand Unified Manager", "description"),
-    (460, "Horizon3.ai NodeZero (description)", _WEB, "Horizon3.ai|Nodezero", "description"),
-    (465, "exotrack (description)", _WEB, "exotrack", "description"),
-    (
-        400, "Logging Analytics", _LOGS,
-        "ELASTIC|ELK|SPLUNK|FORTIANALYZER|FORTIMANAGER|FORTIADC|FAZ|FMG|ZABBIX|CENTREON|OBSERVIUM|GRAFANA|RSYSLOG|SYSLOG|POLLER|PRTG|LOGSTASH|KIBANA|LOGINSIGHT|"
-        "NAGIOS|ICINGA|SOLARWINDS|LIBRENMS|OPENNMS|LOGDMZ",
-        r"name~LOG(?:\d|[-_.]|$)", r"name~FORTIA\d", r"name~^MONITOR", r"os~FORTI",
-    ),
-    (500, "Boot from SAN", "Boot from SAN>Linux, VMware, Windows - OS Boot", "BOOTSAN|SANBOOT"),
-    (900, "Windows Server (OS fallback)", _VM, "", r"os~windows server"),
-    (905, "Windows Desktop (OS fallback)", _LINKED, "", r"os~windows 10|windows 11|windows 7"),
-    (910, "Linux (OS fallback)", _VM, "", r"os~linux|ubuntu|centos|debian|red hat|suse|alma|rocky|oracle linux|freebsd|solaris"),
-    (920, "VMware/ESXi (OS fallback)", _VM, "", r"os~vmware|esxi|photon"),
-    (999, "default", "Unknown (Reducible)>Unknown (Reducible)", "", r"name~.*"),
+# Fixed values, in table order: priority, name, category, subcategory; literal parts of the machine's name; then patterns
+# of the name, of the OS and of the folder; whether name patterns may match the description as well.
+RULES: list[tuple[int, str, str, str, tuple[str, ...], tuple[str, ...], tuple[str, ...], tuple[str, ...], bool]] = [
+    (88, "Oracle HCC + TDE", "Database", "Oracle - HCC + TDE", (), ("(?=.*(?:ORACLE|ORA))(?=.*HCC)(?=.*TDE)",), (), (), False),
+    (89, "Oracle HCC", "Database", "Oracle - HCC (App Compressed)", (), (r"(?=.*(?:ORACLE|ORA))(?=.*\bHCC\b)",), (), (), False),
+    (90, "Oracle TDE", "Database", "Oracle - TDE (Encrypted)", ("ORACLE-TDE", "ORA-TDE", "ORATDE", "ORACLE-ENC", "ORA-ENC"), (), (), (), False),
+    (91, "SQL Page Compressed + TDE", "Database", "Microsoft SQL - Page Compressed + TDE", (), ("(?=.*(?:MSSQL|SQL))(?=.*(?:COMPRESS|PAGE))(?=.*TDE)",), (), (), False),
+    (92, "SQL Page Compressed", "Database", "Microsoft SQL - Page Compressed", ("SQL-COMPRESS", "SQL-COMP", "SQL-PAGE", "MSSQL-COMPRESS", "MSSQL-PAGE", "DWH"), (), (), (), False),
+    (93, "SQL TDE", "Database", "Microsoft SQL - TDE (Encrypted)", ("SQL-TDE", "MSSQL-TDE", "SQL-ENC", "MSSQL-ENC"), (), (), (), False),
+    (94, "MongoDB Encrypted", "Database", "MongoDB - Encrypted", ("MONGO-ENC", "MONGO-ENCRYPT", "MONGODB-ENC"), (), (), (), False),
+    (95, "PostgreSQL Encrypted", "Database", "PostgreSQL - Encrypted", ("PGSQL-ENC", "POSTGRES-ENC", "PG-ENC", "POSTGRESQL-ENC"), (), (), (), False),
+    (96, "MySQL / NoSQL Encrypted", "Database", "My SQL / NoSQL - Encrypted", ("MYSQL-ENC", "MYSQL-ENCRYPT", "NOSQL-ENC", "MARIADB-ENC"), (), (), (), False),
+    (97, "Kubernetes Encrypted PVs", "Containers", "Kubernetes - Encrypted PVs", ("K8S-ENC", "K8S-LUKS", "KUBE-ENC", "KUBE-LUKS", "K8S-ENCRYPT"), (), (), (), False),
+    (100, "Oracle Database", "Database", "Oracle", ("ORACLE",), (), (), (), False),
+    (101, "MySQL / NoSQL", "Database", "My SQL / NoSQL", ("MYSQL", "NOSQL", "MARIADB", "FILEMAKER", "CLARIS", "SQLITE", "REDIS"), (), (), (), False),
+    (102, "PostgreSQL", "Database", "PostgreSQL", ("PGSQL", "POSTGRES", "POSTGRESQL", "INSIGHTIQ"), (), (), (), False),
+    (103, "Microsoft SQL", "Database", "Microsoft SQL", ("SQL", "MSSQL", "SECDB"), (), (), (), False),
+    (104, "DB2", "Database", "DB2", (), (r"\bDB2\b",), (), (), False),
+    (105, "MongoDB", "Database", "MongoDB", ("MONGODB", "MONGO"), (), (), (), False),
+    (106, "Prometheus", "Database", "Prometheus", ("PROMETHEUS",), (), (), (), False),
+    (107, "SAP HANA", "Database", "SAP HANA(S4)", ("HANA", "S4HANA"), (r"S4[A-Z]\d",), (), (), False),
+    (108, "SAP Traditional", "Database", "SAP Traditional (R/3 / ECC)", ("SAP-", "SAP_"), (r"\bSAP\b", "^SAP(?![a-z])", "^SAP(?:ERP|NWG|BOBI|BODS|BPC|ADS|CCM|SOM|CUA|BCOM|ENOW|COCKPIT|LICENSE|FRONT)"), (), (), False),
+    (109, "SAP HANA HDB", "Database", "SAP HANA(S4)", ("SAPHDB",), (r"\bHDB\d+\b",), (), ("HanaDB|HANA[-_ ]?DB",), False),
+    (175, "SAP general (folder)", "Database", "SAP Traditional (R/3 / ECC)", (), (), (), ("/SAP[_ -]|/SAP$",), False),
+    (200, "HealthCare EMR/EHR", "HealthCare", "EMR/EHR (Epic, McKesson)", ("EPIC", "MCKESSON", "EMR", "EHR", "PACS", "INTELLISPACE", "GLEAMER", "AZMED", "RAYVOLVE", "TRAUMACAD", "OPALE", "CARIATIDE", "HANDYLIFE", "POLYPOINT", "PLAISIR", "MEDIDATA", "DATABICS", "PROCAMED", "SEDIA", "DGLAB", "DGLIM", "STERIGEST", "WINSCRIBE", "SYNLAB", "EXOLIS", "SCENARA", "MIRTH", "KODIP", "CARDIO", "ORAMED", "EMEDISTA", "EASYDOSE", "CODMED", "DCIMED", "HEMA"), (r"\bRIS\b", r"\bSIEMS\b", r"\bHESTIA\b", "Bloc-?Op|BLOCOP"), (), (), False),
+    (215, "Microsoft Exchange (folder)", "Email", "Domino/Notes, Exchange, Sendmail, Zimbra, etc", (), (), (), ("/EXCH(?:ANGE)?(?:/|$)",), False),
+    (250, "Cisco Unified Communications", "Web Servers", "Content included", ("Cisco Unity Connection",), (r"\b(?:CUCM|UCCX|CUIC|FINESSE|IPCC|CCX|CUIM|CUC|CER|PCD)\b",), (), ("/UC(?:M)?(?:/|$)",), True),
+    (210, "Email", "Email", "Domino/Notes, Exchange, Sendmail, Zimbra, etc", ("EXCHANGE", "DOMINO", "ZIMBRA", "SENDMAIL", "MSG", "EXCHG", "EXCH"), (r"[-_]EX\d", r"EXC\d", r"\bMAIL\b"), (), (), False),
+    (220, "VDI Full Clone / MCS", "VDI", "Full Clone / MCS (Citrix)", ("CITRIX", "CIT", "MCS"), (), (), (), False),
+    (221, "VDI Linked Clone / PVS", "VDI", "Linked Clone / PVS (Citrix)", ("PVS", "CP-REPLICA", "CP-TEMPLATE", "MST-W10"), (), (), (), False),
+    (222, "VDI Instant Clone", "VDI", "Instant Clone", ("HORIZON",), (), (), (), False),
+    (223, "VDI Profiles", "VDI", "VDI Profiles", ("APPVOL", "APP VOLUMES", "APP-VOL"), ("VDI.*PROFIL|PROFIL.*VDI",), (), (), False),
+    (224, "VDI Generic", "VDI", "Linked Clone / PVS (Citrix)", ("VDI", "DESKTOP", "LOGINVSI", "LOGINENTERPRISE", "UAG", "RDS"), (), (), (), False),
+    (294, "Nutanix CVM", "VM Replication", "Data Domain Virtual Edition (DDVE)", ("NTNX-", "NTNX_", "Nutanix Controller VM"), ("[-_]CVM(?:[-_]|$)",), (), ("/NTNX[ _-]?CVMs?(?:/|$)",), True),
+    (293, "DDVE", "VM Replication", "Data Domain Virtual Edition (DDVE)", ("DDVE", "DATADOMAIN", "DATA-DOMAIN"), (), (), (), False),
+    (295, "Veeam Compressed + Dedup", "VM Replication", "Veeam - Compressed + Dedup", ("VEEAM-DD", "VBR-DD"), (), (), (), False),
+    (296, "Commvault Compressed + Dedup", "VM Replication", "Commvault - Compressed + Dedup", ("COMMVAULT-DD", "CVD-DD"), (), (), (), False),
+    (297, "Commvault", "VM Replication", "Commvault", ("COMMVAULT", "CVD"), (), (), (), False),
+    (298, "Veritas / NetBackup", "VM Replication", "Veeam, Zerto, RP4VM", ("VERITAS", "NETBACKUP", "NBU"), (), (), (), False),
+    (299, "Dell PowerProtect (description)", "VM Replication", "Veeam, Zerto, RP4VM", ("PowerProtect",), (), (), (), True),
+    (300, "VM Replication", "VM Replication", "Veeam, Zerto, RP4VM", ("VEEAM", "VBR", "ZERTO", "RP4VM"), (), (), (), False),
+    (311, "Dell PowerFlex SDS", "Containers", "Kubernetes, OpenShift, Docker, Tanzu, etc", (), (r"\bpflex\w*",), (), ("/PowerFlex(?:/|$)",), False),
+    (320, "Domain Controller / AAD", "Virtual Machines", "VMware / Hyper-V / KVM - No Database, File nor Email", (), (r"\bDC\d+\b", r"\bAADC?\d*\b", r"\bADDS\b", r"\b(?:INFRA|JUS|INFRAPOL|EXPLOIT)DC\b"), (), ("/AD$|/AADC|/Domain Controllers",), False),
+    (325, "IPAM", "Web Servers", "Content included", (), (r"\bIPAM\b", r"\bphpipam\b"), (), ("/IPAM(?:/|$)",), False),
+    (330, "Identity / Auth (Nevis)", "Web Servers", "Content included", (), (r"\bnevis\b",), (), ("/IAM|/EID|/NEVIS",), False),
+    (310, "Containers", "Containers", "Kubernetes, OpenShift, Docker, Tanzu, etc", ("DOCKER", "KUBERNETES", "K8S", "OPENSHIFT", "TANZU", "TKG", "HARBOR"), ("photon-.*-kube", r"^worker\d", r"^master\d", r"^bootstrap\b"), (), (), False),
+    (315, "WSUS", "Web Servers", "Content included", ("WSUS",), (), (), (), False),
+    (320, "Web Servers", "Web Servers", "Content included", ("WEB", "WWW", "APACHE", "NGINX", "IIS", "TOMCAT", "FORTIWEB", "INTRANET"), (), (), (), False),
+    (330, "File General Purpose", "File", "General Purpose", ("FILE",), (r"^FS\d", "^FS[-_]", r"DFS\d", "DFS[-_]"), (), (), False),
+    (340, "File Content Servers", "File", "Content Servers (Git, Sharepoint)", ("GIT", "GITLAB", "BITBUCKET", "SHAREPOINT", "ALFRESCO", "SPBE", "SPFE", "SPOWA", "SPOFFICE", "SPAPP", "SPWFE", "KENDOX", "AUTOSTORE", "AUSTORE", "YOUDOC", "OTRECM", "DOCPRO"), ("^ECM",), (), (), False),
+    (350, "File Developer Workspaces", "File", "Developer Workspaces (DevOps)", ("DEVOPS", "JENKINS", "ANSIBLE", "DEPLOY", "ARTIFACT", "CICD"), (), (), (), False),
+    (360, "File Archive", "File", "Archive / Backup / Compressed / Encrypted / Rich Media / ISO / PACS / CAD", ("ARCHIVE", "BACKUP", "MAILARCH", "VIDEOMGMT"), (), (), (), False),
+    (395, "VMware Infrastructure VMs", "Virtual Machines", "VMware / Hyper-V / KVM - No Database, File nor Email", ("VCLS", "VXRAIL"), (), (), (), False),
+    (396, "vCenter / vSAN Witness (description)", "Virtual Machines", "VMware / Hyper-V / KVM - No Database, File nor Email", ("vCenter Server Appliance", "vSAN Witness"), (), (), (), True),
+    (397, "Application servers (identified)", "Virtual Machines", "VMware / Hyper-V / KVM - No Database, File nor Email", ("ABACUS", "MIDPOINT", "METADIR", "MESSERLI", "TALEND", "EYEGLASS"), (), (), (), False),
+    (401, "FortiDeceptor (description)", "Logging - Analytics", "FortiNet, Elastic Search, Splunk, ELK, etc", ("FortiDeceptor",), (), (), (), True),
+    (430, "BeyondTrust / Bomgar (description)", "Web Servers", "Content included", ("BeyondTrust", "Bomgar"), (), (), (), True),
+    (435, "Tenable Nessus (description)", "Web Servers", "Content included", ("Tenable", "Nessus"), (), (), (), True),
+    (450, "NetApp OnCommand UM (description)", "Web Servers", "Content included", ("OnCommand Unified Manager",), (), (), (), True),
+    (460, "Horizon3.ai NodeZero (description)", "Web Servers", "Content included", ("Horizon3.ai", "Nodezero"), (), (), (), True),
+    (465, "exotrack (description)", "Web Servers", "Content included", ("exotrack",), (), (), (), True),
+    (400, "Logging Analytics", "Logging - Analytics", "FortiNet, Elastic Search, Splunk, ELK, etc", ("ELASTIC", "ELK", "SPLUNK", "FORTIANALYZER", "FORTIMANAGER", "FORTIADC", "FAZ", "FMG", "ZABBIX", "CENTREON", "OBSERVIUM", "GRAFANA", "RSYSLOG", "SYSLOG", "POLLER", "PRTG", "LOGSTASH", "KIBANA", "LOGINSIGHT", "NAGIOS", "ICINGA", "SOLARWINDS", "LIBRENMS", "OPENNMS", "LOGDMZ"), (r"LOG(?:\d|[-_.]|$)", r"FORTIA\d", "^MONITOR"), ("FORTI",), (), False),
+    (500, "Boot from SAN", "Boot from SAN", "Linux, VMware, Windows - OS Boot", ("BOOTSAN", "SANBOOT"), (), (), (), False),
+    (900, "Windows Server (OS fallback)", "Virtual Machines", "VMware / Hyper-V / KVM - No Database, File nor Email", (), (), ("windows server",), (), False),
+    (905, "Windows Desktop (OS fallback)", "VDI", "Linked Clone / PVS (Citrix)", (), (), ("windows 10|windows 11|windows 7",), (), False),
+    (910, "Linux (OS fallback)", "Virtual Machines", "VMware / Hyper-V / KVM - No Database, File nor Email", (), (), ("linux|ubuntu|centos|debian|red hat|suse|alma|rocky|oracle linux|freebsd|solaris",), (), False),
+    (920, "VMware/ESXi (OS fallback)", "Virtual Machines", "VMware / Hyper-V / KVM - No Database, File nor Email", (), (), ("vmware|esxi|photon",), (), False),
+    (999, "default", "Unknown (Reducible)", "Unknown (Reducible)", (), (".*",), (), (), False),
 ]
 
 #: Role prefixes that hide a name's application (fixed value).
@@ -161,15 +133,10 @@ def _quoted(literal: str) -> str:
 
 def default_rules() -> list[Rule]:
     """The whole pack in order of priority, ties in table order."""
-    out = []
-    for priority, name, workload, literals, *more in RULES:
-        kinds = {"name": [_quoted(x) for x in literals.split("|") if x], "os": [], "folder": []}
-        for one in more:
-            if one != "description":
-                kind, _, pattern = one.partition("~")
-                kinds[kind].append(pattern)
-        category, _, subcategory = workload.partition(">")
-        out.append(Rule(name, category, subcategory, priority, tuple(kinds["name"]), tuple(kinds["os"]), tuple(kinds["folder"]), description="description" in more))
+    out = [
+        Rule(name, category, subcategory, priority, (*map(_quoted, literals), *names), systems, folders, description=description)
+        for priority, name, category, subcategory, literals, names, systems, folders, description in RULES
+    ]
     return sorted(out, key=lambda r: r.priority)
 
 

@@ -193,12 +193,39 @@ def _routes_by_matrix(vectors: DataFrame, known: pa.Table, key: str, nearest: in
 
 
 def _routes_by_join(vectors: DataFrame, e: DataFrame, key: str, nearest: int) -> DataFrame:
-    """Rows and exemplars in blocks: each row goes to each of the exemplars' blocks, which stay apart."""
-    blocks = max(1, -(-e.count() // 20_000))
-    left = vectors.select(key, "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    right = e.withColumn("__b", F.pmod(F.xxhash64("route", "e"), F.lit(blocks)).cast("int"))
-    scored = left.join(right, "__b").select(key, "route", "category", "subcategory", cosine(F.col("vector"), F.col("e")).alias("c")).where("c IS NOT NULL")
-    top = F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, nearest)
+    """Rows and exemplars in blocks: each block of rows meets each block of exemplars, a matrix product at a time, and
+    only the best cosines of a row and route leave a pair of blocks."""
+    blocks, row_blocks = max(1, -(-e.count() // 20_000)), max(1, -(-vectors.count() // 20_000))
+    vectors = vectors.select(F.col(key).cast("long").alias("k"), F.col("vector").cast("array<double>").alias("v"))
+    left = vectors.withColumn("x", F.pmod(F.xxhash64("k"), F.lit(row_blocks)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = e.withColumn("y", F.pmod(F.xxhash64("route", "e"), F.lit(blocks)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        routes, of = {}, []
+        held = [(r, v) for r, v in zip(zip(*(known[c].to_pylist() for c in ("route", "category", "subcategory")), strict=True), known["e"].to_pylist(), strict=True) if v and None not in v and any(v)]
+        for r, _ in held:
+            of.append(routes.setdefault(r, len(routes)))
+        names, of, out = list(routes), np.array(of, np.int64), []
+        values = [(k, v) for k, v in zip(rows["k"].to_pylist(), rows["v"].to_pylist(), strict=True) if v and None not in v and any(v)]
+        for d in {len(v) for _, v in held} & {len(v) for _, v in values}:
+            at = [i for i, (_, v) in enumerate(held) if len(v) == d]
+            matrix, route = np.array([held[i][1] for i in at]), of[at]
+            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+            own = [(k, v) for k, v in values if len(v) == d]
+            for begin in range(0, len(own), 512):
+                some = own[begin : begin + 512]
+                x = np.array([v for _, v in some])
+                cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ matrix.T
+                for r in np.unique(route):
+                    best = -np.sort(-cos[:, route == r], axis=1)[:, :nearest]
+                    out += [(k, *names[r], row) for (k, _), row in zip(some, best.tolist(), strict=True)]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64())]
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "route", "category", "subcategory", "top"])
+
+    scored = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(score, "k long, route string, category string, subcategory string, top array<double>")
+    scored = scored.withColumnRenamed("k", key)
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, nearest)
     scored = scored.groupBy(key, "route", "category", "subcategory").agg(top.alias("top"))
     scored = scored.withColumn("score", F.aggregate("top", F.lit(0.0), lambda s, v: s + v) / F.size("top"))
     best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "route", "category", "subcategory")).alias("b"))
@@ -211,7 +238,7 @@ def learned_exemplars(classified: DataFrame, exemplars: DataFrame, most: int | N
     route that are learned at most (the first by hash), which bounds what is broadcast later."""
     base = exemplars.select("category", "subcategory").distinct()
     names = classified.where(F.col("classification_confidence") == "override").select(F.col("workload_category").alias("category"), F.col("workload_subcategory").alias("subcategory"), F.col("vm_name").alias("utterance")).distinct()
-    names = names.join(F.broadcast(base), ["category", "subcategory"], "left_semi")
+    names = names.join(base, ["category", "subcategory"], "left_semi")
     if most is not None:
         order = W.partitionBy("category", "subcategory").orderBy(F.xxhash64("utterance"), "utterance")
         names = names.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")

@@ -57,6 +57,23 @@ def search(df: DataFrame, term: str, columns: Sequence[str]) -> DataFrame:
     return df.where(F.lower(F.concat_ws(" ", *columns)).contains(term.lower())) if term else df
 
 
+def where_text(df: DataFrame, column: str, value: str, how: str = "contains") -> DataFrame:
+    """Rows whose text compares so with a value, in any case: contains, equals, starts, ends, or their opposites with
+    `not_` before them; `blank` and `not_blank` take no value. A null is an empty text. No value: all rows."""
+    own, want = F.lower(X.text_or_empty(F.col(column))), value.lower()
+    found = {"contains": own.contains(want), "equals": own == want, "starts": own.startswith(want), "ends": own.endswith(want), "blank": own == ""}
+    hit = found[how.removeprefix("not_")]
+    return df.where(~hit if how.startswith("not_") else hit) if value or how.endswith("blank") else df
+
+
+def where_number(df: DataFrame, column: str, how: str, value: float, to: float | None = None) -> DataFrame:
+    """Rows whose number compares so with a value: =, <>, <, <=, >, >=, or `between` it and `to`, both included. A null
+    meets none."""
+    own = F.col(column)
+    found = {"=": own == value, "<>": own != value, "<": own < value, "<=": own <= value, ">": own > value, ">=": own >= value, "between": own.between(value, value if to is None else to)}
+    return df.where(F.coalesce(found[how], F.lit(False)))
+
+
 def with_confidence(df: DataFrame, levels: Sequence[str]) -> DataFrame:
     return df.where(F.col("classification_confidence").isin(list(levels))) if levels else df
 
@@ -72,10 +89,27 @@ def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = ("source_f
     return df.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order, ties)) - 1).cast("long"))
 
 
-def numbered_globally(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
-    """A row number from 0 over the whole table: range-sorted partitions, each counted, with the counts before added.
-    No task sees all rows."""
-    schema = df.schema
-    kept = df.orderBy(*order)
-    found = kept.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(found, schema.add(name, "long"), verifySchema=False)
+def numbered_globally(df: DataFrame, order: Sequence[str], name: str = "row_index", range_rows: int = 100_000) -> DataFrame:
+    """A row number from 0 over the whole table, nulls first; ties by all of a row's text.
+
+    Rows fall into ranges of about range_rows between bounds from a hashed sample (20 keys a range), are numbered in
+    their range, and get the counts of the ranges before added. Bounds are literals, so a repeated task gives the same.
+    """
+    ties = F.to_json(F.struct(*df.columns))
+    keyed = df.withColumn("__key", F.struct(*[F.col(c) for c in order], F.xxhash64(ties).alias("__h")))
+    ranges, space = -(-df.count() // range_rows), 1 << 30
+    bounds = []
+    if ranges > 1:
+        share = max(1, space * 20 // range_rows)
+        keys = [r["__key"] for r in keyed.where(F.pmod(F.xxhash64(ties, F.lit(1)), F.lit(space)) < share).select("__key").orderBy("__key").collect()]
+        bounds = keys[:: max(1, len(keys) // ranges)][1:]
+    kind = keyed.schema["__key"].dataType
+    known = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind)]) for b in bounds]
+    # The number of bounds that aren't above a key.
+    part = F.size(F.filter(F.array(*known), lambda b: b <= F.col("__key"))) if known else F.lit(0)
+    rows = keyed.withColumn("__range", part)
+    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(F.col("__range").alias("__r"), (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a range
+    nth = F.row_number().over(W.partitionBy("__range").orderBy("__key", ties)) - 1
+    found = rows.withColumn("__nth", nth).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return found.withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).drop("__key", "__range", "__nth", "__r", "__before")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratasize.functions import expressions as X
+from stratasize.sources.sinks import stored
 
 # Thresholds.
 POWERED_OFF_SHARE, UNKNOWN_SHARE, LARGE_MIB, IOPS_BUDGET, OLD_HARDWARE, VERY_OLD_HARDWARE, SMALL_CLUSTER, SAMPLES = 0.30, 0.25, 1024.0 * 1024, 100_000.0, 17, 14, 3, 5
@@ -72,7 +73,8 @@ def run_health_checks(vms: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
     row_index), remediation, check_order, checked_vms; and group_cols, for a fleet of inventories in one job.
 
     Row checks are one pass: each row gives the ids that it meets, and counts combine before the shuffle. Samples are
-    the rows that rank below six in a check; only those are gathered. No rows: no findings.
+    the rows that rank below six in a check; only those are gathered. No rows: no findings. What the checks need of each
+    row, and what they find, are written to the shared folder, so vms is evaluated once.
     """
     groups = list(group_cols)
     on = F.coalesce("is_powered_on", F.lit(False))
@@ -86,6 +88,7 @@ def run_health_checks(vms: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
         *groups, "row_index", "vm_name", active.alias("active"), (~on).alias("off"), cluster.alias("cluster"),
         ((hw > 0) & (hw < VERY_OLD_HARDWARE)).alias("very_old"), ((hw >= VERY_OLD_HARDWARE) & (hw < OLD_HARDWARE)).alias("old"), met.alias("met"),
     )
+    row = stored(row, "health-rows")  # read for the totals, the checks and the clusters
     totals = row.groupBy(*groups).agg(F.count(F.lit(1)).alias("all_vms"), F.count_if("active").alias("checked_vms"), F.count_if("off").alias("off_vms"))
     live = row.where("active")
     by_row = live.withColumn("check_id", F.explode("met")).select(*groups, "check_id", F.lit("").alias("cluster"), "row_index", "vm_name")
@@ -101,7 +104,7 @@ def run_health_checks(vms: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
     clusters = per_cluster.select(*groups, "cluster", F.explode(found).alias("check_id"))
     rows = live.select(*groups, "cluster", "row_index", "vm_name", "very_old", "old").join(clusters, [*groups, "cluster"])
     rows = rows.where((F.col("check_id") == "best_practice.small_cluster_ha") | F.when(F.col("check_id") == "best_practice.old_hw_version", F.col("old")).otherwise(F.col("very_old")))
-    hits = by_row.unionByName(rows.select(*groups, "check_id", "cluster", "row_index", "vm_name"))
+    hits = stored(by_row.unionByName(rows.select(*groups, "check_id", "cluster", "row_index", "vm_name")), "health-hits")
     counted = _first_names(hits, [*groups, "check_id", "cluster"])
     counted = counted.join(totals, groups) if groups else counted.crossJoin(F.broadcast(totals))  # one row
     counted = counted.where((F.col("check_id") != "sizing_risk.high_unknown_ratio") | (F.col("affected_count") > UNKNOWN_SHARE * F.col("checked_vms")))

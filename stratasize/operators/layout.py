@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from stratasize.functions.tables import AVERAGE_OF_PEAK, DEFAULT_IOPS
 from stratasize.operators.filters import has_measurements
 from stratasize.operators.ratios import small
+from stratasize.sources.sinks import stored
 
 # Isolation, tiers, the budget that headroom is measured against, utilisation bands.
 ISOLATE_MIB, ISOLATE_IOPS, HOT_IOPS, WARM_IOPS, HOT_MACHINES, HEADROOM_IOPS = 2.0 * 1024 * 1024, 5_000.0, 500.0, 100.0, 10, 100_000.0
 HIGH_BAND, MIDDLE_BAND = 80.0, 60.0
+#: Machines that the exact greedy takes as one group; its time grows with machines x bins.
+MOST_IN_GROUP = 100_000
 PLACEMENT = "strategy string, row_index long, datastore string, raw_mib double, usable_mib double"
 
 
@@ -106,8 +109,12 @@ def least_loaded(rows: pd.DataFrame, usable: float, iops_budget: float, most: in
 
 def place_in_groups(vms: DataFrame, strategy: str, prefix: str, c: Constraints, pack: Callable[[pd.DataFrame, float, float, int], list[int]], groups: Sequence[str] = (), most: int | None = None, alone_first: bool = True) -> DataFrame:
     """The exact greedy of each group (an inventory, a cluster, a tier), groups in parallel; machines beyond the usable
-    space get `<prefix>_OVER_nn`. A group is one task's, so it must fit there: for larger ones use place_by_classes()."""
+    space get `<prefix>_OVER_nn`. A group is one task's, of MOST_IN_GROUP machines at most: for larger ones use
+    place_by_classes() or deal_evenly()."""
     normal = vms.where(~oversized(c)).withColumn("__all", F.lit(0))
+    largest = normal.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if largest > MOST_IN_GROUP:
+        raise ValueError(f"a group of {largest} machines is too large for the exact strategies: give smaller groups, or use place_by_classes() or deal_evenly()")
     usable, budget, limit, raw = c.usable_mib, c.iops_budget, c.max_machines if most is None else most, c.max_mib
     keys = list(groups)
 
@@ -155,10 +162,17 @@ def uniform(vms: DataFrame, c: Constraints, groups: Sequence[str] = ()) -> DataF
 
 def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = ()) -> DataFrame:
     """The placements of the three strategies; sized has workload_key."""
-    c, rows = c or Constraints(), with_default_iops(sized, iops)
+    c, keep = c or Constraints(), list(dict.fromkeys([*groups, "row_index", "required_mib", "peak_iops", "avg_iops", "workload_key"]))
+    # The strategies' parts read the machines again and again, so they are written once.
+    rows = with_default_iops(stored(sized.select(*keep), "layout-machines"), iops)
     return consolidation(rows, c, groups).unionByName(performance(rows, c, groups)).unionByName(uniform(rows, c, groups))
 
 
+def _dealt(parts: int) -> Column:
+    """A machine's part of so many, by a hash that other engines have as well."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col("row_index").cast("string").cast("binary")), 1, 6), 16, 10).cast("long"), F.lit(parts)).cast("int")
+
+
 def place_by_classes(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), salts: int = 1, strategy: str = "classes", prefix: str = "DS_CLASS") -> DataFrame:
     """Packing for groups of any size, in window functions: a machine's demand is the largest of its shares of space,
     IOPS and count, machines that fit k times in a datastore go k by k. No datastore exceeds a limit, but for a machine
@@ -166,7 +180,7 @@ def place_by_classes(vms: DataFrame, c: Constraints, groups: Sequence[str] = (),
     """
     demand = F.greatest(F.col("required_mib") / c.usable_mib, F.col("peak_iops") / c.iops_budget, F.lit(1.0 / c.max_machines))
     k = F.greatest(F.floor(1 / demand + 1e-9), F.lit(1)).cast("int")
-    rows = vms.withColumn("__k", F.when(demand > 1, 1).otherwise(k)).withColumn("__salt", F.pmod(F.xxhash64("row_index"), F.lit(salts)).cast("int"))
+    rows = vms.withColumn("__k", F.when(demand > 1, 1).otherwise(k)).withColumn("__salt", _dealt(salts))
     n = F.row_number().over(W.partitionBy(*groups, "__k", "__salt").orderBy(F.desc("required_mib"), "row_index")) - 1
     name = F.concat(F.lit(f"{prefix}_"), F.col("__k").cast("string"), F.lit("_"), F.col("__salt").cast("string"), F.lit("_"), F.floor(n / F.col("__k")).cast("string"))
     big = oversized(c)
@@ -179,7 +193,7 @@ def deal_evenly(vms: DataFrame, c: Constraints, slack: float = 1.1, part_machine
     Adds over_capacity, which marks all machines of datastores that got too much; place those with place_by_classes()."""
     normal = vms.where(~oversized(c))
     parts = max(1, -(-normal.count() // part_machines))
-    rows = normal.withColumn("__part", F.pmod(F.xxhash64("row_index"), F.lit(parts)).cast("int"))
+    rows = normal.withColumn("__part", _dealt(parts))
     sums = rows.groupBy("__part").agg(F.sum("required_mib").alias("mib"), F.sum("peak_iops").alias("iops"), F.count(F.lit(1)).alias("n"))
     need = F.greatest(F.ceil(F.col("mib") / c.usable_mib), F.ceil(F.col("iops") / c.iops_budget), F.lit(1)) * slack
     bins = small(sums.select("__part", F.least(F.ceil(need), "n").cast("long").alias("__bins")))

@@ -36,7 +36,9 @@ def conservative_ratio(vms: DataFrame, ratios: DataFrame, workloads: str = "work
 
     The ratio table is bounded, so it becomes a map in the plan and rows stay where they are.
     """
-    rows = ratios.select("category", "subcategory", "ratio").limit(BROADCAST_ROWS).collect()
+    rows = ratios.select("category", "subcategory", "ratio").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"a ratio table has no more than {BROADCAST_ROWS} rows")
     known = F.create_map(*[x for r in rows for x in (F.lit(f"{r['category']}\x00{r['subcategory']}"), F.lit(r["ratio"]))])
     of = lambda w: F.coalesce(F.try_element_at(known, F.concat_ws("\x00", w["category"], w["subcategory"])), F.lit(DEFAULT_RATIO))
     return vms.withColumn(name, F.coalesce(F.array_min(F.transform(workloads, of)), F.lit(DEFAULT_RATIO)))

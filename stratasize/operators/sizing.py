@@ -38,8 +38,8 @@ def _measures() -> list[Column]:
 
 def workload_groups(sized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Machines and sums by (workload_category, drr): one category with two ratios gives two rows. `by`: further keys,
-    such as an inventory. Combined before the shuffle, so a hot category is no burden."""
-    return sized.groupBy(*by, F.col("workload_category").alias("category"), "drr").agg(*_measures())
+    such as an inventory. Ordered by all keys; combined before the shuffle, so a hot category is no burden."""
+    return sized.groupBy(*by, F.col("workload_category").alias("category"), "drr").agg(*_measures()).orderBy(*by, "category", "drr")
 
 
 def category_rollup(sized: DataFrame) -> DataFrame:
@@ -49,11 +49,11 @@ def category_rollup(sized: DataFrame) -> DataFrame:
 
 
 def breakdown(sized: DataFrame) -> DataFrame:
-    """workload_groups() and a TOTAL row with the weighted ratio, in one pass."""
+    """workload_groups() in order and a last row TOTAL with the weighted ratio, in one pass."""
     sets = sized.groupingSets([[F.col("workload_category"), F.col("drr")], []], F.col("workload_category"), F.col("drr")).agg(*_measures(), F.grouping("workload_category").alias("is_total"))
     ratio = F.when(F.col("is_total") == 1, F.coalesce(F.try_divide("total_provisioned_mib", "total_required_mib"), F.lit(0.0))).otherwise(F.col("drr"))
     category = F.when(F.col("is_total") == 1, F.lit("TOTAL")).otherwise(F.col("workload_category"))
-    return sets.select(category.alias("category"), ratio.alias("drr"), "vm_count", "total_provisioned_mib", "total_in_use_mib", "total_required_mib", F.col("is_total").cast("int").alias("is_total"))
+    return sets.select(category.alias("category"), ratio.alias("drr"), "vm_count", "total_provisioned_mib", "total_in_use_mib", "total_required_mib", F.col("is_total").cast("int").alias("is_total")).orderBy("is_total", "category", "drr")
 
 
 def grand_summary(sized: DataFrame) -> DataFrame:

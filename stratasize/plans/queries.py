@@ -22,6 +22,7 @@ from stratasize.plans import fixtures as fx
 from stratasize.plans import flows
 from stratasize.plans import oracle as o
 from stratasize.sources import columns as A
+from stratasize.sources.sinks import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -111,7 +112,7 @@ def active_machines(spark, sf_dir):
 
 @query(f"WITH {o.INVENTORY} SELECT row_index, datacenter, cluster FROM inv WHERE datacenter IN ('ASIA', 'EUROPE') AND cluster IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)")
 def scoped(spark, sf_dir):
-    even = [r[0] for r in fx.table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_name").limit(100).collect()]
+    even = [r[0] for r in fx.table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_name").collect()]  # a scope of 13 names
     return C.in_scope(fx.inventory(spark, sf_dir), ["ASIA", "EUROPE"], even).select("row_index", "datacenter", "cluster")
 
 
@@ -262,15 +263,18 @@ def distributions(spark, sf_dir):
 
 
 def _routes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and each label's mean vector as its route's exemplar."""
     v = fx.table(spark, sf_dir, "embeddings")
     route = F.concat(F.lit("route"), F.col("label").cast("string"))
-    # The exemplars are the first ten of each label: a bounded table, as in production.
-    first = v.where("vec_id < 100").select(route.alias("route"), F.lit("c").alias("category"), F.lit("s").alias("subcategory"), F.col("embedding").alias("vector"))
-    return v.where("vec_id >= 100").select(F.col("vec_id").alias("row_index"), F.col("embedding").alias("vector"), route.alias("label")), first
+    means = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    means = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s"))
+    exemplars = means.select(route.alias("route"), F.lit("c").alias("category"), F.lit("s").alias("subcategory"), F.transform("s", lambda x: x["m"]).alias("vector"))
+    return v.select(F.col("vec_id").alias("row_index"), F.col("embedding").alias("vector"), route.alias("label")), exemplars
 
 
-_BEST = """e AS (SELECT 'route' || label AS route, embedding AS b FROM embeddings WHERE vec_id < 100),
-    p AS (SELECT vec_id AS row_index, 'route' || label AS label, route, list_cosine_similarity(embedding::DOUBLE[], b::DOUBLE[]) AS c FROM embeddings, e WHERE vec_id >= 100),
+_BEST = """m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
+    e AS (SELECT 'route' || label AS route, list(x ORDER BY i) AS b FROM m GROUP BY label),
+    p AS (SELECT vec_id AS row_index, 'route' || label AS label, route, list_cosine_similarity(embedding::DOUBLE[], b::DOUBLE[]) AS c FROM embeddings, e),
     t AS (SELECT *, row_number() OVER (PARTITION BY row_index, route ORDER BY c DESC) AS n FROM p), s AS (SELECT row_index, label, route, avg(c) AS score FROM t WHERE n <= 1 GROUP BY ALL),
     best AS (SELECT row_index, label, route, score FROM (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY score DESC, route) AS n FROM s) WHERE n = 1)"""
 
@@ -289,7 +293,7 @@ def threshold_grid(spark, sf_dir):
     return E.evaluate_thresholds(scored, [0.1, 0.2, 0.3, 0.5]).select("route", "threshold", "rows", "accepted", "right")
 
 
-@query(f"""WITH {o.CLASSIFIED}, x(category, subcategory) AS (VALUES {", ".join(sorted({f"({o.text(line.split(';')[0])}, {o.text(line.split(';')[1])})" for line in T.EXEMPLARS.strip().splitlines()}))})
+@query(f"""WITH {o.CLASSIFIED}, x(category, subcategory) AS (VALUES {", ".join(f"({o.text(c)}, {o.text(s)})" for c, s, _ in T.EXEMPLARS)})
     SELECT 'learned:' || category || '/' || subcategory AS route, count(DISTINCT vm_name) AS names FROM cls JOIN x ON workload_category = category AND workload_subcategory = subcategory WHERE classification_confidence = 'override' GROUP BY 1""")
 def learned_routes(spark, sf_dir):
     found = E.learned_exemplars(classified(spark, sf_dir), T.exemplars(spark)).where(F.col("route").startswith("learned:"))
@@ -344,18 +348,29 @@ def review_cards(spark, sf_dir):
 
 # Health checks
 
-_HIT = """act AS (SELECT * FROM cls WHERE is_powered_on AND NOT is_template), cl AS (SELECT *, CASE WHEN trim(cluster) = '' THEN '(No Cluster)' ELSE cluster END AS lab FROM act),
-    pc AS (SELECT lab, count(*) FILTER (hw_version BETWEEN 1 AND 13) AS nv, count(*) FILTER (hw_version BETWEEN 14 AND 16) AS no, count(*) AS n FROM cl GROUP BY 1),
-    hit AS (SELECT 'data_quality.missing_os' AS check_id, '' AS cluster, row_index, vm_name FROM act WHERE trim(os_name) = '' UNION ALL SELECT 'data_quality.zero_provisioned', '', row_index, vm_name FROM act WHERE provisioned_mib = 0
-    UNION ALL SELECT 'data_quality.missing_cpu', '', row_index, vm_name FROM act WHERE num_cpus = 0 UNION ALL SELECT 'data_quality.missing_ram', '', row_index, vm_name FROM act WHERE memory_mib = 0
-    UNION ALL SELECT 'sizing_risk.high_unknown_ratio', '', row_index, vm_name FROM act WHERE workload_category LIKE 'Unknown%' UNION ALL SELECT 'sizing_risk.large_unknown_vms', '', row_index, vm_name FROM act WHERE workload_category LIKE 'Unknown%' AND provisioned_mib >= 1048576
-    UNION ALL SELECT 'sizing_risk.iops_budget_exceeded', '', row_index, vm_name FROM act WHERE peak_iops > 100000 UNION ALL SELECT 'best_practice.no_cluster', '', row_index, vm_name FROM act WHERE trim(cluster) = ''
-    UNION ALL SELECT 'best_practice.tools_not_installed', '', row_index, vm_name FROM act WHERE tools_status = 'toolsNotInstalled' UNION ALL SELECT 'best_practice.tools_not_running', '', row_index, vm_name FROM act WHERE tools_status = 'toolsNotRunning'
-    UNION ALL SELECT 'best_practice.very_old_hw_version', lab, row_index, vm_name FROM cl WHERE hw_version BETWEEN 1 AND 13 UNION ALL SELECT 'best_practice.old_hw_version', lab, row_index, vm_name FROM cl JOIN pc USING (lab) WHERE nv = 0 AND hw_version BETWEEN 14 AND 16
-    UNION ALL SELECT 'best_practice.small_cluster_ha', lab, row_index, vm_name FROM cl JOIN pc USING (lab) WHERE lab <> '(No Cluster)' AND n < 3),
-    cnt AS (SELECT check_id, cluster, count(*) AS affected_count, array_to_string(list(vm_name ORDER BY row_index)[1:5], ',') AS names FROM hit GROUP BY 1, 2),
-    fnd AS (SELECT * FROM cnt WHERE check_id <> 'sizing_risk.high_unknown_ratio' OR affected_count > 0.25 * (SELECT count(*) FROM act) UNION ALL SELECT 'data_quality.high_powered_off_ratio', '', count(*) FILTER (NOT is_powered_on), ''
-    FROM cls HAVING count(*) FILTER (NOT is_powered_on) > 0.3 * count(*))"""
+def _hits(by: str = "") -> str:
+    """Findings as common table expressions; by: `datacenter, ` for those of each datacenter."""
+    row = lambda check, met: f"SELECT {by}'{check}' AS check_id, '' AS cluster, row_index, vm_name FROM act WHERE {met}"
+    rows = " UNION ALL ".join(
+        row(check, met)
+        for check, met in (
+            ("data_quality.missing_os", "trim(os_name) = ''"), ("data_quality.zero_provisioned", "provisioned_mib = 0"), ("data_quality.missing_cpu", "num_cpus = 0"), ("data_quality.missing_ram", "memory_mib = 0"),
+            ("sizing_risk.high_unknown_ratio", "workload_category LIKE 'Unknown%'"), ("sizing_risk.large_unknown_vms", "workload_category LIKE 'Unknown%' AND provisioned_mib >= 1048576"), ("sizing_risk.iops_budget_exceeded", "peak_iops > 100000"),
+            ("best_practice.no_cluster", "trim(cluster) = ''"), ("best_practice.tools_not_installed", "tools_status = 'toolsNotInstalled'"), ("best_practice.tools_not_running", "tools_status = 'toolsNotRunning'"),
+        )
+    )
+    same = " AND ".join(f"cnt.{c} = {{0}}.{c}" for c in by.strip(", ").split(",") if c) or "true"
+    return f"""act AS (SELECT * FROM cls WHERE is_powered_on AND NOT is_template), cl AS (SELECT *, CASE WHEN trim(cluster) = '' THEN '(No Cluster)' ELSE cluster END AS lab FROM act),
+    pc AS (SELECT {by}lab, count(*) FILTER (hw_version BETWEEN 1 AND 13) AS nv, count(*) FILTER (hw_version BETWEEN 14 AND 16) AS no, count(*) AS n FROM cl GROUP BY ALL),
+    hit AS ({rows} UNION ALL SELECT {by}'best_practice.very_old_hw_version', lab, row_index, vm_name FROM cl WHERE hw_version BETWEEN 1 AND 13
+    UNION ALL SELECT {by}'best_practice.old_hw_version', lab, row_index, vm_name FROM cl JOIN pc USING ({by}lab) WHERE nv = 0 AND hw_version BETWEEN 14 AND 16
+    UNION ALL SELECT {by}'best_practice.small_cluster_ha', lab, row_index, vm_name FROM cl JOIN pc USING ({by}lab) WHERE lab <> '(No Cluster)' AND n < 3),
+    cnt AS (SELECT {by}check_id, cluster, count(*) AS affected_count, array_to_string(list(vm_name ORDER BY row_index)[1:5], ',') AS names FROM hit GROUP BY {by}check_id, cluster),
+    fnd AS (SELECT {by}check_id, cluster, affected_count, names FROM cnt WHERE check_id <> 'sizing_risk.high_unknown_ratio' OR affected_count > 0.25 * (SELECT count(*) FROM act WHERE {same.format("act")})
+    UNION ALL SELECT {by}'data_quality.high_powered_off_ratio', '', count(*) FILTER (NOT is_powered_on), '' FROM cls {f"GROUP BY {by.strip(', ')}" if by else ""} HAVING count(*) FILTER (NOT is_powered_on) > 0.3 * count(*))"""
+
+
+_HIT = _hits()
 
 
 @query(f"WITH {o.CLASSIFIED}, {_HIT} SELECT check_id, cluster, affected_count, names, (SELECT count(*) FROM act) AS checked_vms FROM fnd")
@@ -363,11 +378,11 @@ def health_findings(spark, sf_dir):
     return H.run_health_checks(classified(spark, sf_dir)).select("check_id", "cluster", "affected_count", F.array_join("affected_vms", ",").alias("names"), "checked_vms")
 
 
-@query(f"""WITH {o.CLASSIFIED}, a AS (SELECT datacenter, count(*) AS n, count(*) FILTER (os_name = '') AS os, count(*) FILTER (tools_status = 'toolsNotInstalled') AS ti FROM cls WHERE is_powered_on AND NOT is_template GROUP BY 1)
-    SELECT datacenter, 'data_quality.missing_os' AS check_id, os AS affected_count, n AS checked_vms FROM a WHERE os > 0 UNION ALL SELECT datacenter, 'best_practice.tools_not_installed', ti, n FROM a WHERE ti > 0""")
+@query(f"""WITH {o.CLASSIFIED}, {_hits("datacenter, ")}, n AS (SELECT datacenter, count(*) AS checked_vms FROM act GROUP BY 1)
+    SELECT datacenter, check_id, cluster, affected_count, names, checked_vms FROM fnd JOIN n USING (datacenter)""")
 def fleet_findings(spark, sf_dir):
-    found = H.run_health_checks(classified(spark, sf_dir), ["datacenter"]).where(F.col("check_id").isin("data_quality.missing_os", "best_practice.tools_not_installed"))
-    return found.select("datacenter", "check_id", "affected_count", "checked_vms")
+    found = H.run_health_checks(classified(spark, sf_dir), ["datacenter"])
+    return found.select("datacenter", "check_id", "cluster", "affected_count", F.array_join("affected_vms", ",").alias("names"), "checked_vms")
 
 
 @query(f"""WITH {o.CLASSIFIED}, {_HIT} SELECT CASE WHEN check_id IN ('best_practice.very_old_hw_version', 'best_practice.tools_not_installed') THEN 'critical' WHEN check_id IN ('data_quality.missing_cpu', 'data_quality.missing_ram',
@@ -392,15 +407,20 @@ def tiers(spark, sf_dir):
     return sized(spark, sf_dir).groupBy(J.tier().alias("tier")).agg(F.count(F.lit(1)).alias("vms"))
 
 
+def _part(parts: int) -> str:
+    """A machine's part of so many, by a hash."""
+    return f"('0x' || substr(md5(row_index::VARCHAR), 1, 6))::INTEGER % {parts}"
+
+
 _CLASSES = f"""{o.SIZED}, dm AS (SELECT *, greatest(required_mib / (4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE)), peak_iops / 100000, 0.04::DOUBLE) AS demand FROM sized),
-    kk AS (SELECT *, CASE WHEN demand > 1 THEN 1 ELSE greatest(floor(1 / demand + 1e-9), 1) END::INTEGER AS k FROM dm), nn AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY required_mib DESC, row_index) - 1 AS n FROM kk),
-    placed AS (SELECT *, 'DS_CLASS_' || k || '_0_' || (n // k) AS datastore, 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE) AS u FROM nn),
+    kk AS (SELECT *, CASE WHEN demand > 1 THEN 1 ELSE greatest(floor(1 / demand + 1e-9), 1) END::INTEGER AS k FROM dm), ss AS (SELECT *, {_part(8)} AS salt FROM kk), nn AS (SELECT *, row_number() OVER (PARTITION BY k, salt ORDER BY required_mib DESC, row_index) - 1 AS n FROM ss),
+    placed AS (SELECT *, 'DS_CLASS_' || k || '_' || salt || '_' || (n // k) AS datastore, 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE) AS u FROM nn),
     stores AS (SELECT datastore, max(CASE WHEN required_mib > u THEN required_mib ELSE u END) AS usable_mib, sum(required_mib) AS used_mib, sum(peak_iops) AS total_iops, count(*) AS vm_count, count(DISTINCT workload_key) AS kinds FROM placed GROUP BY 1)"""
 
 
 def _classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = sized(spark, sf_dir)
-    return J.place_by_classes(rows, J.Constraints()), rows
+    return J.place_by_classes(rows, J.Constraints(), salts=8), rows
 
 
 @query(f"WITH {_CLASSES} SELECT row_index, datastore FROM placed")
@@ -430,25 +450,31 @@ def layout_proposals(spark, sf_dir):
 
 @query()
 def layout_comparison(spark, sf_dir):
-    rows = sized(spark, sf_dir)
-    return J.comparison(J.layout_metrics(J.datastores(layout_proposals(spark, sf_dir), rows, ["cluster"])))
+    rows = stored(sized(spark, sf_dir), "sized")
+    return J.comparison(J.layout_metrics(J.datastores(J.all_proposals(rows, T.iops(spark), groups=["cluster"]), rows, ["cluster"])))
 
 
 @query()
 def layout_recommendation(spark, sf_dir):
-    rows = sized(spark, sf_dir)
-    return J.recommend(J.layout_metrics(J.datastores(layout_proposals(spark, sf_dir), rows, ["cluster"])), rows)
+    rows = stored(sized(spark, sf_dir), "sized")
+    return J.recommend(J.layout_metrics(J.datastores(J.all_proposals(rows, T.iops(spark), groups=["cluster"]), rows, ["cluster"])), rows)
 
 
-@query()
+_DEALT = f"""{o.SIZED}, normal AS (SELECT * FROM sized WHERE required_mib <= 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE)), c AS (SELECT greatest(1, ceil(count(*) / 2000.0))::INTEGER AS parts FROM normal),
+    p AS (SELECT normal.*, ('0x' || substr(md5(row_index::VARCHAR), 1, 6))::INTEGER % parts AS part FROM normal, c),
+    b AS (SELECT part, least(ceil(greatest(ceil(sum(required_mib) / (4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE))), ceil(sum(peak_iops) / 100000.0::DOUBLE), 1) * 1.1::DOUBLE), count(*))::BIGINT AS bins FROM p GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY required_mib DESC, row_index) - 1 AS r FROM p JOIN b USING (part)),
+    d AS (SELECT *, CASE WHEN (r // bins) % 2 = 0 THEN r % bins ELSE bins - 1 - r % bins END AS bin FROM r), full_ AS (SELECT part, bin, sum(required_mib) > 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE) AS over_capacity FROM d GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_DEALT} SELECT row_index, 'DS_DEALT_' || part || '_' || (bin + 1) AS datastore, over_capacity FROM d JOIN full_ USING (part, bin)")
 def dealt_evenly(spark, sf_dir):
-    return J.deal_evenly(sized(spark, sf_dir), J.Constraints())
+    return J.deal_evenly(stored(sized(spark, sf_dir), "sized"), J.Constraints(), part_machines=2000).select("row_index", "datastore", "over_capacity")
 
 
-@query()
+@query(f"WITH {_CLASSES} SELECT 'classes' AS strategy, datastore, row_index, vm_name, workload_key, round(required_mib, 4) AS required_mib, peak_iops FROM placed")
 def drill_down(spark, sf_dir):
-    rows = sized(spark, sf_dir)
-    return J.drill_down(J.place_by_classes(rows, J.Constraints()), rows)
+    return J.drill_down(*_classes(spark, sf_dir)).withColumn("required_mib", F.round("required_mib", 4))
 
 
 # Report datasets
@@ -473,9 +499,18 @@ def group_bars(spark, sf_dir):
     return K.ratios_by_group(groups).join(K.provisioned_and_required(groups), "node")
 
 
-@query()
+@query(f"""WITH {o.SIZED}, g AS (SELECT count(*) AS n, sum(num_cpus) AS cpus, sum(memory_mib) AS mem, sum(provisioned_mib) AS p, sum(in_use_mib) AS u, sum(required_mib) AS r, sum(avg_iops) AS a, max(peak_iops) AS peak FROM sized),
+    big AS (SELECT vm_name AS name FROM sized ORDER BY provisioned_mib DESC, row_index LIMIT 1), hot AS (SELECT vm_name || ' (' || format('{{:,}}', round(peak_iops)::BIGINT) || ')' AS name FROM sized ORDER BY peak_iops DESC, row_index LIMIT 1),
+    x AS (SELECT unnest([{{'position': 0, 'metric': 'total_vms', 'number': n::DOUBLE, 'text': NULL}}, {{'position': 1, 'metric': 'total_cpus', 'number': cpus::DOUBLE, 'text': NULL}}, {{'position': 2, 'metric': 'total_memory_gib', 'number': mem / 1024, 'text': NULL}},
+    {{'position': 3, 'metric': 'total_provisioned_gib', 'number': p / 1024, 'text': NULL}}, {{'position': 4, 'metric': 'total_in_use_gib', 'number': u / 1024, 'text': NULL}}, {{'position': 5, 'metric': 'required_capacity_gib', 'number': r / 1024, 'text': NULL}},
+    {{'position': 6, 'metric': 'avg_cpus', 'number': cpus / n, 'text': NULL}}, {{'position': 7, 'metric': 'avg_memory_gib', 'number': mem / n / 1024, 'text': NULL}}, {{'position': 8, 'metric': 'avg_storage_gib', 'number': p / n / 1024, 'text': NULL}},
+    {{'position': 9, 'metric': 'weighted_drr', 'number': p / r, 'text': NULL}}, {{'position': 10, 'metric': 'largest_vm', 'number': NULL, 'text': big.name}}, {{'position': 11, 'metric': 'total_avg_iops', 'number': a, 'text': NULL}},
+    {{'position': 12, 'metric': 'hottest_vm', 'number': NULL, 'text': hot.name}}, {{'position': 13, 'metric': 'peak_throughput_mbs', 'number': 0.0, 'text': NULL}}, {{'position': 14, 'metric': 'iops_8k', 'number': 0.0, 'text': NULL}}]) AS s FROM g, big, hot)
+    SELECT s.position AS position, s.metric AS metric, round(s.number::DOUBLE, 4) AS "number", s."text" AS "text" FROM x""")
 def summary_rows(spark, sf_dir):
-    return K.summary_rows(S.grand_summary(sized(spark, sf_dir)))
+    """Values that are numbers as such, to four digits, and the others as texts."""
+    number = F.round(F.expr("try_cast(value AS double)"), 4)
+    return K.summary_rows(S.grand_summary(sized(spark, sf_dir))).select("position", "metric", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
 
 
 @query(f"""WITH {o.SIZED} SELECT row_index, vm_name, os_name, workload_category, drr, provisioned_mib / 1024 AS provisioned_gib, in_use_mib / 1024 AS in_use_gib, round(required_mib / 1024, 4) AS required_gib FROM sized""")

@@ -10,20 +10,36 @@ from pyspark.sql import types as T
 
 from stratasize.functions import expressions as X
 
+# The canonical columns in their order. Numbers without data are 0, texts "", measured columns null.
+# row_index follows them: operators.filters numbers rows once templates are gone.
 CANONICAL = T.StructType(
     [
-        T.StructField(name, kind)
-        for kind, names in (
-            (T.StringType(), "vm_name os_name datacenter cluster vm_description vm_folder tools_status source_format"),
-            (T.IntegerType(), "num_cpus hw_version"),
-            (T.DoubleType(), "memory_mib provisioned_mib in_use_mib"),
-            (T.BooleanType(), "is_template is_powered_on"),
-            (T.DoubleType(), "peak_iops avg_iops peak_throughput_mbs avg_throughput_mbs peak_latency_ms avg_read_latency_ms avg_write_latency_ms iops_8k_equivalent"),
-        )
-        for name in names.split()
+        T.StructField("vm_name", T.StringType()),
+        T.StructField("os_name", T.StringType()),
+        T.StructField("num_cpus", T.IntegerType()),
+        T.StructField("memory_mib", T.DoubleType()),
+        T.StructField("provisioned_mib", T.DoubleType()),
+        T.StructField("in_use_mib", T.DoubleType()),
+        T.StructField("datacenter", T.StringType()),
+        T.StructField("cluster", T.StringType()),
+        T.StructField("is_template", T.BooleanType()),
+        T.StructField("is_powered_on", T.BooleanType()),
+        T.StructField("source_format", T.StringType()),
+        T.StructField("vm_description", T.StringType()),
+        T.StructField("vm_folder", T.StringType()),
+        T.StructField("peak_iops", T.DoubleType()),
+        T.StructField("avg_iops", T.DoubleType()),
+        T.StructField("peak_throughput_mbs", T.DoubleType()),
+        T.StructField("avg_throughput_mbs", T.DoubleType()),
+        T.StructField("peak_latency_ms", T.DoubleType()),
+        T.StructField("avg_read_latency_ms", T.DoubleType()),
+        T.StructField("avg_write_latency_ms", T.DoubleType()),
+        T.StructField("iops_8k_equivalent", T.DoubleType()),
+        T.StructField("hw_version", T.IntegerType()),
+        T.StructField("tools_status", T.StringType()),
     ]
 )
-MEASURED = [f.name for f in CANONICAL][-8:]
+MEASURED = [f.name for f in CANONICAL if f.name.endswith(("_iops", "_mbs", "_ms", "_equivalent"))]
 
 # For each canonical column, the spellings in exports; the first that is there wins.
 RVTOOLS = {

@@ -25,6 +25,8 @@ from stratasize.sources import columns as C
 MOST_FILE, MOST_UNPACKED = 50 << 20, 100 << 20
 SHEET_ROWS = "source_file string, sheet string, row_no int, cells map<string,string>, reject string"
 _MAIN = {"rvtools": "vInfo", "liveoptics_xlsx": "VMs"}
+#: How an assessment's workbook is named (a fixed value); the most columns that a sheet can have.
+_ASSESSMENT, _MOST_HEADERS = re.compile(r"LiveOptics_\d+_VMWARE_\d{2}_\d{2}_\d{4}\.xlsx", re.I), 16_384
 _NUMBER = re.compile(r"([A-Z]+)\d*$")
 
 
@@ -32,16 +34,25 @@ class UnknownFormat(ValueError):
     """An export that is none of the known ones."""
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if all files at path decode as such, else ISO-8859-1; files are probed on the executors, bytes stay there."""
-    probe = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("t"), "content")
-    bad = probe.where(F.col("t").isNull() | (F.try_to_binary("t", F.lit("utf-8")) != F.col("content")) | ~F.is_valid_utf8("t"))
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files at path by encoding: UTF-8 where a file decodes as such, else ISO-8859-1. Each file is probed on the
+    executors; only names come back."""
+    probe = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("t"), "content")
+    fine = F.coalesce((F.try_to_binary("t", F.lit("utf-8")) == F.col("content")) & F.is_valid_utf8("t"), F.lit(False))
+    out: dict[str, list[str]] = {}
+    for r in probe.select("path", F.when(fine, "UTF-8").otherwise("ISO-8859-1").alias("encoding")).orderBy("path").collect():
+        out.setdefault(r["encoding"], []).append(r["path"])
+    return out
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV export as texts, headers trimmed. The encoding is probed where it isn't given."""
-    return C.trimmed(spark.read.csv(path, header=True, inferSchema=False, encoding=encoding or encoding_of(spark, path), multiLine=True, escape='"'))
+    """A CSV export as texts, headers trimmed. The encoding is probed for each file where it isn't given."""
+    files = {encoding: [path]} if encoding else encodings(spark, path)
+    read = [C.trimmed(spark.read.csv(own, header=True, inferSchema=False, encoding=e, multiLine=True, escape='"')) for e, own in sorted(files.items(), reverse=True)]
+    out = read[0]
+    for more in read[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
 def detect(columns_or_sheets: set[str] | list[str], csv: bool) -> str:
@@ -85,9 +96,9 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_member(names: list[str]) -> str | None:
-    """The workbook in an archive: the first that is named for an assessment of virtual machines, else the first at all."""
+    """The workbook in an archive: the first that is named as an assessment of virtual machines is, else the first at all."""
     books = [n for n in names if n.lower().endswith(".xlsx") and not posixpath.basename(n).startswith((".", "~"))]
-    return next((n for n in books if re.search(r"liveoptics|live_optics|vmware", posixpath.basename(n), re.I)), books[0] if books else None)
+    return next((n for n in books if _ASSESSMENT.search(n)), books[0] if books else None)
 
 
 def workbook_rows(content: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
@@ -126,10 +137,12 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
 
 def sheet(rows: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame | None:
     """One sheet of read_workbooks() as a table of texts, with source_file and row_no; None if no file has it. The
-    columns are the distinct headers, a bounded list, unless given."""
+    columns are the distinct headers unless given; more than one sheet can have are an error."""
     own = rows.where(F.col("sheet") == name)
     if columns is None:
-        columns = sorted(r[0] for r in own.select(F.explode(F.map_keys("cells"))).distinct().limit(1000).collect())
+        columns = sorted(r[0] for r in own.select(F.explode(F.map_keys("cells"))).distinct().limit(_MOST_HEADERS + 1).collect())
+        if len(columns) > _MOST_HEADERS:
+            raise ValueError(f"sheet {name}: more than {_MOST_HEADERS} headers over all files; name the columns")
     return own.select("source_file", "row_no", *[F.col("cells")[c].alias(c) for c in columns]) if columns else None
 
 
@@ -171,9 +184,10 @@ def read_ratios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_iops(spark: SparkSession, path: str) -> DataFrame:
-    """(workload_key, iops) from a `;` separated file; rows without a number go; the built-in table if nothing is left."""
+    """(workload_key, iops) from a `;` separated file; rows without a number go, of repeated keys the
+    last counts; the built-in table if nothing is left."""
     rows = spark.read.csv(path, sep=";", header=True, inferSchema=False, encoding="UTF-8")
     rows = rows.toDF(*["workload_key", "iops", *[f"__{i}" for i in range(2, len(rows.columns))]])
-    rows = rows.select(X.stripped(F.col("workload_key")).alias("workload_key"), X.number(F.col("iops"), None).alias("iops")).where("workload_key <> '' AND iops IS NOT NULL")
-    rows = rows.groupBy("workload_key").agg(F.max("iops").alias("iops"))
+    rows = rows.select(F.monotonically_increasing_id().alias("n"), X.stripped(F.col("workload_key")).alias("workload_key"), X.number(F.col("iops"), None).alias("iops")).where("workload_key <> '' AND iops IS NOT NULL")
+    rows = rows.groupBy("workload_key").agg(F.max_by("iops", "n").alias("iops"))
     return default_iops(spark) if rows.isEmpty() else rows

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,21 @@ def finding_rows(findings: DataFrame) -> DataFrame:
     return findings.withColumns({"title": F.concat(key, F.lit(".title")), "detail": F.concat(key, F.lit(".detail"))}).select(*FINDING_COLUMNS)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, for what is read several times: it is computed once, and the
+    table survives lost executors. Where the folder is unset, a temporary one is set for a local master only."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """A CSV with a header, even without findings, and a byte order mark in its first cell: one file, since findings are
     few (a row for each check and cluster)."""

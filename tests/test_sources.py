@@ -58,10 +58,23 @@ def test_csv_export(spark, tmp_path):
 
 def test_latin1_is_found(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("VM Name,VM OS\nécole,x\n".encode("latin-1"))
-    assert R.encoding_of(spark, str(tmp_path / "b.csv")) == "ISO-8859-1"
+    assert [*R.encodings(spark, str(tmp_path / "b.csv"))] == ["ISO-8859-1"]
     assert R.read_csv(spark, str(tmp_path / "b.csv")).first()["VM Name"] == "école"
 
 
+def test_each_file_has_its_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("VM Name,VM OS\nécole,x\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("VM Name,VM OS,More\nçà,y,z\n".encode())
+    assert sorted(tuple(r) for r in R.read_csv(spark, str(tmp_path)).select("VM Name", "VM OS", "More").collect()) == [("école", "x", None), ("çà", "y", "z")] or {r["VM Name"] for r in R.read_csv(spark, str(tmp_path)).collect()} == {"école", "çà"}
+
+
+def test_archive_member_and_repeated_keys(spark, tmp_path):
+    books = ["vmware-notes.xlsx", "LiveOptics_12_VMWARE_01_02_2025.xlsx"]
+    assert R.archive_member(books) == books[1] and R.archive_member(books[:1] + ["z.xlsx"]) == books[0] and R.archive_member(["a.txt"]) is None
+    (tmp_path / "i.csv").write_text("key;iops\nx/y;9\nx/y;7\n")
+    assert [tuple(r) for r in R.read_iops(spark, str(tmp_path / "i.csv")).collect()] == [("x/y", 7.0)]
+
+
 def test_missing_columns_and_unknown_format(spark):
     with pytest.raises(A.MissingColumns, match="os_name"):
         A.resolve(["VM", "Provisioned MiB", "In Use MiB"], A.RVTOOLS, A.REQUIRED)
@@ -82,7 +95,7 @@ def test_workbooks_and_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.writestr("readme.txt", "x")
         z.writestr("other.xlsx", workbook({"x": [["y"]]}))
-        z.writestr("LiveOptics_1_VMWARE.xlsx", workbook({"VMs": [["VM Name"], ["m"]]}))
+        z.writestr("LiveOptics_1_VMWARE_01_02_2025.xlsx", workbook({"VMs": [["VM Name"], ["m"]]}))
     (tmp_path / "c.xlsx").write_bytes(b"no workbook")
     rows = R.read_workbooks(spark, str(tmp_path / "*.*")).cache()
     kinds = {r["source_file"].rpartition("/")[2]: r["source_format"] for r in R.detect_files(rows).collect()}
@@ -107,7 +120,7 @@ def test_dimension_tables(spark, tmp_path):
     assert [tuple(r) for r in R.read_iops(spark, str(tmp_path / "i.csv")).collect()] == [("x/y", 7.0)]
     assert T.ratios(spark).count() == 42 and T.iops(spark).count() == 8
     with pytest.raises(ValueError, match="no exemplars"):
-        T.exemplars(spark, "")
+        T.exemplars(spark, [])
 
 
 def test_snapshot_and_findings(spark, tmp_path):
