@@ -173,7 +173,7 @@ def removals(docs: DataFrame, rare: int | None = None, id_col: str = "doc_id", t
     if others:
         matched = written(matched, "matched-lines")
         matched = matched.unionByName(_aligned(written(_other_pairs(lines, held, shared, pairs, matched, others), "other-pairs"), lines))
-    aligned = matched.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    aligned = matched.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     if rare is None:
         return aligned.withColumn("common", F.lit(None).cast("array<binary>"))
     common = shared.where(F.col("holders") > rare).groupBy("key").agg(F.collect_list("line").alias("common"))
