@@ -199,7 +199,7 @@ def test_lines_odd_rows(odd):
 
 
 def test_words_encode_like_the_library():
-    library, own = Tokenizer.from_file(DEFAULT_TOKENIZER), WordEncoder(DEFAULT_TOKENIZER, 7, most_words=50, most_parts=50)
+    library, own = Tokenizer.from_file(DEFAULT_TOKENIZER), WordEncoder(DEFAULT_TOKENIZER, 7, most_parts=50)
     rng = random.Random(5)
     pieces = ["a", "Z", "'", "'s", "DON'T", "'LL", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "é", "ß", "İ", "Σ", "ΑΣ", "ж", "中", "😀", "1", "_", "-", "...", "<|endoftext|>", "\x00", "ﬁ", "​", "　", "½", "́", "the"]
     for _ in range(60):
