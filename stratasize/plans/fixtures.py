@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIXES = ("SQL-SRV-", "ORACLE-DB-", "SAP-APP-", "VDI-PC-", "EXCHANGE-", "WEB-SRV-", "FILE-SRV-", "DOCKER-", "VEEAM-", "ELASTIC-", "APP-SRV-", "DC-", "CITRIX-", "PGSQL-", "MONGO-")
+FOLDERS = ("", "/vm/SAP-prod", "/vm/EXCHANGE/old", "/vm/UCM", "/vm/NTNX-CVMs", "/vm/PowerFlex", "/vm/AD", "/vm/IPAM", "/vm/IAM", "/vm/HanaDB", "/vm/other")
+DESCRIPTIONS = ("", "Nutanix Controller VM", "Dell PowerProtect appliance", "vSAN Witness", "FortiDeceptor", "BeyondTrust", "Tenable scanner", "OnCommand Unified Manager", "Horizon3.ai runner", "exotrack", "Cisco Unity Connection", "a note", "worker3")
 SYSTEMS = ("Microsoft Windows Server 2019", "Red Hat Enterprise Linux 8", "Ubuntu 22.04", "Microsoft Windows Server 2022", "SUSE Linux Enterprise Server 15")
 
 
@@ -45,6 +47,27 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory with folders and descriptions; every third name tells nothing, so that these decide."""
+    k = F.col("row_index")
+    name = F.when(k % 3 == 0, F.concat(F.lit("node"), k.cast("string"))).otherwise(F.col("vm_name"))
+    return inventory(spark, sf_dir).withColumns({"vm_name": name, "vm_folder": pick(FOLDERS, k), "vm_description": pick(DESCRIPTIONS, k)})
+
+
+def mixed_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory as a fleet in which the checks of clusters and of unknown machines find something: clusters of one or
+    two machines, clusters of middling hardware alone, large machines of no known workload."""
+    k = F.col("row_index")
+    return inventory(spark, sf_dir).withColumns(
+        {
+            "cluster": F.when(k % 97 == 0, F.concat(F.lit("EDGE-"), F.expr("row_index div 194").cast("string"))).otherwise(F.col("cluster")),
+            "hw_version": F.when(F.length("cluster") % 2 == 0, (14 + k % 6).cast("int")).otherwise(F.col("hw_version")),
+            "provisioned_mib": F.col("provisioned_mib") * 4,
+            "workload_category": F.when(k % 3 == 0, "Unknown (Reducible)").otherwise("Database"),
+        }
+    )
+
+
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory as an export: texts under an export's headers, some cells blank or no numbers."""
     i, k = inventory(spark, sf_dir), F.col("row_index")

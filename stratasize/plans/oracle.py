@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from stratasize.functions.rules import FALLBACK_PRIORITY, Rule, override_rules
+from stratasize.functions.rules import FALLBACK_PRIORITY, Rule, default_rules, override_rules
 from stratasize.functions.tables import iops_rows, ratio_rows
-from stratasize.plans.fixtures import PREFIXES, SYSTEMS
+from stratasize.plans.fixtures import DESCRIPTIONS, FOLDERS, PREFIXES, SYSTEMS
 
 
 def text(x: str) -> str:
@@ -60,6 +60,15 @@ cls AS (SELECT ruled.* EXCLUDE (rule, role_name, vm_folder), CASE WHEN c IS NOT
     CASE WHEN c IS NOT NULL THEN 'override:' || ruled.rule WHEN provisioned_mib >= 102400 THEN 'Large generic (>=100 GiB)' ELSE 'default' END AS classification_rule,
     CASE WHEN c IS NOT NULL THEN 'override' ELSE 'default' END AS classification_confidence FROM ruled LEFT JOIN packs USING (rule))"""
 
+_BY_DESCRIPTION = " ".join(f"WHEN {' OR '.join(_pattern('vm_description', p) for p in r.names)} THEN {text(r.name)}" for r in override_rules() if r.description)
+#: The inventory with folders and descriptions, and the first rule of an application by name, OS or folder, the first by
+#: description, and the first that falls back.
+DESCRIBED = f"""{INVENTORY},
+des AS (SELECT * REPLACE (CASE WHEN row_index % 3 = 0 THEN 'node' || row_index::VARCHAR ELSE vm_name END AS vm_name), {_list(FOLDERS)}[row_index % {len(FOLDERS)} + 1] AS vm_folder,
+    {_list(DESCRIPTIONS)}[row_index % {len(DESCRIPTIONS)} + 1] AS vm_description FROM inv),
+said AS (SELECT row_index, provisioned_mib, {rule_case(override_rules(), "name")} AS direct, CASE {_BY_DESCRIPTION} END AS told, {rule_case([r for r in default_rules() if r.priority >= FALLBACK_PRIORITY], "name")} AS fallback
+    FROM (SELECT *, regexp_replace(vm_name, '(?i)^(?:SRV|PC)[-_.]?', '') AS role_name FROM des))"""
+
 RATIOS = "ratios(table_order, category, subcategory, ratio) AS (VALUES " + ", ".join(f"({i}, {text(c)}, {text(s)}, {r}::DOUBLE)" for i, c, s, r in ratio_rows()) + ")"
 IOPS = "iops_table(workload_key, iops) AS (VALUES " + ", ".join(f"({text(k)}, {v}::DOUBLE)" for k, v in iops_rows()) + ")"
 

@@ -131,6 +131,15 @@ def searched(spark, sf_dir):
     return C.search(fx.inventory(spark, sf_dir), "SQL-Srv", ["vm_name", "os_name"]).select("row_index", "vm_name")
 
 
+@query(f"""WITH {o.CLASSIFIED} SELECT row_index, os_name, num_cpus FROM cls WHERE row_index % 7 <> 0 AND classification_confidence = 'override' AND num_cpus BETWEEN 2 AND 8 AND lower(os_name) <> 'ubuntu 22.04'
+    AND NOT ends_with(lower(vm_name), '3')""")
+def filtered(spark, sf_dir):
+    """The filters of a machine table, one after the other: not ignored, by confidence, by number, by text."""
+    rows = C.with_confidence(C.without_ignored(classified(spark, sf_dir).withColumn("is_ignored", F.col("row_index") % 7 == 0)), ["override"])
+    rows = C.where_text(C.where_number(rows, "num_cpus", "between", 2, 8), "os_name", "Ubuntu 22.04", "not_equals")
+    return C.where_text(rows, "vm_name", "3", "not_ends").select("row_index", "os_name", "num_cpus")
+
+
 @query(f"WITH {o.INVENTORY} SELECT datacenter, coalesce(bool_or(peak_iops > 0), false) AS measured FROM inv GROUP BY 1")
 def measured(spark, sf_dir):
     return fx.inventory(spark, sf_dir).groupBy("datacenter").agg(C.has_measurements().alias("measured"))
@@ -256,6 +265,19 @@ def classified_by_registry(spark, sf_dir):
     return E.classify_by_registry(fx.inventory(spark, sf_dir)).select("row_index", "classification_rule", "classification_confidence")
 
 
+@query(f"""WITH {o.DESCRIBED} SELECT row_index, CASE WHEN coalesce(direct, told) IS NOT NULL THEN 'override:' || coalesce(direct, told) WHEN provisioned_mib >= 102400 THEN 'Large generic (>=100 GiB)' ELSE 'default' END AS classification_rule,
+    CASE WHEN coalesce(direct, told) IS NOT NULL THEN 'override' ELSE 'default' END AS classification_confidence FROM said""")
+def described_by_rules(spark, sf_dir):
+    """Folders and descriptions decide where names tell nothing."""
+    return E.classify(fx.described(spark, sf_dir)).select("row_index", "classification_rule", "classification_confidence")
+
+
+@query(f"WITH {o.DESCRIBED} SELECT row_index, coalesce(direct, told, fallback) AS classification_rule FROM said")
+def described_by_registry(spark, sf_dir):
+    """A description wins over the fallback by OS."""
+    return E.classify_by_registry(fx.described(spark, sf_dir)).select("row_index", "classification_rule")
+
+
 @query(f"""WITH {o.CLASSIFIED}, u AS (SELECT 'classification_confidence' AS kind, classification_confidence AS value FROM cls UNION ALL SELECT 'workload_category', workload_category FROM cls UNION ALL SELECT 'workload_subcategory', workload_subcategory FROM cls)
     SELECT kind, value, count(*) AS vms FROM u GROUP BY 1, 2""")
 def distributions(spark, sf_dir):
@@ -385,6 +407,13 @@ def fleet_findings(spark, sf_dir):
     return found.select("datacenter", "check_id", "cluster", "affected_count", F.array_join("affected_vms", ",").alias("names"), "checked_vms")
 
 
+@query(f"""WITH {o.INVENTORY}, cls AS (SELECT * REPLACE (CASE WHEN row_index % 97 = 0 THEN 'EDGE-' || (row_index // 194)::VARCHAR ELSE cluster END AS cluster, (CASE WHEN length(cluster) % 2 = 0 THEN 14 + row_index % 6 ELSE hw_version END)::INTEGER AS hw_version,
+    provisioned_mib * 4 AS provisioned_mib), CASE WHEN row_index % 3 = 0 THEN 'Unknown (Reducible)' ELSE 'Database' END AS workload_category FROM inv), {_HIT} SELECT check_id, cluster, affected_count, names, (SELECT count(*) FROM act) AS checked_vms FROM fnd""")
+def mixed_fleet_findings(spark, sf_dir):
+    """Small clusters, middling hardware and large unknown machines, which health_findings has none of."""
+    return H.run_health_checks(fx.mixed_fleet(spark, sf_dir)).select("check_id", "cluster", "affected_count", F.array_join("affected_vms", ",").alias("names"), "checked_vms")
+
+
 @query(f"""WITH {o.CLASSIFIED}, {_HIT} SELECT CASE WHEN check_id IN ('best_practice.very_old_hw_version', 'best_practice.tools_not_installed') THEN 'critical' WHEN check_id IN ('data_quality.missing_cpu', 'data_quality.missing_ram',
     'data_quality.high_powered_off_ratio') THEN 'info' ELSE 'warning' END AS severity, count(*) AS count FROM fnd GROUP BY 1""")
 def severity_counts(spark, sf_dir):
@@ -460,6 +489,62 @@ def layout_recommendation(spark, sf_dir):
     return J.recommend(J.layout_metrics(J.datastores(J.all_proposals(rows, T.iops(spark), groups=["cluster"]), rows, ["cluster"])), rows)
 
 
+@query(f"""WITH {o.SIZED}, n AS (SELECT count(*) AS machines, round(sum(required_mib), 2) AS used_mib, count(*) FILTER (required_mib > 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE)) AS beyond FROM sized)
+    SELECT unnest(['consolidation', 'performance', 'uniform']) AS strategy, machines, machines AS distinct_machines, used_mib, 0::BIGINT AS over_space, 0::BIGINT AS over_iops, 0::BIGINT AS over_count FROM n""")
+def layout_invariants(spark, sf_dir):
+    """What holds for every layout: each machine is placed once, and no datastore of several machines exceeds a limit of
+    its strategy (balancing has no limit of IOPS or of machines)."""
+    rows, c = stored(sized(spark, sf_dir), "sized"), J.Constraints()
+    placement = stored(J.all_proposals(rows, T.iops(spark), c, groups=["cluster"]), "placement")
+    several, packs = F.col("vm_count") > 1, F.col("strategy") != "uniform"
+    stores = J.datastores(placement, rows, ["cluster"]).groupBy("strategy").agg(
+        F.sum("vm_count").alias("machines"), F.round(F.sum("used_mib"), 2).alias("used_mib"), F.count_if(several & (F.col("used_mib") > F.col("usable_mib") + 1e-6)).alias("over_space"),
+        F.count_if(packs & several & (F.col("total_iops") > c.iops_budget + 1e-6)).alias("over_iops"), F.count_if(packs & (F.col("vm_count") > c.max_machines)).alias("over_count"),
+    )
+    distinct = placement.groupBy("strategy").agg(F.count_distinct("row_index").alias("distinct_machines"))
+    return stores.join(distinct, "strategy").select("strategy", "machines", "distinct_machines", "used_mib", "over_space", "over_iops", "over_count")
+
+
+#: Machines in a datastore for each of three class placements, which are compared like strategies.
+_DENSITIES = {"consolidation": 50, "performance": 2, "uniform": 10}
+_RATIO = "((1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE))"
+
+
+def _class_placement(strategy: str, most: int) -> str:
+    demand = f"greatest(required_mib / (4194304 * {_RATIO}), peak_iops / 100000, 1.0::DOUBLE / {most})"
+    kinds = f"SELECT *, CASE WHEN {demand} > 1 THEN 1 ELSE greatest(floor(1 / {demand} + 1e-9), 1) END::INTEGER AS k, {_part(8)} AS salt FROM sized"
+    return f"SELECT '{strategy}' AS strategy, k || '_' || salt || '_' || ((row_number() OVER (PARTITION BY k, salt ORDER BY required_mib DESC, row_index) - 1) // k) AS datastore, required_mib, peak_iops, workload_key FROM ({kinds})"
+
+
+_COMPARED = f"""{o.SIZED}, pl AS ({" UNION ALL ".join(_class_placement(s, n) for s, n in _DENSITIES.items())}),
+    st AS (SELECT strategy, datastore, max(CASE WHEN required_mib > 4194304 * {_RATIO} THEN required_mib / {_RATIO} ELSE 4194304 END) AS raw, max(greatest(required_mib, 4194304 * {_RATIO})) AS usable, sum(required_mib) AS used, sum(peak_iops) AS iops,
+    count(*) AS n, count(DISTINCT workload_key) AS kinds FROM pl GROUP BY 1, 2),
+    mt AS (SELECT strategy, count(*) AS total_ds_count, sum(raw) AS total_raw_capacity_mib, sum(usable) AS total_usable_capacity_mib, sum(used) AS total_used_capacity_mib, avg(used / usable * 100) AS avg_utilization_pct, min(used / usable * 100) AS min_utilization_pct,
+    max(used / usable * 100) AS max_utilization_pct, avg(n) AS avg_vm_density, max(n) AS max_vm_density, sum(iops) AS total_iops_placed, max(iops) AS max_iops_single_ds, greatest(1 - max(iops) / 100000, 0) * 100 AS iops_headroom_pct,
+    count(*) FILTER (kinds <= 1) / count(*) AS isolation_score, 0 AS oversized_vm_count FROM st GROUP BY 1)"""
+
+
+def _compared(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The figures of three class placements, and the machines."""
+    rows, figures = stored(sized(spark, sf_dir), "sized"), None
+    for strategy, most in _DENSITIES.items():
+        one = J.layout_metrics(J.datastores(J.place_by_classes(rows, J.Constraints(max_machines=most), salts=8, strategy=strategy), rows))
+        figures = one if figures is None else figures.unionByName(one)
+    return figures, rows
+
+
+@query(f"""WITH {_COMPARED}, v AS (SELECT strategy, unnest([{", ".join(f"'{m}'" for m in J.METRICS)}]) AS metric, unnest([{", ".join(f"{m}::DOUBLE" for m in J.METRICS)}]) AS x FROM mt)
+    SELECT metric, {", ".join(f"round(max(x) FILTER (strategy = '{s}'), 2) AS {s}" for s in _DENSITIES)} FROM v GROUP BY 1""")
+def class_comparison(spark, sf_dir):
+    return rounded(J.comparison(_compared(spark, sf_dir)[0]), 2)
+
+
+@query(f"""WITH {_COMPARED}, w AS (SELECT (SELECT count(DISTINCT workload_key) FROM sized) AS workloads, (SELECT isolation_score FROM mt WHERE strategy = 'performance') AS score)
+    SELECT CASE WHEN workloads <= 1 THEN 'consolidation' WHEN score > 0.5 THEN 'performance' ELSE 'uniform' END AS strategy, workloads, round(score, 4) AS isolation_score FROM w""")
+def class_recommendation(spark, sf_dir):
+    return rounded(J.recommend(*_compared(spark, sf_dir)))
+
+
 _DEALT = f"""{o.SIZED}, normal AS (SELECT * FROM sized WHERE required_mib <= 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE)), c AS (SELECT greatest(1, ceil(count(*) / 2000.0))::INTEGER AS parts FROM normal),
     p AS (SELECT normal.*, ('0x' || substr(md5(row_index::VARCHAR), 1, 6))::INTEGER % parts AS part FROM normal, c),
     b AS (SELECT part, least(ceil(greatest(ceil(sum(required_mib) / (4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE))), ceil(sum(peak_iops) / 100000.0::DOUBLE), 1) * 1.1::DOUBLE), count(*))::BIGINT AS bins FROM p GROUP BY 1),
