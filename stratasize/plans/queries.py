@@ -102,6 +102,21 @@ def safe_names(spark, sf_dir):
     return c.select("c_custkey", X.file_name(F.concat("c_name", F.lit(" / "), "c_mktsegment", F.lit("!"))).alias("file_name"), X.pseudonym(F.col("c_name")).alias("pseudonym"), X.safe_cell(F.col("c_acctbal").cast("string")).alias("cell"))
 
 
+def _clean(x: str) -> str:
+    return f"substr(coalesce(nullif(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'report'), 1, 20)"
+
+
+@query(f"""WITH {o.SIZED}, f AS (SELECT category, arg_min(subcategory, table_order) AS first_sub FROM ratios GROUP BY 1) SELECT row_index, printf('%.1f TiB', provisioned_mib / 1048576) AS space, printf('%.1f%%', (row_index % 1000) / 1000.0::DOUBLE * 100) AS share,
+    coalesce(first_sub, '') AS bare, {_clean("datacenter")} || '-' || {_clean("cluster")} || '-' || {_clean("vm_name")} || '-and1more' AS suffix FROM sized LEFT JOIN f ON workload_category = category""")
+def display_texts(spark, sf_dir):
+    """Space and shares as texts, the subcategory of a bare category, the suffix of a scope's file."""
+    names = F.array("datacenter", "cluster", "vm_name", "os_name")
+    return sized(spark, sf_dir).select(
+        "row_index", X.tib_text(F.col("provisioned_mib")).alias("space"), X.percent_text(F.col("row_index") % 1000 / F.lit(1000.0)).alias("share"),
+        X.label_subcategory(F.col("workload_category"), T.ratio_rows()).alias("bare"), X.scope_suffix(names).alias("suffix"),
+    )
+
+
 # Filters
 
 
@@ -573,6 +588,13 @@ def flow_edges(spark, sf_dir):
     return K.flow_edges(S.workload_groups(sized(spark, sf_dir)))
 
 
+@query(f"""WITH {o.SIZED}, g AS (SELECT sum(provisioned_mib) AS p, sum(required_mib) AS r FROM sized WHERE workload_category = 'File')
+    SELECT 'Before' AS source, 'File' AS target, round(p / 1024, 1) AS gib FROM g UNION ALL SELECT 'After', 'File', round(r / 1024, 1) FROM g""")
+def flow_edges_of_one(spark, sf_dir):
+    """A single group is shown before and after instead."""
+    return K.flow_edges(S.workload_groups(sized(spark, sf_dir).where("workload_category = 'File'")))
+
+
 @query(f"WITH {_GROUPS} SELECT node, round(p / 1024, 1) AS gib, round(p / sum(p) OVER (), 6) AS share FROM nd")
 def group_shares(spark, sf_dir):
     return rounded(K.shares(S.workload_groups(sized(spark, sf_dir))), 6)
