@@ -16,9 +16,12 @@ from stratasize.llm.line_dedup import drop_repeated_lines
 from stratasize.llm.mixing import mix
 from stratasize.llm.neighbours import nearest
 from stratasize.llm.packing import pack
+from stratasize.llm.sharding import shard_documents
 from stratasize.llm.simhash import near_duplicates
+from stratasize.llm.spelling import group_variants
 from stratasize.llm.substring_dedup import remove_repeats
 from stratasize.llm.token_files import checksums, read_tokens, write_tokens
+from stratasize.llm.vector_codes import compress
 
 
 def held_out() -> Column:
@@ -73,6 +76,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_documents(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -84,8 +102,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
+
+def _crc32(x: str) -> str:
+    """The CRC of a text's UTF-8 bytes; needs the table `crc`."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: xor(a >> 8, tb[xor(a & 255, b) + 1])))"
+
+
+#: The remainders of all bytes, from the reversed polynomial (a fixed value).
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Every assignment compares all entries, unlike the operator."""
+    dist = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, label, p, x, min(({dist})::BIGINT * 256 + e) AS m FROM parts JOIN b{k} USING (p) GROUP BY ALL)")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT p, m % 256 AS e, i, floor(sum(y) / count(*)) AS f FROM (SELECT p, m, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL),
+                n{k} AS (SELECT p, e, list(f ORDER BY i) AS c FROM s{k} GROUP BY ALL), b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN n{k} USING (p, e))""")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, label, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4))::DOUBLE[] AS x FROM v, (SELECT unnest(range(4)) AS p)),
+        first AS (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256), b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts SEMI JOIN first USING (vec_id)),
+        {", ".join(steps)},
+        coded AS MATERIALIZED (SELECT vec_id, label, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{rounds} GROUP BY ALL),
+        sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded GROUP BY label),
+        books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, label_error, codebooks_sha256 FROM coded JOIN sums ON coded.label IS NOT DISTINCT FROM sums.label, books"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
@@ -120,4 +172,22 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    "op11_sharding": f"""
+        WITH {_CRC_TABLE}, d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+        p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT AS e, sum(size) OVER ()::BIGINT AS whole FROM d),
+        s AS (SELECT *, least((2 * e - size) * 40 // (2 * whole), 39)::INTEGER AS shard FROM p)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s""",
+    "op12_vector_codes": _vector_codes(),
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE}, r AS MATERIALIZED (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        h AS (SELECT run, {_crc32("d || ':' || run")} AS h FROM (SELECT * FROM r WHERE length(run) >= 7), crc),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+        v AS MATERIALIZED (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+        less AS MATERIALIZED (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT less.word, v.word FROM less JOIN v ON rest = v.word UNION SELECT v.word, less.word FROM less JOIN v ON rest = v.word),
+        best AS (SELECT a AS word, count(*) AS n_near, min({{'minus': -n, 'form': b}}) AS best FROM near JOIN v ON b = word GROUP BY 1),
+        f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.minus >= 10 * n THEN best.form END AS form, CASE WHEN -best.minus >= 10 * n THEN -best.minus END AS form_n FROM v LEFT JOIN best USING (word)),
+        up AS (SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL)
+        SELECT word, n, n_near, form, form_n, coalesce((SELECT arg_max(up.root, step) FROM up WHERE up.word = f.word), word) AS root FROM f""",
 }
