@@ -55,14 +55,17 @@ def near_words(known: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 
     Words one edit apart are one edit apart or equal in a reduced alphabet as well. So each word meets the words whose
     reduced form lies in the neighbourhood of its own, and pairs are checked on the words themselves. A pair of reduced
-    words is in both neighbourhoods; the one of the greater word keeps it.
+    words is in both neighbourhoods; that of the longer one keeps it, or of two of one length that of the greater, which
+    leaves the smaller half.
     """
     own = known.withColumn("__r", reduced(F.col("word"), symbols))
-    left = own.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "__r", F.explode(neighbourhood(F.col("__r"), symbols)).alias("__key")).where("__key <= __r")
-    left = left.select("a", "a_n", F.xxhash64("__key").alias("__k"), (F.col("__key") == F.col("__r")).alias("__same"))
+    left = own.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "__r", F.explode(neighbourhood(F.col("__r"), symbols)).alias("__key"))
+    left = left.where((F.length("__key") < F.length("__r")) | ((F.length("__key") == F.length("__r")) & (F.col("__key") <= F.col("__r"))))
+    left = left.select("a", "a_n", F.xxhash64("__key").alias("__k"))
     right = own.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.xxhash64("__r").alias("__k"))
-    met = left.join(right, "__k").where(~F.col("__same") | (F.col("a") < F.col("b")))
-    return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n")
+    met = left.join(right, "__k").where(F.levenshtein("a", "b", 1) == 1)
+    # Words of one reduced form meet twice.
+    return met.where((F.col("a") < F.col("b")) | (reduced(F.col("a"), symbols) != reduced(F.col("b"), symbols))).select("a", "a_n", "b", "b_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
