@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import scratch, written
+from stratasize.llm.common import scratch, shuffle_partitions, written
 
 #: Letters besides a-z, and how long and frequent a word is at least.
 _OTHERS = "".join(map(chr, range(0xC0, 0x100)))
@@ -58,7 +58,8 @@ def near_words(known: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     words is in both neighbourhoods; that of the longer one keeps it, or of two of one length that of the greater, which
     leaves the smaller half.
     """
-    own = known.withColumn("__r", reduced(F.col("word"), symbols))
+    # Words are few bytes and much work, so they are dealt to all tasks first.
+    own = known.repartition(shuffle_partitions(known.sparkSession), "word").withColumn("__r", reduced(F.col("word"), symbols))
     left = own.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "__r", F.explode(neighbourhood(F.col("__r"), symbols)).alias("__key"))
     left = left.where((F.length("__key") < F.length("__r")) | ((F.length("__key") == F.length("__r")) & (F.col("__key") <= F.col("__r"))))
     left = left.select("a", "a_n", F.xxhash64("__key").alias("__k"))
