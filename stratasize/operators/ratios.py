@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +46,23 @@ def conservative_ratio(vms: DataFrame, ratios: DataFrame, workloads: str = "work
     return vms.withColumn(name, F.coalesce(F.array_min(F.transform(workloads, of)), F.lit(DEFAULT_RATIO)))
 
 
-def apply_edits(vms: DataFrame, edits: DataFrame, key: str = "row_index") -> DataFrame:
-    """vms with the edits' columns (of EDITABLE) where an edit isn't null; edits of unknown rows are ignored.
+def apply_edits(vms: DataFrame, edits: DataFrame, key: str = "row_index", order: str = "edit_no", until: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """vms with the edits' columns (of EDITABLE); edits of unknown rows are ignored, and rows out of scope stay.
 
-    edits has one row for each key; of several, the one with the greatest values counts. Rows out of scope stay.
+    edits is a log: of several edits of a row (its key, in its inventory where `by` names one) the last by `order` counts,
+    column by column; a null leaves a column as it is. With `until`, edits after that point are left out, which gives
+    the table as it was then. Without the column `order`, or of edits of one number, the greatest value counts. Edits are
+    combined before they travel, so a row that was edited very often costs no more than one edit for each task.
     """
     columns = [c for c in EDITABLE if c in edits.columns]
-    last = edits.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*columns)).alias("__edit"))
-    found = vms.join(last, F.col(key) == F.col("__key"), "left")
+    at = F.col(order) if order in edits.columns else F.lit(0)
+    log = edits if until is None else edits.where(at <= until)
+    last = log.groupBy(F.col(key).alias("__key"), *by).agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(f"__{c}") for c in columns])
+    met = F.col(key) == F.col("__key")
+    for c in by:
+        last, met = last.withColumnRenamed(c, f"__by_{c}"), met & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     old = lambda c: F.col(c) if c in vms.columns else F.lit(None)
-    return found.withColumns({c: F.coalesce(F.col("__edit")[c], old(c)) for c in columns}).drop("__key", "__edit")
+    return vms.join(last, met, "left").withColumns({c: F.coalesce(F.col(f"__{c}.value"), old(c)) for c in columns}).drop("__key", *[f"__{c}" for c in columns], *[f"__by_{c}" for c in by])
 
 
 def reassign(vms: DataFrame, ids: DataFrame, category: str, subcategory: str, ratios: DataFrame, key: str = "row_index") -> DataFrame:

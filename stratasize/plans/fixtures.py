@@ -122,3 +122,50 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
     return o.select(F.col("o_orderkey").alias("row_index"), F.lit("File").alias("workload_category"), F.lit("General Purpose").alias("workload_subcategory"), F.lit(2.0).alias("drr"), F.when(F.col("o_orderkey") % 100 == 0, True).alias("is_ignored"))
+
+
+def third_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the machines under their own spelling, and twice as many that the inventory lacks; some are measured."""
+    k, rows = F.col("o_orderkey") * 3, table(spark, sf_dir, "orders")
+    return rows.select(
+        F.concat(pick(PREFIXES, k), k.cast("string")).alias("vm_name"), F.lit("third os").alias("os_name"), F.lit(3).alias("num_cpus"), F.lit(4096.0).alias("memory_mib"), (k + 2).cast("double").alias("provisioned_mib"),
+        F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise((k + 0.25).cast("double")).alias("in_use_mib"), F.lit("DC3").alias("datacenter"), F.lit("CL3").alias("cluster"), F.lit("liveoptics_csv").alias("source_format"),
+        F.when(F.col("o_orderkey") % 4 != 0, (k * 7).cast("double")).alias("peak_iops"),
+    )
+
+
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory as an export for each datacenter, whose ids collide: seven neighbouring machines have one, in
+    whatever export they are. Every third machine has no UUID."""
+    k = F.col("row_index")
+    number = F.expr("row_index div 7").cast("string")
+    return inventory(spark, sf_dir).withColumns({"source_file": F.col("datacenter"), "mob_id": F.concat(F.lit("vm-"), number), "vm_uuid": F.when(k % 3 == 0, "").otherwise(number)})
+
+
+def fleet_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disks of fleet(); in one export some have no MOB id."""
+    own = fleet(spark, sf_dir).select("row_index", "source_file", "vm_name", "mob_id", "vm_uuid")
+    rows = table(spark, sf_dir, "lineitem").join(own, F.col("l_orderkey") == F.col("row_index"))
+    blank = (F.col("source_file") == "EUROPE") & (F.col("l_linenumber") == 1)
+    return rows.select("source_file", "vm_name", F.when(blank, " ").otherwise(F.col("mob_id")).alias("mob_id"), "vm_uuid", (F.col("l_quantity") * 8192).alias("capacity_mib"), (F.col("l_quantity") * 4096).alias("used_mib"))
+
+
+def fleet_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fleet(spark, sf_dir).select("row_index", "source_file", "vm_name", "vm_uuid")
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 AND l_orderkey % 4 <> 0").join(own, F.col("l_orderkey") == F.col("row_index"))
+    return rows.select("source_file", "vm_name", "vm_uuid", (F.col("l_quantity") * 10240).alias("capacity_mib"), (F.col("l_quantity") * 4096).alias("consumed_mib"))
+
+
+def fleet_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of machines by name, each from the export of one region."""
+    e = table(spark, sf_dir, "events").join(F.broadcast(table(spark, sf_dir, "region")), F.col("user_id") % 5 == F.col("r_regionkey"))  # five rows
+    return e.select(F.col("r_name").alias("source_file"), F.concat(pick(PREFIXES, F.col("user_id")), F.col("user_id").cast("string")).alias("vm_name"), (F.col("value") * 300).alias("peak_iops"), (F.col("value") * 8).alias("peak_throughput_kbs"))
+
+
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several edits of a machine, one for each of its line items, of changing columns."""
+    n = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("row_index"), n.alias("edit_no"), F.when(n % 3 == 1, F.concat(F.lit("edit "), n.cast("string"))).alias("workload_category"), F.when(n % 2 == 0, F.concat(F.lit("part "), (9 - n).cast("string"))).alias("workload_subcategory"),
+        F.when(n % 4 != 3, 10.0 - n).alias("drr"), F.when(n >= 5, n % 2 == 1).alias("is_ignored"),
+    )

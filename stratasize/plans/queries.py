@@ -221,6 +221,68 @@ def capacity_report(spark, sf_dir):
     return D.capacity_report(_guest(spark, sf_dir), fx.datastores(spark, sf_dir))
 
 
+_FLEET = f"""{o.INVENTORY}, fl AS (SELECT *, datacenter AS site, 'vm-' || (row_index // 7) AS mob, CASE WHEN row_index % 3 = 0 THEN '' ELSE (row_index // 7)::VARCHAR END AS uuid FROM inv),
+    dk AS (SELECT site, mob, uuid, vm_name, l_quantity * 8192 AS c, l_quantity * 4096 AS u FROM lineitem JOIN fl ON l_orderkey = row_index)"""
+
+
+@query(f"""WITH {_FLEET}, i AS (SELECT site, mob, sum(c) AS c, sum(u) AS u FROM dk WHERE site <> 'EUROPE' GROUP BY 1, 2), n AS (SELECT site, vm_name, sum(c) AS c, sum(u) AS u FROM dk WHERE site = 'EUROPE' GROUP BY 1, 2)
+    SELECT row_index, fl.site AS source_file, coalesce(i.c, n.c, provisioned_mib) AS provisioned_mib, coalesce(i.u, n.u, in_use_mib) AS in_use_mib FROM fl LEFT JOIN i ON fl.site = i.site AND fl.mob = i.mob LEFT JOIN n ON fl.site = n.site AND fl.vm_name = n.vm_name""")
+def fleet_disk_override(spark, sf_dir):
+    """Ids collide over exports; one export has disks without ids, so it joins by name."""
+    return D.override_by_disks(fx.fleet(spark, sf_dir), fx.fleet_disks(spark, sf_dir), ["source_file"]).select("row_index", "source_file", "provisioned_mib", "in_use_mib")
+
+
+@query(f"""WITH {_FLEET}, p AS (SELECT r_name AS site, user_id AS k, max(value) * 300 AS peak, max(value * 8) AS kbs FROM events JOIN region ON user_id % 5 = r_regionkey GROUP BY 1, 2)
+    SELECT row_index, fl.site AS source_file, coalesce(peak, peak_iops) AS peak_iops, kbs / 1024 AS peak_throughput_mbs FROM fl LEFT JOIN p ON fl.site = p.site AND row_index = k""")
+def fleet_performance(spark, sf_dir):
+    return D.attach_performance(fx.fleet(spark, sf_dir), fx.fleet_samples(spark, sf_dir), ["source_file"]).select("row_index", "source_file", "peak_iops", "peak_throughput_mbs")
+
+
+_FLEET_GUEST = f"""{_FLEET}, pt AS (SELECT site, uuid, vm_name, l_quantity * 10240 AS c, l_quantity * 4096 AS u FROM lineitem JOIN fl ON l_orderkey = row_index WHERE l_linenumber <= 2 AND l_orderkey % 4 <> 0),
+    pu AS (SELECT site, uuid, sum(c) AS c, sum(u) AS u FROM pt WHERE uuid <> '' GROUP BY 1, 2), pn AS (SELECT site, vm_name, sum(c) AS c, sum(u) AS u FROM pt GROUP BY 1, 2), du AS (SELECT site, uuid, sum(c) AS c FROM dk WHERE uuid <> '' GROUP BY 1, 2),
+    dn AS (SELECT site, vm_name, sum(c) AS c FROM dk GROUP BY 1, 2), b AS (SELECT fl.*, greatest(coalesce(pu.c, pn.c, 0), coalesce(du.c, dn.c, 0)) AS known, coalesce(pu.u, pn.u) AS u FROM fl LEFT JOIN pu ON fl.site = pu.site AND fl.uuid = pu.uuid
+    LEFT JOIN pn ON fl.site = pn.site AND fl.vm_name = pn.vm_name LEFT JOIN du ON fl.site = du.site AND fl.uuid = du.uuid LEFT JOIN dn ON fl.site = dn.site AND fl.vm_name = dn.vm_name),
+    g AS (SELECT * REPLACE (CASE WHEN known > 0 THEN known ELSE provisioned_mib END AS provisioned_mib), provisioned_mib AS raw, known <= 0 AS fallback FROM b), guest AS (SELECT * REPLACE (least(coalesce(u, in_use_mib), provisioned_mib) AS in_use_mib) FROM g)"""
+
+
+def _fleet_guest(spark, sf_dir) -> DataFrame:
+    return D.guest_capacity(fx.fleet(spark, sf_dir), fx.fleet_partitions(spark, sf_dir), fx.fleet_disks(spark, sf_dir).drop("mob_id"), ["source_file"])
+
+
+@query(f"WITH {_FLEET_GUEST} SELECT row_index, site AS source_file, provisioned_mib, in_use_mib, fallback AS capacity_fallback FROM guest")
+def fleet_guest_capacity(spark, sf_dir):
+    """By UUID where a machine has one, else by name, within its export."""
+    return _fleet_guest(spark, sf_dir).select("row_index", "source_file", "provisioned_mib", "in_use_mib", "capacity_fallback")
+
+
+@query(f"""WITH {_FLEET_GUEST} SELECT site AS source_file, count(*) AS total_vms, count(*) FILTER (fallback) AS fallback_count, sum(raw) AS pre_provisioned_mib, sum(provisioned_mib) AS post_provisioned_mib, sum(in_use_mib) AS post_in_use_mib,
+    0::BIGINT AS vsan_vm_count, abs(sum(raw) - sum(provisioned_mib)) > 0.5 AS changed FROM guest GROUP BY 1""")
+def fleet_capacity_report(spark, sf_dir):
+    return D.capacity_report(_fleet_guest(spark, sf_dir), by=["source_file"])
+
+
+_THIRD = f"""third AS (SELECT lower({o.name("o_orderkey * 3")}) AS vm_name, (o_orderkey * 3 + 2)::DOUBLE AS provisioned_mib, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey * 3 + 0.25 END::DOUBLE AS in_use_mib,
+    CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey * 21)::DOUBLE END AS peak_iops, {o.name("o_orderkey * 3")} AS spelled FROM orders)"""
+
+
+@query(f"""WITH {o.INVENTORY}, {_SECOND}, {_THIRD}, k AS (SELECT lower(vm_name) AS k FROM inv UNION SELECT vm_name FROM second UNION SELECT vm_name FROM third)
+    SELECT coalesce(i.vm_name, s.vm_name, t.spelled) AS vm_name, coalesce(i.os_name, CASE WHEN s.vm_name IS NOT NULL THEN 'other os' ELSE 'third os' END) AS os_name, coalesce(i.num_cpus, CASE WHEN s.vm_name IS NOT NULL THEN 2 ELSE 3 END) AS num_cpus,
+    coalesce(i.provisioned_mib, s.provisioned_mib, t.provisioned_mib) AS provisioned_mib, CASE WHEN t.in_use_mib > 0 THEN t.in_use_mib WHEN s.in_use_mib > 0 THEN s.in_use_mib ELSE i.in_use_mib END AS in_use_mib,
+    coalesce(i.datacenter, CASE WHEN s.vm_name IS NOT NULL THEN 'DC2' ELSE 'DC3' END) AS datacenter, coalesce(i.hw_version, 0) AS hw_version, coalesce(t.peak_iops, s.peak_iops) AS peak_iops, 'merged' AS source_format
+    FROM k LEFT JOIN inv i ON k = lower(i.vm_name) LEFT JOIN second s ON k = s.vm_name LEFT JOIN third t ON k = t.vm_name""")
+def folded_sources(spark, sf_dir):
+    """Three sources, by priority, in one grouped aggregation."""
+    first = fx.inventory(spark, sf_dir).drop("peak_iops", "avg_iops")
+    rows = M.fold_sources([first, fx.second_source(spark, sf_dir), fx.third_source(spark, sf_dir)])
+    return rows.select("vm_name", "os_name", "num_cpus", "provisioned_mib", "in_use_mib", "datacenter", "hw_version", "peak_iops", "source_format")
+
+
+@query(f"""WITH {o.INVENTORY}, {_SECOND}, {_THIRD}, u AS (SELECT lower(vm_name) AS k, 0 AS i FROM inv UNION SELECT vm_name, 1 FROM second UNION SELECT vm_name, 2 FROM third), g AS (SELECT k, string_agg(i::VARCHAR, '+' ORDER BY i) AS sources FROM u GROUP BY 1)
+    SELECT sources, count(*) AS names FROM g GROUP BY 1""")
+def fold_statistics(spark, sf_dir):
+    return M.fold_statistics([fx.inventory(spark, sf_dir), fx.second_source(spark, sf_dir), fx.third_source(spark, sf_dir)])
+
+
 @query(f"WITH {o.SIZED} SELECT row_index, drr, 2.0::DOUBLE AS flat, drr AS by_table FROM sized")
 def ratio_lookup(spark, sf_dir):
     rows = R.attach_ratio(classified(spark, sf_dir), T.ratios(spark))
@@ -246,6 +308,31 @@ def edited(spark, sf_dir):
     return rows.select("row_index", "workload_category", "workload_subcategory", "drr", "is_ignored")
 
 
+def _last(column: str, value: str, when: str) -> str:
+    """The value of a machine's last edit that has one."""
+    return f"arg_max({value}, l_linenumber) FILTER ({when}) AS {column}"
+
+
+def _edited(upto: int) -> str:
+    cols = ", ".join((_last("c", "'edit ' || l_linenumber", "l_linenumber % 3 = 1"), _last("s", "'part ' || (9 - l_linenumber)", "l_linenumber % 2 = 0"), _last("d", "10.0::DOUBLE - l_linenumber", "l_linenumber % 4 <> 3"), _last("g", "l_linenumber % 2 = 1", "l_linenumber >= 5")))
+    return f"""WITH {o.SIZED}, e AS (SELECT l_orderkey AS k, {cols} FROM lineitem WHERE l_linenumber <= {upto} GROUP BY 1)
+    SELECT row_index, coalesce(c, workload_category) AS workload_category, coalesce(s, workload_subcategory) AS workload_subcategory, coalesce(d, drr) AS drr, coalesce(g, false) AS is_ignored FROM sized LEFT JOIN e ON row_index = k"""
+
+
+@query(_edited(99))
+def edit_log(spark, sf_dir):
+    """Several edits a machine; the last of each column counts."""
+    rows = R.apply_edits(sized(spark, sf_dir).withColumn("is_ignored", F.lit(False)), fx.edit_log(spark, sf_dir))
+    return rows.select("row_index", "workload_category", "workload_subcategory", "drr", "is_ignored")
+
+
+@query(_edited(3))
+def edit_log_until(spark, sf_dir):
+    """The same as of the third edit."""
+    rows = R.apply_edits(sized(spark, sf_dir).withColumn("is_ignored", F.lit(False)), fx.edit_log(spark, sf_dir), until=3)
+    return rows.select("row_index", "workload_category", "workload_subcategory", "drr", "is_ignored")
+
+
 @query(f"""WITH {o.SIZED} SELECT row_index, CASE WHEN row_index % 50 = 0 THEN 'Web Servers' ELSE workload_category END AS workload_category, CASE WHEN row_index % 50 = 0 THEN 1.5 ELSE drr END::DOUBLE AS drr, row_index % 50 = 0 AS is_ignored,
     greatest(CASE WHEN row_index % 50 = 0 THEN 1.5 ELSE drr END - 1.45, 0.1)::DOUBLE AS typed FROM sized""")
 def reassigned(spark, sf_dir):

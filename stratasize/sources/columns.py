@@ -114,25 +114,26 @@ def resolve(columns: Collection[str], aliases: Mapping[str, list[str]], required
     return found
 
 
-def named(df: DataFrame, aliases: Mapping[str, list[str]], required: Collection[str] = (), row_wise: bool = False) -> DataFrame:
-    """df with canonical names for the columns that aliases know; others go. row_wise: the first spelling that isn't
-    blank in a row wins, instead of the first that the table has."""
+def named(df: DataFrame, aliases: Mapping[str, list[str]], required: Collection[str] = (), row_wise: bool = False, carry: Collection[str] = ()) -> DataFrame:
+    """df with canonical names for the columns that aliases know; others go, but for those in `carry`, which say where a
+    row is from. row_wise: the first spelling that isn't blank in a row wins, instead of the first that the table has."""
     df = trimmed(df)
     found = resolve(df.columns, aliases, required)
-    cols = []
+    cols = [F.col(f"`{c}`") for c in carry if c in df.columns]
     for name, spelling in found.items():
         own = [F.col(f"`{a}`").cast("string") for a in aliases[name] if a in df.columns] if row_wise else [F.col(f"`{spelling}`")]
         cols.append((F.coalesce(*[F.when(X.stripped(c) != "", c) for c in own], own[0]) if row_wise else own[0]).alias(name))
     return df.select(*cols)
 
 
-def canonical(df: DataFrame, aliases: Mapping[str, list[str]], source_format: str, keep: Collection[str] = (), row_wise: bool = False) -> DataFrame:
-    """An export's main table as the canonical table, one projection; `keep` names further known columns to leave in.
+def canonical(df: DataFrame, aliases: Mapping[str, list[str]], source_format: str, keep: Collection[str] = (), row_wise: bool = False, carry: Collection[str] = ()) -> DataFrame:
+    """An export's main table as the canonical table, one projection; `keep` names further known columns to leave in,
+    `carry` columns to leave as they are.
 
     Blanks: texts "", numbers 0, template false; powered on is true without the column and false for a blank cell.
     Measured columns are null where nothing was measured.
     """
-    rows = named(df, aliases, REQUIRED, row_wise)
+    rows = named(df, aliases, REQUIRED, row_wise, carry)
     col = lambda name: F.col(name) if name in rows.columns else F.lit(None)
 
     def one(field: T.StructField) -> Column:
@@ -149,7 +150,7 @@ def canonical(df: DataFrame, aliases: Mapping[str, list[str]], source_format: st
             return X.text_or_empty(col(name))
         return X.whole(col(name)) if isinstance(field.dataType, T.IntegerType) else X.number(col(name))
 
-    extra = [F.col(c) for c in keep if c in rows.columns]
+    extra = [F.col(c) for c in (*keep, *carry) if c in rows.columns]
     return rows.select(*[one(f).cast(f.dataType).alias(f.name) for f in CANONICAL], *extra)
 
 

@@ -151,25 +151,33 @@ def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+#: Columns that say where a row is from, and the one by which sheets of several files belong together.
+ORIGIN, FILE = ("source_file", "row_no"), "source_file"
+
+
 def inventory(sheets: Mapping[str, DataFrame], source_format: str) -> DataFrame:
-    """An export's sheets as the canonical table, templates left out. Optional sheets may be missing.
+    """An export's sheets as the canonical table, templates left out; source_file and row_no stay where sheets have them.
+    Optional sheets may be missing.
 
     RVTools: guest capacity from vPartition and vDisk. LiveOptics workbooks: disks and performance from their sheets.
+    Sheets may hold many files: where all of them have source_file, ids and names count within a file.
     """
+    if source_format not in ("rvtools", "liveoptics_xlsx", "liveoptics_csv"):
+        raise UnknownFormat(source_format)
+    main = sheets[_MAIN.get(source_format, "VMs")]
+    used = [main, *(sheets[s] for s in ("vPartition", "vDisk", "VM Disks", "VM Performance") if s in sheets)]
+    by = [FILE] if all(FILE in t.columns for t in used) else []
+    other = lambda s, aliases, need: t if s in sheets and need <= set((t := C.named(sheets[s], aliases, carry=by)).columns) else None
     if source_format == "rvtools":
-        keep = ("vm_uuid", "total_disk_capacity_mib", "vm_path")
-        rows = C.canonical(sheets["vInfo"], C.RVTOOLS, source_format, keep)
-        part, disk = (C.named(sheets[s], a) if s in sheets else None for s, a in (("vPartition", C.VPARTITION), ("vDisk", C.VDISK)))
-        rows = guest_capacity(rows, part if part is not None and "capacity_mib" in part.columns else None, disk if disk is not None and "capacity_mib" in disk.columns else None)
-        return without_templates(rows)
-    if source_format == "liveoptics_xlsx":
-        rows = C.canonical(sheets["VMs"], C.LIVEOPTICS, source_format, ("mob_id",))
-        rows = override_by_disks(rows, C.named(sheets["VM Disks"], C.VM_DISKS) if "VM Disks" in sheets else None)
-        samples = C.named(sheets["VM Performance"], C.PERFORMANCE) if "VM Performance" in sheets else None
-        return without_templates(attach_performance(rows, samples if samples is not None and {"vm_name", "peak_iops"} <= set(samples.columns) else None))
-    if source_format == "liveoptics_csv":
-        return without_templates(C.canonical(sheets["VMs"], C.LIVEOPTICS, source_format))
-    raise UnknownFormat(source_format)
+        rows = C.canonical(main, C.RVTOOLS, source_format, ("vm_uuid", "total_disk_capacity_mib", "vm_path"), carry=ORIGIN)
+        rows = guest_capacity(rows, other("vPartition", C.VPARTITION, {"capacity_mib"}), other("vDisk", C.VDISK, {"capacity_mib"}), by)
+    elif source_format == "liveoptics_xlsx":
+        rows = C.canonical(main, C.LIVEOPTICS, source_format, ("mob_id",), carry=ORIGIN)
+        rows = override_by_disks(rows, other("VM Disks", C.VM_DISKS, set()), by)
+        rows = attach_performance(rows, other("VM Performance", C.PERFORMANCE, {"vm_name", "peak_iops"}), by)
+    else:
+        rows = C.canonical(main, C.LIVEOPTICS, source_format, carry=ORIGIN)
+    return without_templates(rows)
 
 
 def read_ratios(spark: SparkSession, path: str) -> DataFrame:
