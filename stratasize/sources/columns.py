@@ -116,13 +116,20 @@ def resolve(columns: Collection[str], aliases: Mapping[str, list[str]], required
 
 def named(df: DataFrame, aliases: Mapping[str, list[str]], required: Collection[str] = (), row_wise: bool = False, carry: Collection[str] = ()) -> DataFrame:
     """df with canonical names for the columns that aliases know; others go, but for those in `carry`, which say where a
-    row is from. row_wise: the first spelling that isn't blank in a row wins, instead of the first that the table has."""
+    row is from. The first spelling that the table has wins; in a table of many files (with source_file) the first that a
+    row's file has, that is, in which the cell isn't null; with row_wise the first that isn't blank in a row."""
     df = trimmed(df)
     found = resolve(df.columns, aliases, required)
     cols = [F.col(f"`{c}`") for c in carry if c in df.columns]
     for name, spelling in found.items():
-        own = [F.col(f"`{a}`").cast("string") for a in aliases[name] if a in df.columns] if row_wise else [F.col(f"`{spelling}`")]
-        cols.append((F.coalesce(*[F.when(X.stripped(c) != "", c) for c in own], own[0]) if row_wise else own[0]).alias(name))
+        own = [F.col(f"`{a}`").cast("string") for a in aliases[name] if a in df.columns]
+        if row_wise:
+            own = [F.coalesce(*[F.when(X.stripped(c) != "", c) for c in own], own[0])]
+        elif "source_file" in df.columns and len(own) > 1:
+            own = [F.coalesce(*own)]
+        else:
+            own = [F.col(f"`{spelling}`")]
+        cols.append(own[0].alias(name))
     return df.select(*cols)
 
 

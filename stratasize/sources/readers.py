@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator, Mapping
+from array import array
+from collections.abc import Iterable, Iterator, Mapping
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,9 @@ from stratasize.functions import expressions as X
 from stratasize.functions.tables import iops as default_iops
 from stratasize.operators.capacity import attach_performance, guest_capacity, override_by_disks
 from stratasize.operators.filters import without_templates
+from stratasize.operators.ratios import small
 from stratasize.sources import columns as C
+from stratasize.sources.sinks import stored
 
 #: Bytes of a file as it is, and of what an archive holds (fixed values).
 MOST_FILE, MOST_UNPACKED = 50 << 20, 100 << 20
@@ -27,6 +31,8 @@ SHEET_ROWS = "source_file string, sheet string, row_no int, cells map<string,str
 _MAIN = {"rvtools": "vInfo", "liveoptics_xlsx": "VMs"}
 #: How an assessment's workbook is named (a fixed value); the most columns that a sheet can have.
 _ASSESSMENT, _MOST_HEADERS = re.compile(r"LiveOptics_\d+_VMWARE_\d{2}_\d{2}_\d{4}\.xlsx", re.I), 16_384
+#: Rows of a file that leave its task together.
+_ROWS_AT_ONCE = 2_000
 _NUMBER = re.compile(r"([A-Z]+)\d*$")
 
 
@@ -34,25 +40,74 @@ class UnknownFormat(ValueError):
     """An export that is none of the known ones."""
 
 
-def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files at path by encoding: UTF-8 where a file decodes as such, else ISO-8859-1. Each file is probed on the
-    executors; only names come back."""
-    probe = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("t"), "content")
-    fine = F.coalesce((F.try_to_binary("t", F.lit("utf-8")) == F.col("content")) & F.is_valid_utf8("t"), F.lit(False))
-    out: dict[str, list[str]] = {}
-    for r in probe.select("path", F.when(fine, "UTF-8").otherwise("ISO-8859-1").alias("encoding")).orderBy("path").collect():
-        out.setdefault(r["encoding"], []).append(r["path"])
-    return out
+def _text(content: bytes, encoding: str | None = None) -> tuple[str, str]:
+    """A file's text and encoding: UTF-8, with or without a byte order mark, where it decodes as such, else ISO-8859-1."""
+    for e in [encoding] if encoding else ["UTF-8", "ISO-8859-1"]:
+        try:
+            return content.decode("utf-8-sig" if e.upper() == "UTF-8" else e), e
+        except UnicodeDecodeError:
+            continue
+    raise ValueError(f"not {encoding}")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV export as texts, headers trimmed. The encoding is probed for each file where it isn't given."""
-    files = {encoding: [path]} if encoding else encodings(spark, path)
-    read = [C.trimmed(spark.read.csv(own, header=True, inferSchema=False, encoding=e, multiLine=True, escape='"')) for e, own in sorted(files.items(), reverse=True)]
-    out = read[0]
-    for more in read[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out
+def _csv_rows(text: str) -> Iterator[list[str]]:
+    """The records of a CSV text that aren't blank, as Spark reads them."""
+    return (r for r in csv.reader(io.StringIO(text, newline="")) if any(r))
+
+
+def _clean(header: Iterable[str]) -> list[str]:
+    return [c.lstrip("\ufeff").strip() for c in header]
+
+
+def csv_headers(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(source_file, encoding, header) of each CSV file at a path; files are probed in tasks."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text, found = _text(content or b"", encoding)
+                out.append((name, found, _clean(next(_csv_rows(text), []))))
+            yield pa.RecordBatch.from_pylist([dict(zip(("source_file", "encoding", "header"), r, strict=True)) for r in out], schema=pa.schema([("source_file", pa.string()), ("encoding", pa.string()), ("header", pa.list_(pa.string()))]))
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("source_file"), "content")
+    return files.mapInArrow(probe, "source_file string, encoding string, header array<string>")
+
+
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(encoding, files): how many files at path have each encoding."""
+    return csv_headers(spark, path).groupBy("encoding").agg(F.count(F.lit(1)).alias("files"))
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, origin: bool = False) -> DataFrame:
+    """CSV exports as texts, any number of files, each by its own header: the columns are all files' headers, trimmed, in
+    the order in which they first stand. A cell is null where its file lacks the column, and empty where it is blank.
+
+    The encoding is probed for each file where it isn't given. All files are one scan, since texts are read as bytes and
+    decoded by their file's encoding; only the distinct headers' names reach the driver. Of names that a file repeats the
+    first counts. With origin, source_file and row_no (a row's number in its file, from 0) stand first; numbering sorts
+    each file in one task.
+    """
+    probed = stored(csv_headers(spark, path, encoding), "csv-headers")
+    found = probed.select(F.posexplode("header").alias("at", "name")).where("name <> ''").groupBy("name").agg(F.min("at").alias("at"))
+    names = [r["name"] for r in found.orderBy("at", "name").limit(_MOST_HEADERS + 1).collect()]
+    if len(names) > _MOST_HEADERS:
+        raise ValueError(f"more than {_MOST_HEADERS} headers over all files")
+    width = probed.agg(F.max(F.size("header"))).first()[0] or 1
+    cells = [f"_c{i}" for i in range(width)]
+    raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in cells), enforceSchema=True, encoding=encoding or "ISO-8859-1", multiLine=True, escape='"')
+    raw = raw.select(F.array(*cells).alias("__cells"), F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__id"))
+    where = F.transform(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.array_position("header", n).cast("int"))
+    known = small(probed.select("source_file", (F.col("encoding") == "UTF-8").alias("__utf8"), where.alias("__where")))
+    rows = raw.join(known, F.col("__file") == F.col("source_file"))
+    decoded = lambda c: F.when(F.col("__utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c) if encoding is None else c
+
+    def one(i: int, name: str) -> Column:
+        at = F.col("__where")[i]
+        return F.when(at > 0, F.coalesce(decoded(F.col("__cells")[at - 1]), F.lit(""))).alias(name)
+
+    own = [] if not origin else ["source_file", (F.row_number().over(W.partitionBy("source_file").orderBy("__id")) - 1).alias("row_no")]
+    return rows.select(*own, *[one(i, n) for i, n in enumerate(names)])
 
 
 def detect(columns_or_sheets: set[str] | list[str], csv: bool) -> str:
@@ -67,34 +122,70 @@ def detect(columns_or_sheets: set[str] | list[str], csv: bool) -> str:
 
 
 def detect_files(sheets: DataFrame) -> DataFrame:
-    """(source_file, source_format) of a fleet's workbooks; null for unknown ones."""
-    by_file = sheets.where("sheet IS NOT NULL").groupBy("source_file").agg(F.collect_set("sheet").alias("sheets"))
-    found = F.when(F.array_contains("sheets", "vInfo"), "rvtools").when(F.array_contains("sheets", "VMs"), "liveoptics_xlsx")
+    """(source_file, source_format) of a fleet's files; null for unknown ones."""
+    said = F.coalesce(F.max((F.col("sheet") == "csv") & (F.map_contains_key("cells", F.lit("VM Name")) | F.map_contains_key("cells", F.lit("VM OS")))), F.lit(False))
+    by_file = sheets.where("sheet IS NOT NULL").groupBy("source_file").agg(F.collect_set("sheet").alias("sheets"), said.alias("csv"))  # the sheets of a file
+    found = F.when(F.array_contains("sheets", "vInfo"), "rvtools").when(F.array_contains("sheets", "VMs"), "liveoptics_xlsx").when(F.col("csv"), "liveoptics_csv")
     return by_file.select("source_file", found.alias("source_format"))
 
 
+def lacking(sheets: DataFrame, source_format: str) -> DataFrame:
+    """(source_file, reject): files of a format whose main sheet lacks required columns, and which."""
+    aliases = C.RVTOOLS if source_format == "rvtools" else C.LIVEOPTICS
+    main = sheets.where(F.col("sheet") == _MAIN.get(source_format, "csv")).groupBy("source_file").agg(F.max(F.map_keys("cells")).alias("keys"))
+    gone = F.filter(F.array(*[F.when(~F.arrays_overlap("keys", F.array(*[F.lit(a) for a in aliases[c]])), F.lit(c)) for c in C.REQUIRED]), lambda c: c.isNotNull())
+    return main.select("source_file", gone.alias("gone")).where(F.size("gone") > 0).select("source_file", F.concat(F.lit("missing columns: "), F.array_join("gone", ", ")).alias("reject"))
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """SHEET_ROWS of all workbooks, and of archives that hold one, at a path or pattern: a row for each row of a sheet,
-    its cells by header. Files are decoded in parallel, each in one task within a bounded size; those that are too
-    large or broken come back as one row with `reject`.
+    """SHEET_ROWS of all workbooks, and of archives that hold one, at a path or pattern; see decoded_files()."""
+    return decoded_files(spark.read.format("binaryFile").load(path))
+
+
+def decoded_files(files: DataFrame, texts: bool = False) -> DataFrame:
+    """SHEET_ROWS of files (path, length, content): a row for each row of a sheet, its cells by header. With texts, a file
+    that is no archive is read as CSV, one sheet named `csv`. Files are decoded in parallel, each in one task within a bounded size, rows as they are parsed, and
+    go on in batches; those that are too large or broken come back as one row with `reject`.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for file in files.itertuples():
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([list(c.items()) if c is not None else None for c in v] if i == 3 else v, t) for i, (v, t) in enumerate(zip(columns, kinds, strict=True))], ["source_file", "sheet", "row_no", "cells", "reject"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for i in range(some.num_rows):
+                path, content, rows = some.column(0)[i].as_py(), some.column(1)[i].as_py(), []
                 try:
-                    rows = [(file.path, s, n, cells, None) for s, n, cells in workbook_rows(bytes(file.content))]
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows = [(file.path, None, None, None, str(e)[:200])]
-                yield pd.DataFrame(rows, columns=["source_file", "sheet", "row_no", "cells", "reject"]).astype({"row_no": "Int32"})
-
-    small = F.col("length") <= MOST_FILE
-    files = spark.read.format("binaryFile").load(path)
-    decoded = files.where(small).select("path", "content").mapInPandas(run, SHEET_ROWS)
-    large = files.where(~small).select(F.col("path").alias("source_file"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("row_no"), F.lit(None).cast("map<string,string>").alias("cells"), F.lit("file too large").alias("reject"))
+                    for found in workbook_rows(content) if content[:2] == b"PK" or not texts else csv_rows(content):
+                        rows.append((path, *found, None))
+                        if len(rows) == _ROWS_AT_ONCE:
+                            yield batch(rows)
+                            rows = []
+                except (ValueError, KeyError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows.append((path, None, None, None, str(e)[:200]))
+                yield batch(rows)
+
+    fits = F.col("length") <= MOST_FILE
+    decoded = files.where(fits).select("path", "content").mapInArrow(run, SHEET_ROWS)
+    large = files.where(~fits).select(F.col("path").alias("source_file"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("row_no"), F.lit(None).cast("map<string,string>").alias("cells"), F.lit("file too large").alias("reject"))
     return decoded.unionByName(large)
 
 
+def csv_rows(content: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
+    """(`csv`, row number, cells by header) of a CSV file. Raises ValueError for what is no text."""
+    text, _ = _text(content)
+    if "\x00" in text:
+        raise ValueError("neither a workbook nor a text")
+    header = None
+    for n, row in enumerate(_csv_rows(text)):
+        if header is None:
+            header = _clean(row)
+        else:
+            yield "csv", n - 1, {h: row[i] if i < len(row) else "" for i, h in reversed(list(enumerate(header))) if h}
+
+
 def archive_member(names: list[str]) -> str | None:
     """The workbook in an archive: the first that is named as an assessment of virtual machines is, else the first at all."""
     books = [n for n in names if n.lower().endswith(".xlsx") and not posixpath.basename(n).startswith((".", "~"))]
@@ -114,13 +205,13 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
         return
     local = lambda e: e.tag.rpartition("}")[2]
     text = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
-    shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
+    shared = SharedTexts(text(e) for e in _elements(book, "xl/sharedStrings.xml", "si")) if "xl/sharedStrings.xml" in book.namelist() else None
     targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     for sheet in (e for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if local(e) == "sheet"):
         rel = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
         part = targets[rel].lstrip("/")
         header, n = None, 0
-        for row in (e for e in ElementTree.fromstring(book.read(part if part.startswith("xl/") else f"xl/{part}")).iter() if local(e) == "row"):
+        for row in _elements(book, part if part.startswith("xl/") else f"xl/{part}", "row"):
             cells = {}
             for c in row:
                 value = next((x.text for x in c if local(x) == "v"), None)
@@ -131,10 +222,40 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, dict[str, str]]]:
             if header is None:
                 header = {k: v.strip() for k, v in cells.items()}
             elif cells:
-                yield sheet.get("name"), n, {header[k]: v for k, v in cells.items() if header.get(k)}
+                yield sheet.get("name"), n, {v: cells.get(k, "") for k, v in reversed(header.items()) if v}
                 n += 1
 
 
+def _elements(book: zipfile.ZipFile, part: str, name: str) -> Iterator[ElementTree.Element]:
+    """The elements of one name in a part of a workbook, one at a time: each is let go before the next is parsed."""
+    with book.open(part) as file:
+        inside = []
+        for event, e in ElementTree.iterparse(file, events=("start", "end")):
+            if event == "start":
+                inside.append(e)
+                continue
+            inside.pop()
+            if e.tag.rpartition("}")[2] == name:
+                yield e
+                if inside:
+                    inside[-1].clear()
+
+
+class SharedTexts:
+    """The texts that a workbook's cells point to, in one buffer."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.ends, self.data = array("Q", [0]), bytearray()
+        for t in texts:
+            self.data += t.encode()
+            self.ends.append(len(self.data))
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < len(self.ends) - 1:
+            raise ValueError(f"no shared text {i}")
+        return self.data[self.ends[i] : self.ends[i + 1]].decode()
+
+
 def sheet(rows: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame | None:
     """One sheet of read_workbooks() as a table of texts, with source_file and row_no; None if no file has it. The
     columns are the distinct headers unless given; more than one sheet can have are an error."""
