@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratasize.functions import expressions as X
+from stratasize.sources.sinks import stored
 
 
 def without_templates(df: DataFrame) -> DataFrame:
@@ -89,27 +90,37 @@ def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = ("source_f
     return df.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order, ties)) - 1).cast("long"))
 
 
-def numbered_globally(df: DataFrame, order: Sequence[str], name: str = "row_index", range_rows: int = 100_000) -> DataFrame:
-    """A row number from 0 over the whole table, nulls first; ties by all of a row's text.
+#: monotonically_increasing_id() holds a partition's number above so many bits.
+_PLACE_BITS = 33
 
-    Rows fall into ranges of about range_rows between bounds from a hashed sample (20 keys a range), are numbered in
-    their range, and get the counts of the ranges before added. Bounds are literals, so a repeated task gives the same.
+
+def numbered_by_ranges(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_index") -> DataFrame:
+    """A row number from 0 in the order given, nulls first, over the whole table or within each group of the columns `by`;
+    ties by a hash of all of a row's text.
+
+    Rows are dealt to range partitions, sorted and written once; a row's number is its place in its partition and the
+    rows of the partitions before, of which only the counts reach the driver. A group's numbers start at its first row.
+    So no task sees more than a range, whatever a group's size, and equal rows are dealt over ranges as well. The plan
+    doesn't grow with the rows.
     """
-    ties = F.to_json(F.struct(*df.columns))
-    keyed = df.withColumn("__key", F.struct(*[F.col(c) for c in order], F.xxhash64(ties).alias("__h")))
-    ranges, space = -(-df.count() // range_rows), 1 << 30
-    bounds = []
-    if ranges > 1:
-        share = max(1, space * 20 // range_rows)
-        keys = [r["__key"] for r in keyed.where(F.pmod(F.xxhash64(ties, F.lit(1)), F.lit(space)) < share).select("__key").orderBy("__key").collect()]
-        bounds = keys[:: max(1, len(keys) // ranges)][1:]
-    kind = keyed.schema["__key"].dataType
-    known = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind)]) for b in bounds]
-    # The number of bounds that aren't above a key.
-    part = F.size(F.filter(F.array(*known), lambda b: b <= F.col("__key"))) if known else F.lit(0)
-    rows = keyed.withColumn("__range", part)
-    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(F.col("__range").alias("__r"), (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a range
-    nth = F.row_number().over(W.partitionBy("__range").orderBy("__key", ties)) - 1
-    found = rows.withColumn("__nth", nth).join(F.broadcast(before), F.col("__range") == F.col("__r"))
-    return found.withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).drop("__key", "__range", "__nth", "__r", "__before")
+    keys = [*by, *order, "__hash", "__deal"]
+    keyed = df.withColumns({"__hash": F.xxhash64(F.to_json(F.struct(*df.columns))), "__deal": F.xxhash64(F.monotonically_increasing_id())})
+    laid = stored(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__hash", "__deal").withColumn("__place", F.monotonically_increasing_id()), "ranges")
+    part, before = F.shiftrightunsigned("__place", _PLACE_BITS), []
+    for r in laid.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        before.append((r["p"], before[-1][1] + before[-1][2] if before else 0, r["n"]))
+    known = df.sparkSession.createDataFrame(before, "__part long, __before long, __n long").drop("__n")
+    number = F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    found = laid.join(F.broadcast(known), part == F.col("__part")).withColumn(name, number)  # a row for each partition
+    if by:
+        first = found.groupBy(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)]).agg(F.min(name).alias("__first"))
+        met = F.lit(True)
+        for i, c in enumerate(by):
+            met = met & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
+        found = found.join(first, met).withColumn(name, F.col(name) - F.col("__first")).drop("__first", *[f"__by_{i}" for i in range(len(by))])
+    return found.drop("__place", "__part", "__before")
+
+
+def numbered_globally(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
+    """A row number from 0 over the whole table; see numbered_by_ranges()."""
+    return numbered_by_ranges(df, order, (), name)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from heapq import heappush, heapreplace
 
 import numpy as np
 import pandas as pd
@@ -12,16 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratasize.functions.tables import AVERAGE_OF_PEAK, DEFAULT_IOPS
-from stratasize.operators.filters import has_measurements
+from stratasize.operators.filters import has_measurements, numbered_by_ranges
 from stratasize.operators.ratios import small
 from stratasize.sources.sinks import stored
 
 # Isolation, tiers, the budget that headroom is measured against, utilisation bands.
 ISOLATE_MIB, ISOLATE_IOPS, HOT_IOPS, WARM_IOPS, HOT_MACHINES, HEADROOM_IOPS = 2.0 * 1024 * 1024, 5_000.0, 500.0, 100.0, 10, 100_000.0
 HIGH_BAND, MIDDLE_BAND = 80.0, 60.0
-#: Machines that the exact greedy takes as one group; its time grows with machines x bins.
+#: Machines that the exact greedy takes as one group; a larger one is dealt to parts.
 MOST_IN_GROUP = 100_000
-PLACEMENT = "strategy string, row_index long, datastore string, raw_mib double, usable_mib double"
 
 
 @dataclass(frozen=True)
@@ -66,11 +67,64 @@ def _numbered(prefix: Column | str, n: Column) -> Column:
     return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("_"), F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string")))
 
 
-def place_alone(vms: DataFrame, strategy: str, prefix: Column | str, c: Constraints, groups: Sequence[str] = ()) -> DataFrame:
-    """Each machine in a datastore of its own size, numbered by prefix in row order."""
-    rows = vms.withColumn("__prefix", prefix if isinstance(prefix, Column) else F.lit(prefix))
-    n = F.row_number().over(W.partitionBy(*groups, "__prefix").orderBy("row_index"))
-    return rows.select(*groups, F.lit(strategy).alias("strategy"), "row_index", _numbered(F.col("__prefix"), n).alias("datastore"), _own_raw(c).alias("raw_mib"), F.col("required_mib").alias("usable_mib"))
+def place_alone(vms: DataFrame, strategy: Column | str, prefix: Column | str, c: Constraints, groups: Sequence[str] = ()) -> DataFrame:
+    """Each machine in a datastore of its own size, numbered by prefix in row order; see numbered_by_ranges()."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    rows = vms.select(*groups, as_column(strategy).alias("strategy"), "row_index", as_column(prefix).alias("__prefix"), _own_raw(c).alias("raw_mib"), F.col("required_mib").alias("usable_mib"))
+    rows = numbered_by_ranges(rows, ["row_index"], [*groups, "strategy", "__prefix"], "__n")
+    return rows.select(*groups, "strategy", "row_index", _numbered(F.col("__prefix"), F.col("__n") + 1).alias("datastore"), "raw_mib", "usable_mib")
+
+
+class OpenBins:
+    """Bins by used space, ascending, in blocks that know the least IOPS among theirs, so that a search passes over whole
+    blocks without room. Of bins of equal space the one opened first comes last, since searches go from the end."""
+
+    def __init__(self, block: int = 256):
+        self.block, self.keys, self.busy = block, [[]], [[]]
+        self.firsts, self.least = [(-1.0, 0)], [np.inf]
+
+    def _at(self, key: tuple[float, int]) -> tuple[int, int]:
+        i = max(bisect_right(self.firsts, key) - 1, 0)
+        return i, bisect_left(self.keys[i], key)
+
+    def add(self, used: float, busy: float, number: int) -> None:
+        i, j = self._at((used, -number))
+        self.keys[i].insert(j, (used, -number))
+        self.busy[i].insert(j, busy)
+        self._know(i)
+        if len(self.keys[i]) > 2 * self.block:
+            half = self.block
+            self.keys.insert(i + 1, self.keys[i][half:])
+            self.busy.insert(i + 1, self.busy[i][half:])
+            del self.keys[i][half:], self.busy[i][half:]
+            self.firsts.insert(i + 1, self.keys[i + 1][0])
+            self.least.insert(i + 1, min(self.busy[i + 1]))
+            self._know(i)
+
+    def remove(self, used: float, number: int) -> None:
+        i, j = self._at((used, -number))
+        del self.keys[i][j], self.busy[i][j]
+        if not self.keys[i] and len(self.keys) > 1:
+            del self.keys[i], self.busy[i], self.firsts[i], self.least[i]
+        else:
+            self._know(i)
+
+    def _know(self, i: int) -> None:
+        self.firsts[i] = self.keys[i][0] if self.keys[i] else (-1.0, 0)
+        self.least[i] = min(self.busy[i], default=np.inf)
+
+    def fullest(self, space: float, iops: float, usable: float, budget: float) -> int | None:
+        """The fullest bin that takes so much; of equal ones the first opened."""
+        # A little beyond the space that is left, as sums are rounded; the test below is the exact one.
+        start = bisect_right(self.firsts, ((usable - space) * (1 + 1e-9) + 1e-9, 1)) - 1
+        for i in range(max(start, 0), -1, -1):
+            if self.least[i] + iops > budget:
+                continue
+            keys, busy = self.keys[i], self.busy[i]
+            for j in range(len(keys) - 1, -1, -1):
+                if keys[j][0] + space <= usable and busy[j] + iops <= budget:
+                    return -keys[j][1]
+        return None
 
 
 def best_fit(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -> list[int]:
@@ -78,58 +132,87 @@ def best_fit(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -
     takes its space, IOPS and count, or a new one. Ties keep the row order."""
     share = pd.concat([rows["required_mib"] / usable if usable > 0 else rows["required_mib"] * 0, rows["peak_iops"] / iops_budget if iops_budget > 0 else rows["peak_iops"] * 0], axis=1).max(axis=1)
     order = share.reset_index(drop=True).sort_values(ascending=False, kind="stable").index
-    space, iops, out = rows["required_mib"].to_numpy(), rows["peak_iops"].to_numpy(), [0] * len(rows)
-    used, busy, count, n = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), np.int64), 0
+    space, iops, out = rows["required_mib"].tolist(), rows["peak_iops"].tolist(), [0] * len(rows)
+    used, busy, count, open_ = [], [], [], OpenBins()
     for i in order:
-        fits = (used[:n] + space[i] <= usable) & (busy[:n] + iops[i] <= iops_budget) & (count[:n] < most)
-        b = int(np.where(fits, used[:n], -1.0).argmax()) if fits.any() else n
-        n = max(n, b + 1)
+        b = open_.fullest(space[i], iops[i], usable, iops_budget)
+        if b is None:
+            b = len(used)
+            for values in (used, busy, count):
+                values.append(0)
+        else:
+            open_.remove(used[b], b)
         used[b] += space[i]
         busy[b] += iops[i]
         count[b] += 1
+        if count[b] < most:  # a bin of so many machines takes no more
+            open_.add(used[b], busy[b], b)
         out[i] = b
     return out
 
 
 def least_loaded(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -> list[int]:
     """The bin of each row: as many bins as space or IOPS need, the largest row first into the emptiest that has the
-    space; if none has, a new one."""
+    space; if none has, a new one. A heap gives the emptiest bin, the first of equal ones."""
     space, out = rows["required_mib"].to_numpy(), [0] * len(rows)
     need = lambda total, each: -int(-total // each) if each > 0 else 1
     n = max(need(space.sum(), usable), need(rows["peak_iops"].sum(), iops_budget), 1)
-    used = np.zeros(n + len(rows))
+    heap = [(0.0, b) for b in range(n)]
     for i in np.argsort(-space, kind="stable"):
-        fits = used[:n] + space[i] <= usable
-        b = int(np.where(fits, used[:n], np.inf).argmin()) if fits.any() else n
-        n = max(n, b + 1)
-        used[b] += space[i]
+        used, b = heap[0] if heap[0][0] + space[i] <= usable else (0.0, len(heap))
+        (heapreplace if b < len(heap) else heappush)(heap, (used + float(space[i]), b))
         out[i] = b
     return out
 
 
-def place_in_groups(vms: DataFrame, strategy: str, prefix: str, c: Constraints, pack: Callable[[pd.DataFrame, float, float, int], list[int]], groups: Sequence[str] = (), most: int | None = None, alone_first: bool = True) -> DataFrame:
-    """The exact greedy of each group (an inventory, a cluster, a tier), groups in parallel; machines beyond the usable
-    space get `<prefix>_OVER_nn`. A group is one task's, of MOST_IN_GROUP machines at most: for larger ones use
-    place_by_classes() or deal_evenly()."""
-    normal = vms.where(~oversized(c)).withColumn("__all", F.lit(0))
-    largest = normal.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if largest > MOST_IN_GROUP:
-        raise ValueError(f"a group of {largest} machines is too large for the exact strategies: give smaller groups, or use place_by_classes() or deal_evenly()")
-    usable, budget, limit, raw = c.usable_mib, c.iops_budget, c.max_machines if most is None else most, c.max_mib
-    keys = list(groups)
+#: How a label's machines are packed: its function, and whether a group dealt to parts has its emptiest bins packed again.
+_RULES: dict[str, tuple[Callable, bool]] = {"best": (best_fit, True), "level": (least_loaded, False)}
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_index", kind="stable").reset_index(drop=True)
-        bins = pack(rows, usable, budget, limit)
-        return rows[keys].assign(strategy=strategy, row_index=rows["row_index"], datastore=[f"{prefix}_{b + 1:02d}" for b in bins], raw_mib=raw, usable_mib=usable)
+def _packed(rows: pd.DataFrame, c: Constraints, part_machines: int) -> pd.DataFrame:
+    """rows of one group, strategy, label and part with their bin, and `again` where the part's emptiest bins go back."""
+    rows = rows.sort_values("row_index", kind="stable").reset_index(drop=True)
+    pack, repack = _RULES[rows["rule"].iloc[0]]
+    bins = np.array(pack(rows, c.usable_mib, c.iops_budget, int(rows["most"].iloc[0])))
+    again, parts = np.zeros(len(rows), bool), int(rows["parts"].iloc[0])
+    if repack and parts > 1:
+        # The emptiest bins, by the largest of their shares, up to a part's share of one task's machines.
+        share = np.max([np.bincount(bins, rows[v]) / each for v, each in (("required_mib", c.usable_mib), ("peak_iops", c.iops_budget))] + [np.bincount(bins) / rows["most"].iloc[0]], axis=0)
+        order = np.argsort(share, kind="stable")
+        within = np.cumsum(np.bincount(bins)[order]) <= max(part_machines // parts, int(rows["most"].iloc[0]))
+        again = np.isin(bins, order[within])
+    return rows.assign(bin=bins, again=again)
 
-    schema = ", ".join([f"{k} {vms.schema[k].dataType.simpleString()}" for k in keys] + [PLACEMENT])
-    placed = normal.select(*keys, "__all", "row_index", "required_mib", "peak_iops").groupBy(*(keys or ["__all"])).applyInPandas(run, schema)
-    return placed.unionByName(place_alone(vms.where(oversized(c)), strategy, f"{prefix}_OVER", c, groups)) if alone_first else placed
 
+def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+    """The placement of planned machines: `alone` ones in datastores of their own, the others packed within their group
+    (columns `groups`: an inventory, a cluster), strategy and label, all groups, strategies and labels in one pass.
 
-def consolidation(vms: DataFrame, c: Constraints, groups: Sequence[str] = ()) -> DataFrame:
-    return place_in_groups(vms, "consolidation", "DS_CONSOL", c, best_fit, groups)
+    planned: groups, row_index, required_mib, peak_iops, strategy, label (the datastores' prefix), alone, rule, and most
+    (machines of a datastore). A group of up to part_machines machines is packed exactly, in one task. A larger one is
+    dealt by a hash to parts that are packed alone; then the parts' emptiest bins (which a greedy leaves at its end, few
+    a part) are packed once more, together. `packing` says `alone`, `exact` or `split`; parts' datastores have names
+    like <label>_p<part>_<nn>, and those packed again <label>_r_<nn>.
+    """
+    keys = [*groups, "strategy", "label"]
+    alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups).withColumn("packing", F.lit("alone"))
+    rest = planned.where("NOT alone").drop("alone")
+    sizes = rest.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_machines).cast("int").alias("parts")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rest = rest.join(sizes, met).drop(*[f"__{k}" for k in keys]).withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")).cast("int"))
+    kinds = ", ".join(f"`{k}` {planned.schema[k].dataType.simpleString()}" for k in keys) + ", row_index long, required_mib double, peak_iops double, rule string, most int, parts int, part int"
+    columns = [*keys, "row_index", "required_mib", "peak_iops", "rule", "most", "parts", "part"]
+    rest = rest.select(*keys, *[F.col(x).cast(t) for x, t in (("row_index", "long"), ("required_mib", "double"), ("peak_iops", "double"))], "rule", "most", "parts", "part")
+    packed = stored(rest.groupBy(*keys, "part").applyInPandas(lambda rows: _packed(rows, c, part_machines)[[*columns, "bin", "again"]], f"{kinds}, bin int, again boolean"), "packed")
+    # Only groups that were split have machines here; the second pass takes each as it is.
+    second = packed.where("again").withColumns({"parts": F.lit(1), "part": F.lit(-1)}).drop("bin", "again")
+    second = second.groupBy(*keys).applyInPandas(lambda rows: _packed(rows, c, part_machines)[[*columns, "bin", "again"]], f"{kinds}, bin int, again boolean")
+    found = packed.where("NOT again").unionByName(second)
+    prefix = F.when(F.col("part") < 0, F.concat("label", F.lit("_r"))).when(F.col("parts") > 1, F.concat("label", F.lit("_p"), F.col("part").cast("string"))).otherwise(F.col("label"))
+    kind = F.when((F.col("part") < 0) | (F.col("parts") > 1), "split").otherwise("exact")
+    return found.select(*groups, "strategy", "row_index", _numbered(prefix, F.col("bin") + 1).alias("datastore"), F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), kind.alias("packing")).unionByName(alone)
 
 
 def isolated() -> Column:
@@ -147,25 +230,39 @@ def tier() -> Column:
     return F.when((F.col("peak_iops") > HOT_IOPS) | F.col("workload_key").startswith("Database"), "HOT").when(F.col("peak_iops") >= WARM_IOPS, "WARM").otherwise("COLD")
 
 
-def performance(vms: DataFrame, c: Constraints, groups: Sequence[str] = ()) -> DataFrame:
-    """Isolated machines first, then each tier packed alone; hot datastores hold ten machines at most."""
-    out = place_alone(vms.where(isolated()), "performance", isolation_prefix(), c, groups)
-    rest = vms.where(~isolated()).withColumn("tier", tier())
-    for name, most in (("HOT", HOT_MACHINES), ("WARM", None), ("COLD", None)):
-        out = out.unionByName(place_in_groups(rest.where(F.col("tier") == name), "performance", f"DS_{name}", c, best_fit, groups, most))
-    return out
+def planned(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), strategies: Sequence[str] = ("consolidation", "performance", "uniform")) -> DataFrame:
+    """vms once for each strategy, with what place() needs. Consolidation packs all by best fit; performance isolates some
+    machines and packs each tier alone, hot datastores holding ten machines at most; uniform balances. Machines beyond
+    the usable space stand alone as <label>_OVER_nn."""
+    one = lambda strategy, label, alone, rule, most: F.struct(F.lit(strategy).alias("strategy"), label.alias("label"), alone.alias("alone"), F.lit(rule).alias("rule"), most.cast("int").alias("most"))
+    over = lambda label: F.when(oversized(c), F.concat(label, F.lit("_OVER"))).otherwise(label)
+    any_, hot = F.lit(c.max_machines), F.when(tier() == "HOT", HOT_MACHINES).otherwise(c.max_machines)
+    known = {
+        "consolidation": one("consolidation", over(F.lit("DS_CONSOL")), oversized(c), "best", any_),
+        "performance": one("performance", F.when(isolated(), isolation_prefix()).otherwise(over(F.concat(F.lit("DS_"), tier()))), isolated() | oversized(c), "best", hot),
+        "uniform": one("uniform", over(F.lit("DS_UNIFORM")), oversized(c), "level", any_),
+    }
+    return vms.select(*groups, "row_index", "required_mib", "peak_iops", F.explode(F.array(*[known[s] for s in strategies])).alias("p")).select(*groups, "row_index", "required_mib", "peak_iops", "p.*")
+
 
+def consolidation(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+    return place(planned(vms, c, groups, ["consolidation"]), c, groups, part_machines)
 
-def uniform(vms: DataFrame, c: Constraints, groups: Sequence[str] = ()) -> DataFrame:
-    return place_in_groups(vms, "uniform", "DS_UNIFORM", c, least_loaded, groups)
 
+def performance(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+    return place(planned(vms, c, groups, ["performance"]), c, groups, part_machines)
 
-def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = ()) -> DataFrame:
-    """The placements of the three strategies; sized has workload_key."""
+
+def uniform(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+    return place(planned(vms, c, groups, ["uniform"]), c, groups, part_machines)
+
+
+def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+    """The placements of the three strategies; sized has workload_key. Machines are read once: strategies and tiers are
+    columns, and all of them are packed in one pass."""
     c, keep = c or Constraints(), list(dict.fromkeys([*groups, "row_index", "required_mib", "peak_iops", "avg_iops", "workload_key"]))
-    # The strategies' parts read the machines again and again, so they are written once.
-    rows = with_default_iops(stored(sized.select(*keep), "layout-machines"), iops)
-    return consolidation(rows, c, groups).unionByName(performance(rows, c, groups)).unionByName(uniform(rows, c, groups))
+    rows = stored(with_default_iops(stored(sized.select(*keep), "layout-machines"), iops), "layout-iops")
+    return place(planned(rows, c, groups), c, groups, part_machines)
 
 
 def _dealt(parts: int) -> Column:
@@ -206,6 +303,18 @@ def deal_evenly(vms: DataFrame, c: Constraints, slack: float = 1.1, part_machine
     return rows.join(full, ["__part", "__bin"]).select(F.lit(strategy).alias("strategy"), "row_index", name.alias("datastore"), F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), "over_capacity")
 
 
+def deal_fully(vms: DataFrame, c: Constraints, slack: float = 1.1, part_machines: int = 100_000, salts: int = 8, strategy: str = "dealt", prefix: str = "DS_DEALT") -> DataFrame:
+    """deal_evenly() with no datastore above its space: where one got too much, its largest machines stay as far as they
+    fit, by a running sum, and the others go to place_by_classes() together, as <prefix>_MORE_..., marked handed_over."""
+    rows = stored(deal_evenly(vms, c, slack, part_machines, strategy, prefix).join(vms.select("row_index", "required_mib", "peak_iops"), "row_index"), "dealt")
+    full = rows.where("over_capacity")
+    upto = F.sum("required_mib").over(W.partitionBy("datastore").orderBy(F.desc("required_mib"), "row_index"))  # a datastore's machines
+    cut = stored(full.withColumn("handed_over", upto > c.usable_mib), "cut")
+    more = place_by_classes(cut.where("handed_over"), c, salts=salts, strategy=strategy, prefix=f"{prefix}_MORE").withColumn("handed_over", F.lit(True))
+    stay = rows.where("NOT over_capacity").withColumn("handed_over", F.lit(False)).unionByName(cut.where("NOT handed_over"))
+    return stay.select(more.columns).unionByName(more)
+
+
 def datastores(placement: DataFrame, vms: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """A row for each datastore: space, use, utilisation in percent, IOPS, machines and their workloads."""
     rows = placement.join(vms.select("row_index", "required_mib", "peak_iops", "workload_key"), "row_index")

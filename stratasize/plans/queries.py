@@ -550,7 +550,7 @@ _CLASSES = f"""{o.SIZED}, dm AS (SELECT *, greatest(required_mib / (4194304 * (1
 
 
 def _classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = sized(spark, sf_dir)
+    rows = stored(sized(spark, sf_dir), "sized")
     return J.place_by_classes(rows, J.Constraints(), salts=8), rows
 
 
@@ -573,22 +573,54 @@ def layout_metrics(spark, sf_dir):
     return rounded(found.select("total_ds_count", "avg_utilization_pct", "avg_vm_density", "max_vm_density", "total_iops_placed", "isolation_score", "snapshot_granularity_rating"))
 
 
-@query()
+#: The greedies, a machine a step, over all groups (cluster, strategy, label) at once; bins are lists.
+_PROPOSED = f"""{o.SIZED}, c AS (SELECT 4194304 * ((1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE)) AS u, 100000.0::DOUBLE AS b),
+    t AS (SELECT cluster, row_index, required_mib AS s, peak_iops AS p, workload_key AS w, u, b, required_mib > u AS big, contains(workload_key, 'SAP HANA') OR contains(workload_key, 'Exchange') OR required_mib > 2097152 OR peak_iops > 5000 AS iso,
+        CASE WHEN peak_iops > 500 OR workload_key LIKE 'Database%' THEN 'HOT' WHEN peak_iops >= 100 THEN 'WARM' ELSE 'COLD' END AS tier FROM sized, c),
+    pl AS (SELECT *, 'consolidation' AS strategy, 'DS_CONSOL' || CASE WHEN big THEN '_OVER' ELSE '' END AS label, big AS alone, 25 AS most FROM t UNION ALL SELECT *, 'uniform', 'DS_UNIFORM' || CASE WHEN big THEN '_OVER' ELSE '' END, big, 0 FROM t
+        UNION ALL SELECT *, 'performance', CASE WHEN iso THEN CASE WHEN contains(w, 'HANA') THEN 'DS_HANA' WHEN contains(w, 'Exchange') THEN 'DS_EXCHANGE' WHEN contains(w, 'Oracle') THEN 'DS_ORA' ELSE 'DS_ISOLATED' END ELSE 'DS_' || tier || CASE WHEN big THEN '_OVER' ELSE '' END END,
+        iso OR big, CASE WHEN tier = 'HOT' THEN 10 ELSE 25 END FROM t),
+    od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cluster, strategy, label ORDER BY CASE WHEN most = 0 THEN s ELSE greatest(s / u, p / b) END DESC, row_index) AS i FROM pl WHERE NOT alone),
+    re AS (SELECT cluster, strategy, label, 0::BIGINT AS i, [0.0::DOUBLE for x in range(CASE WHEN any_value(most) = 0 THEN greatest(ceil(sum(s) / any_value(u)), ceil(sum(p) / any_value(b)), 1)::BIGINT ELSE 0 END)] AS used, []::DOUBLE[] AS busy, []::BIGINT[] AS n, NULL::BIGINT AS row_index, 0::BIGINT AS bin FROM od GROUP BY ALL
+        UNION ALL SELECT cluster, strategy, label, i, CASE WHEN bin > len(used) THEN list_append(used, s) ELSE list_transform(used, lambda x, k: CASE WHEN k = bin THEN x + s ELSE x END) END,
+            CASE WHEN bin > len(busy) THEN list_append(busy, p) ELSE list_transform(busy, lambda x, k: CASE WHEN k = bin THEN x + p ELSE x END) END, CASE WHEN bin > len(n) THEN list_append(n, 1) ELSE list_transform(n, lambda x, k: CASE WHEN k = bin THEN x + 1 ELSE x END) END, row_index, bin
+        FROM (SELECT *, CASE WHEN most = 0 THEN CASE WHEN list_min(used) + s <= u THEN list_position(used, list_min(used)) ELSE len(used) + 1 END WHEN list_max(fits) >= 0 THEN list_position(fits, list_max(fits)) ELSE len(used) + 1 END::BIGINT AS bin
+        FROM (SELECT re.cluster, re.strategy, re.label, od.i, used, busy, n, s, p, u, b, most, od.row_index, CASE WHEN most > 0 THEN list_transform(used, lambda x, k: CASE WHEN x + s <= u AND busy[k] + p <= b AND n[k] < most THEN x ELSE -1 END) END AS fits
+        FROM re JOIN od ON re.cluster = od.cluster AND re.strategy = od.strategy AND re.label = od.label AND od.i = re.i + 1))),
+    al AS (SELECT cluster, strategy, row_index, label, s, row_number() OVER (PARTITION BY cluster, strategy, label ORDER BY row_index) AS bin, u FROM pl WHERE alone),
+    pr AS (SELECT cluster, strategy, row_index, label || '_' || CASE WHEN bin < 10 THEN '0' ELSE '' END || bin AS datastore, 4194304.0::DOUBLE AS raw_mib, u AS usable_mib, 'exact' AS packing FROM re, c WHERE row_index IS NOT NULL
+        UNION ALL SELECT cluster, strategy, row_index, label || '_' || CASE WHEN bin < 10 THEN '0' ELSE '' END || bin, s / ((1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE)), s, 'alone' FROM al)"""
+
+
+@query(f"WITH RECURSIVE {_PROPOSED} SELECT cluster, strategy, row_index, datastore, round(raw_mib, 4) AS raw_mib, round(usable_mib, 4) AS usable_mib, packing FROM pr")
 def layout_proposals(spark, sf_dir):
     """The exact greedy, in parallel over clusters."""
-    return J.all_proposals(sized(spark, sf_dir), T.iops(spark), groups=["cluster"])
+    return rounded(J.all_proposals(sized(spark, sf_dir), T.iops(spark), groups=["cluster"]))
 
 
-@query()
-def layout_comparison(spark, sf_dir):
+def _proposed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The figures of the three strategies over all clusters, and the machines."""
     rows = stored(sized(spark, sf_dir), "sized")
-    return J.comparison(J.layout_metrics(J.datastores(J.all_proposals(rows, T.iops(spark), groups=["cluster"]), rows, ["cluster"])))
+    return J.layout_metrics(J.datastores(J.all_proposals(rows, T.iops(spark), groups=["cluster"]), rows, ["cluster"])), rows
 
 
-@query()
+_PROPOSED_METRICS = f"""{_PROPOSED}, st AS (SELECT cluster, strategy, datastore, max(raw_mib) AS raw, max(usable_mib) AS usable, sum(required_mib) AS used, sum(peak_iops) AS iops, count(*) AS n, count(DISTINCT workload_key) AS kinds, contains(datastore, '_OVER_') AS over_
+    FROM (SELECT pr.*, required_mib, peak_iops, workload_key FROM pr JOIN sized USING (row_index)) GROUP BY 1, 2, 3),
+    mt AS (SELECT strategy, count(*) AS total_ds_count, sum(raw) AS total_raw_capacity_mib, sum(usable) AS total_usable_capacity_mib, sum(used) AS total_used_capacity_mib, avg(coalesce(used / nullif(usable, 0) * 100, 0)) AS avg_utilization_pct, min(coalesce(used / nullif(usable, 0) * 100, 0)) AS min_utilization_pct,
+    max(coalesce(used / nullif(usable, 0) * 100, 0)) AS max_utilization_pct, avg(n) AS avg_vm_density, max(n) AS max_vm_density, sum(iops) AS total_iops_placed, max(iops) AS max_iops_single_ds, greatest(1 - max(iops) / 100000, 0) * 100 AS iops_headroom_pct,
+    count(*) FILTER (kinds <= 1) / count(*) AS isolation_score, coalesce(sum(n) FILTER (over_), 0) AS oversized_vm_count FROM st GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_PROPOSED_METRICS}, v AS (SELECT strategy, unnest([{", ".join(f"'{m}'" for m in J.METRICS)}]) AS metric, unnest([{", ".join(f"{m}::DOUBLE" for m in J.METRICS)}]) AS x FROM mt)
+    SELECT metric, {", ".join(f"round(max(x) FILTER (strategy = '{s}'), 2) AS {s}" for s in ("consolidation", "performance", "uniform"))} FROM v GROUP BY 1""")
+def layout_comparison(spark, sf_dir):
+    return rounded(J.comparison(_proposed(spark, sf_dir)[0]), 2)
+
+
+@query(f"""WITH RECURSIVE {_PROPOSED_METRICS}, w AS (SELECT (SELECT count(DISTINCT workload_key) FROM sized) AS workloads, (SELECT isolation_score FROM mt WHERE strategy = 'performance') AS score)
+    SELECT CASE WHEN workloads <= 1 THEN 'consolidation' WHEN score > 0.5 THEN 'performance' ELSE 'uniform' END AS strategy, workloads, round(score, 4) AS isolation_score FROM w""")
 def layout_recommendation(spark, sf_dir):
-    rows = stored(sized(spark, sf_dir), "sized")
-    return J.recommend(J.layout_metrics(J.datastores(J.all_proposals(rows, T.iops(spark), groups=["cluster"]), rows, ["cluster"])), rows)
+    return rounded(J.recommend(*_proposed(spark, sf_dir)))
 
 
 @query(f"""WITH {o.SIZED}, n AS (SELECT count(*) AS machines, round(sum(required_mib), 2) AS used_mib, count(*) FILTER (required_mib > 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE)) AS beyond FROM sized)
@@ -659,6 +691,15 @@ def dealt_evenly(spark, sf_dir):
     return J.deal_evenly(stored(sized(spark, sf_dir), "sized"), J.Constraints(), part_machines=2000).select("row_index", "datastore", "over_capacity")
 
 
+@query(f"""WITH {_DEALT}, z AS (SELECT d.*, over_capacity, sum(required_mib) OVER (PARTITION BY part, bin ORDER BY required_mib DESC, row_index) AS upto, 4194304 * (1 - 0.15::DOUBLE) * (1 - 0.2::DOUBLE) AS u FROM d JOIN full_ USING (part, bin)),
+    hd AS (SELECT *, greatest(required_mib / u, peak_iops / 100000, 0.04::DOUBLE) AS demand FROM z WHERE over_capacity AND upto > u), kk AS (SELECT *, CASE WHEN demand > 1 THEN 1 ELSE greatest(floor(1 / demand + 1e-9), 1) END::INTEGER AS k, {_part(8)} AS salt FROM hd)
+    SELECT row_index, 'DS_DEALT_' || part || '_' || (bin + 1) AS datastore, false AS handed_over FROM z WHERE NOT (over_capacity AND upto > u)
+    UNION ALL SELECT row_index, 'DS_DEALT_MORE_' || k || '_' || salt || '_' || ((row_number() OVER (PARTITION BY k, salt ORDER BY required_mib DESC, row_index) - 1) // k), true FROM kk""")
+def dealt_fully(spark, sf_dir):
+    """No datastore above its space: what is too much goes to classes."""
+    return J.deal_fully(stored(sized(spark, sf_dir), "sized"), J.Constraints(), part_machines=2000).select("row_index", "datastore", "handed_over")
+
+
 @query(f"WITH {_CLASSES} SELECT 'classes' AS strategy, datastore, row_index, vm_name, workload_key, round(required_mib, 4) AS required_mib, peak_iops FROM placed")
 def drill_down(spark, sf_dir):
     return J.drill_down(*_classes(spark, sf_dir)).withColumn("required_mib", F.round("required_mib", 4))

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +165,81 @@ def test_default_iops_only_without_measurements(spark):
     assert {(r["peak_iops"], round(r["avg_iops"], 3)) for r in J.with_default_iops(vms, T.iops(spark)).collect()} == {(800.0, 560.0), (50.0, 35.0)}
     some = vms.withColumn("peak_iops", F.when(F.col("row_index") == 1, 5.0).otherwise(0.0))
     assert {r["peak_iops"] for r in J.with_default_iops(some, T.iops(spark)).collect()} == {5.0, 0.0}
+
+
+def scanned_best_fit(space, iops, usable, budget, most):
+    """Every bin is looked at for every machine."""
+    used, busy, count, out = [], [], [], [0] * len(space)
+    share = [max(a / usable, b / budget) for a, b in zip(space, iops)]
+    for i in sorted(range(len(space)), key=lambda i: -share[i]):
+        fits = [b for b in range(len(used)) if used[b] + space[i] <= usable and busy[b] + iops[i] <= budget and count[b] < most]
+        b = max(fits, key=lambda b: used[b]) if fits else len(used)
+        if b == len(used):
+            used, busy, count = [*used, 0.0], [*busy, 0.0], [*count, 0]
+        used[b], busy[b], count[b], out[i] = used[b] + space[i], busy[b] + iops[i], count[b] + 1, b
+    return out
+
+
+def scanned_least_loaded(space, iops, usable, budget):
+    n = max(math.ceil(sum(space) / usable), math.ceil(sum(iops) / budget), 1)
+    used, out = [0.0] * n, [0] * len(space)
+    for i in sorted(range(len(space)), key=lambda i: -space[i]):
+        b = min(range(len(used)), key=lambda b: used[b])
+        if used[b] + space[i] > usable:
+            b = len(used)
+            used.append(0.0)
+        used[b] += space[i]
+        out[i] = b
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_ordered_bins_equal_a_scan(seed):
+    rng = random.Random(seed)
+    kinds = [lambda: rng.choice([0.0, 5.0, 10.0, 50.0]), lambda: rng.random() * 60, lambda: rng.expovariate(0.1) % 100]
+    space, iops = [kinds[seed % 3]() for _ in range(900)], [rng.choice([0.0, 1.0, 400.0, 900.0 * rng.random()]) for _ in range(900)]
+    rows = pd.DataFrame({"required_mib": space, "peak_iops": iops})
+    assert J.best_fit(rows, 100.0, 1000.0, 12) == scanned_best_fit(space, iops, 100.0, 1000.0, 12)
+    assert J.least_loaded(rows, 100.0, 1000.0, 12) == scanned_least_loaded(space, iops, 100.0, 1000.0)
+
+
+def test_open_bins_split_and_empty():
+    open_, rng, held = J.OpenBins(block=4), random.Random(2), {}
+    for step in range(3000):
+        if held and rng.random() < 0.45:
+            b = rng.choice(list(held))
+            open_.remove(held.pop(b)[0], b)
+        else:
+            held[step] = (rng.choice([1.0, 2.5, rng.random() * 9]), rng.random() * 10)
+            open_.add(*held[step], step)
+        space, iops = rng.random() * 9, rng.random() * 10
+        fits = [b for b, (u, p) in held.items() if u + space <= 10 and p + iops <= 10]
+        assert open_.fullest(space, iops, 10, 10) == max(fits, key=lambda b: (held[b][0], -b), default=None)
+
+
+def test_groups_of_any_size(spark):
+    """Groups beyond a task's machines are split and come within 2 % of the exact greedy's datastores."""
+    rng, c = random.Random(4), J.Constraints(max_mib=1000, max_machines=25)
+    rows = [(i, i % 3 if i % 3 else None, 800.0 if i % 500 == 7 else rng.expovariate(0.02) % 600, rng.choice([1.0, 600.0, 9000.0 * rng.random()]), rng.choice(["Database/x", "Web/y", "SAP HANA/z"])) for i in range(6000)]
+    vms = spark.createDataFrame(rows, "row_index long, cluster int, required_mib double, peak_iops double, workload_key string").cache()
+    for make in (J.consolidation, J.performance, J.uniform):
+        exact, split = (make(vms, c, ["cluster"], part_machines=n).cache() for n in (10_000, 400))
+        assert {r[0] for r in exact.select("packing").distinct().collect()} == {"alone", "exact"} and "split" in {r[0] for r in split.select("packing").distinct().collect()}
+        counts = [p.select("cluster", "datastore").distinct().count() for p in (exact, split)]
+        assert counts[1] <= 1.02 * counts[0] or make is J.uniform and counts[1] <= 1.05 * counts[0]
+        for placed in (exact, split):
+            assert placed.count() == 6000 == placed.select("row_index").distinct().count()
+            stores = J.datastores(placed, vms, ["cluster"]).where("vm_count > 1")
+            assert stores.where("used_mib > usable_mib + 1e-6").isEmpty()
+            if make is not J.uniform:
+                assert stores.where("total_iops > 100000 + 1e-6 OR vm_count > 25").isEmpty()
+        alone = [sorted((r["cluster"] or 0, r["datastore"], r["row_index"]) for r in p.where("packing = 'alone'").collect()) for p in (exact, split)]
+        assert alone[0] == alone[1]
+
+
+def test_overfull_datastores_hand_over(spark):
+    rng, c = random.Random(6), J.Constraints(max_mib=1000)
+    vms = spark.createDataFrame([(i, rng.choice([5.0, 300.0, 600.0]), 1.0, "w") for i in range(500)], "row_index long, required_mib double, peak_iops double, workload_key string")
+    placed = J.deal_fully(vms, c, slack=1.0, part_machines=100).cache()
+    assert placed.count() == 500 == placed.select("row_index").distinct().count() and not placed.where("handed_over").isEmpty()
+    assert J.datastores(placed, vms).where("used_mib > usable_mib + 1e-6").isEmpty()

@@ -12,16 +12,32 @@ from stratasize.operators import filters as C
 from stratasize.operators import layout as J
 
 
-@pytest.mark.parametrize("range_rows", [100_000, 40])
-def test_global_numbers(spark, range_rows):
+def test_global_numbers(spark):
     draw = random.Random(1)
-    rows = [(draw.choice([None, *"abcdefgh"]), draw.randrange(40), i) for i in range(500)] + [("a", 1, 1)] * 3
+    rows = [(draw.choice([None, *"abcdefgh"]), draw.randrange(40), i) for i in range(500)] + [("a", 1, 1)] * 300
     df = spark.createDataFrame(rows, "s string, n int, other long").repartition(7)
-    got = C.numbered_globally(df, ["s", "n"], range_rows=range_rows).collect()
-    assert sorted(r["row_index"] for r in got) == list(range(503))
+    got = C.numbered_globally(df, ["s", "n"]).collect()
+    assert sorted(r["row_index"] for r in got) == list(range(800))
     keys = [(r["s"] or "", r["n"]) for r in sorted(got, key=lambda r: r["row_index"])]
     assert keys == sorted(keys) and got[0].asDict().keys() == {"s", "n", "other", "row_index"}
     assert C.numbered_globally(df.limit(0), ["s"]).count() == 0
+    by = {}
+    for r in C.numbered_by_ranges(df, ["n"], ["s"], "nth").collect():
+        by.setdefault(r["s"], []).append((r["nth"], r["n"]))
+    assert len(by) == 9 and all([x for x, _ in sorted(v)] == list(range(len(v))) and [n for _, n in sorted(v)] == sorted(n for _, n in v) for v in by.values())
+
+
+def test_numbers_have_one_plan_at_any_size(spark):
+    """More rows give no larger plan, and rows are spread over ranges."""
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [C.numbered_globally(spark.range(n).select(F.col("id").alias("k")), ["k"]) for n in (1_000, 300_000)]
+        sizes = [len(p._jdf.queryExecution().optimizedPlan().toString()) for p in plans]
+        assert abs(sizes[0] - sizes[1]) < 200 and plans[1].where("row_index <> k").isEmpty()
+        assert plans[1].select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
 
 
 def test_column_filters(spark):
@@ -48,9 +64,3 @@ def test_routes_in_blocks_equal_the_matrix(spark, nearest):
     assert told(5) == told(1000) and len(told(5)) == 54
 
 
-def test_exact_strategies_refuse_a_huge_group(spark, monkeypatch):
-    monkeypatch.setattr(J, "MOST_IN_GROUP", 3)
-    vms = spark.range(5).select(F.col("id").alias("row_index"), F.lit(10.0).alias("required_mib"), F.lit(1.0).alias("peak_iops"), F.lit("x").alias("workload_key"), (F.col("id") % 2).alias("cluster"))
-    with pytest.raises(ValueError, match="group of 5"):
-        J.consolidation(vms, J.Constraints())
-    assert J.consolidation(vms, J.Constraints(), ["cluster"]).count() == 5
