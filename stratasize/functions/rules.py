@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import re._parser as re_parser
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -143,3 +144,35 @@ def default_rules() -> list[Rule]:
 def override_rules() -> list[Rule]:
     """The rules that name an application."""
     return [r for r in default_rules() if r.priority < FALLBACK_PRIORITY]
+
+
+def required_literals(pattern: str) -> set[str] | None:
+    """Lower-case texts of which every match of a pattern, in any case, holds one; None if there are none to be told."""
+    try:
+        return _required(re_parser.parse(pattern, re.IGNORECASE))
+    except (re.error, RecursionError):
+        return None
+
+
+def _required(parsed) -> set[str] | None:
+    """The best set that any item of a sequence needs: the one whose shortest text is longest."""
+    found, run = [], ""
+    for kind, value in [*parsed, (None, None)]:
+        if kind is re_parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append({run.lower()})
+        run, inner = "", None
+        if kind is re_parser.SUBPATTERN:
+            inner = _required(value[-1])
+        elif kind is re_parser.BRANCH:
+            parts = [_required(p) for p in value[1]]
+            inner = None if None in parts else set().union(*parts)
+        elif kind in (re_parser.MAX_REPEAT, re_parser.MIN_REPEAT) and value[0] > 0:
+            inner = _required(value[2])
+        elif kind is re_parser.ASSERT and value[0] > 0:
+            inner = _required(value[1])
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)

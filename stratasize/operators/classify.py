@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from stratasize.functions import expressions as X
 from stratasize.functions.rules import FALLBACK_PRIORITY, Rule, default_rules
 from stratasize.functions.tables import GENERIC_VM, LARGE_GENERIC_MIB, UNKNOWN
+from stratasize.operators.filters import in_ranges
+from stratasize.operators.rule_index import RULE_FIELDS, rule_number_by_index
 
 #: A similarity below this one gives no verdict (fixed value).
 THRESHOLD = 0.5
+#: Rules that become one CASE; more of them are a table with an index of literals.
+MOST_IN_CASE = 500
+_RULE_COLUMNS = tuple(f"__rule_{f}" for f in RULE_FIELDS)
 
 
 def _signals(df: DataFrame, prefixes: Sequence[str]) -> tuple[Column, Column, Column, Column]:
@@ -56,6 +61,8 @@ def rule_field(rules: Sequence[Rule], field: str, default: str, number: str = "r
     """A field of the rule with a row's number."""
     if not rules:
         return F.lit(default)
+    if len(rules) > MOST_IN_CASE:
+        return F.coalesce(F.col(f"__rule_{field}"), F.lit(default))
     # Not coalesce(): Spark takes an element of an array of literals for never null, even at a null index.
     return F.when(F.col(number).isNotNull(), F.element_at(F.array(*[F.lit(getattr(r, field)) for r in rules]), F.col(number) + 1)).otherwise(F.lit(default))
 
@@ -64,11 +71,18 @@ def _ordered(rules: Sequence[Rule] | None) -> list[Rule]:
     return sorted(default_rules() if rules is None else rules, key=lambda r: r.priority)
 
 
+def _numbered(df: DataFrame, rules: Sequence[Rule], prefixes: Sequence[str]) -> DataFrame:
+    if len(rules) <= MOST_IN_CASE:
+        return rule_number(df, rules, prefixes)
+    return rule_number_by_index(df, rules, _signals(df, prefixes))
+
+
 def classify_by_registry(df: DataFrame, rules: Sequence[Rule] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
-    """All rules, fallbacks included: workload_category, workload_subcategory, classification_rule and _confidence."""
+    """All rules, fallbacks included: workload_category, workload_subcategory, classification_rule and _confidence. Up to
+    MOST_IN_CASE rules are one CASE in the plan, more of them a table; the verdicts are the same."""
     rules = _ordered(rules)
     fields = {"workload_category": ("category", UNKNOWN), "workload_subcategory": ("subcategory", UNKNOWN), "classification_rule": ("name", "default"), "classification_confidence": ("confidence", "default")}
-    return rule_number(df, rules, prefixes).withColumns({k: rule_field(rules, f, d) for k, (f, d) in fields.items()}).drop("rule_no")
+    return _numbered(df, rules, prefixes).withColumns({k: rule_field(rules, f, d) for k, (f, d) in fields.items()}).drop("rule_no", *_RULE_COLUMNS)
 
 
 def classify(
@@ -89,7 +103,7 @@ def classify(
     rules = _ordered(rules)
     # Fallback rules never give a verdict here; one that would match hides no later rule, since they come last.
     rules = [r for r in rules if r.priority < FALLBACK_PRIORITY]
-    out = rule_number(df, rules, prefixes)
+    out = _numbered(df, rules, prefixes)
     by_rule, alike = F.col("rule_no").isNotNull(), F.lit(False)
     if similarity is not None:
         best = similarity.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in ("route", "category", "subcategory", "score")])
@@ -106,7 +120,7 @@ def classify(
             "classification_rule": pick("name", lambda c: F.concat(F.lit("override:"), c), told, "default"),
             "classification_confidence": F.when(by_rule, "override").when(alike, "semantic").otherwise("default"),
         }
-    ).drop("rule_no", "__key", "__route", "__category", "__subcategory", "__score")
+    ).drop("rule_no", *_RULE_COLUMNS, "__key", "__route", "__category", "__subcategory", "__score")
     if "provisioned_mib" in df.columns:
         generic = (F.col("classification_confidence") != "override") & F.col("workload_subcategory").isin(GENERIC_VM, UNKNOWN) & (X.number(F.col("provisioned_mib")) >= large_mib)
         moved = {"workload_category": "File", "workload_subcategory": "General Purpose", "classification_rule": "Large generic (>=100 GiB)"}
@@ -261,7 +275,28 @@ def evaluate_thresholds(scored: DataFrame, thresholds: Sequence[float]) -> DataF
     return out.withColumns({"accuracy": F.coalesce(F.try_divide("right", "accepted"), F.lit(0.0)), "coverage": F.col("accepted") / F.col("rows")})
 
 
-def fit_thresholds(scored: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """(route, threshold, accuracy, coverage): each route's most accurate threshold, of those the one that covers most."""
-    found = evaluate_thresholds(scored, thresholds)
+def sweep_thresholds(scored: DataFrame) -> DataFrame:
+    """evaluate_thresholds() with each score of a route as a threshold, in one ordered sweep.
+
+    Equal scores are counted first. Distinct ones are dealt to ranges by route and falling score; the counts of a route's
+    earlier ranges, and a running sum within a range, give what is at or above each score. No task sees more than a
+    range, however many scores a route has. Null scores are rows that no threshold accepts.
+    """
+    counts = scored.groupBy("route", "score").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("route") == F.col("label")).alias("hits"))
+    laid = in_ranges(counts.where("score IS NOT NULL"), ["route", F.col("score").desc()]).withColumn("part", F.shiftrightunsigned("__place", 33))
+    by_part = laid.groupBy("route", "part").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))  # a row for each route and range
+    earlier = W.partitionBy("route").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = by_part.select(F.col("route").alias("r"), F.col("part").alias("p"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "hits")])
+    upto = W.partitionBy("route", "part").orderBy("__place")
+    rows = laid.join(before, F.col("route").eqNullSafe(F.col("r")) & (F.col("part") == F.col("p")))
+    rows = rows.select("route", F.col("score").alias("threshold"), *[(F.sum(c).over(upto) + F.col(f"{c}_before")).alias(name) for c, name in (("n", "accepted"), ("hits", "right"))])
+    all_ = counts.groupBy(F.col("route").alias("r")).agg(F.sum("n").alias("rows"))
+    out = rows.join(all_, F.col("route").eqNullSafe(F.col("r"))).select("route", "threshold", "rows", "accepted", "right")
+    return out.withColumns({"accuracy": F.col("right") / F.col("accepted"), "coverage": F.col("accepted") / F.col("rows")})
+
+
+def fit_thresholds(scored: DataFrame, thresholds: Sequence[float] | None = None) -> DataFrame:
+    """(route, threshold, accuracy, coverage): each route's most accurate threshold, of those the one that covers most; of
+    all its scores, or of the thresholds given."""
+    found = sweep_thresholds(scored) if thresholds is None else evaluate_thresholds(scored, thresholds)
     return found.groupBy("route").agg(F.max(F.struct("accuracy", "coverage", "threshold")).alias("b")).select("route", "b.threshold", "b.accuracy", "b.coverage")

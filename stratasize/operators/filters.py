@@ -94,6 +94,14 @@ def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = ("source_f
 _PLACE_BITS = 33
 
 
+def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """df dealt to ranges of an order, sorted and written once, with __place: a range's number above 33 bits, and a row's
+    place in it below. Ties by a hash of all of a row's text; equal rows are dealt over ranges."""
+    keys = [*order, "__hash", "__deal"]
+    keyed = df.withColumns({"__hash": F.xxhash64(F.to_json(F.struct(*df.columns))), "__deal": F.xxhash64(F.monotonically_increasing_id())})
+    return stored(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__hash", "__deal").withColumn("__place", F.monotonically_increasing_id()), "ranges")
+
+
 def numbered_by_ranges(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_index") -> DataFrame:
     """A row number from 0 in the order given, nulls first, over the whole table or within each group of the columns `by`;
     ties by a hash of all of a row's text.
@@ -103,9 +111,7 @@ def numbered_by_ranges(df: DataFrame, order: Sequence[str], by: Sequence[str] =
     So no task sees more than a range, whatever a group's size, and equal rows are dealt over ranges as well. The plan
     doesn't grow with the rows.
     """
-    keys = [*by, *order, "__hash", "__deal"]
-    keyed = df.withColumns({"__hash": F.xxhash64(F.to_json(F.struct(*df.columns))), "__deal": F.xxhash64(F.monotonically_increasing_id())})
-    laid = stored(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__hash", "__deal").withColumn("__place", F.monotonically_increasing_id()), "ranges")
+    laid = in_ranges(df, [*by, *order])
     part, before = F.shiftrightunsigned("__place", _PLACE_BITS), []
     for r in laid.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
         before.append((r["p"], before[-1][1] + before[-1][2] if before else 0, r["n"]))

@@ -18,6 +18,7 @@ from stratasize.operators import merge as M
 from stratasize.operators import ratios as R
 from stratasize.operators import reports as K
 from stratasize.operators import sizing as S
+from stratasize.operators.rule_index import rule_number_by_index
 from stratasize.plans import fixtures as fx
 from stratasize.plans import flows
 from stratasize.plans import oracle as o
@@ -380,6 +381,23 @@ def described_by_registry(spark, sf_dir):
     return E.classify_by_registry(fx.described(spark, sf_dir)).select("row_index", "classification_rule")
 
 
+def _by_index(rows: DataFrame) -> DataFrame:
+    """The rule pack as a table with an index of literals, as for packs of thousands."""
+    rules = E._ordered(None)
+    found = rule_number_by_index(rows, rules, E._signals(rows, ()))
+    return found.select("row_index", F.coalesce("__rule_name", F.lit("default")).alias("classification_rule"), F.coalesce("__rule_confidence", F.lit("default")).alias("classification_confidence"))
+
+
+@query(ORACLE_SQL["classified_by_registry"])
+def classified_by_rule_index(spark, sf_dir):
+    return _by_index(fx.inventory(spark, sf_dir))
+
+
+@query(ORACLE_SQL["described_by_registry"])
+def described_by_rule_index(spark, sf_dir):
+    return _by_index(fx.described(spark, sf_dir)).drop("classification_confidence")
+
+
 @query(f"""WITH {o.CLASSIFIED}, u AS (SELECT 'classification_confidence' AS kind, classification_confidence AS value FROM cls UNION ALL SELECT 'workload_category', workload_category FROM cls UNION ALL SELECT 'workload_subcategory', workload_subcategory FROM cls)
     SELECT kind, value, count(*) AS vms FROM u GROUP BY 1, 2""")
 def distributions(spark, sf_dir):
@@ -409,12 +427,30 @@ def similarity_routes(spark, sf_dir):
     return rounded(E.best_routes(rows, exemplars).select("row_index", "route", "score"), 6)
 
 
+def _scored(spark, sf_dir, digits: int = 6) -> DataFrame:
+    """Each vector's best route and its score, with its label."""
+    rows, exemplars = _routes(spark, sf_dir)
+    return rounded(E.best_routes(rows, exemplars), digits).join(rows.select("row_index", "label"), "row_index")
+
+
 @query(f"""WITH {_BEST}, g AS (SELECT *, unnest([0.1, 0.2, 0.3, 0.5])::DOUBLE AS threshold FROM best) SELECT route, threshold, count(*) AS rows, count(*) FILTER (score >= threshold) AS accepted, count(*) FILTER (score >= threshold AND route = label) AS right
     FROM g GROUP BY 1, 2""".replace("AS right", 'AS "right"'))
 def threshold_grid(spark, sf_dir):
-    rows, exemplars = _routes(spark, sf_dir)
-    scored = E.best_routes(rows, exemplars).join(rows.select("row_index", "label"), "row_index")
-    return E.evaluate_thresholds(scored, [0.1, 0.2, 0.3, 0.5]).select("route", "threshold", "rows", "accepted", "right")
+    return E.evaluate_thresholds(_scored(spark, sf_dir, 15), [0.1, 0.2, 0.3, 0.5]).select("route", "threshold", "rows", "accepted", "right")
+
+
+@query(f"""WITH {_BEST}, r AS (SELECT route, label, round(score, 6) AS score FROM best), d AS (SELECT route, score AS threshold, count(*) AS n, count(*) FILTER (route = label) AS h FROM r GROUP BY 1, 2)
+    SELECT route, threshold, sum(n) OVER (PARTITION BY route)::BIGINT AS rows, sum(n) OVER w::BIGINT AS accepted, sum(h) OVER w::BIGINT AS "right" FROM d WINDOW w AS (PARTITION BY route ORDER BY threshold DESC)""")
+def swept_thresholds(spark, sf_dir):
+    """Each score as its route's threshold."""
+    return E.sweep_thresholds(_scored(spark, sf_dir)).select("route", "threshold", "rows", "accepted", "right")
+
+
+@query(f"""WITH {_BEST}, r AS (SELECT route, label, round(score, 6) AS score FROM best), g AS (SELECT a.route, a.score AS threshold, count(*) FILTER (b.score >= a.score) AS accepted, count(*) FILTER (b.score >= a.score AND b.route = b.label) AS hits, count(*) AS rows
+    FROM (SELECT DISTINCT route, score FROM r) a JOIN r b USING (route) GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY hits / accepted DESC, accepted DESC, threshold DESC) AS n FROM g)
+    SELECT route, threshold, round(hits / accepted, 6) AS accuracy, round(accepted / rows, 6) AS coverage FROM x WHERE n = 1""")
+def fitted_thresholds(spark, sf_dir):
+    return rounded(E.fit_thresholds(_scored(spark, sf_dir)), 6)
 
 
 @query(f"""WITH {o.CLASSIFIED}, x(category, subcategory) AS (VALUES {", ".join(f"({o.text(c)}, {o.text(s)})" for c, s, _ in T.EXEMPLARS)})
