@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from stratasize.functions.rules import FALLBACK_PRIORITY, Rule, default_rules
 from stratasize.functions.tables import GENERIC_VM, LARGE_GENERIC_MIB, UNKNOWN
 from stratasize.operators.filters import in_ranges
 from stratasize.operators.rule_index import RULE_FIELDS, rule_number_by_index
+from stratasize.sources.sinks import stored
 
 #: A similarity below this one gives no verdict (fixed value).
 THRESHOLD = 0.5
@@ -103,29 +105,32 @@ def classify(
     rules = _ordered(rules)
     # Fallback rules never give a verdict here; one that would match hides no later rule, since they come last.
     rules = [r for r in rules if r.priority < FALLBACK_PRIORITY]
-    out = _numbered(df, rules, prefixes)
-    by_rule, alike = F.col("rule_no").isNotNull(), F.lit(False)
-    if similarity is not None:
-        best = similarity.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in ("route", "category", "subcategory", "score")])
-        out = out.join(best, F.col(key) == F.col("__key"), "left")
-        alike = F.coalesce(F.col("__score") >= threshold, F.lit(False))
-    told = F.concat(F.lit("semantic:"), F.regexp_replace("__route", "^learned:", ""), F.lit(" (score "), F.format_number("__score", 2), F.lit(")")) if similarity is not None else F.lit("")
-    have = lambda c: F.col(c) if similarity is not None else F.lit(UNKNOWN)
-    pick = lambda field, of_rule, of_route, default: F.when(by_rule, of_rule(rule_field(rules, field, default))).when(alike, of_route).otherwise(F.lit(default))
-    same = lambda c: c
-    out = out.withColumns(
-        {
-            "workload_category": pick("category", same, have("__category"), UNKNOWN),
-            "workload_subcategory": pick("subcategory", same, have("__subcategory"), UNKNOWN),
-            "classification_rule": pick("name", lambda c: F.concat(F.lit("override:"), c), told, "default"),
-            "classification_confidence": F.when(by_rule, "override").when(alike, "semantic").otherwise("default"),
-        }
-    ).drop("rule_no", *_RULE_COLUMNS, "__key", "__route", "__category", "__subcategory", "__score")
-    if "provisioned_mib" in df.columns:
-        generic = (F.col("classification_confidence") != "override") & F.col("workload_subcategory").isin(GENERIC_VM, UNKNOWN) & (X.number(F.col("provisioned_mib")) >= large_mib)
-        moved = {"workload_category": "File", "workload_subcategory": "General Purpose", "classification_rule": "Large generic (>=100 GiB)"}
-        out = out.withColumn("__large", generic).withColumns({c: F.when(F.col("__large"), v).otherwise(F.col(c)) for c, v in moved.items()}).drop("__large")
-    return out
+    out, by_rule = _numbered(df, rules, prefixes), F.col("rule_no").isNotNull()
+    pick = lambda field, default: F.when(by_rule, rule_field(rules, field, default)).otherwise(F.lit(default))
+    verdict = {"workload_category": pick("category", UNKNOWN), "workload_subcategory": pick("subcategory", UNKNOWN)}
+    verdict |= {"classification_rule": F.when(by_rule, F.concat(F.lit("override:"), rule_field(rules, "name", "default"))).otherwise("default"), "classification_confidence": F.when(by_rule, "override").otherwise("default")}
+    out = out.withColumns(verdict).drop("rule_no", *_RULE_COLUMNS)
+    return _rerouted(out, large_mib) if similarity is None else add_similarity(out, similarity, threshold, large_mib, key)
+
+
+def add_similarity(ruled: DataFrame, similarity: DataFrame, threshold: float = THRESHOLD, large_mib: float = LARGE_GENERIC_MIB, key: str = "row_index") -> DataFrame:
+    """classify()'s rows with the similarity's verdict where no rule gave one and a route scores the threshold or more."""
+    best = similarity.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in ("route", "category", "subcategory", "score")])
+    alike = (F.col("classification_confidence") == "default") & F.coalesce(F.col("__score") >= threshold, F.lit(False))
+    told = F.concat(F.lit("semantic:"), F.regexp_replace("__route", "^learned:", ""), F.lit(" (score "), F.format_number("__score", 2), F.lit(")"))
+    new = {"workload_category": F.col("__category"), "workload_subcategory": F.col("__subcategory"), "classification_rule": told, "classification_confidence": F.lit("semantic")}
+    found = ruled.join(best, F.col(key) == F.col("__key"), "left").withColumn("__alike", alike)
+    found = found.withColumns({c: F.when(F.col("__alike"), v).otherwise(F.col(c)) for c, v in new.items()})
+    return _rerouted(found.drop("__alike", "__key", "__route", "__category", "__subcategory", "__score"), large_mib)
+
+
+def _rerouted(rows: DataFrame, large_mib: float) -> DataFrame:
+    """Rows of large machines in a generic workload that no rule named go to File / General Purpose."""
+    if "provisioned_mib" not in rows.columns:
+        return rows
+    generic = (F.col("classification_confidence") != "override") & F.col("workload_subcategory").isin(GENERIC_VM, UNKNOWN) & (X.number(F.col("provisioned_mib")) >= large_mib)
+    moved = {"workload_category": "File", "workload_subcategory": "General Purpose", "classification_rule": "Large generic (>=100 GiB)"}
+    return rows.withColumn("__large", generic).withColumns({c: F.when(F.col("__large"), v).otherwise(F.col(c)) for c, v in moved.items()}).drop("__large")
 
 
 def text_of(df: DataFrame, name: str = "text") -> DataFrame:
@@ -140,10 +145,14 @@ def gram_vector(text: Column, width: int = 3, size: int = 256) -> Column:
 
     @F.arrow_udf("array<double>")
     def encode(texts: pa.Array) -> pa.Array:
-        out = []
+        out, known = [], {}  # the CRC of each n-gram, once for a batch
         for t in texts.to_pylist():
             low = f" {t.lower()} ".encode() if t is not None else b""
-            counts = np.bincount([zlib.crc32(low[i : i + width]) % size for i in range(len(low) - width + 1)], minlength=size) if len(low) >= width else None
+            grams = [low[i : i + width] for i in range(len(low) - width + 1)]
+            for g in grams:
+                if g not in known:
+                    known[g] = zlib.crc32(g) % size
+            counts = np.bincount([known[g] for g in grams], minlength=size) if grams else None
             out.append(None if counts is None else counts / np.linalg.norm(counts))
         return pa.array(out, pa.list_(pa.float64()))
 
@@ -156,19 +165,36 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def best_routes(vectors: DataFrame, exemplars: DataFrame, key: str = "row_index", nearest: int = 1, threshold: float | None = None, bound: int = 20_000) -> DataFrame:
+def best_routes(
+    vectors: DataFrame, exemplars: DataFrame, key: str = "row_index", nearest: int = 1, threshold: float | None = None, bound: int = 20_000, by: Sequence[str] = ()
+) -> DataFrame:
     """(key, route, category, subcategory, score): the best route of each vector.
 
     vectors: (key, vector); exemplars: (route, category, subcategory, vector). A route's score is the mean of the cosines
-    of its `nearest` best exemplars; of equal scores the first route by name wins. Null and zero vectors, and those of
-    another length than their exemplars, have no score.
+    of its `nearest` best exemplars; of equal scores the first route by name wins. Null and zero vectors, those with null
+    components, and those of another length than their exemplars, have no score; neither do such exemplars count.
+    With `by`, columns of both tables that name an inventory, an exemplar counts in its own inventory only, or in all if
+    its columns are null (for nearest = 1).
     Up to `bound` exemplars go to the tasks as one matrix, and rows are scored batch by batch where they are; more of
-    them meet the rows in a join.
+    them meet the rows in a join, for nearest = 1 only where a bound says that they can win (see _routes_by_pivots()).
     """
-    e = exemplars.select("route", "category", "subcategory", F.col("vector").cast("array<double>").alias("e"))
+    if by and nearest != 1:
+        raise ValueError("exemplars within inventories are compared by the nearest one")
+    e = exemplars.select(*by, "route", "category", "subcategory", F.col("vector").cast("array<double>").alias("e"))
+    if by:
+        own = F.lit(False)
+        for c in by:
+            own = own | F.col(c).isNotNull()
+        general = best_routes(vectors, exemplars.where(~own).drop(*by), key, 1, None, bound)
+        floor = general.select(F.col(key).alias("__k"), F.col("score").alias("floor"))
+        known = vectors.select(*by, key, "vector").join(floor, F.col(key) == F.col("__k"), "left").drop("__k")
+        both = general.unionByName(_routes_by_pivots(known, e.where(own), key, by))
+        best = both.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "route", "category", "subcategory")).alias("b"))
+        out = best.select(key, "b.route", "b.category", "b.subcategory", (-F.col("b.minus")).alias("score"))
+        return out if threshold is None else out.where(F.col("score") >= threshold)
     known = e.limit(bound + 1).toArrow()
     if known.num_rows > bound:
-        out = _routes_by_join(vectors, e, key, nearest)
+        out = _routes_by_pivots(vectors.select(key, "vector"), e, key) if nearest == 1 else _routes_by_join(vectors, e, key, nearest)
     elif not known.num_rows:
         out = vectors.limit(0).select(key, *[F.lit(None).cast(t).alias(n) for n, t in (("route", "string"), ("category", "string"), ("subcategory", "string"), ("score", "double"))])
     else:
@@ -176,8 +202,122 @@ def best_routes(vectors: DataFrame, exemplars: DataFrame, key: str = "row_index"
     return out if threshold is None else out.where(F.col("score") >= threshold)
 
 
+#: Exemplars that share a pivot, on the average; pivots at most; rows that meet a block of exemplars in one task.
+BLOCK_EXEMPLARS, MOST_PIVOTS, BLOCK_ROWS = 500, 4_000, 20_000
+#: What rounding may add to an angle.
+_SLACK = 1e-7
+
+
+def _unit(vector: str) -> Column:
+    """The vector at length 1; null where it is null, zero, or has a null component."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
+
+
+def _angles(values: list, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(np.array(values) @ pivots.T, -1.0, 1.0))
+
+
+def candidate_blocks(vectors: DataFrame, e: DataFrame, block_exemplars: int = BLOCK_EXEMPLARS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None:
+    """(e with the block of each exemplar, a function that gives rows the blocks in which they may find their best).
+
+    e: (e, ...) and rows (v, floor, ...), unit vectors. Pivots are exemplars, the first by hash; an exemplar's block is
+    its nearest pivot, and a block's radius the widest angle in it. An exemplar of a block is no nearer to a row than the
+    pivot's angle less the radius, so blocks whose bound is below the row's `floor` (a score that it has already) are left
+    out. Without a floor the nearest pivot's block comes first: it is given alone.
+    """
+    n = e.count()
+    k = min(MOST_PIVOTS, -(-n // block_exemplars))
+    if not n:
+        return None
+    chosen = [r["e"] for r in e.select("e").orderBy(F.xxhash64("e"), "e").limit(k).collect()]  # MOST_PIVOTS vectors at most
+    pivots = np.array(chosen)
+
+    @F.arrow_udf("struct<block:int,angle:double>")
+    def near(values: pa.Array) -> pa.Array:
+        a = _angles(values.to_pylist(), pivots)
+        at = a.argmin(1)
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(a[np.arange(len(at)), at])], ["block", "angle"])
+
+    blocked = stored(e.withColumn("n", near(F.col("e"))).select(*e.columns, "n.block", "n.angle"), "exemplar-blocks")
+    radius = np.full(len(pivots), -np.inf)
+    for r in blocked.groupBy("block").agg(F.max("angle").alias("r")).collect():  # a row for each pivot
+        radius[r["block"]] = r["r"]
+
+    def given(rows: DataFrame) -> DataFrame:
+        @F.arrow_udf("array<int>")
+        def pick(values: pa.Array, floors: pa.Array) -> pa.Array:
+            a = _angles(values.to_pylist(), pivots)
+            limit, out = np.arccos(np.clip(floors.to_numpy(zero_copy_only=False).astype(float), -1.0, 1.0)), []
+            for own, most in zip(a, limit, strict=True):
+                out.append([int(own.argmin())] if np.isnan(most) else np.flatnonzero(own - radius <= most + _SLACK).tolist())
+            return pa.array(out, pa.list_(pa.int32()))
+
+        return rows.withColumn("block", F.explode(pick(F.col("v"), F.col("floor"))))
+
+    return blocked, given
+
+
+def _routes_by_pivots(vectors: DataFrame, e: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """The nearest exemplar's route of each vector (key, vector, `by`, and floor: a score it has already, or none).
+
+    Rows meet the block of their nearest pivot first, which gives a score, and then only blocks whose bound reaches it
+    (candidate_blocks()). A block meets BLOCK_ROWS rows a task, so no block gathers more. Lengths are compared apart.
+    """
+    of_length = lambda c, name: F.coalesce(F.size(c), F.lit(0)).alias(name)
+    e = stored(e.where("NOT exists(e, x -> x IS NULL)").withColumn("e", _unit("e")).where("e IS NOT NULL").distinct(), "exemplars")
+    floor = F.col("floor") if "floor" in vectors.columns else F.lit(None).cast("double")
+    rows = vectors.select(*by, F.col(key).cast("long").alias("k"), F.col("vector").cast("array<double>").alias("v"), floor.alias("floor"))
+    rows = stored(rows.where("NOT exists(v, x -> x IS NULL)").withColumn("v", _unit("v")).where("v IS NOT NULL"), "route-rows")
+    parts = []
+    for r in e.select(of_length("e", "d")).distinct().collect():
+        own = rows.where(F.size("v") == r["d"])
+        blocked, given = candidate_blocks(own, e.where(F.size("e") == r["d"]))
+        first = stored(_scored_blocks(given(own.withColumn("floor", F.lit(None).cast("double"))), blocked, by), "first-blocks")
+        # The better of the score so far and the first block's; rows without either meet all blocks.
+        reached = own.join(first.groupBy("k").agg(F.max("score").alias("__s")), "k", "left").withColumn("floor", F.coalesce(F.greatest("floor", "__s"), F.lit(-1.0))).drop("__s")
+        parts += [first, _scored_blocks(given(reached), blocked, by)]
+    if not parts:
+        return vectors.limit(0).select(key, *[F.lit(None).cast(t).alias(n) for n, t in (("route", "string"), ("category", "string"), ("subcategory", "string"), ("score", "double"))])
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    best = every.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("minus"), "route", "category", "subcategory")).alias("b"))
+    return best.select(F.col("k").alias(key), "b.route", "b.category", "b.subcategory", (-F.col("b.minus")).alias("score"))
+
+
+def _scored_blocks(rows: DataFrame, blocked: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(k, route, category, subcategory, score): the best of each row in each block that it was given."""
+    rows = stored(rows.drop("floor"), "given-blocks")
+    keys = ["block", *by]
+    salts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts")).withColumnsRenamed({c: f"__{c}" for c in keys})
+    met = F.lit(True)
+    for c in keys:
+        met = met & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    drop = [f"__{c}" for c in keys]
+    left = rows.join(salts, met).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int")).drop("salts", *drop)
+    right = blocked.drop("angle").join(salts, met).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", *drop)
+
+    def score(own: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        if own.num_rows and known.num_rows:
+            names = list(zip(*(known[c].to_pylist() for c in ("route", "category", "subcategory")), strict=True))
+            order = sorted(range(len(names)), key=lambda i: names[i])  # of equal scores the first name wins
+            matrix = np.array(known["e"].to_pylist())[order]
+            for some in own.select(["k", "v"]).to_batches(max_chunksize=512):
+                cos = np.array(some.column(1).to_pylist()) @ matrix.T
+                at = cos.argmax(1)
+                out[0] += some.column(0).to_pylist()
+                for j in range(3):
+                    out[1 + j] += [names[order[i]][j] for i in at]
+                out[4] += cos[np.arange(len(at)), at].tolist()
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["k", "route", "category", "subcategory", "score"])
+
+    keys = [*keys, "salt"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "k long, route string, category string, subcategory string, score double")
+
+
 def _routes_by_matrix(vectors: DataFrame, known: pa.Table, key: str, nearest: int) -> DataFrame:
-    rows = sorted((r for r in known.to_pylist() if r["e"] and any(r["e"])), key=lambda r: (r["route"], r["category"], r["subcategory"]))
+    rows = sorted((r for r in known.to_pylist() if r["e"] and None not in r["e"] and any(r["e"])), key=lambda r: (r["route"], r["category"], r["subcategory"]))
     routes = sorted({(r["route"], r["category"], r["subcategory"]) for r in rows})
     of = np.array([routes.index((r["route"], r["category"], r["subcategory"])) for r in rows])
     matrices = {d: (np.array([r["e"] for r in rows if len(r["e"]) == d]), of[[len(r["e"]) == d for r in rows]]) for d in {len(r["e"]) for r in rows}}
@@ -246,17 +386,20 @@ def _routes_by_join(vectors: DataFrame, e: DataFrame, key: str, nearest: int) ->
     return best.select(key, "b.route", "b.category", "b.subcategory", (-F.col("b.minus")).alias("score"))
 
 
-def learned_exemplars(classified: DataFrame, exemplars: DataFrame, most: int | None = None) -> DataFrame:
-    """(route, category, subcategory, utterance): the exemplars and the names of machines that a rule classified, for
-    workloads that have a route; learned routes are named `learned:...`, which display drops. most: distinct names of a
-    route that are learned at most (the first by hash), which bounds what is broadcast later."""
+def learned_exemplars(classified: DataFrame, exemplars: DataFrame, most: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(`by`, route, category, subcategory, utterance): the exemplars and the names of machines that a rule classified, for
+    workloads that have a route; learned routes are named `learned:...`, which display drops. Names are learned within an
+    inventory (columns `by`, null for given exemplars, which count in all; a null inventory learns nothing). most:
+    distinct names of a route that are learned at most (the first by hash), which bounds what is broadcast later."""
     base = exemplars.select("category", "subcategory").distinct()
-    names = classified.where(F.col("classification_confidence") == "override").select(F.col("workload_category").alias("category"), F.col("workload_subcategory").alias("subcategory"), F.col("vm_name").alias("utterance")).distinct()
+    inside = classified.where(F.col("classification_confidence") == "override").dropna(subset=list(by)) if by else classified.where(F.col("classification_confidence") == "override")
+    names = inside.select(*by, F.col("workload_category").alias("category"), F.col("workload_subcategory").alias("subcategory"), F.col("vm_name").alias("utterance")).distinct()
     names = names.join(base, ["category", "subcategory"], "left_semi")
     if most is not None:
-        order = W.partitionBy("category", "subcategory").orderBy(F.xxhash64("utterance"), "utterance")
+        order = W.partitionBy(*by, "category", "subcategory").orderBy(F.xxhash64("utterance"), "utterance")
         names = names.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
-    return exemplars.unionByName(names.select(F.concat(F.lit("learned:"), F.concat_ws("/", "category", "subcategory")).alias("route"), "category", "subcategory", "utterance"))
+    given = exemplars.withColumns({c: F.lit(None).cast(classified.schema[c].dataType) for c in by}) if by else exemplars
+    return given.unionByName(names.select(*by, F.concat(F.lit("learned:"), F.concat_ws("/", "category", "subcategory")).alias("route"), "category", "subcategory", "utterance"))
 
 
 def distribution(classified: DataFrame, by: Sequence[str] = ("classification_confidence", "workload_category", "workload_subcategory")) -> DataFrame:

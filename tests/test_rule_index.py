@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,46 @@ def test_thresholds_over_all_scores(spark):
     best = {r: max((h / a, a / n, t) for (route, t), (n, a, h) in want.items() if route == r) for r in ("a", "b", None)}
     assert {r["route"]: (r["accuracy"], r["coverage"], r["threshold"]) for r in E.fit_thresholds(scored).collect()} == best
     assert E.fit_thresholds(scored, [0.5]).where(F.col("threshold") != 0.5).isEmpty()
+
+
+def clustered(rng, n, centres, spread=0.05, kinds=12):
+    """Unit vectors near a few centres."""
+    at = rng.integers(0, len(centres), n)
+    v = centres[at] + spread * rng.standard_normal((n, centres.shape[1]))
+    return [(f"r{a % kinds}", "c", "s", x.tolist()) for a, x in zip(at, v)]
+
+
+def test_pruned_routes_equal_all_products(spark, monkeypatch):
+    """Equal to the matrix form on clustered names, with less than a tenth of the products."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 24))
+    known = spark.createDataFrame([*clustered(rng, 3000, centres), ("zero", "c", "s", [0.0] * 24), ("short", "c", "s", [1.0, 2.0]), ("null", "c", "s", None), ("hole", "c", "s", [1.0, None])], "route string, category string, subcategory string, vector array<double>").repartition(3)
+    rows = spark.createDataFrame([(i, v) for i, (*_, v) in enumerate(clustered(rng, 800, centres))] + [(900, [0.0] * 24), (901, None), (902, [2.0, 4.0]), (903, [1.0] * 3), (904, [None] * 24)], "row_index long, vector array<double>")
+    monkeypatch.setattr(E, "BLOCK_ROWS", 50)
+    told = lambda bound: sorted((r["row_index"], r["route"], round(r["score"], 9)) for r in E.best_routes(rows, known, bound=bound).collect())
+    assert told(100) == told(100_000) and len(told(100)) == 801
+    e = known.where("size(vector) = 24 AND route <> 'zero'").select("route", E._unit("vector").alias("e"))
+    own = rows.where("size(vector) = 24 AND row_index < 900").select(F.col("row_index").alias("k"), E._unit("vector").alias("v"))
+    blocked, given = E.candidate_blocks(own, e, block_exemplars=50)
+    sizes = blocked.groupBy("block").count()
+    first = given(own.withColumn("floor", F.lit(None).cast("double")))
+    best = first.join(blocked, "block").groupBy("k").agg(F.max(E.cosine(F.col("v"), F.col("e"))).alias("floor"))
+    products = sum(x.join(sizes, "block").agg(F.sum("count")).first()[0] for x in (first, given(own.join(best, "k"))))
+    assert products < 0.1 * 800 * 3000
+
+
+def test_names_are_learned_within_an_inventory(spark, monkeypatch):
+    """What one inventory's rules taught doesn't name another's machines; given exemplars count in all."""
+    rng = np.random.default_rng(4)
+    known = [(None, "base", "c", "s", rng.standard_normal(6).tolist()) for _ in range(5)] + [(f"i{k % 3}", f"l{k % 7}", "c", "s", rng.standard_normal(6).tolist()) for k in range(400)]
+    rows = [(f"i{k % 4}" if k % 5 else None, k, rng.standard_normal(6).tolist()) for k in range(300)]
+    found = E.best_routes(spark.createDataFrame(rows, "source_file string, row_index long, vector array<double>"), spark.createDataFrame(known, "source_file string, route string, category string, subcategory string, vector array<double>"), by=["source_file"])
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {}
+    for inventory, k, v in rows:
+        own = [(-cos(v, x), route) for i, route, _, _, x in known if i is None or i == inventory]
+        want[k] = (min(own)[1], round(-min(own)[0], 9))
+    assert {r["row_index"]: (r["route"], round(r["score"], 9)) for r in found.collect()} == want
+    ruled = spark.createDataFrame([("a", "SQL1", "override"), ("b", "SQL1", "override"), ("b", "x", "default"), (None, "SQL2", "override")], "source_file string, vm_name string, classification_confidence string").withColumns({"workload_category": F.lit("Database"), "workload_subcategory": F.lit("Oracle")})
+    base = spark.createDataFrame([("db", "Database", "Oracle", "oracle database")], "route string, category string, subcategory string, utterance string")
+    assert {(r["source_file"], r["route"], r["utterance"]) for r in E.learned_exemplars(ruled, base, by=["source_file"]).collect()} == {(None, "db", "oracle database"), ("a", "learned:Database/Oracle", "SQL1"), ("b", "learned:Database/Oracle", "SQL1")}
