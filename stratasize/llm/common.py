@@ -104,6 +104,21 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def kept_rows(docs: DataFrame, won: DataFrame, keys: dict[str, F.Column]) -> DataFrame:
+    """The rows of docs whose keys (columns of won by name, as expressions over docs) are in won, one of each: won has n,
+    how many rows of docs have its keys. Rows whose keys come once are only looked up; of the others one stays, whichever
+    (they are equal in what the keys say), combined in tasks before they travel."""
+    names = dict(zip(keys, free_names(docs, *[f"__{k}" for k in keys]), strict=True))
+    rows = docs.withColumns({names[k]: v for k, v in keys.items()})
+    won = won.select(*[F.col(k).alias(names[k]) for k in keys], F.col("n"))
+    on = list(names.values())
+    look = lambda some: rows.join(some.select(*on), [rows[c].eqNullSafe(some[c]) for c in on], "left_semi")
+    again = won.where("n > 1")
+    if again.isEmpty():
+        return look(won).drop(*on)
+    return look(won.where("n = 1")).unionByName(look(again).dropDuplicates(on)).drop(*on)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

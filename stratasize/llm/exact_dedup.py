@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import SPACE_PATTERN, written
+from stratasize.llm.common import SPACE_PATTERN, kept_rows, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest_bits: int = 256) -> DataFrame:
@@ -21,11 +21,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Then rows look up their group by digest; only rows of a digest with several texts look it up by text as well.
 
     Nulls: a null text is an empty one; a null doc_id loses to any other, and a group without any id keeps null.
-    Rows that repeat a doc_id and text count each in group_size and get the same verdict.
+    Rows that repeat a doc_id and text count each in group_size and get the same verdict. A very long text is one
+    grouping key, held whole.
     Empty table: empty result. Other columns, whatever their names, are neither read nor returned.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_PATTERN, " ").alias("norm"))
-    rows = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    rows = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"), _salt(salts).alias("salt"))
     rows = rows.withColumn("digest", F.substring(F.unhex("text_sha256"), 1, max(1, digest_bits // 8)))
     salted = rows.groupBy("digest", "salt", "norm").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     whole = salted.repartition("digest").groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -43,12 +44,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _verdict(thin.join(spread, ["digest", "salt"], "left"))
 
 
+def _salt(salts: int) -> F.Column:
+    """By id; rows without one are dealt by their place, since any salt gives the same groups."""
+    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(salts)).cast("int")
+
+
 def _verdict(found: DataFrame) -> DataFrame:
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that exact_dedup() keeps, with all their columns. Rows without an id stay only where no equal text has one."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of docs for each text, with all its columns: the one with the group's smallest doc_id, one of them where
+    several have it. Rows are told apart by id and text. Rows without an id stay only where no equal text has one."""
+    won = exact_dedup(docs, id_col, text_col, **options).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_PATTERN, " ")
+    return kept_rows(docs, written(won, "exact-winners"), {"doc_id": F.col(id_col).cast("long"), "text_sha256": F.sha2(text, 256)})

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratasize.llm.common import SPACE_PATTERN, WORD_PATTERN, free_names, written
+from stratasize.operators.filters import numbered_by_ranges
 
 #: Weights of the sources in order of name, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -86,22 +87,28 @@ def mix(
     Places are prefix sums in two steps: by (source, hash bucket), then inside a bucket. Sums of a bucket are combined
     before the shuffle and a hot source spreads over all its buckets, so no task holds a source.
 
-    Nulls: a null text has no words; the null source is a source, the last in order; null doc_ids hash alike and are
-    ordered by size. Rows that repeat a doc_id are taken each. No words at all: every target is 0. Empty table: empty
-    result. Other columns are not read.
+    Nulls: a null text has no words; the null source is a source, the last in order; null doc_ids stand in order of a
+    hash of their text. Rows that repeat a doc_id are taken each; equal ones (in id, source and text) stand one after the
+    other and are one row in the windows. A very long text is one row, only counted. No words at all: every target is 0.
+    Empty table: empty result. Other columns are not read.
+
+    More columns: h, a hash of the text, and copy, which counts equal rows from 0; repeats, how many there are.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"), key.alias("key"))
+    id_, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(F.coalesce(id_, F.concat(F.lit("text:"), F.hex(F.xxhash64(text_col)))).cast("binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), key.alias("key"), F.xxhash64(text_col).alias("h"))
+    rows = rows.groupBy("doc_id", "source", "size", "key", "h").agg(F.count(F.lit(1)).alias("repeats"))
     rows = rows.withColumn("bucket", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int"))
     rows = written(rows, "mix-sizes")
-    sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-sums")
+    sums = written(rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("repeats")).alias("n")), "mix-sums")
     # From here on windows run over (source, bucket) sums: a bounded number of rows for each source.
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, float(most))
     places = before.join(targets, before["source"].eqNullSafe(targets["source"])).select(before["source"].alias("s"), F.col("bucket").alias("b"), "before", "source_size", "kind", "target")
     known = rows.join(places, rows["source"].eqNullSafe(F.col("s")) & (rows["bucket"] == F.col("b")))
-    inside = W.partitionBy("s", "b").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    known = known.withColumn("place", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = W.partitionBy("s", "b").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "h").rowsBetween(W.unboundedPreceding, -1)
+    known = known.withColumn("place", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("repeats")).over(inside), F.lit(0)))
+    known = known.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1))).withColumn("place", F.col("place") + F.col("copy") * F.col("size"))
     goal = F.round("target").cast("long")
     taken, last = F.lit(0), F.lit(None).cast("long")
     for nth in range(most):
@@ -110,7 +117,7 @@ def mix(
         taken, last = taken + part, F.when(part > 0, start).otherwise(last)
     known = known.withColumn("taken", taken.cast("long")).withColumn("last", last)
     when = lambda place: F.when(F.col("taken") > 0, training_time(place / goal, F.col("kind"), schedules))
-    out = known.select("doc_id", "size", "source", "source_size", "target", "taken", when(F.col("place")).alias("first_time"), when(F.col("last")).alias("last_time"), "key")
+    out = known.select("doc_id", "size", "source", "source_size", "target", "taken", when(F.col("place")).alias("first_time"), when(F.col("last")).alias("last_time"), "h", "copy", "repeats", "key")
     return written(out, "mix").orderBy(F.col("first_time").asc_nulls_last(), "key").drop("key")
 
 
@@ -118,13 +125,27 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself: docs' rows with their columns, once for each time that they are taken, the last time cut to the
     words that are taken of it, in order of training time. Documents that are not taken are left out.
 
-    Rows that repeat an id and source share what is taken of their first, each as often.
+    Rows are told apart by id, source and text; equal ones are numbered, and each is taken as its number is.
     """
-    one, other, size, taken, first, last, nth, when = free_names(docs, "__id", "__source", "__size", "__taken", "__first", "__last", "__nth", "__time")
-    took = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
-    most = {"size": size, "taken": taken, "first_time": first, "last_time": last}
-    took = took.groupBy(F.col("doc_id").alias(one), F.col("source").alias(other)).agg(*[F.max(c).alias(n) for c, n in most.items()])
-    rows = docs.join(took, docs[id_col].cast("long").eqNullSafe(took[one]) & docs[source_col].eqNullSafe(took[other]))
+    one, other, hashed, copy, size, taken, first, last, nth, when = free_names(docs, "__id", "__source", "__h", "__copy", "__size", "__taken", "__first", "__last", "__nth", "__time")
+    names = {"doc_id": one, "source": other, "h": hashed, "copy": copy, "size": size, "taken": taken, "first_time": first, "last_time": last}
+    took = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    took = took.where("taken > 0").select(*[F.col(c).alias(n) for c, n in names.items()], "repeats")
+    keys = {one: F.col(id_col).cast("long"), other: F.col(source_col), hashed: F.xxhash64(text_col)}
+
+    def joined(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        """left with right's columns, by the keys."""
+        right, met = right.withColumnsRenamed({c: f"{c}_" for c in (*keys, *more)}), F.lit(True)
+        for c in (*keys, *more):
+            met = met & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        return left.join(right, met).drop(*[f"{c}_" for c in (*keys, *more)])
+
+    keyed = docs.withColumns(keys)
+    rows = joined(keyed, took.where("repeats = 1").drop(copy, "repeats"))
+    again = took.where("repeats > 1").drop("repeats")
+    if not again.isEmpty():
+        numbered = numbered_by_ranges(joined(keyed, again.select(*keys).distinct()), [], list(keys), copy)
+        rows = rows.unionByName(joined(numbered, again, copy).drop(copy))
     rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(0), ((F.col(taken) - 1) / F.greatest(size, F.lit(1))).cast("int"))))
     left = F.col(taken) - F.col(nth) * F.col(size)
     text = F.regexp_replace(F.regexp_replace(text_col, SPACE_PATTERN, " "), "^ ", "")

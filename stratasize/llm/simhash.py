@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasize.llm.common import Words, bounded_batches, id_or_null_id, null_id_to_null, slices, written
+from stratasize.llm.common import NULL_ID, Words, bounded_batches, free_names, id_or_null_id, kept_rows, null_id_to_null, slices, written
 from stratasize.llm.components import connected_components
 
 #: 64 bits in four segments of 16; links at three differing bits or fewer.
@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     Rows of one fingerprint form one node, so a hot group of copies is a single row in the search and in the components.
     Nulls: a null text has no words (fingerprint zero, linked like any other); a null doc_id comes back as null, sorts
     before all ids, and a component that holds one has a null component_id. Repeated rows: one result row each.
-    Empty table: empty result. Other columns are neither read nor returned.
+    A very long text is a slice of its own, whole. Empty table: empty result. Other columns are neither read nor returned.
     """
     found = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
@@ -125,6 +125,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, with all their columns."""
-    kept = near_duplicates(docs, width, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of docs for each component, with all its columns: the one with the smallest doc_id, of those the one with
+    the smallest fingerprint, and one of several that have both. Only the winners' ids are fingerprinted again, to tell
+    rows that share an id apart."""
+    found = written(near_duplicates(docs, width, id_col, text_col), "near-duplicates")
+    won = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("fingerprint"))
+    id_, h = free_names(docs, "__id", "__h")
+    mine = docs.withColumns({id_: id_or_null_id(id_col), h: F.xxhash64(text_col)})
+    rows = mine.join(won.select(F.coalesce("component_id", F.lit(NULL_ID)).alias(id_)).distinct(), id_, "left_semi")
+    told = fingerprints(rows, width, h, text_col).distinct().select(F.col("doc_id").alias("h"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
+    known = rows.select(F.col(id_).alias("id"), F.col(h).alias("h")).groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).join(told, "h")
+    kept = won.select(F.coalesce("component_id", F.lit(NULL_ID)).alias("id"), "fingerprint").join(known, ["id", "fingerprint"])
+    one = kept.groupBy("id", "fingerprint").agg(F.min(F.struct("h", "n")).alias("b")).select("id", "b.h", "b.n")
+    return kept_rows(docs, written(one, "near-winners"), {"id": id_or_null_id(id_col), "h": F.xxhash64(text_col)})
