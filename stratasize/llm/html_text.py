@@ -25,14 +25,22 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav footer aside form dialog menu search button select object canvas svg math audio video fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
-    "ad ads adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header legal "
-    "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related recommended replies "
-    "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs consent cookie cookies footer header login masthead menu modal nav "
+    "navbar navigation newsletter overlay pager pagination popup promo promoted recommended related sidebar signup skip sponsor sponsored subscribe subscription "
+    "toolbar widget widgets".split()
 )
-#: Words for what readers say, which may be longer than the article.
+#: Words that articles use for their own sections as well; and words for what readers say, which may be longer than the article.
+OPEN_WORDS = frozenset("legal notice notices search share sharing social".split())
 TALK = frozenset("comment comments disqus replies".split())
-#: What is only called beside the text goes up to this share of an article's text, or from this share of link text on.
-SMALL_SHARE, LINK_SHARE = 0.3, 0.5
+#: What may stand beside those words in a name. A name with any other word (share-of-market) tells a subject, not a place.
+PLACES = frozenset(
+    "area article bar block body bottom box btn button buttons card col column container content count entry form group icon icons id inner item items js left "
+    "link links list main message module outer page panel post reader region right row section site slot text thread title top unit user wrap wrapper".split()
+)
+#: A name costs an element so many points; a word of WORDS so large a part of what the article around it scores, if more.
+NAME_POINTS, NAME_SHARE = 2.0, 0.3
+#: From this share of link text on a named element goes.
+LINK_SHARE = 0.5
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 #: The same without quotes, from where one never ends.
 _SLOPPY = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -43,11 +51,17 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 def _looks_aside(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element stands beside the text for certain (its kind); 1 if it is called so, 2 if it is called talk."""
+    """Whether an element stands beside the text for certain (its kind), and what its class or id calls it: 1 a word that
+    sections of an article may have as well, 2 something beside the text, 3 talk. A name counts if all its parts are
+    such words or say where something stands."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     sure = tag in ASIDE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    parts = {p.lower() for p in _PARTS.findall(found.get("class", "") + " " + found.get("id", ""))}
-    return sure, 2 if parts & TALK else int(bool(parts & WORDS))
+    called = 0
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        parts = {p.lower() for p in _PARTS.findall(name)}
+        if parts and parts <= PLACES | WORDS | OPEN_WORDS | TALK:
+            called = max(called, 3 if parts & TALK else 2 if parts & WORDS else int(bool(parts & OPEN_WORDS)))
+    return sure, called
 
 
 class Page:
@@ -127,11 +141,11 @@ class Page:
         return out
 
 
-def _scores(page: Page, gone: list[bool]) -> tuple[list[float], list[float], list[float]]:
-    """Points of each element as a container, and the lengths of its text and of its links' text."""
+def _blocks(page: Page, gone: list[bool]) -> tuple[list[tuple[int, float]], list[float], list[float]]:
+    """(element, points) of each block of text, and the lengths of each element's text and of its links' text, by itself."""
     n = len(page.tag)
     linked = page.inside([t == "a" for t in page.tag])
-    length, links, points = [0.0] * n, [0.0] * n, [0.0] * n
+    length, links = [0.0] * n, [0.0] * n
     blocks: dict[int, list] = {}
     for e, b, text in page.pieces:
         size = len(" ".join(text.split()))
@@ -147,11 +161,15 @@ def _scores(page: Page, gone: list[bool]) -> tuple[list[float], list[float], lis
     for e in range(1, n):
         if page.tag[e] not in BLOCK:
             within[e] = within[page.parent[e]]
-    for e, size, commas, link in blocks.values():
-        e = within[e]
-        if page.tag[e] in HEADINGS:
-            continue
-        worth = (min(size / 100, 3.0) + (1 + commas if size >= 25 else size / 100)) * (1 - link / size)
+    worth = [(within[e], (min(size / 100, 3.0) + (1 + commas if size >= 25 else size / 100)) * (1 - link / size)) for e, size, commas, link in blocks.values()]
+    return [(e, w) for e, w in worth if page.tag[e] not in HEADINGS], length, links
+
+
+def _scores(page: Page, gone: list[bool]) -> tuple[list[float], list[float], list[float]]:
+    """Points of each element as a container, and the lengths of its text and of its links' text."""
+    blocks, length, links = _blocks(page, gone)
+    points = [0.0] * len(page.tag)
+    for e, worth in blocks:
         at = e if page.tag[e] in ("div", "section", "article", "main", "body", "td", "#root") else page.parent[e]
         for share in (1.0, 0.5, 0.2, 0.1, 0.05):
             points[at] += worth * share
@@ -162,33 +180,37 @@ def _scores(page: Page, gone: list[bool]) -> tuple[list[float], list[float], lis
 
 
 def _beside(page: Page, sure: list[bool]) -> list[bool]:
-    """Whether each element stands beside the text: for certain, or by its name where text and links agree.
+    """Whether each element stands beside the text: for certain, or because its name costs it more than it scores.
 
-    A name counts in an element that doesn't hold the article (on a page without one, most of the text). Inside an
-    article, named elements go if they hold a small share of its text or mostly link text, unless all that go for being
-    small make up more than half of it. What is called talk goes at any share.
+    An element's score by itself is the sum of its blocks' points. A name that sections may have costs NAME_POINTS; one of
+    something beside the text costs NAME_SHARE of what the article around it scores, if that is more, but not if all such
+    elements would take half of the article. Talk goes at any score, and a named element of mostly link text too. An
+    element that holds the article, or most of a page without one, isn't judged by its name.
     """
-    n, hidden, linked = len(page.tag), page.inside(sure), page.inside([t == "a" for t in page.tag])
-    size, links = [0.0] * n, [0.0] * n
-    for e, _, text in page.pieces:
-        if not hidden[e]:
-            size[e] += len(text)
-            links[e] += len(text) * linked[e]
-    below, links = page.summed(size), page.summed(links)
+    n = len(page.tag)
+    blocks, length, links = _blocks(page, page.inside(sure))
+    own = [0.0] * n
+    for e, worth in blocks:
+        own[e] += worth
+    own, length, links = page.summed(own), page.summed(length), page.summed(links)
     core = page.summed([float(t in ("article", "main") and not m) for t, m in zip(page.tag, page.named, strict=True)])
     around, top = [0] * n, [0] * n  # the article around each element; its outermost named element below that
     for e in range(1, n):
         up = page.parent[e]
         around[e] = up if page.tag[up] in ("article", "main") and not page.named[up] else around[up]
         top[e] = top[up] if around[e] == around[up] and top[up] else e * (page.named[e] > 0)
-    may = [bool(m) and not core[e] and t not in ("html", "body", "main") and (core[0] > 0 or below[e] <= 0.5 * below[0]) for e, (m, t) in enumerate(zip(page.named, page.tag, strict=True))]
+    may = [bool(m) and not core[e] and t not in ("html", "body", "main") and (core[0] > 0 or own[e] <= 0.5 * own[0]) for e, (m, t) in enumerate(zip(page.named, page.tag, strict=True))]
     small, total = [False] * n, [0.0] * n
     for e in range(1, n):
-        small[e] = may[e] and page.named[e] < 2 and below[e] <= SMALL_SHARE * below[around[e]]
+        small[e] = may[e] and page.named[e] == 2 and own[e] <= NAME_SHARE * own[around[e]]
         if small[e] and top[e] == e:
-            total[around[e]] += below[e]
-    by_name = [may[e] and (not around[e] or page.named[e] == 2 or links[e] > LINK_SHARE * below[e] or (small[e] and total[around[e]] <= 0.5 * below[around[e]]) or not below[e]) for e in range(n)]
-    return page.inside([s or b for s, b in zip(sure, by_name, strict=True)])
+            total[around[e]] += own[e]
+    out = list(sure)
+    for e in range(1, n):
+        if may[e] and not out[e]:
+            few = small[e] and total[around[e]] <= 0.5 * own[around[e]]
+            out[e] = page.named[e] == 3 or own[e] <= NAME_POINTS or few or links[e] > LINK_SHARE * length[e]
+    return page.inside(out)
 
 
 def main_text(html: str | None) -> str:
@@ -234,8 +256,8 @@ def extract(pages: DataFrame, html_col: str = "html", text: str = "text") -> Dat
     Elements pass the points of their paragraphs (length and commas, less by the share of link text) to the ancestors,
     ever less; the container with the most points, less by its own link share, is kept, in a whole article or main
     element where it has one, with siblings that score well. Menus, headers, footers, sidebars, notices, adverts,
-    forms and comments are known by element and role; a word of class or id decides only with the text's share and
-    links (_beside()). Each page is read once from start to end, so hostile nesting or quotes cost no more than length;
+    forms and comments are known by element and role; a name in class or id is a term of an element's score (_beside()).
+    Each page is read once from start to end, so hostile nesting or quotes cost no more than length;
     a very long page is read whole.
 
     Nulls and pages without text: an empty text. Markup that never ends closes with the page. Repeated rows get equal

@@ -1,6 +1,7 @@
 """Main text of pages: names that only hint, hostile markup, and scores against a plain recount."""
 
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -20,6 +21,34 @@ def test_a_name_takes_no_large_part_of_an_article():
     assert main_text(f"<article>{lead}{TEXT * 6}<section id='comments'>{TEXT.replace('court', 'reader') * 9}</section></article>") == want
 
 
+PLAIN = "<p>The parties met again in spring and wrote down what both had agreed on before the long winter had begun that year. Nothing of it was signed.</p>"
+
+
+@pytest.mark.parametrize("paragraphs", [1, 2, 4])
+@pytest.mark.parametrize("name", ["chapter", "legal", "share-of-market", "search-results", "social-history", "comment-analysis", "headers-explained", "menuOfTheDay"])
+def test_sections_keep_their_paragraphs(name, paragraphs):
+    for lead in (TEXT, PLAIN):
+        for outer in ("article", "div"):
+            want = main_text(f"<body><{outer}><h1>Title</h1>{lead * 8}<section>{lead * paragraphs}</section></{outer}></body>")
+            assert want.count("\n") == 8 + paragraphs
+            for attribute in ("class", "id"):
+                assert main_text(f"<body><{outer}><h1>Title</h1>{lead * 8}<section {attribute}='{name}'>{lead * paragraphs}</section></{outer}></body>") == want
+
+
+@pytest.mark.parametrize(
+    "beside",
+    [
+        "<div class='ad'>Buy it now, it is cheap.</div>", "<div class='cookie-notice'>We use cookies, as all do, to measure and to show you more. Accept</div>", "<div id='comments'>" + PLAIN * 12 + "</div>", "<ol class='comment-list'><li>" + PLAIN + "</li></ol>",
+        "<div class='social-share'><a href=x>Share this with all your friends</a> <a href=y>Send</a></div>", "<div class='notice'>Only subscribers see all.</div>", "<div class='newsletter signup'>" + PLAIN + "</div>", "<div class='related-links'><p><a href=x>More of this and that to read</a></p></div>",
+        "<aside>" + PLAIN + "</aside>", "<form>" + PLAIN + "</form>", "<div role='complementary'>" + PLAIN + "</div>", "<div style='display:none'>" + PLAIN + "</div>",
+    ],
+)
+def test_what_stands_beside_goes(beside):
+    for outer in ("article", "div"):
+        want = main_text(f"<body><{outer}><h1>Title</h1>{TEXT * 8}</{outer}></body>")
+        assert main_text(f"<body><{outer}><h1>Title</h1>{TEXT * 4}{beside}{TEXT * 4}</{outer}></body>") == want
+
+
 @pytest.mark.parametrize("html", ["<div><i>" * 60_000, "<i>" * 90_000 + "<td></td>" * 9000, "<td><div>" + "<i>" * 90_000 + "<td></td>" * 9000, '<a "' * 100_001, "<a href='" * 100_001, "<p>x<i>" * 60_000 + "<hr>x" * 20_000, "<!--" * 90_000, "</div>" * 90_000])
 def test_hostile_markup_is_linear(html):
     began = time.process_time()
@@ -61,3 +90,47 @@ def test_points_on_the_given_pages(spark, small):
         page = html_text.Page(r["html"] or "")
         for gone in ([False] * len(page.tag), html_text._beside(page, page.sure)):
             assert html_text._scores(page, gone)[0] == pytest.approx(plain_points(page, gone))
+
+
+class Plain(HTMLParser):
+    """The given pages read by rules of their kind: the blocks of their article, but for what is beside it."""
+
+    VOID = {"br", "meta", "img", "link", "hr", "input"}
+    BESIDE = {"nav", "aside", "footer", "form", "script", "style", "head", "header"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "br", "u", "code", "small", "sup", "sub"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.blocks.append("")
+            if tag == "p" and "p" in self.open:
+                del self.open[self.open.index("p") :]
+        if tag == "br":
+            self.handle_data(" ")
+        if tag not in self.VOID:
+            beside = tag in self.BESIDE or dict(attrs).get("class") in ("ad", "comments")
+            self.open.append(f"beside {tag}" if beside else tag)
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.blocks.append("")
+        depths = [i for i, name in enumerate(self.open) if name.split()[-1] == tag]
+        if depths:
+            del self.open[depths[-1] :]
+
+    def handle_data(self, data):
+        if "article" in self.open and not any(name.startswith("beside ") for name in self.open):
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(x for b in self.blocks if (x := " ".join(b.split())))
+
+
+def test_given_pages_equal_a_plain_reader(spark, small):
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        assert main_text(r["html"]) == Plain(r["html"]).text()
