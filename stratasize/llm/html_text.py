@@ -184,7 +184,7 @@ def _beside(page: Page, sure: list[bool]) -> list[bool]:
 
     An element's score by itself is the sum of its blocks' points. A name that sections may have costs NAME_POINTS; one of
     something beside the text costs NAME_SHARE of what the article around it scores, if that is more, but not if all such
-    elements would take half of the article. Talk goes at any score, and a named element of mostly link text too. An
+    elements would take half of the article; outside of an article it costs all. Talk goes at any score, and a named element of mostly link text too. An
     element that holds the article, or most of a page without one, isn't judged by its name.
     """
     n = len(page.tag)
@@ -209,7 +209,8 @@ def _beside(page: Page, sure: list[bool]) -> list[bool]:
     for e in range(1, n):
         if may[e] and not out[e]:
             few = small[e] and total[around[e]] <= 0.5 * own[around[e]]
-            out[e] = page.named[e] == 3 or own[e] <= NAME_POINTS or few or links[e] > LINK_SHARE * length[e]
+            apart = page.named[e] == 2 and not around[e]
+            out[e] = page.named[e] == 3 or apart or own[e] <= NAME_POINTS or few or links[e] > LINK_SHARE * length[e]
     return page.inside(out)
 
 
