@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratasize.llm.common import bounded_batches, free_names, id_or_null_id, written
+from stratasize.operators.filters import numbered_by_ranges
 
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _SPACE = " \t\n\v\f\r"
@@ -132,85 +133,116 @@ def line_hashes(text: Column) -> Column:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of the later document that the alignment with an earlier one matches."""
+    """Places of the later document's items that the alignment with an earlier one matches."""
     for batch in batches:
         gone = [[j for _, j in patience(a, b)] for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["key", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["key", "at"])
 
 
-def _aligned(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, places): the lines of each pair's later document that the alignment matches."""
-    earlier, later = lines.select(F.col("key").alias("first"), F.col("lines").alias("a")), lines.select("key", F.col("lines").alias("b"))
-    matched = pairs.join(earlier, "first").join(later, "key").select("key", "a", "b").mapInArrow(_align, "key struct<id:long,h:long>, places array<int>")
-    return matched.where(F.size("places") > 0)
+def _aligned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, at): the items of each pair's later document that the alignment matches."""
+    earlier, later = reps.select(F.col("key").alias("first"), F.col("items").alias("a")), reps.select("key", F.col("items").alias("b"))
+    matched = pairs.join(earlier, "first").join(later, "key").select("key", "a", "b").mapInArrow(_align, "key struct<id:long,h:long>, at array<int>")
+    return matched.select("key", F.explode("at").alias("at"))
 
 
-def _other_pairs(lines: DataFrame, held: DataFrame, shared: DataFrame, pairs: DataFrame, matched: DataFrame, most: int) -> DataFrame:
-    """Pairs of documents not yet aligned, for the lines of up to `most` holders that the later one has unmatched."""
-    places = matched.select("key", F.explode("places").alias("pos")).distinct()
-    few = shared.where(F.col("holders") <= most).select("key", "line")
-    lone = lines.select("key", F.posexplode("lines").alias("pos", "line")).where("line IS NOT NULL").join(few, ["key", "line"], "left_semi")
-    lone = written(lone.join(places, ["key", "pos"], "left_anti").select("key", "line").distinct(), "unmatched-lines")
-    other = lone.join(held.select(F.col("key").alias("first"), "line"), "line").where("first < key").select("first", "key").distinct()
-    return other.join(pairs, ["first", "key"], "left_anti")
+def _shared_items(lines: DataFrame) -> DataFrame:
+    """(key, c, places, items): of each document the lines that another one has as well, in order, where they stand, and
+    a digest of their sequence."""
+    each = lines.select("key", F.posexplode("lines").alias("place", "line")).where("line IS NOT NULL")
+    held = lines.select(F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line"))
+    # A table of its own, so that the join below has two plain exchanges and Spark can split a hot line's holders.
+    shared = written(held.groupBy("line").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("line"), "shared-lines")
+    own = each.join(shared, "line", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("s"))  # a document's lines
+    own = own.select("key", F.col("s.place").alias("places"), F.col("s.line").alias("items"))
+    return own.select("key", F.sha2(F.array_join(F.transform("items", lambda x: F.hex(x)), ""), 256).alias("c"), "places", "items")
 
 
-def removals(docs: DataFrame, rare: int | None = None, id_col: str = "doc_id", text_col: str = "text", others: int = 0) -> DataFrame:
-    """(key, places, common): for each document with something to delete, the indices of aligned lines and the MD5s of
-    common lines, which go wherever they stand.
+def _matched(reps: DataFrame, first_width: int = 1) -> DataFrame:
+    """(key, at): the items of each representative that its alignment with any earlier one matches that has the item.
 
-    A line's holders are compared with its first holder (the smallest key), so pairs grow with the lines; then, for a
-    line of up to `others` holders that stays unmatched, with all its other earlier holders.
+    An item's line has holders in the order of keys. Each open item is tried with its line's first holder; what stays
+    open with the next ones, ever more at a time, until no item is open or none has an earlier holder left. A pair is
+    aligned once. So the result is that of all pairs that share a line, at any number of holders, and the work is that
+    of the pairs that it takes to find each item's match.
+    """
+    each = reps.select("key", F.posexplode("items").alias("at", "line"))
+    holders = numbered_by_ranges(each.select("key", "line").distinct(), ["key"], ["line"], "nth")
+    holders = written(holders, "line-holders")
+    open_ = written(each.join(holders, ["key", "line"]).where("nth > 0"), "open-items")
+    tried, found, low, width = None, [], 0, first_width
+    while not open_.isEmpty():
+        near = holders.where((F.col("nth") >= low) & (F.col("nth") < low + width)).select(F.col("key").alias("first"), "line", F.col("nth").alias("n"))
+        pairs = open_.select("key", "line", "nth").distinct().join(near, "line").where("n < nth").select("first", "key").distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["first", "key"], "left_anti"), "line-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found.append(written(_aligned(pairs, reps), "matched-items"))
+        low, width = low + width, max(8, 3 * (low + width))
+        open_ = written(open_.where(F.col("nth") > low).join(found[-1].distinct(), ["key", "at"], "left_anti"), "open-items")
+    return reduce(DataFrame.unionByName, found) if found else each.select("key", "at").limit(0)
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, places): for each document with something to delete, the indices of its lines.
+
+    Documents with one sequence of shared lines form a class with its first as representative. Every other document of
+    the class goes with all its shared lines, as they are aligned with the representative's; representatives are aligned
+    with earlier ones, which stand for their classes (_matched()).
     """
     lines = written(bounded_batches(docs).select(_key(id_col, text_col).alias("key"), line_hashes(F.col(text_col)).alias("lines")).where("lines IS NOT NULL").dropDuplicates(["key"]), "lines")
-    held = lines.select("key", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line"))
-    # A table of its own, so that the join below has two plain exchanges and Spark can split a hot line's holders.
-    known = written(held.groupBy("line").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1"), "known-lines")
-    shared = written(held.join(known, "line").where("key > first"), "shared-lines")
-    # Written for the same reason: a hot line's first holder is in many pairs.
-    pairs = written((shared if rare is None else shared.where(F.col("holders") <= rare)).select("first", "key").distinct(), "line-pairs")
-    matched = _aligned(pairs, lines)
-    if others:
-        matched = written(matched, "matched-lines")
-        matched = matched.unionByName(_aligned(written(_other_pairs(lines, held, shared, pairs, matched, others), "other-pairs"), lines))
-    aligned = matched.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    if rare is None:
-        return aligned.withColumn("common", F.lit(None).cast("array<binary>"))
-    common = shared.where(F.col("holders") > rare).groupBy("key").agg(F.collect_list("line").alias("common"))
-    return aligned.join(common, "key", "full")
+    own = written(_shared_items(lines), "shared-items")
+    classes = written(own.groupBy("c").agg(F.min("key").alias("first")), "line-classes")
+    classed = own.join(classes, "c")
+    reps = written(classed.where("key = first").select("key", "places", "items"), "line-representatives")
+    matched = _matched(reps).groupBy("key").agg(F.collect_set("at").alias("at"))  # a document's items
+    told = reps.join(matched, "key").select("key", F.transform("at", lambda i: F.col("places")[i]).alias("places"))
+    return told.unionByName(classed.where("key > first").select("key", "places"))
 
 
 @F.arrow_udf(T.StructType().add("text", T.StringType()).add("n_lines", T.IntegerType()).add("n_removed", T.IntegerType()))
-def _cut(texts: pa.Array, places: pa.Array, common: pa.Array) -> pa.Array:
+def _cut(texts: pa.Array, places: pa.Array) -> pa.Array:
     out = []
-    for text, gone, hashes in zip(texts.to_pylist(), places.to_pylist(), common.to_pylist(), strict=True):
-        lines = (text or "").split("\n") if text is not None else []
-        gone, hashes = set(gone or ()), set(hashes or ())
-        left = [x for i, x in enumerate(lines) if i not in gone and not (hashes and hashlib.md5(x.strip(_SPACE).encode()).digest() in hashes)]
-        kept = text if len(left) == len(lines) else "\n".join(left) if any(x.strip(_SPACE) for x in left) else ""
-        out.append((kept, len(lines), len(lines) - len(left)))
+    for text, gone in zip(texts.to_pylist(), places.to_pylist(), strict=True):
+        lines = text.split("\n") if text is not None else []
+        gone = set(gone or ())
+        if gone:  # blank lines go with the lines on both sides of them
+            before, waiting = True, []
+            for i, x in enumerate(lines):
+                if not x.strip(_SPACE):
+                    waiting.append(i)
+                    continue
+                if before and i in gone:
+                    gone.update(waiting)
+                before, waiting = i in gone, []
+            if before:
+                gone.update(waiting)
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        kept = text if not gone else "\n".join(left) if any(x.strip(_SPACE) for x in left) else ""
+        out.append((kept, len(lines), len(gone)))
     return pa.StructArray.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))], ["text", "n_lines", "n_removed"])
 
 
-def drop_repeated_lines(docs: DataFrame, rare: int | None = None, id_col: str = "doc_id", text_col: str = "text", others: int = 0) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines deleted that an earlier document has as well, and n_lines and n_removed.
 
-    Lines are equal when identical without white space at their ends. For each line that several documents hold, its
-    later holders are aligned with its first; lines of the later one in the alignment's common blocks go. With
-    `others`, a line of up to so many holders that stays unmatched has its later holders aligned with all its earlier
-    ones. With `rare`, a line that more documents hold is not aligned and goes from all its later holders. Documents are
-    judged on the input, earlier is a smaller doc_id, and nothing is deleted for a repeat inside one document.
-    A text of which only blank lines are left becomes empty; the document stays.
+    Lines are equal when identical without white space at their ends. Each two documents that share a line are aligned
+    by their shared lines (a line that only one document has can't match), by patience(); the lines of the later one in
+    the alignment go. One rule holds at any number of holders: results are those of all pairs, though only the pairs are
+    aligned that it takes to find them (see _matched() and removals()). Documents are judged on the input, earlier is a
+    smaller doc_id, and nothing is deleted for a repeat inside one document. Blank lines go with the lines on both sides
+    of them; a text of which only blank lines are left becomes empty; the document stays.
 
-    Work: a pair for each shared line of a later document at most (and `others` for each unmatched one), each aligned alone; hot lines' holders spread over
-    tasks by skew-join splitting, and no group of holders is gathered.
+    Work: documents of one sequence of shared lines are one in the alignments. A line that no alignment matches, because
+    all its earlier holders have it in another order, is tried with all of them; there pairs can grow with its holders.
+    Hot lines' holders are counted before they travel, numbered by ranges, and spread over tasks by skew-join splitting.
 
     Nulls: a null text has no lines and stays null; a null doc_id is earlier than all others. Rows that share an id
     with different texts are ordered by a hash of them; fully repeated rows are one document and get the same verdict.
-    Empty table: empty result. Other columns pass through, except n_lines and n_removed, which are replaced.
+    Empty and very long texts: as any other; a text's lines are aligned in one task. Empty table: empty result. Other
+    columns pass through, except n_lines and n_removed, which are replaced.
     """
-    key, places, common, cut = free_names(docs, "__key", "__places", "__common", "__cut")
-    gone = removals(docs, rare, id_col, text_col, others).select(F.col("key").alias(key), F.col("places").alias(places), F.col("common").alias(common))
-    found = docs.withColumn(key, _key(id_col, text_col)).join(gone, key, "left").withColumn(cut, _cut(F.col(text_col), F.col(places), F.col(common)))
+    key, places, cut = free_names(docs, "__key", "__places", "__cut")
+    gone = removals(docs, id_col, text_col).select(F.col("key").alias(key), F.col("places").alias(places))
+    found = docs.withColumn(key, _key(id_col, text_col)).join(gone, key, "left").withColumn(cut, _cut(F.col(text_col), F.col(places)))
     found = found.withColumns({text_col: F.col(f"{cut}.text"), "n_lines": F.col(f"{cut}.n_lines"), "n_removed": F.col(f"{cut}.n_removed")})
-    return found.drop(key, places, common, cut)
+    return found.drop(key, places, cut)

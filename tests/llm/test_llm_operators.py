@@ -165,28 +165,6 @@ def test_patience():
     assert line_dedup.patience([None, 1], [2, None]) == [] and line_dedup.patience([], [1]) == []
 
 
-@pytest.mark.parametrize("rare", [1, 4, 64])
-def test_lines_equal_brute_force(docs, texts, rare):
-    lines = {d: [x.strip(" \t\n\v\f\r") or None for x in t.split("\n")] for d, t in texts.items()}
-    hold = collections.defaultdict(list)
-    for d in sorted(lines):
-        for x in set(lines[d]) - {None}:
-            hold[x].append(d)
-    gone, pairs = collections.defaultdict(set), set()
-    for x, ds in hold.items():
-        if 2 <= len(ds) <= rare:
-            pairs |= {(ds[0], d) for d in ds[1:]}
-        elif len(ds) > rare:
-            for d in ds[1:]:
-                gone[d] |= {i for i, y in enumerate(lines[d]) if y == x}
-    for e, d in pairs:
-        gone[d] |= {j for _, j in line_dedup.patience(lines[e], lines[d])}
-    for r in line_dedup.drop_repeated_lines(docs, rare).collect():
-        own = texts[r["doc_id"]].split("\n")
-        left = [x for i, x in enumerate(own) if i not in gone[r["doc_id"]]]
-        assert r["text"] == ("\n".join(left) if any(x.strip() for x in left) or len(left) == len(own) else "") and r["n_removed"] == len(own) - len(left)
-
-
 def test_lines_odd_rows(odd):
     got = line_dedup.drop_repeated_lines(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_removed"] and got.count() == odd.count()
