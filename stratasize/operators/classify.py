@@ -214,8 +214,14 @@ def _unit(vector: str) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
 
 
-def _angles(values: list, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(np.array(values) @ pivots.T, -1.0, 1.0))
+def _matrix(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, none of them null, as rows."""
+    flat = pa.chunked_array([values]).combine_chunks() if isinstance(values, pa.Array) else values.combine_chunks()
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1 if len(flat) else 0)
+
+
+def _angles(values: pa.Array, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_matrix(values) @ pivots.T, -1.0, 1.0)) if len(values) else np.zeros((0, len(pivots)))
 
 
 def candidate_blocks(vectors: DataFrame, e: DataFrame, block_exemplars: int = BLOCK_EXEMPLARS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None:
@@ -235,7 +241,7 @@ def candidate_blocks(vectors: DataFrame, e: DataFrame, block_exemplars: int = BL
 
     @F.arrow_udf("struct<block:int,angle:double>")
     def near(values: pa.Array) -> pa.Array:
-        a = _angles(values.to_pylist(), pivots)
+        a = _angles(values, pivots)
         at = a.argmin(1)
         return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(a[np.arange(len(at)), at])], ["block", "angle"])
 
@@ -247,7 +253,7 @@ def candidate_blocks(vectors: DataFrame, e: DataFrame, block_exemplars: int = BL
     def given(rows: DataFrame) -> DataFrame:
         @F.arrow_udf("array<int>")
         def pick(values: pa.Array, floors: pa.Array) -> pa.Array:
-            a = _angles(values.to_pylist(), pivots)
+            a = _angles(values, pivots)
             limit, out = np.arccos(np.clip(floors.to_numpy(zero_copy_only=False).astype(float), -1.0, 1.0)), []
             for own, most in zip(a, limit, strict=True):
                 out.append([int(own.argmin())] if np.isnan(most) else np.flatnonzero(own - radius <= most + _SLACK).tolist())
@@ -301,9 +307,9 @@ def _scored_blocks(rows: DataFrame, blocked: DataFrame, by: Sequence[str]) -> Da
         if own.num_rows and known.num_rows:
             names = list(zip(*(known[c].to_pylist() for c in ("route", "category", "subcategory")), strict=True))
             order = sorted(range(len(names)), key=lambda i: names[i])  # of equal scores the first name wins
-            matrix = np.array(known["e"].to_pylist())[order]
+            matrix = _matrix(known["e"])[order]
             for some in own.select(["k", "v"]).to_batches(max_chunksize=512):
-                cos = np.array(some.column(1).to_pylist()) @ matrix.T
+                cos = _matrix(some.column(1)) @ matrix.T
                 at = cos.argmax(1)
                 out[0] += some.column(0).to_pylist()
                 for j in range(3):
