@@ -6,6 +6,7 @@ import re
 import re._parser as re_parser
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +87,14 @@ ROLE_PREFIX = r"^(?:SRV|PC)[-_.]?"
 FALLBACK_PRIORITY, LAST_OS_PRIORITY = 900, 998
 #: Case-insensitive, with Unicode case and classes.
 FLAGS = "(?iuU)"
+#: Letters that match an ASCII letter in any case but aren't lower-cased to it.
+_ODD, _PLAIN = "ſıİK", "siik"
+
+
+def folded(text: Column) -> Column:
+    """A text in which what matches an ASCII letter in any case is that letter in lower case."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.lower(F.translate(text, _ODD, _PLAIN)))
 
 
 @dataclass(frozen=True)
@@ -102,18 +111,19 @@ class Rule:
     mode: str = "any"
     description: bool = False
 
-    def matches(self, name: Column, system: Column, folder: Column, description: Column | None = None) -> Column:
-        """Whether the rule matches; columns must not be null."""
+    def matches(self, name: Column, system: Column, folder: Column, description: Column | None = None, low: Sequence[Column | None] = (None,) * 4) -> Column:
+        """Whether the rule matches; columns must not be null. low: the columns folded(), in which literals that a pattern
+        needs are looked for before the pattern is tried."""
         found = []
         if self.names:
-            hit = name.rlike(FLAGS + _any(self.names))
+            hit = _holds(self.names, name, low[0])
             if self.description and description is not None:
-                hit = hit | ((description != "") & description.rlike(FLAGS + _any(self.names)))
+                hit = hit | ((description != "") & _holds(self.names, description, low[3]))
             found.append(hit)
         if self.systems:
-            found.append(system.rlike(FLAGS + _any(self.systems)))
+            found.append(_holds(self.systems, system, low[1]))
         if self.folders:
-            found.append(folder.rlike(FLAGS + _any(self.folders)))
+            found.append(_holds(self.folders, folder, low[2]))
         out = F.lit(False) if not found else found[0]
         for hit in found[1:]:
             out = (out & hit) if self.mode == "all" else (out | hit)
@@ -128,6 +138,12 @@ def _any(patterns: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _holds(patterns: Sequence[str], text: Column, low: Column | None) -> Column:
+    """Whether a pattern matches the text: a few searches for plain literals spare most texts the patterns."""
+    hit, needed = text.rlike(FLAGS + _any(patterns)), None if low is None else needed_literals(patterns)
+    return hit if needed is None else reduce(lambda a, b: a | b, [low.contains(x) for x in needed]) & hit
+
+
 def _quoted(literal: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", literal)
 
@@ -154,6 +170,15 @@ def required_literals(pattern: str) -> set[str] | None:
         return None
 
 
+def needed_literals(patterns: Sequence[str]) -> list[str] | None:
+    """Literals of which every match of any pattern holds one, less those that hold another; None if there are none."""
+    sets = [required_literals(p) for p in patterns]
+    if None in sets:
+        return None
+    every = set().union(*sets)
+    return sorted(x for x in every if not any(y != x and y in x for y in every))
+
+
 def _required(parsed) -> set[str] | None:
     """The best set that any item of a sequence needs: the one whose shortest text is longest."""
     found, run = [], ""

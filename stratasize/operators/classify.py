@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratasize.functions import expressions as X
-from stratasize.functions.rules import FALLBACK_PRIORITY, Rule, default_rules
+from stratasize.functions.rules import FALLBACK_PRIORITY, Rule, default_rules, folded
 from stratasize.functions.tables import GENERIC_VM, LARGE_GENERIC_MIB, UNKNOWN
 from stratasize.operators.filters import in_ranges
 from stratasize.operators.rule_index import RULE_FIELDS, rule_number_by_index
@@ -50,13 +50,14 @@ def rule_number(df: DataFrame, rules: Sequence[Rule], prefixes: Sequence[str] =
     """
     signals = dict(zip(("__name", "__system", "__folder", "__description"), _signals(df, prefixes), strict=True))
     # The signals are columns of their own, so they are worked out once for a row and not for each rule.
-    rows = df.withColumns(signals)
+    rows = df.withColumns(signals).withColumns({f"{c}_low": folded(F.col(c)) for c in signals})
     name_, system, folder, description = (F.col(c) for c in signals)
+    low = [F.col(f"{c}_low") for c in signals]
     numbered = list(enumerate(rules))
-    direct = _first(numbered, lambda r: r.matches(name_, system, folder) & ((description == "") if r.priority >= FALLBACK_PRIORITY else F.lit(True)))
-    second = _first([(i, r) for i, r in numbered if r.description or r.priority >= FALLBACK_PRIORITY], lambda r: r.matches(name_, system, folder, description))
+    direct = _first(numbered, lambda r: r.matches(name_, system, folder, low=low) & ((description == "") if r.priority >= FALLBACK_PRIORITY else F.lit(True)))
+    second = _first([(i, r) for i, r in numbered if r.description or r.priority >= FALLBACK_PRIORITY], lambda r: r.matches(name_, system, folder, description, low))
     # A generator of one row: the optimiser pushes no filter through it, which would evaluate the CASE once more.
-    return rows.select("*", F.explode(F.array(F.coalesce(direct, F.when(description != "", second)))).alias(name)).drop(*signals)
+    return rows.select("*", F.explode(F.array(F.coalesce(direct, F.when(description != "", second)))).alias(name)).drop(*signals, *[f"{c}_low" for c in signals])
 
 
 def rule_field(rules: Sequence[Rule], field: str, default: str, number: str = "rule_no") -> Column:

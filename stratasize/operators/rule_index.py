@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasize.functions.rules import FALLBACK_PRIORITY, FLAGS, Rule, _any, required_literals
+from stratasize.functions.rules import FALLBACK_PRIORITY, FLAGS, Rule, _any, folded, required_literals
 from stratasize.operators.ratios import small
 
 _SIGNALS = ("name", "system", "folder", "description")
 #: Fields of a rule that verdicts name.
 RULE_FIELDS = ("name", "category", "subcategory", "confidence")
 _RULES = "rule_no int, names string, systems string, folders string, whole boolean, told boolean, falls_back boolean"
-#: Letters that match an ASCII letter in any case but aren't lower-cased to it.
-_ODD, _PLAIN = "ſıİK", "siik"
 
 
 def rule_rows(rules: Sequence[Rule]) -> list[tuple]:
@@ -49,7 +47,7 @@ def index_rows(rules: Sequence[Rule]) -> list[tuple[str, str, int]]:
 
 def _grams(text: Column) -> Column:
     """The distinct grams of a text, with the empty one."""
-    low = F.lower(F.translate(text, _ODD, _PLAIN))
+    low = folded(text)
     of = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array(F.lit("")), of(2), of(3)))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratasize.functions.rules import Rule, default_rules, required_literals
+from stratasize.functions.rules import Rule, default_rules, folded, required_literals
 from stratasize.operators import classify as E
 from stratasize.operators import rule_index as I
 from stratasize.plans import fixtures as fx
@@ -22,6 +22,19 @@ def test_required_literals(pattern, literals):
     assert found == literals or pattern.startswith("(?=") and found in ({"tde"}, {"mssql", "sql"}) or pattern == "ab?c|x" and found in ({"a", "x"}, {"c", "x"})
 
 
+def test_literals_before_patterns_change_nothing(spark):
+    """Every rule over texts made of pieces of its own patterns, in odd letters too, with and without the search for literals."""
+    rng, rules = random.Random(3), default_rules()
+    pieces = sorted({x for r in rules for p in (*r.names, *r.systems, *r.folders) for x in re.findall(r"[\w/ -]+", p)}) + ["ſql", "elaſtic", "\u212a8S-enc", "cıtrix", "CİTRİX", "É", "ß", "7", "_"]
+    rows = [(i, *["".join(rng.choice(pieces) for _ in range(rng.randrange(4))) for _ in range(4)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, name string, system string, folder string, description string")
+    df = df.withColumns({f"{c}_low": folded(F.col(c)) for c in df.columns[1:]})
+    signals, low = [F.col(c) for c in df.columns[1:5]], [F.col(c) for c in df.columns[5:]]
+    both = [(r.matches(*signals), r.matches(*signals, low)) for r in rules]
+    counts = df.agg(*[F.count_if(a) for a, _ in both], *[F.count_if(a != b) for a, b in both]).first()
+    assert sum(x > 0 for x in counts[: len(rules)]) > 50 and not any(counts[len(rules) :])
+
+
 def test_index_equals_the_case(spark, small):
     rows = fx.described(spark, small)
     odd = spark.createDataFrame([(-1, "ſql-srv 1", "", "", ""), (-2, "", "", "", "vcenter server appliance"), (-3, "x", "WINDOWS Server", "", "Nessus"), (-4, "É", "", "/vm/SAP", "y")], "row_index long, vm_name string, os_name string, vm_folder string, vm_description string")
