@@ -79,7 +79,7 @@ class OpenBins:
     """Bins by used space, ascending, in blocks that know the least IOPS among theirs, so that a search passes over whole
     blocks without room. Of bins of equal space the one opened first comes last, since searches go from the end."""
 
-    def __init__(self, block: int = 256):
+    def __init__(self, block: int = 64):
         self.block, self.keys, self.busy = block, [[]], [[]]
         self.firsts, self.least = [(-1.0, 0)], [np.inf]
 

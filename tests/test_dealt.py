@@ -2,6 +2,7 @@
 
 from stratasize.operators import classify as E
 from stratasize.operators.rule_index import rule_number_by_index
+from stratasize.plans import fixtures as fx
 
 
 def plan(df):
@@ -14,3 +15,11 @@ def test_rules_are_looked_up_where_rows_are(spark, small):
     logical, _ = plan(found)
     assert "Aggregate" not in logical and logical.count("Join") == 1  # the fields of a rule, by its number
     assert rules[found.first()["rule_no"]].name == "Microsoft SQL"
+
+
+def test_machines_are_dealt_to_all_tasks(spark, small):
+    """The tables are one file of one row group each."""
+    logical, _ = plan(fx.inventory(spark, small))
+    assert "RepartitionByExpression [o_orderkey" in logical
+    rows = fx.inventory(spark, small)
+    assert rows.count() == rows.select("row_index").distinct().count() == fx.table(spark, small, "orders").count()
