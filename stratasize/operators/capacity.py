@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratasize.functions import expressions as X
 from stratasize.operators.ratios import small
 from stratasize.sources.columns import MEASURED
+from stratasize.sources.sinks import stored
 
 
 def joined(left: DataFrame, right: DataFrame, on: dict[str, Column], by: Sequence[str] = (), how: str = "left") -> DataFrame:
@@ -94,11 +95,14 @@ def look_up_twice(vms: DataFrame, sheet: DataFrame | None, values: list[str], pr
     """vms with a sheet's sums by UUID, or by name where the UUID is not in it, in their inventory (columns `by`):
     prefix_value, and prefix_found.
 
-    Two left joins on aggregated keys; vms has vm_uuid (may be blank) and vm_name.
+    Two left joins on aggregated keys; vms has vm_uuid (may be blank) and vm_name. A sheet with both keys is summed by
+    both at once and written, so that its rows are read and joined once and only the sums meet each key.
     """
     if sheet is None:
         return vms.withColumns({f"{prefix}_{v}": F.lit(0.0) for v in values} | {f"{prefix}_found": F.lit(False)})
-    out, picked = vms, []
+    out, picked, both = vms, [], ("vm_uuid", "vm_name")
+    if all(k in t.columns for k in both for t in (vms, sheet)):
+        sheet = stored(sheet.groupBy(*by, *both).agg(*[F.sum(X.number(F.col(v))).alias(v) for v in values]), f"{prefix}-sums")
     for nth, key in enumerate(("vm_uuid", "vm_name")):
         if key in sheet.columns and key in vms.columns:
             own = f"__{prefix}{nth}"

@@ -1,5 +1,8 @@
 """What a task holds and how many there are: lookups of rules without a shuffle, machines dealt to all tasks, sheets read once."""
 
+from pyspark.sql import functions as F
+
+from stratasize.operators import capacity as D
 from stratasize.operators import classify as E
 from stratasize.operators.rule_index import rule_number_by_index
 from stratasize.plans import fixtures as fx
@@ -23,3 +26,12 @@ def test_machines_are_dealt_to_all_tasks(spark, small):
     assert "RepartitionByExpression [o_orderkey" in logical
     rows = fx.inventory(spark, small)
     assert rows.count() == rows.select("row_index").distinct().count() == fx.table(spark, small, "orders").count()
+
+
+def test_sheets_are_read_once(spark):
+    vms = spark.createDataFrame([("a", "u1", "x"), ("a", "", "y"), ("b", "u1", "x"), ("b", None, "z")], "site string, vm_uuid string, vm_name string")
+    sheet = spark.createDataFrame([("a", "u1", "x", 1.5), ("a", " u1 ", "y", 2.0), ("a", "", "y", 4.0), ("b", None, "x", 8.0), ("b", "u2", None, 16.0)], "site string, vm_uuid string, vm_name string, capacity_mib double")
+    once = sheet.withColumn("capacity_mib", F.col("capacity_mib") + F.rand(1) * 0)
+    found = D.look_up_twice(vms, once, ["capacity_mib"], "part", ["site"])
+    assert "rand(" not in plan(found)[0]  # the sheet is no part of the joins any more
+    assert sorted((r["site"], r["vm_name"], r["part_capacity_mib"], r["part_found"]) for r in found.collect()) == [("a", "x", 3.5, True), ("a", "y", 6.0, True), ("b", "x", 8.0, True), ("b", "z", 0.0, False)]
