@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from heapq import heappush, heapreplace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +23,10 @@ ISOLATE_MIB, ISOLATE_IOPS, HOT_IOPS, WARM_IOPS, HOT_MACHINES, HEADROOM_IOPS = 2.
 HIGH_BAND, MIDDLE_BAND = 80.0, 60.0
 #: Machines that the exact greedy takes as one group; a larger one is dealt to parts.
 MOST_IN_GROUP = 100_000
+#: Machines to a task that packs groups, about: more tasks than groups cost little.
+MACHINES_A_TASK = 50_000
+#: Columns of machines that the figures of datastores are made of.
+_OF_MACHINES = ("required_mib", "peak_iops", "workload_key")
 
 
 @dataclass(frozen=True)
@@ -67,12 +71,12 @@ def _numbered(prefix: Column | str, n: Column) -> Column:
     return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("_"), F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string")))
 
 
-def place_alone(vms: DataFrame, strategy: Column | str, prefix: Column | str, c: Constraints, groups: Sequence[str] = ()) -> DataFrame:
+def place_alone(vms: DataFrame, strategy: Column | str, prefix: Column | str, c: Constraints, groups: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Each machine in a datastore of its own size, numbered by prefix in row order; see numbered_by_ranges()."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    rows = vms.select(*groups, as_column(strategy).alias("strategy"), "row_index", as_column(prefix).alias("__prefix"), _own_raw(c).alias("raw_mib"), F.col("required_mib").alias("usable_mib"))
+    rows = vms.select(*groups, as_column(strategy).alias("strategy"), "row_index", as_column(prefix).alias("__prefix"), _own_raw(c).alias("raw_mib"), F.col("required_mib").alias("usable_mib"), *keep)
     rows = numbered_by_ranges(rows, ["row_index"], [*groups, "strategy", "__prefix"], "__n")
-    return rows.select(*groups, "strategy", "row_index", _numbered(F.col("__prefix"), F.col("__n") + 1).alias("datastore"), "raw_mib", "usable_mib")
+    return rows.select(*groups, "strategy", "row_index", _numbered(F.col("__prefix"), F.col("__n") + 1).alias("datastore"), "raw_mib", "usable_mib", *keep)
 
 
 class OpenBins:
@@ -88,33 +92,38 @@ class OpenBins:
         return i, bisect_left(self.keys[i], key)
 
     def add(self, used: float, busy: float, number: int) -> None:
-        i, j = self._at((used, -number))
-        self.keys[i].insert(j, (used, -number))
+        key = (used, -number)
+        i, j = self._at(key)
+        keys = self.keys[i]
+        keys.insert(j, key)
         self.busy[i].insert(j, busy)
-        self._know(i)
-        if len(self.keys[i]) > 2 * self.block:
+        if j == 0:
+            self.firsts[i] = key
+        if busy < self.least[i]:
+            self.least[i] = busy
+        if len(keys) > 2 * self.block:
             half = self.block
-            self.keys.insert(i + 1, self.keys[i][half:])
+            self.keys.insert(i + 1, keys[half:])
             self.busy.insert(i + 1, self.busy[i][half:])
-            del self.keys[i][half:], self.busy[i][half:]
+            del keys[half:], self.busy[i][half:]
             self.firsts.insert(i + 1, self.keys[i + 1][0])
             self.least.insert(i + 1, min(self.busy[i + 1]))
-            self._know(i)
+            self.least[i] = min(self.busy[i])
 
     def remove(self, used: float, number: int) -> None:
-        i, j = self._at((used, -number))
-        del self.keys[i][j], self.busy[i][j]
-        if not self.keys[i] and len(self.keys) > 1:
-            del self.keys[i], self.busy[i], self.firsts[i], self.least[i]
-        else:
-            self._know(i)
-
-    def _know(self, i: int) -> None:
-        self.firsts[i] = self.keys[i][0] if self.keys[i] else (-1.0, 0)
-        self.least[i] = min(self.busy[i], default=np.inf)
+        self._out(*self._at((used, -number)))
 
     def fullest(self, space: float, iops: float, usable: float, budget: float) -> int | None:
         """The fullest bin that takes so much; of equal ones the first opened."""
+        at = self._fullest(space, iops, usable, budget)
+        return None if at is None else -self.keys[at[0]][at[1]][1]
+
+    def take(self, space: float, iops: float, usable: float, budget: float) -> int | None:
+        """fullest(), which is taken out."""
+        at = self._fullest(space, iops, usable, budget)
+        return None if at is None else self._out(*at)
+
+    def _fullest(self, space: float, iops: float, usable: float, budget: float) -> tuple[int, int] | None:
         # A little beyond the space that is left, as sums are rounded; the test below is the exact one.
         start = bisect_right(self.firsts, ((usable - space) * (1 + 1e-9) + 1e-9, 1)) - 1
         for i in range(max(start, 0), -1, -1):
@@ -122,26 +131,36 @@ class OpenBins:
                 continue
             keys, busy = self.keys[i], self.busy[i]
             for j in range(len(keys) - 1, -1, -1):
-                if keys[j][0] + space <= usable and busy[j] + iops <= budget:
-                    return -keys[j][1]
+                if busy[j] + iops <= budget and keys[j][0] + space <= usable:
+                    return i, j
         return None
 
+    def _out(self, i: int, j: int) -> int:
+        keys, busy = self.keys[i], self.busy[i]
+        number, was = -keys.pop(j)[1], busy.pop(j)
+        if not keys and len(self.keys) > 1:
+            del self.keys[i], self.busy[i], self.firsts[i], self.least[i]
+            return number
+        if j == 0:
+            self.firsts[i] = keys[0] if keys else (-1.0, 0)
+        if was <= self.least[i]:  # only then can the least be another
+            self.least[i] = min(busy, default=np.inf)
+        return number
+
 
-def best_fit(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -> list[int]:
+def best_fit(rows: Mapping[str, np.ndarray], usable: float, iops_budget: float, most: int) -> list[int]:
     """The bin of each row: rows by the larger of their shares of space and IOPS, falling; each into the fullest bin that
     takes its space, IOPS and count, or a new one. Ties keep the row order."""
-    share = pd.concat([rows["required_mib"] / usable if usable > 0 else rows["required_mib"] * 0, rows["peak_iops"] / iops_budget if iops_budget > 0 else rows["peak_iops"] * 0], axis=1).max(axis=1)
-    order = share.reset_index(drop=True).sort_values(ascending=False, kind="stable").index
-    space, iops, out = rows["required_mib"].tolist(), rows["peak_iops"].tolist(), [0] * len(rows)
+    space, iops = np.asarray(rows["required_mib"]), np.asarray(rows["peak_iops"])
+    share = np.fmax(space / usable if usable > 0 else space * 0, iops / iops_budget if iops_budget > 0 else iops * 0)
+    order, space, iops, out = np.argsort(-share, kind="stable").tolist(), space.tolist(), iops.tolist(), [0] * len(space)
     used, busy, count, open_ = [], [], [], OpenBins()
     for i in order:
-        b = open_.fullest(space[i], iops[i], usable, iops_budget)
+        b = open_.take(space[i], iops[i], usable, iops_budget)
         if b is None:
             b = len(used)
             for values in (used, busy, count):
                 values.append(0)
-        else:
-            open_.remove(used[b], b)
         used[b] += space[i]
         busy[b] += iops[i]
         count[b] += 1
@@ -151,16 +170,20 @@ def best_fit(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -
     return out
 
 
-def least_loaded(rows: pd.DataFrame, usable: float, iops_budget: float, most: int) -> list[int]:
+def least_loaded(rows: Mapping[str, np.ndarray], usable: float, iops_budget: float, most: int) -> list[int]:
     """The bin of each row: as many bins as space or IOPS need, the largest row first into the emptiest that has the
     space; if none has, a new one. A heap gives the emptiest bin, the first of equal ones."""
-    space, out = rows["required_mib"].to_numpy(), [0] * len(rows)
+    space = np.asarray(rows["required_mib"])
     need = lambda total, each: -int(-total // each) if each > 0 else 1
-    n = max(need(space.sum(), usable), need(rows["peak_iops"].sum(), iops_budget), 1)
-    heap = [(0.0, b) for b in range(n)]
-    for i in np.argsort(-space, kind="stable"):
-        used, b = heap[0] if heap[0][0] + space[i] <= usable else (0.0, len(heap))
-        (heapreplace if b < len(heap) else heappush)(heap, (used + float(space[i]), b))
+    n = max(need(space.sum(), usable), need(np.sum(rows["peak_iops"]), iops_budget), 1)
+    heap, order, space, out = [(0.0, b) for b in range(n)], np.argsort(-space, kind="stable").tolist(), space.tolist(), [0] * len(space)
+    for i in order:
+        used, b = heap[0]
+        if used + space[i] <= usable:
+            heapreplace(heap, (used + space[i], b))
+        else:
+            b = len(heap)
+            heappush(heap, (space[i], b))
         out[i] = b
     return out
 
@@ -169,22 +192,23 @@ def least_loaded(rows: pd.DataFrame, usable: float, iops_budget: float, most: in
 _RULES: dict[str, tuple[Callable, bool]] = {"best": (best_fit, True), "level": (least_loaded, False)}
 
 
-def _packed(rows: pd.DataFrame, c: Constraints, part_machines: int) -> pd.DataFrame:
+def _packed(rows: pa.Table, c: Constraints, part_machines: int) -> pa.Table:
     """rows of one group, strategy, label and part with their bin, and `again` where the part's emptiest bins go back."""
-    rows = rows.sort_values("row_index", kind="stable").reset_index(drop=True)
-    pack, repack = _RULES[rows["rule"].iloc[0]]
-    bins = np.array(pack(rows, c.usable_mib, c.iops_budget, int(rows["most"].iloc[0])))
-    again, parts = np.zeros(len(rows), bool), int(rows["parts"].iloc[0])
-    if repack and parts > 1:
+    rows = rows.take(pa.array(np.argsort(rows["row_index"].to_numpy(), kind="stable")))
+    one = {x: rows[x][0].as_py() for x in ("rule", "most", "parts")}
+    values, (pack, repack) = {x: rows[x].to_numpy() for x in ("required_mib", "peak_iops")}, _RULES[one["rule"]]
+    bins = np.array(pack(values, c.usable_mib, c.iops_budget, one["most"]), np.int32)
+    again = np.zeros(len(bins), bool)
+    if repack and one["parts"] > 1:
         # The emptiest bins, by the largest of their shares, up to a part's share of one task's machines.
-        share = np.max([np.bincount(bins, rows[v]) / each for v, each in (("required_mib", c.usable_mib), ("peak_iops", c.iops_budget))] + [np.bincount(bins) / rows["most"].iloc[0]], axis=0)
+        share = np.max([np.bincount(bins, values[v]) / each for v, each in (("required_mib", c.usable_mib), ("peak_iops", c.iops_budget))] + [np.bincount(bins) / one["most"]], axis=0)
         order = np.argsort(share, kind="stable")
-        within = np.cumsum(np.bincount(bins)[order]) <= max(part_machines // parts, int(rows["most"].iloc[0]))
+        within = np.cumsum(np.bincount(bins)[order]) <= max(part_machines // one["parts"], one["most"])
         again = np.isin(bins, order[within])
-    return rows.assign(bin=bins, again=again)
+    return rows.append_column("bin", pa.array(bins)).append_column("again", pa.array(again))
 
 
-def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, keep: Sequence[str] = ()) -> DataFrame:
     """The placement of planned machines: `alone` ones in datastores of their own, the others packed within their group
     (columns `groups`: an inventory, a cluster), strategy and label, all groups, strategies and labels in one pass.
 
@@ -192,27 +216,32 @@ def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_m
     (machines of a datastore). A group of up to part_machines machines is packed exactly, in one task. A larger one is
     dealt by a hash to parts that are packed alone; then the parts' emptiest bins (which a greedy leaves at its end, few
     a part) are packed once more, together. `packing` says `alone`, `exact` or `split`; parts' datastores have names
-    like <label>_p<part>_<nn>, and those packed again <label>_r_<nn>.
+    like <label>_p<part>_<nn>, and those packed again <label>_r_<nn>. keep: columns that stay with a machine.
     """
-    keys = [*groups, "strategy", "label"]
-    alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups).withColumn("packing", F.lit("alone"))
+    keys, spark = [*groups, "strategy", "label", "rule", "most"], planned.sparkSession  # the last two are the label's
+    alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups, keep).withColumn("packing", F.lit("alone"))
     rest = planned.where("NOT alone").drop("alone")
-    sizes = rest.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_machines).cast("int").alias("parts")).withColumnsRenamed({k: f"__{k}" for k in keys})
-    met = F.lit(True)
+    # A group's number stands for its texts in the shuffle, the sort and Python.
+    sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("machines"))
+    sizes = stored(sizes.withColumn("group", F.monotonically_increasing_id()).withColumn("parts", F.ceil(F.col("machines") / part_machines).cast("int")).withColumnsRenamed({k: f"__{k}" for k in keys}), "group-sizes")
+    machines = sizes.agg(F.coalesce(F.sum("machines"), F.lit(0)).alias("n")).first()["n"]
+    sizes, met = small(sizes.drop("machines")), F.lit(True)
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    rest = rest.join(sizes, met).drop(*[f"__{k}" for k in keys]).withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")).cast("int"))
-    kinds = ", ".join(f"`{k}` {planned.schema[k].dataType.simpleString()}" for k in keys) + ", row_index long, required_mib double, peak_iops double, rule string, most int, parts int, part int"
-    columns = [*keys, "row_index", "required_mib", "peak_iops", "rule", "most", "parts", "part"]
-    rest = rest.select(*keys, *[F.col(x).cast(t) for x, t in (("row_index", "long"), ("required_mib", "double"), ("peak_iops", "double"))], "rule", "most", "parts", "part")
-    packed = stored(rest.groupBy(*keys, "part").applyInPandas(lambda rows: _packed(rows, c, part_machines)[[*columns, "bin", "again"]], f"{kinds}, bin int, again boolean"), "packed")
+    rest = rest.join(sizes, met).withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")).cast("int"))
+    rest = rest.select("group", "part", *[F.col(x).cast(t).alias(x) for x, t in (("row_index", "long"), ("required_mib", "double"), ("peak_iops", "double"))], "rule", "most", "parts", *keep)
+    kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + ", bin int, again boolean"
+    pack = lambda rows: _packed(rows, c, part_machines)
+    # A number of tasks by machines: few bytes are much work here, so that tasks joined by their bytes would be few.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-machines // MACHINES_A_TASK))
+    packed = stored(rest.repartition(tasks, "group", "part").groupBy("group", "part").applyInArrow(pack, kinds), "packed")
     # Only groups that were split have machines here; the second pass takes each as it is.
     second = packed.where("again").withColumns({"parts": F.lit(1), "part": F.lit(-1)}).drop("bin", "again")
-    second = second.groupBy(*keys).applyInPandas(lambda rows: _packed(rows, c, part_machines)[[*columns, "bin", "again"]], f"{kinds}, bin int, again boolean")
-    found = packed.where("NOT again").unionByName(second)
+    second = second.repartition(tasks, "group").groupBy("group").applyInArrow(pack, kinds)
+    found = packed.where("NOT again").unionByName(second).drop("rule", "most", "parts").join(sizes, "group").withColumnsRenamed({f"__{k}": k for k in keys})
     prefix = F.when(F.col("part") < 0, F.concat("label", F.lit("_r"))).when(F.col("parts") > 1, F.concat("label", F.lit("_p"), F.col("part").cast("string"))).otherwise(F.col("label"))
-    kind = F.when((F.col("part") < 0) | (F.col("parts") > 1), "split").otherwise("exact")
-    return found.select(*groups, "strategy", "row_index", _numbered(prefix, F.col("bin") + 1).alias("datastore"), F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), kind.alias("packing")).unionByName(alone)
+    kind = F.when(F.col("parts") > 1, "split").otherwise("exact")
+    return found.select(*groups, "strategy", "row_index", _numbered(prefix, F.col("bin") + 1).alias("datastore"), F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), kind.alias("packing"), *keep).unionByName(alone)
 
 
 def isolated() -> Column:
@@ -230,7 +259,7 @@ def tier() -> Column:
     return F.when((F.col("peak_iops") > HOT_IOPS) | F.col("workload_key").startswith("Database"), "HOT").when(F.col("peak_iops") >= WARM_IOPS, "WARM").otherwise("COLD")
 
 
-def planned(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), strategies: Sequence[str] = ("consolidation", "performance", "uniform")) -> DataFrame:
+def planned(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), strategies: Sequence[str] = ("consolidation", "performance", "uniform"), keep: Sequence[str] = ()) -> DataFrame:
     """vms once for each strategy, with what place() needs. Consolidation packs all by best fit; performance isolates some
     machines and packs each tier alone, hot datastores holding ten machines at most; uniform balances. Machines beyond
     the usable space stand alone as <label>_OVER_nn."""
@@ -242,7 +271,7 @@ def planned(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), strategi
         "performance": one("performance", F.when(isolated(), isolation_prefix()).otherwise(over(F.concat(F.lit("DS_"), tier()))), isolated() | oversized(c), "best", hot),
         "uniform": one("uniform", over(F.lit("DS_UNIFORM")), oversized(c), "level", any_),
     }
-    return vms.select(*groups, "row_index", "required_mib", "peak_iops", F.explode(F.array(*[known[s] for s in strategies])).alias("p")).select(*groups, "row_index", "required_mib", "peak_iops", "p.*")
+    return vms.select(*groups, "row_index", "required_mib", "peak_iops", *keep, F.explode(F.array(*[known[s] for s in strategies])).alias("p")).select(*groups, "row_index", "required_mib", "peak_iops", *keep, "p.*")
 
 
 def consolidation(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
@@ -257,12 +286,14 @@ def uniform(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_mac
     return place(planned(vms, c, groups, ["uniform"]), c, groups, part_machines)
 
 
-def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, described: bool = False) -> DataFrame:
     """The placements of the three strategies; sized has workload_key. Machines are read once: strategies and tiers are
-    columns, and all of them are packed in one pass."""
-    c, keep = c or Constraints(), list(dict.fromkeys([*groups, "row_index", "required_mib", "peak_iops", "avg_iops", "workload_key"]))
-    rows = stored(with_default_iops(stored(sized.select(*keep), "layout-machines"), iops), "layout-iops")
-    return place(planned(rows, c, groups), c, groups, part_machines)
+    columns, and all of them are packed in one pass. described: with the machines' columns that datastores() needs, as
+    sized has them."""
+    c, needed = c or Constraints(), list(dict.fromkeys([*groups, "row_index", "required_mib", "peak_iops", "avg_iops", "workload_key"]))
+    own = {f"own_{x}": F.col(x) for x in _OF_MACHINES} if described else {}
+    rows = stored(with_default_iops(stored(sized.select(*needed), "layout-machines").withColumns(own), iops).select(*needed, *own), "layout-iops")
+    return place(planned(rows, c, groups, keep=list(own)), c, groups, part_machines, list(own)).withColumnsRenamed({f"own_{x}": x for x in _OF_MACHINES})
 
 
 def _dealt(parts: int) -> Column:
@@ -270,10 +301,11 @@ def _dealt(parts: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.col("row_index").cast("string").cast("binary")), 1, 6), 16, 10).cast("long"), F.lit(parts)).cast("int")
 
 
-def place_by_classes(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), salts: int = 1, strategy: str = "classes", prefix: str = "DS_CLASS") -> DataFrame:
+def place_by_classes(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), salts: int = 1, strategy: str = "classes", prefix: str = "DS_CLASS", described: bool = False) -> DataFrame:
     """Packing for groups of any size, in window functions: a machine's demand is the largest of its shares of space,
     IOPS and count, machines that fit k times in a datastore go k by k. No datastore exceeds a limit, but for a machine
-    that does so alone. salts: parts into which a class is split, so that a hot one is spread over tasks.
+    that does so alone. salts: parts into which a class is split, so that a hot one is spread over tasks. described: with the machines'
+    columns that datastores() needs.
     """
     demand = F.greatest(F.col("required_mib") / c.usable_mib, F.col("peak_iops") / c.iops_budget, F.lit(1.0 / c.max_machines))
     k = F.greatest(F.floor(1 / demand + 1e-9), F.lit(1)).cast("int")
@@ -281,7 +313,7 @@ def place_by_classes(vms: DataFrame, c: Constraints, groups: Sequence[str] = (),
     n = F.row_number().over(W.partitionBy(*groups, "__k", "__salt").orderBy(F.desc("required_mib"), "row_index")) - 1
     name = F.concat(F.lit(f"{prefix}_"), F.col("__k").cast("string"), F.lit("_"), F.col("__salt").cast("string"), F.lit("_"), F.floor(n / F.col("__k")).cast("string"))
     big = oversized(c)
-    return rows.select(*groups, F.lit(strategy).alias("strategy"), "row_index", name.alias("datastore"), F.when(big, _own_raw(c)).otherwise(F.lit(c.max_mib)).alias("raw_mib"), F.when(big, F.col("required_mib")).otherwise(F.lit(c.usable_mib)).alias("usable_mib"))
+    return rows.select(*groups, F.lit(strategy).alias("strategy"), "row_index", name.alias("datastore"), F.when(big, _own_raw(c)).otherwise(F.lit(c.max_mib)).alias("raw_mib"), F.when(big, F.col("required_mib")).otherwise(F.lit(c.usable_mib)).alias("usable_mib"), *(_OF_MACHINES if described else ()))
 
 
 def deal_evenly(vms: DataFrame, c: Constraints, slack: float = 1.1, part_machines: int = 100_000, strategy: str = "dealt", prefix: str = "DS_DEALT") -> DataFrame:
@@ -315,9 +347,10 @@ def deal_fully(vms: DataFrame, c: Constraints, slack: float = 1.1, part_machines
     return stay.select(more.columns).unionByName(more)
 
 
-def datastores(placement: DataFrame, vms: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """A row for each datastore: space, use, utilisation in percent, IOPS, machines and their workloads."""
-    rows = placement.join(vms.select("row_index", "required_mib", "peak_iops", "workload_key"), "row_index")
+def datastores(placement: DataFrame, vms: DataFrame | None = None, groups: Sequence[str] = ()) -> DataFrame:
+    """A row for each datastore: space, use, utilisation in percent, IOPS, machines and their workloads. A placement that
+    was made with `described` needs no join with vms."""
+    rows = placement if set(_OF_MACHINES) <= set(placement.columns) else placement.join(vms.select("row_index", *_OF_MACHINES), "row_index")
     out = rows.groupBy(*groups, "strategy", "datastore").agg(
         F.max("raw_mib").alias("raw_mib"), F.max("usable_mib").alias("usable_mib"), F.sum("required_mib").alias("used_mib"), F.sum("peak_iops").alias("total_iops"),
         F.count(F.lit(1)).alias("vm_count"), F.sort_array(F.collect_set("workload_key")).alias("workloads"),

@@ -17,7 +17,7 @@ def _sum(c: Column | str) -> Column:
 
 
 def _or_zero(df: DataFrame, c: str) -> Column:
-    return X.number(F.col(c)) if c in df.columns else F.lit(0.0)
+    return X.number_in(df, c) if c in df.columns else F.lit(0.0)
 
 
 def size_machines(vms: DataFrame, exclude_ignored: bool = True) -> DataFrame:

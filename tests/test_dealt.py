@@ -1,9 +1,14 @@
 """What a task holds and how many there are: lookups of rules without a shuffle, machines dealt to all tasks, sheets read once."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from stratasize.functions import expressions as X
+from stratasize.functions import tables as T
 from stratasize.operators import capacity as D
 from stratasize.operators import classify as E
+from stratasize.operators import layout as J
 from stratasize.operators.rule_index import rule_number_by_index
 from stratasize.plans import fixtures as fx
 
@@ -35,3 +40,35 @@ def test_sheets_are_read_once(spark):
     found = D.look_up_twice(vms, once, ["capacity_mib"], "part", ["site"])
     assert "rand(" not in plan(found)[0]  # the sheet is no part of the joins any more
     assert sorted((r["site"], r["vm_name"], r["part_capacity_mib"], r["part_found"]) for r in found.collect()) == [("a", "x", 3.5, True), ("a", "y", 6.0, True), ("b", "x", 8.0, True), ("b", "z", 0.0, False)]
+
+
+def test_numbers_are_no_texts(spark):
+    """Doubles and integers take no way through texts and patterns; what is no number is the default as before."""
+    rows = spark.createDataFrame([(1.5, 3, "7 ", 2.5), (float("nan"), None, "x", float("inf"))], "a double, b int, c string, d double")
+    found = rows.select(*[X.number_in(rows, x).alias(x) for x in rows.columns])
+    assert [tuple(r) for r in found.collect()] == [(1.5, 3.0, 7.0, 2.5), (0.0, 0.0, 0.0, float("inf"))] == [tuple(r) for r in rows.select(*[X.number(F.col(x)) for x in rows.columns]).collect()]
+    assert ["regexp_replace" in str(X.number_in(rows, x)) for x in rows.columns] == [False, False, True, False]
+
+
+def test_rules_are_compiled(spark, small, capsys):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rows in (fx.inventory(spark, small), fx.described(spark, small)):
+            E.classify_by_registry(rows).explain("codegen")
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_described_placements_give_the_same_datastores(spark):
+    """No join with the machines, and their own IOPS, not the guessed ones, count."""
+    rows = [(i, "ab"[i % 2], 10.0 * i, 0.0, 0.0, "Database/Oracle" if i % 3 else "Email/Exchange") for i in range(60)]
+    vms = spark.createDataFrame(rows, "row_index long, cluster string, required_mib double, peak_iops double, avg_iops double, workload_key string")
+    c = J.Constraints(max_mib=1000)
+    plain, told = (J.all_proposals(vms, T.iops(spark), c, ["cluster"], part_machines=20, described=x) for x in (False, True))
+    found = [J.datastores(p, vms if p is plain else None, ["cluster"]) for p in (plain, told)]
+    of = lambda df: sorted(str({**r.asDict(), "used_mib": round(r["used_mib"], 6), "utilization_pct": round(r["utilization_pct"], 6)}) for r in df.collect())
+    assert of(found[0]) == of(found[1]) and found[1].where("total_iops <> 0").isEmpty()
+    assert plan(J.datastores(J.place_by_classes(vms, c, described=True)))[0].count("Join") == 0
