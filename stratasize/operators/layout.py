@@ -9,6 +9,7 @@ from heapq import heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,24 +151,34 @@ class OpenBins:
 
 def best_fit(rows: Mapping[str, np.ndarray], usable: float, iops_budget: float, most: int) -> list[int]:
     """The bin of each row: rows by the larger of their shares of space and IOPS, falling; each into the fullest bin that
-    takes its space, IOPS and count, or a new one. Ties keep the row order."""
-    space, iops = np.asarray(rows["required_mib"]), np.asarray(rows["peak_iops"])
+    takes its space, IOPS and count, or a new one. Ties keep the row order. Of equal rows in a run the bin that took one
+    takes the next as long as it can: it is the fullest still, as it was before."""
+    space, iops = np.asarray(rows["required_mib"], float), np.asarray(rows["peak_iops"], float)
     share = np.fmax(space / usable if usable > 0 else space * 0, iops / iops_budget if iops_budget > 0 else iops * 0)
-    order, space, iops, out = np.argsort(-share, kind="stable").tolist(), space.tolist(), iops.tolist(), [0] * len(space)
-    used, busy, count, open_ = [], [], [], OpenBins()
-    for i in order:
-        b = open_.take(space[i], iops[i], usable, iops_budget)
-        if b is None:
-            b = len(used)
-            for values in (used, busy, count):
-                values.append(0)
-        used[b] += space[i]
-        busy[b] += iops[i]
-        count[b] += 1
-        if count[b] < most:  # a bin of so many machines takes no more
-            open_.add(used[b], busy[b], b)
-        out[i] = b
-    return out
+    order = np.argsort(-share, kind="stable")
+    space, iops = space[order], iops[order]
+    differ = (space[1:] != space[:-1]) | (iops[1:] != iops[:-1]) | (space[1:] < 0)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(space), 1), bool), differ]))
+    used, busy, count, open_, bins, taken = [], [], [], OpenBins(), [], []
+    for own, load, left in zip(space[starts].tolist(), iops[starts].tolist(), np.diff(np.append(starts, len(space))).tolist(), strict=True):
+        while left:
+            b = open_.take(own, load, usable, iops_budget)
+            if b is None:
+                b = len(used)
+                for values in (used, busy, count):
+                    values.append(0)
+            u, w, n, took = used[b] + own, busy[b] + load, count[b] + 1, 1
+            while took < left and n < most and u + own <= usable and w + load <= iops_budget:
+                u, w, n, took = u + own, w + load, n + 1, took + 1
+            used[b], busy[b], count[b] = u, w, n
+            if n < most:  # a bin of so many machines takes no more
+                open_.add(u, w, b)
+            bins.append(b)
+            taken.append(took)
+            left -= took
+    out = np.empty(len(space), int)
+    out[order] = np.repeat(np.array(bins, int), np.array(taken, int))
+    return out.tolist()
 
 
 def least_loaded(rows: Mapping[str, np.ndarray], usable: float, iops_budget: float, most: int) -> list[int]:
@@ -192,8 +203,9 @@ def least_loaded(rows: Mapping[str, np.ndarray], usable: float, iops_budget: flo
 _RULES: dict[str, tuple[Callable, bool]] = {"best": (best_fit, True), "level": (least_loaded, False)}
 
 
-def _packed(rows: pa.Table, c: Constraints, part_machines: int) -> pa.Table:
-    """rows of one group, strategy, label and part with their bin, and `again` where the part's emptiest bins go back."""
+def _packed(rows: pa.Table, c: Constraints, part_machines: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """rows of one group, strategy, label and part in their order, each one's bin, and whether it goes back, as it is in
+    one of the part's emptiest bins."""
     rows = rows.take(pa.array(np.argsort(rows["row_index"].to_numpy(), kind="stable")))
     one = {x: rows[x][0].as_py() for x in ("rule", "most", "parts")}
     values, (pack, repack) = {x: rows[x].to_numpy() for x in ("required_mib", "peak_iops")}, _RULES[one["rule"]]
@@ -205,21 +217,43 @@ def _packed(rows: pa.Table, c: Constraints, part_machines: int) -> pa.Table:
         order = np.argsort(share, kind="stable")
         within = np.cumsum(np.bincount(bins)[order]) <= max(part_machines // one["parts"], one["most"])
         again = np.isin(bins, order[within])
+    return rows, bins, again
+
+
+def _machines_of(rows: pa.Table, c: Constraints, part_machines: int) -> pa.Table:
+    rows, bins, again = _packed(rows, c, part_machines)
     return rows.append_column("bin", pa.array(bins)).append_column("again", pa.array(again))
 
 
-def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, keep: Sequence[str] = ()) -> DataFrame:
-    """The placement of planned machines: `alone` ones in datastores of their own, the others packed within their group
-    (columns `groups`: an inventory, a cluster), strategy and label, all groups, strategies and labels in one pass.
+#: What a bin gives, once its machines were summed where they are packed.
+_OF_BINS = "bin int, used_mib double, total_iops double, vm_count long, workloads array<string>"
 
-    planned: groups, row_index, required_mib, peak_iops, strategy, label (the datastores' prefix), alone, rule, and most
-    (machines of a datastore). A group of up to part_machines machines is packed exactly, in one task. A larger one is
-    dealt by a hash to parts that are packed alone; then the parts' emptiest bins (which a greedy leaves at its end, few
-    a part) are packed once more, together. `packing` says `alone`, `exact` or `split`; parts' datastores have names
-    like <label>_p<part>_<nn>, and those packed again <label>_r_<nn>. keep: columns that stay with a machine.
-    """
+
+def _bins_of(rows: pa.Table, c: Constraints, part_machines: int) -> pa.Table:
+    """The sums of the bins that stay, and the machines of those that go back (with a null bin)."""
+    rows, bins, again = _packed(rows, c, part_machines)
+    one, back, stay, bins = rows.slice(0, 1), rows.filter(pa.array(again)), rows.filter(pa.array(~again)), bins[~again].astype(np.int64)
+    known, at = np.unique(bins, return_inverse=True)
+
+    def total(column: str) -> pa.Array:  # nulls add nothing; of nulls alone the sum is null
+        valid = stay[column].is_valid().to_numpy()
+        sums = np.bincount(at[valid], stay[column].to_numpy()[valid], minlength=len(known))
+        return pa.array(sums, pa.float64(), mask=np.bincount(at[valid], minlength=len(known)) == 0)
+
+    names = pa.array(sorted(x for x in stay["workload_key"].unique().to_pylist() if x is not None), pa.string())
+    codes, kinds = pc.index_in(stay["workload_key"], names).fill_null(-1).to_numpy(), max(len(names), 1)
+    pairs = np.unique((at * kinds + codes)[codes >= 0])
+    starts = np.searchsorted(pairs, np.arange(len(known) + 1) * kinds)
+    workloads = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), names.take(pa.array(pairs % kinds)))
+    sums = {x: pa.array([one[x][0].as_py()] * len(known), one.schema.field(x).type) for x in ("group", "part", "parts")}
+    sums |= {"bin": pa.array(known, pa.int32()), "used_mib": total("required_mib"), "total_iops": total("own_peak_iops"), "vm_count": pa.array(np.bincount(at, minlength=len(known)), pa.int64()), "workloads": workloads}
+    return pa.concat_tables([back, pa.table(sums)], promote_options="default")
+
+
+def _grouped(planned: DataFrame, c: Constraints, groups: Sequence[str], part_machines: int, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """planned's machines that don't stand alone, with the number of their group and their part; what the numbers stand
+    for; and how many tasks shall pack them."""
     keys, spark = [*groups, "strategy", "label", "rule", "most"], planned.sparkSession  # the last two are the label's
-    alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups, keep).withColumn("packing", F.lit("alone"))
     rest = planned.where("NOT alone").drop("alone")
     # A group's number stands for its texts in the shuffle, the sort and Python.
     sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("machines"))
@@ -230,18 +264,56 @@ def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_m
         met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
     rest = rest.join(sizes, met).withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")).cast("int"))
     rest = rest.select("group", "part", *[F.col(x).cast(t).alias(x) for x, t in (("row_index", "long"), ("required_mib", "double"), ("peak_iops", "double"))], "rule", "most", "parts", *keep)
-    kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + ", bin int, again boolean"
-    pack = lambda rows: _packed(rows, c, part_machines)
     # A number of tasks by machines: few bytes are much work here, so that tasks joined by their bytes would be few.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-machines // MACHINES_A_TASK))
+    return rest, sizes, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-machines // MACHINES_A_TASK))
+
+
+def _in_two_passes(rest: DataFrame, tasks: int, pack: Callable[[pa.Table], pa.Table], kinds: str, back: str) -> DataFrame:
+    """What pack gives of each group and part; its rows that fulfil `back` are a part of their own and packed once more."""
     packed = stored(rest.repartition(tasks, "group", "part").groupBy("group", "part").applyInArrow(pack, kinds), "packed")
     # Only groups that were split have machines here; the second pass takes each as it is.
-    second = packed.where("again").withColumns({"parts": F.lit(1), "part": F.lit(-1)}).drop("bin", "again")
+    second = packed.where(back).withColumns({"parts": F.lit(1), "part": F.lit(-1)}).select(rest.columns)
     second = second.repartition(tasks, "group").groupBy("group").applyInArrow(pack, kinds)
-    found = packed.where("NOT again").unionByName(second).drop("rule", "most", "parts").join(sizes, "group").withColumnsRenamed({f"__{k}": k for k in keys})
+    return packed.where(f"NOT ({back})").unionByName(second)
+
+
+def _named(found: DataFrame, sizes: DataFrame) -> tuple[DataFrame, Column]:
+    """found with what its groups' numbers stand for, and the datastore's name."""
+    found = found.drop("rule", "most", "parts").join(sizes, "group").withColumnsRenamed({x: x[2:] for x in sizes.columns if x.startswith("__")})
     prefix = F.when(F.col("part") < 0, F.concat("label", F.lit("_r"))).when(F.col("parts") > 1, F.concat("label", F.lit("_p"), F.col("part").cast("string"))).otherwise(F.col("label"))
+    return found, _numbered(prefix, F.col("bin") + 1).alias("datastore")
+
+
+def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, keep: Sequence[str] = ()) -> DataFrame:
+    """The placement of planned machines: `alone` ones in datastores of their own, the others packed within their group
+    (columns `groups`: an inventory, a cluster), strategy and label, all groups, strategies and labels in one pass.
+
+    planned: groups, row_index, required_mib, peak_iops, strategy, label (the datastores' prefix), alone, rule, and most
+    (machines of a datastore). A group of up to part_machines machines is packed exactly, in one task. A larger one is
+    dealt by a hash to parts that are packed alone; then the parts' emptiest bins (which a greedy leaves at its end, few
+    a part) are packed once more, together. `packing` says `alone`, `exact` or `split`; parts' datastores have names
+    like <label>_p<part>_<nn>, and those packed again <label>_r_<nn>. keep: columns that stay with a machine.
+    """
+    alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups, keep).withColumn("packing", F.lit("alone"))
+    rest, sizes, tasks = _grouped(planned, c, groups, part_machines, keep)
+    kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + ", bin int, again boolean"
+    found, name = _named(_in_two_passes(rest, tasks, lambda rows: _machines_of(rows, c, part_machines), kinds, "again"), sizes)
     kind = F.when(F.col("parts") > 1, "split").otherwise("exact")
-    return found.select(*groups, "strategy", "row_index", _numbered(prefix, F.col("bin") + 1).alias("datastore"), F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), kind.alias("packing"), *keep).unionByName(alone)
+    return found.select(*groups, "strategy", "row_index", name, F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), kind.alias("packing"), *keep).unionByName(alone)
+
+
+def place_in_stores(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+    """The datastores of place(), as datastores() gives them, where its machines aren't asked for: all of a bin's machines
+    are in the task that packs it, which sums them, so that machines travel once and no name is grouped by.
+
+    planned: as place() takes it, with own_peak_iops, which are summed, and workload_key. A label has one rule and most."""
+    alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups, ["own_peak_iops", "workload_key"])
+    one = F.array_compact(F.array("workload_key"))
+    alone = alone.select(*groups, "strategy", "datastore", "raw_mib", "usable_mib", F.col("usable_mib").alias("used_mib"), F.col("own_peak_iops").alias("total_iops"), F.lit(1).cast("long").alias("vm_count"), one.alias("workloads"))
+    rest, sizes, tasks = _grouped(planned, c, groups, part_machines, ["own_peak_iops", "workload_key"])
+    kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + f", {_OF_BINS}"
+    found, name = _named(_in_two_passes(rest, tasks, lambda rows: _bins_of(rows, c, part_machines), kinds, "bin IS NULL"), sizes)
+    return _with_use(found.select(*groups, "strategy", name, F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), "used_mib", "total_iops", "vm_count", "workloads").unionByName(alone))
 
 
 def isolated() -> Column:
@@ -286,16 +358,30 @@ def uniform(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_mac
     return place(planned(vms, c, groups, ["uniform"]), c, groups, part_machines)
 
 
-def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, described: bool = False) -> DataFrame:
+def _to_propose(sized: DataFrame, iops: DataFrame, groups: Sequence[str], own: Mapping[str, Column], written: bool) -> DataFrame:
+    """sized as layouts read it, several times: written once, unless it is, and once more only if its IOPS are guessed."""
+    needed = list(dict.fromkeys([*groups, "row_index", "required_mib", "peak_iops", "avg_iops", "workload_key"]))
+    rows = (sized.select(*needed) if written else stored(sized.select(*needed), "layout-machines")).withColumns(dict(own))
+    if rows.agg(has_measurements().alias("measured")).first()["measured"]:  # with_default_iops() gives rows as they are
+        return rows
+    return stored(with_default_iops(rows, iops).select(*needed, *own), "layout-iops")
+
+
+def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, described: bool = False, written: bool = False) -> DataFrame:
     """The placements of the three strategies; sized has workload_key. Machines are read once: strategies and tiers are
     columns, and all of them are packed in one pass. described: with the machines' columns that datastores() needs, as
-    sized has them."""
-    c, needed = c or Constraints(), list(dict.fromkeys([*groups, "row_index", "required_mib", "peak_iops", "avg_iops", "workload_key"]))
-    own = {f"own_{x}": F.col(x) for x in _OF_MACHINES} if described else {}
-    rows = stored(with_default_iops(stored(sized.select(*needed), "layout-machines").withColumns(own), iops).select(*needed, *own), "layout-iops")
+    sized has them. written: sized is a written table, which isn't written again."""
+    c, own = c or Constraints(), {f"own_{x}": F.col(x) for x in _OF_MACHINES} if described else {}
+    rows = _to_propose(sized, iops, groups, own, written)
     return place(planned(rows, c, groups, keep=list(own)), c, groups, part_machines, list(own)).withColumnsRenamed({f"own_{x}": x for x in _OF_MACHINES})
 
 
+def all_stores(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, written: bool = False) -> DataFrame:
+    """datastores() of all_proposals(), without a row for each machine and strategy; see place_in_stores()."""
+    c, rows = c or Constraints(), _to_propose(sized, iops, groups, {"own_peak_iops": F.col("peak_iops")}, written)
+    return place_in_stores(planned(rows, c, groups, keep=["own_peak_iops", "workload_key"]), c, groups, part_machines)
+
+
 def _dealt(parts: int) -> Column:
     """A machine's part of so many, by a hash that other engines have as well."""
     return F.pmod(F.conv(F.substring(F.md5(F.col("row_index").cast("string").cast("binary")), 1, 6), 16, 10).cast("long"), F.lit(parts)).cast("int")
@@ -355,8 +441,12 @@ def datastores(placement: DataFrame, vms: DataFrame | None = None, groups: Seque
         F.max("raw_mib").alias("raw_mib"), F.max("usable_mib").alias("usable_mib"), F.sum("required_mib").alias("used_mib"), F.sum("peak_iops").alias("total_iops"),
         F.count(F.lit(1)).alias("vm_count"), F.sort_array(F.collect_set("workload_key")).alias("workloads"),
     )
+    return _with_use(out)
+
+
+def _with_use(stores: DataFrame) -> DataFrame:
     share = F.coalesce(F.try_divide("used_mib", "usable_mib") * 100, F.lit(0.0))
-    return out.withColumn("utilization_pct", share).withColumn("band", F.when(share > HIGH_BAND, "high").when(share > MIDDLE_BAND, "middle").otherwise("low"))
+    return stores.withColumn("utilization_pct", share).withColumn("band", F.when(share > HIGH_BAND, "high").when(share > MIDDLE_BAND, "middle").otherwise("low"))
 
 
 def layout_metrics(stores: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratasize.functions import expressions as X
@@ -72,3 +73,30 @@ def test_described_placements_give_the_same_datastores(spark):
     of = lambda df: sorted(str({**r.asDict(), "used_mib": round(r["used_mib"], 6), "utilization_pct": round(r["utilization_pct"], 6)}) for r in df.collect())
     assert of(found[0]) == of(found[1]) and found[1].where("total_iops <> 0").isEmpty()
     assert plan(J.datastores(J.place_by_classes(vms, c, described=True)))[0].count("Join") == 0
+
+
+def test_stores_are_summed_where_they_are_packed(spark):
+    """The same datastores as from machines, of exact, split and lone ones, with nulls; and machines travel once."""
+    rows = [(i, "abc"[i % 7 % 3], 10.0 * (i % 37) if i % 90 else 900.0, float(i % 5 * 70), 0.0, None if i % 13 == 0 else "Database/Oracle" if i % 3 else "Email/Exchange") for i in range(400)]
+    for vms in (rows, [(*r[:3], None if r[0] % 4 else 0.0, *r[4:]) for r in rows]):  # measured, and not
+        vms = spark.createDataFrame(vms, "row_index long, cluster string, required_mib double, peak_iops double, avg_iops double, workload_key string")
+        c = J.Constraints(max_mib=1000, iops_budget=2000.0, max_machines=8)
+        want = J.datastores(J.all_proposals(vms, T.iops(spark), c, ["cluster"], part_machines=30, described=True), groups=["cluster"])
+        found = J.all_stores(vms, T.iops(spark), c, ["cluster"], part_machines=30)
+        of = lambda df: sorted(str({k: round(v, 6) if isinstance(v, float) else v for k, v in r.asDict().items()}) for r in df.select(want.columns).collect())
+        assert of(found) == of(want) and {"_OVER_", "_r_", "_p1_"} <= {x for x in ("_OVER_", "_r_", "_p1_") for r in found.collect() if x in r["datastore"]}
+    assert "collect_set(" in plan(want)[0] and "collect_set(" not in plan(found)[0]
+
+
+def test_equal_rows_are_packed_in_runs(monkeypatch):
+    """Bins are looked for once for what they take of a run of equal rows, and take what they took one by one."""
+    asked, take = [], J.OpenBins.take
+    monkeypatch.setattr(J.OpenBins, "take", lambda *a: asked.append(1) or take(*a))
+    from tests.test_operators import scanned_best_fit
+
+    rng = np.random.default_rng(3)
+    for most in (1, 7, 25):
+        space, iops = rng.choice([0.0, 0.1, 7.3, 33.3, 120.0], 3000), rng.choice([0.0, 0.7, 250.0], 3000)
+        asked.clear()
+        assert J.best_fit({"required_mib": space, "peak_iops": iops}, 100.0, 1000.0, most) == scanned_best_fit(space, iops, 100.0, 1000.0, most)
+        assert most == 1 or len(asked) < 2500
