@@ -393,13 +393,34 @@ def place_by_classes(vms: DataFrame, c: Constraints, groups: Sequence[str] = (),
     that does so alone. salts: parts into which a class is split, so that a hot one is spread over tasks. described: with the machines'
     columns that datastores() needs.
     """
+    rows, name = _in_classes(vms, c, groups, salts, prefix)
+    return rows.select(*groups, F.lit(strategy).alias("strategy"), "row_index", name, *_own_space(c), *(_OF_MACHINES if described else ()))
+
+
+def _in_classes(vms: DataFrame, c: Constraints, groups: Sequence[str], salts: int, prefix: str) -> tuple[DataFrame, Column]:
+    """vms with the class, part and bin that place_by_classes() gives them, and the datastore's name. Classes and parts are
+    few and unequal, so they are dealt to all tasks: joined by their bytes, some tasks would hold many of them."""
     demand = F.greatest(F.col("required_mib") / c.usable_mib, F.col("peak_iops") / c.iops_budget, F.lit(1.0 / c.max_machines))
     k = F.greatest(F.floor(1 / demand + 1e-9), F.lit(1)).cast("int")
     rows = vms.withColumn("__k", F.when(demand > 1, 1).otherwise(k)).withColumn("__salt", _dealt(salts))
+    rows = rows.repartition(int(vms.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups, "__k", "__salt")
     n = F.row_number().over(W.partitionBy(*groups, "__k", "__salt").orderBy(F.desc("required_mib"), "row_index")) - 1
-    name = F.concat(F.lit(f"{prefix}_"), F.col("__k").cast("string"), F.lit("_"), F.col("__salt").cast("string"), F.lit("_"), F.floor(n / F.col("__k")).cast("string"))
+    name = F.concat(F.lit(f"{prefix}_"), F.col("__k").cast("string"), F.lit("_"), F.col("__salt").cast("string"), F.lit("_"), F.col("__bin").cast("string"))
+    return rows.withColumn("__bin", F.floor(n / F.col("__k"))), name.alias("datastore")
+
+
+def _own_space(c: Constraints) -> tuple[Column, Column]:
     big = oversized(c)
-    return rows.select(*groups, F.lit(strategy).alias("strategy"), "row_index", name.alias("datastore"), F.when(big, _own_raw(c)).otherwise(F.lit(c.max_mib)).alias("raw_mib"), F.when(big, F.col("required_mib")).otherwise(F.lit(c.usable_mib)).alias("usable_mib"), *(_OF_MACHINES if described else ()))
+    return F.when(big, _own_raw(c)).otherwise(F.lit(c.max_mib)).alias("raw_mib"), F.when(big, F.col("required_mib")).otherwise(F.lit(c.usable_mib)).alias("usable_mib")
+
+
+def stores_by_classes(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), salts: int = 1, strategy: str = "classes", prefix: str = "DS_CLASS") -> DataFrame:
+    """datastores() of place_by_classes(): a class's part is in one task, which sums its bins by their numbers, so that
+    datastores take no further shuffle and no machine takes a name."""
+    rows, name = _in_classes(vms, c, groups, salts, prefix)
+    keys = [*groups, "__k", "__salt", "__bin"]
+    stores = rows.select(*keys, *_own_space(c), *[F.col(x) for x in _OF_MACHINES]).groupBy(*keys).agg(*_sums())
+    return _with_use(stores.select(*groups, F.lit(strategy).alias("strategy"), name, *[x for x in stores.columns if x not in keys]))
 
 
 def deal_evenly(vms: DataFrame, c: Constraints, slack: float = 1.1, part_machines: int = 100_000, strategy: str = "dealt", prefix: str = "DS_DEALT") -> DataFrame:
@@ -437,11 +458,15 @@ def datastores(placement: DataFrame, vms: DataFrame | None = None, groups: Seque
     """A row for each datastore: space, use, utilisation in percent, IOPS, machines and their workloads. A placement that
     was made with `described` needs no join with vms."""
     rows = placement if set(_OF_MACHINES) <= set(placement.columns) else placement.join(vms.select("row_index", *_OF_MACHINES), "row_index")
-    out = rows.groupBy(*groups, "strategy", "datastore").agg(
+    return _with_use(rows.groupBy(*groups, "strategy", "datastore").agg(*_sums()))
+
+
+def _sums() -> list[Column]:
+    """What the machines of a datastore give it."""
+    return [
         F.max("raw_mib").alias("raw_mib"), F.max("usable_mib").alias("usable_mib"), F.sum("required_mib").alias("used_mib"), F.sum("peak_iops").alias("total_iops"),
         F.count(F.lit(1)).alias("vm_count"), F.sort_array(F.collect_set("workload_key")).alias("workloads"),
-    )
-    return _with_use(out)
+    ]
 
 
 def _with_use(stores: DataFrame) -> DataFrame:

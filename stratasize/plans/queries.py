@@ -596,7 +596,7 @@ def _classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _class_stores(spark, sf_dir) -> DataFrame:
     """Datastores of classes; machines are read once, so they aren't written before."""
-    return J.datastores(J.place_by_classes(sized(spark, sf_dir), J.Constraints(), salts=8, described=True))
+    return J.stores_by_classes(sized(spark, sf_dir), J.Constraints(), salts=8)
 
 
 @query(f"WITH {_CLASSES} SELECT row_index, datastore FROM placed")
@@ -707,7 +707,7 @@ def _compared(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The figures of three class placements, and the machines."""
     rows, figures = stored(sized(spark, sf_dir).select(*_LAID), "sized"), None
     for strategy, most in _DENSITIES.items():
-        one = J.layout_metrics(J.datastores(J.place_by_classes(rows, J.Constraints(max_machines=most), salts=8, strategy=strategy, described=True)))
+        one = J.layout_metrics(J.stores_by_classes(rows, J.Constraints(max_machines=most), salts=8, strategy=strategy))
         figures = one if figures is None else figures.unionByName(one)
     return figures, rows
 

@@ -100,3 +100,16 @@ def test_equal_rows_are_packed_in_runs(monkeypatch):
         asked.clear()
         assert J.best_fit({"required_mib": space, "peak_iops": iops}, 100.0, 1000.0, most) == scanned_best_fit(space, iops, 100.0, 1000.0, most)
         assert most == 1 or len(asked) < 2500
+
+
+def test_classes_are_summed_without_a_shuffle_of_their_own(spark):
+    """The same datastores as from machines, and the only shuffle is the one to classes, which has all tasks."""
+    rows = [(i, "ab"[i % 2], 10.0 * (i % 37) if i % 90 else 900.0, float(i % 5 * 70), None if i % 13 == 0 else "Database/Oracle" if i % 3 else "Email/Exchange") for i in range(400)]
+    vms = spark.createDataFrame(rows, "row_index long, cluster string, required_mib double, peak_iops double, workload_key string")
+    c = J.Constraints(max_mib=1000, iops_budget=2000.0, max_machines=8)
+    for groups in ([], ["cluster"]):
+        want, found = J.datastores(J.place_by_classes(vms, c, groups, 3, described=True), groups=groups), J.stores_by_classes(vms, c, groups, 3)
+        of = lambda df: sorted(str({k: round(v, 6) if isinstance(v, float) else v for k, v in r.asDict().items()}) for r in df.select(want.columns).collect())
+        assert of(found) == of(want) and found.columns == want.columns
+        physical = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert physical.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in physical
