@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from heapq import heappush, heapreplace
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,6 @@ from stratasize.sources.sinks import stored
 # Isolation, tiers, the budget that headroom is measured against, utilisation bands.
 ISOLATE_MIB, ISOLATE_IOPS, HOT_IOPS, WARM_IOPS, HOT_MACHINES, HEADROOM_IOPS = 2.0 * 1024 * 1024, 5_000.0, 500.0, 100.0, 10, 100_000.0
 HIGH_BAND, MIDDLE_BAND = 80.0, 60.0
-#: Machines that the exact greedy takes as one group; a larger one is dealt to parts.
-MOST_IN_GROUP = 100_000
 #: Machines to a task that packs groups, about: more tasks than groups cost little.
 MACHINES_A_TASK = 50_000
 #: Columns of machines that the figures of datastores are made of.
@@ -149,54 +148,78 @@ class OpenBins:
         return number
 
 
+class BestFit:
+    """Best fit of rows that come in its order, any number at a time: each into the fullest bin that takes its space, IOPS
+    and count, or a new one. Of equal rows in a run the bin that took one takes the next as long as it can: it is the
+    fullest still, as it was before. Only bins that may take more are held."""
+
+    def __init__(self, usable: float, iops_budget: float, most: int):
+        self.usable, self.iops_budget, self.most = usable, iops_budget, most
+        self.open, self.held, self.opened = OpenBins(), {}, 0
+
+    def take(self, space: np.ndarray, iops: np.ndarray) -> np.ndarray:
+        """The bin of each row."""
+        usable, budget, most, open_, held = self.usable, self.iops_budget, self.most, self.open, self.held
+        differ = (space[1:] != space[:-1]) | (iops[1:] != iops[:-1]) | (space[1:] < 0)
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(space), 1), bool), differ]))
+        bins, taken = [], []
+        for own, load, left in zip(space[starts].tolist(), iops[starts].tolist(), np.diff(np.append(starts, len(space))).tolist(), strict=True):
+            while left:
+                b = open_.take(own, load, usable, budget)
+                if b is None:
+                    b, self.opened = self.opened, self.opened + 1
+                u, w, n = held.pop(b, (0, 0, 0))
+                u, w, n, took = u + own, w + load, n + 1, 1
+                while took < left and n < most and u + own <= usable and w + load <= budget:
+                    u, w, n, took = u + own, w + load, n + 1, took + 1
+                if n < most and u == u and w == w:  # a bin of so many machines, or of an unknown sum, takes no more
+                    held[b] = u, w, n
+                    open_.add(u, w, b)
+                bins.append(b)
+                taken.append(took)
+                left -= took
+        return np.repeat(np.array(bins, np.int32), np.array(taken, np.int32))
+
+
+class LeastLoaded:
+    """Balancing of rows that come by their space, falling, any number at a time: each into the emptiest bin that has the
+    space; if none has, a new one. A heap gives the emptiest bin, the first of equal ones."""
+
+    def __init__(self, bins: int, usable: float):
+        self.usable, self.heap, self.opened = usable, [(0.0, b) for b in range(bins)], bins
+
+    def take(self, space: np.ndarray, iops: np.ndarray) -> np.ndarray:
+        """The bin of each row."""
+        usable, heap, out = self.usable, self.heap, []
+        for own in space.tolist():
+            used, b = heap[0]
+            if used + own <= usable:
+                heapreplace(heap, (used + own, b))
+            else:
+                b, self.opened = self.opened, self.opened + 1
+                if own == own:
+                    heappush(heap, (own, b))
+            out.append(b)
+        return np.array(out, np.int32)
+
+
 def best_fit(rows: Mapping[str, np.ndarray], usable: float, iops_budget: float, most: int) -> list[int]:
-    """The bin of each row: rows by the larger of their shares of space and IOPS, falling; each into the fullest bin that
-    takes its space, IOPS and count, or a new one. Ties keep the row order. Of equal rows in a run the bin that took one
-    takes the next as long as it can: it is the fullest still, as it was before."""
+    """The bin of each row: rows by the larger of their shares of space and IOPS, falling, go to BestFit. Ties keep the
+    row order."""
     space, iops = np.asarray(rows["required_mib"], float), np.asarray(rows["peak_iops"], float)
     share = np.fmax(space / usable if usable > 0 else space * 0, iops / iops_budget if iops_budget > 0 else iops * 0)
-    order = np.argsort(-share, kind="stable")
-    space, iops = space[order], iops[order]
-    differ = (space[1:] != space[:-1]) | (iops[1:] != iops[:-1]) | (space[1:] < 0)
-    starts = np.flatnonzero(np.concatenate([np.ones(min(len(space), 1), bool), differ]))
-    used, busy, count, open_, bins, taken = [], [], [], OpenBins(), [], []
-    for own, load, left in zip(space[starts].tolist(), iops[starts].tolist(), np.diff(np.append(starts, len(space))).tolist(), strict=True):
-        while left:
-            b = open_.take(own, load, usable, iops_budget)
-            if b is None:
-                b = len(used)
-                for values in (used, busy, count):
-                    values.append(0)
-            u, w, n, took = used[b] + own, busy[b] + load, count[b] + 1, 1
-            while took < left and n < most and u + own <= usable and w + load <= iops_budget:
-                u, w, n, took = u + own, w + load, n + 1, took + 1
-            used[b], busy[b], count[b] = u, w, n
-            if n < most:  # a bin of so many machines takes no more
-                open_.add(u, w, b)
-            bins.append(b)
-            taken.append(took)
-            left -= took
-    out = np.empty(len(space), int)
-    out[order] = np.repeat(np.array(bins, int), np.array(taken, int))
+    order, out = np.argsort(-share, kind="stable"), np.empty(len(space), int)
+    out[order] = BestFit(usable, iops_budget, most).take(space[order], iops[order])
     return out.tolist()
 
 
 def least_loaded(rows: Mapping[str, np.ndarray], usable: float, iops_budget: float, most: int) -> list[int]:
-    """The bin of each row: as many bins as space or IOPS need, the largest row first into the emptiest that has the
-    space; if none has, a new one. A heap gives the emptiest bin, the first of equal ones."""
-    space = np.asarray(rows["required_mib"])
-    need = lambda total, each: -int(-total // each) if each > 0 else 1
-    n = max(need(space.sum(), usable), need(np.sum(rows["peak_iops"]), iops_budget), 1)
-    heap, order, space, out = [(0.0, b) for b in range(n)], np.argsort(-space, kind="stable").tolist(), space.tolist(), [0] * len(space)
-    for i in order:
-        used, b = heap[0]
-        if used + space[i] <= usable:
-            heapreplace(heap, (used + space[i], b))
-        else:
-            b = len(heap)
-            heappush(heap, (space[i], b))
-        out[i] = b
-    return out
+    """The bin of each row: rows by space, falling, go to LeastLoaded, with as many bins as space or IOPS need."""
+    space, iops = np.asarray(rows["required_mib"], float), np.asarray(rows["peak_iops"], float)
+    need = lambda total, each: ceil(total / each) if each > 0 else 1
+    order, out = np.argsort(-space, kind="stable"), np.empty(len(space), int)
+    out[order] = LeastLoaded(max(need(space.sum(), usable), need(iops.sum(), iops_budget), 1), usable).take(space[order], iops[order])
+    return out.tolist()
 
 
 #: How a label's machines are packed: its function, and whether a group dealt to parts has its emptiest bins packed again.
@@ -250,22 +273,115 @@ def _bins_of(rows: pa.Table, c: Constraints, part_machines: int) -> pa.Table:
     return pa.concat_tables([back, pa.table(sums)], promote_options="default")
 
 
-def _grouped(planned: DataFrame, c: Constraints, groups: Sequence[str], part_machines: int, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
-    """planned's machines that don't stand alone, with the number of their group and their part; what the numbers stand
-    for; and how many tasks shall pack them."""
-    keys, spark = [*groups, "strategy", "label", "rule", "most"], planned.sparkSession  # the last two are the label's
-    rest = planned.where("NOT alone").drop("alone")
-    # A group's number stands for its texts in the shuffle, the sort and Python.
-    sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("machines"))
-    sizes = stored(sizes.withColumn("group", F.monotonically_increasing_id()).withColumn("parts", F.ceil(F.col("machines") / part_machines).cast("int")).withColumnsRenamed({k: f"__{k}" for k in keys}), "group-sizes")
+def _batches_packed(batches: Iterator[pa.RecordBatch], c: Constraints) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]], np.ndarray]]:
+    """Each batch of rows in order, where its groups begin and end, and each row's bin. A group goes on from batch to
+    batch: what is held of it is its open bins."""
+    last, packer = None, None
+    for batch in batches:
+        group, space, iops = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("group", "required_mib", "peak_iops"))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist() if len(group) else []
+        runs, bins = list(zip(edges, edges[1:], strict=False)), np.empty(len(group), np.int32)
+        for begin, end in runs:
+            if packer is None or group[begin] != last:
+                last, most, opened = group[begin], batch.column("most")[begin].as_py(), batch.column("opened")[begin].as_py()
+                packer = LeastLoaded(opened, c.usable_mib) if opened else BestFit(c.usable_mib, c.iops_budget, most)
+            bins[begin:end] = packer.take(space[begin:end], iops[begin:end])
+        yield batch, runs, bins
+
+
+def _machines_in_order(batches: Iterator[pa.RecordBatch], c: Constraints) -> Iterator[pa.RecordBatch]:
+    for batch, _, bins in _batches_packed(batches, c):
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins)], [*batch.schema.names, "bin"])
+
+
+class _BinSums:
+    """The sums of a group's bins, while its rows come."""
+
+    def __init__(self, group: int):
+        self.group, self.sums, self.names, self.pairs, self.fresh = group, np.zeros((5, 64)), {}, np.zeros(0, np.int64), []
+
+    def add(self, rows: pa.RecordBatch, bins: np.ndarray) -> None:
+        if (n := int(bins.max()) + 1) > self.sums.shape[1]:
+            self.sums = np.concatenate([self.sums, np.zeros((5, max(n, 2 * self.sums.shape[1]) - self.sums.shape[1]))], 1)
+        for at, x in ((0, "required_mib"), (2, "own_peak_iops")):
+            valid = rows.column(x).is_valid().to_numpy(zero_copy_only=False)
+            np.add.at(self.sums[at], bins[valid], rows.column(x).to_numpy(zero_copy_only=False)[valid])
+            np.add.at(self.sums[at + 1], bins[valid], 1)
+        np.add.at(self.sums[4], bins, 1)
+        keys = rows.column("workload_key").dictionary_encode()
+        codes = np.array([self.names.setdefault(x, len(self.names)) for x in keys.dictionary.to_pylist()] or [0], np.int64)
+        valid = keys.indices.is_valid().to_numpy(zero_copy_only=False)
+        own = codes[keys.indices.fill_null(0).to_numpy()][valid]
+        self.fresh.append(np.unique(own << 32 | bins[valid].astype(np.int64)))
+        if sum(map(len, self.fresh)) > len(self.pairs) + 100_000:  # a bin's workloads once
+            self.pairs, self.fresh = np.unique(np.concatenate([self.pairs, *self.fresh])), []
+
+    def batches(self) -> list[pa.RecordBatch]:
+        used, with_used, iops, with_iops, count = self.sums
+        known = np.flatnonzero(count)
+        names = sorted(self.names)
+        rank = np.zeros(max(len(names), 1), np.int64)
+        rank[[self.names[x] for x in names]] = np.arange(len(names))
+        pairs, kinds = np.concatenate([self.pairs, *self.fresh]), max(len(names), 1)
+        pairs = np.unique(np.searchsorted(known, pairs & 0xFFFFFFFF) * kinds + rank[pairs >> 32])
+        starts = np.searchsorted(pairs, np.arange(len(known) + 1) * kinds)
+        workloads = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(names, pa.string()).take(pa.array(pairs % kinds)))
+        total = lambda sums, n: pa.array(sums[known], pa.float64(), mask=n[known] == 0)  # noqa: E731 - of nulls alone the sum is null
+        columns = {"group": pa.array(np.full(len(known), self.group, np.int64)), "bin": pa.array(known, pa.int32()), "used_mib": total(used, with_used), "total_iops": total(iops, with_iops), "vm_count": pa.array(count[known].astype(np.int64)), "workloads": workloads}
+        return pa.table(columns).to_batches(max_chunksize=10_000)
+
+
+def _bins_in_order(batches: Iterator[pa.RecordBatch], c: Constraints) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch, runs, bins in _batches_packed(batches, c):
+        group = batch.column("group")
+        for begin, end in runs:
+            if held is None or held.group != group[begin].as_py():
+                if held:
+                    yield from held.batches()
+                held = _BinSums(group[begin].as_py())
+            held.add(batch.slice(begin, end - begin), bins[begin:end])
+    if held:
+        yield from held.batches()
+
+
+def _in_order(planned: DataFrame, c: Constraints, groups: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """planned's machines that don't stand alone, in the order in which their group takes them, all of a group in one task;
+    and what the groups' numbers stand for. Spark sorts them, on disk if need be."""
+    share = lambda x, each: F.col(x) / each if each > 0 else F.col(x) * 0
+    plain = lambda x: F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")).alias(x)
+    need = lambda x, each: F.ceil(F.sum(x) / each) if each > 0 else F.lit(1)
+    keys, level = [*groups, "strategy", "label", "rule", "most"], F.col("rule") == "level"
+    rest = planned.where("NOT alone").select(*keys, F.col("row_index").cast("long").alias("row_index"), plain("required_mib"), plain("peak_iops"), *keep)
+    opened = F.greatest(need("required_mib", c.usable_mib), need("peak_iops", c.iops_budget), F.lit(1))
+    sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("machines"), F.when(level, opened).otherwise(0).cast("int").alias("opened"))
+    rest, sizes, tasks = _numbered_groups(rest, sizes, keys)
+    by = F.when(level, F.col("required_mib")).otherwise(F.greatest(share("required_mib", c.usable_mib), share("peak_iops", c.iops_budget)))
+    rest = rest.select("group", by.alias("by"), "row_index", "required_mib", "peak_iops", "most", "opened", *keep)
+    return rest.repartition(tasks, "group").sortWithinPartitions("group", F.desc_nulls_last("by"), "row_index").drop("by"), sizes
+
+
+def _numbered_groups(rest: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """rest with the number and other columns of its group in sizes; what the numbers stand for; and how many tasks shall
+    pack them. A group's number stands for its texts in the shuffle, the sort and Python."""
+    sizes = stored(sizes.withColumn("group", F.monotonically_increasing_id()).withColumnsRenamed({k: f"__{k}" for k in keys}), "group-sizes")
     machines = sizes.agg(F.coalesce(F.sum("machines"), F.lit(0)).alias("n")).first()["n"]
     sizes, met = small(sizes.drop("machines")), F.lit(True)
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    rest = rest.join(sizes, met).withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")).cast("int"))
-    rest = rest.select("group", "part", *[F.col(x).cast(t).alias(x) for x, t in (("row_index", "long"), ("required_mib", "double"), ("peak_iops", "double"))], "rule", "most", "parts", *keep)
     # A number of tasks by machines: few bytes are much work here, so that tasks joined by their bytes would be few.
-    return rest, sizes, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-machines // MACHINES_A_TASK))
+    return rest.join(sizes, met), sizes, max(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-machines // MACHINES_A_TASK))
+
+
+def _grouped(planned: DataFrame, c: Constraints, groups: Sequence[str], part_machines: int, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """planned's machines that don't stand alone, with the number of their group and their part; what the numbers stand
+    for; and how many tasks shall pack them."""
+    keys = [*groups, "strategy", "label", "rule", "most"]  # the last two are the label's
+    rest = planned.where("NOT alone").drop("alone")
+    sizes = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("machines")).withColumn("parts", F.ceil(F.col("machines") / part_machines).cast("int"))
+    rest, sizes, tasks = _numbered_groups(rest, sizes, keys)
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("row_index"), F.col("parts")).cast("int"))
+    return rest.select("group", "part", *[F.col(x).cast(t).alias(x) for x, t in (("row_index", "long"), ("required_mib", "double"), ("peak_iops", "double"))], "rule", "most", "parts", *keep), sizes, tasks
 
 
 def _in_two_passes(rest: DataFrame, tasks: int, pack: Callable[[pa.Table], pa.Table], kinds: str, back: str) -> DataFrame:
@@ -279,30 +395,39 @@ def _in_two_passes(rest: DataFrame, tasks: int, pack: Callable[[pa.Table], pa.Ta
 
 def _named(found: DataFrame, sizes: DataFrame) -> tuple[DataFrame, Column]:
     """found with what its groups' numbers stand for, and the datastore's name."""
-    found = found.drop("rule", "most", "parts").join(sizes, "group").withColumnsRenamed({x: x[2:] for x in sizes.columns if x.startswith("__")})
+    found = found.drop("rule", "most", "parts", "opened").join(sizes, "group").withColumnsRenamed({x: x[2:] for x in sizes.columns if x.startswith("__")})
+    if "part" not in found.columns:
+        return found, _numbered(F.col("label"), F.col("bin") + 1).alias("datastore")
     prefix = F.when(F.col("part") < 0, F.concat("label", F.lit("_r"))).when(F.col("parts") > 1, F.concat("label", F.lit("_p"), F.col("part").cast("string"))).otherwise(F.col("label"))
     return found, _numbered(prefix, F.col("bin") + 1).alias("datastore")
 
 
-def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, keep: Sequence[str] = ()) -> DataFrame:
+def place(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """The placement of planned machines: `alone` ones in datastores of their own, the others packed within their group
     (columns `groups`: an inventory, a cluster), strategy and label, all groups, strategies and labels in one pass.
 
     planned: groups, row_index, required_mib, peak_iops, strategy, label (the datastores' prefix), alone, rule, and most
-    (machines of a datastore). A group of up to part_machines machines is packed exactly, in one task. A larger one is
-    dealt by a hash to parts that are packed alone; then the parts' emptiest bins (which a greedy leaves at its end, few
-    a part) are packed once more, together. `packing` says `alone`, `exact` or `split`; parts' datastores have names
-    like <label>_p<part>_<nn>, and those packed again <label>_r_<nn>. keep: columns that stay with a machine.
+    (machines of a datastore). Every group is packed exactly, whatever its size: a greedy takes one machine after the
+    other, so a group is one task's, but it comes sorted and batch by batch, and only its open bins are held. With
+    part_machines, which a caller may ask for, a larger group is dealt by a hash to parts that are packed alone; then the
+    parts' emptiest bins (which a greedy leaves at its end, few a part) are packed once more, together. `packing` says
+    `alone`, `exact` or `split`; parts' datastores have names like <label>_p<part>_<nn>, and those packed again
+    <label>_r_<nn>. keep: columns that stay with a machine.
     """
     alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups, keep).withColumn("packing", F.lit("alone"))
-    rest, sizes, tasks = _grouped(planned, c, groups, part_machines, keep)
-    kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + ", bin int, again boolean"
-    found, name = _named(_in_two_passes(rest, tasks, lambda rows: _machines_of(rows, c, part_machines), kinds, "again"), sizes)
-    kind = F.when(F.col("parts") > 1, "split").otherwise("exact")
+    if part_machines is None:
+        rest, sizes = _in_order(planned, c, groups, keep)
+        kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + ", bin int"
+        (found, name), kind = _named(rest.mapInArrow(lambda batches: _machines_in_order(batches, c), kinds), sizes), F.lit("exact")
+    else:
+        rest, sizes, tasks = _grouped(planned, c, groups, part_machines, keep)
+        kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + ", bin int, again boolean"
+        found, name = _named(_in_two_passes(rest, tasks, lambda rows: _machines_of(rows, c, part_machines), kinds, "again"), sizes)
+        kind = F.when(F.col("parts") > 1, "split").otherwise("exact")
     return found.select(*groups, "strategy", "row_index", name, F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), kind.alias("packing"), *keep).unionByName(alone)
 
 
-def place_in_stores(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+def place_in_stores(planned: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int | None = None) -> DataFrame:
     """The datastores of place(), as datastores() gives them, where its machines aren't asked for: all of a bin's machines
     are in the task that packs it, which sums them, so that machines travel once and no name is grouped by.
 
@@ -310,9 +435,13 @@ def place_in_stores(planned: DataFrame, c: Constraints, groups: Sequence[str] =
     alone = place_alone(planned.where("alone"), F.col("strategy"), F.col("label"), c, groups, ["own_peak_iops", "workload_key"])
     one = F.array_compact(F.array("workload_key"))
     alone = alone.select(*groups, "strategy", "datastore", "raw_mib", "usable_mib", F.col("usable_mib").alias("used_mib"), F.col("own_peak_iops").alias("total_iops"), F.lit(1).cast("long").alias("vm_count"), one.alias("workloads"))
-    rest, sizes, tasks = _grouped(planned, c, groups, part_machines, ["own_peak_iops", "workload_key"])
-    kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + f", {_OF_BINS}"
-    found, name = _named(_in_two_passes(rest, tasks, lambda rows: _bins_of(rows, c, part_machines), kinds, "bin IS NULL"), sizes)
+    if part_machines is None:
+        rest, sizes = _in_order(planned, c, groups, ["own_peak_iops", "workload_key"])
+        found, name = _named(rest.mapInArrow(lambda batches: _bins_in_order(batches, c), f"group long, {_OF_BINS}"), sizes)
+    else:
+        rest, sizes, tasks = _grouped(planned, c, groups, part_machines, ["own_peak_iops", "workload_key"])
+        kinds = ", ".join(f"`{x}` {t}" for x, t in rest.dtypes) + f", {_OF_BINS}"
+        found, name = _named(_in_two_passes(rest, tasks, lambda rows: _bins_of(rows, c, part_machines), kinds, "bin IS NULL"), sizes)
     return _with_use(found.select(*groups, "strategy", name, F.lit(c.max_mib).alias("raw_mib"), F.lit(c.usable_mib).alias("usable_mib"), "used_mib", "total_iops", "vm_count", "workloads").unionByName(alone))
 
 
@@ -346,15 +475,15 @@ def planned(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), strategi
     return vms.select(*groups, "row_index", "required_mib", "peak_iops", *keep, F.explode(F.array(*[known[s] for s in strategies])).alias("p")).select(*groups, "row_index", "required_mib", "peak_iops", *keep, "p.*")
 
 
-def consolidation(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+def consolidation(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int | None = None) -> DataFrame:
     return place(planned(vms, c, groups, ["consolidation"]), c, groups, part_machines)
 
 
-def performance(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+def performance(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int | None = None) -> DataFrame:
     return place(planned(vms, c, groups, ["performance"]), c, groups, part_machines)
 
 
-def uniform(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP) -> DataFrame:
+def uniform(vms: DataFrame, c: Constraints, groups: Sequence[str] = (), part_machines: int | None = None) -> DataFrame:
     return place(planned(vms, c, groups, ["uniform"]), c, groups, part_machines)
 
 
@@ -367,7 +496,7 @@ def _to_propose(sized: DataFrame, iops: DataFrame, groups: Sequence[str], own: M
     return stored(with_default_iops(rows, iops).select(*needed, *own), "layout-iops")
 
 
-def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, described: bool = False, written: bool = False) -> DataFrame:
+def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int | None = None, described: bool = False, written: bool = False) -> DataFrame:
     """The placements of the three strategies; sized has workload_key. Machines are read once: strategies and tiers are
     columns, and all of them are packed in one pass. described: with the machines' columns that datastores() needs, as
     sized has them. written: sized is a written table, which isn't written again."""
@@ -376,7 +505,7 @@ def all_proposals(sized: DataFrame, iops: DataFrame, c: Constraints | None = Non
     return place(planned(rows, c, groups, keep=list(own)), c, groups, part_machines, list(own)).withColumnsRenamed({f"own_{x}": x for x in _OF_MACHINES})
 
 
-def all_stores(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int = MOST_IN_GROUP, written: bool = False) -> DataFrame:
+def all_stores(sized: DataFrame, iops: DataFrame, c: Constraints | None = None, groups: Sequence[str] = (), part_machines: int | None = None, written: bool = False) -> DataFrame:
     """datastores() of all_proposals(), without a row for each machine and strategy; see place_in_stores()."""
     c, rows = c or Constraints(), _to_propose(sized, iops, groups, {"own_peak_iops": F.col("peak_iops")}, written)
     return place_in_stores(planned(rows, c, groups, keep=["own_peak_iops", "workload_key"]), c, groups, part_machines)

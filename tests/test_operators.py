@@ -237,6 +237,24 @@ def test_groups_of_any_size(spark):
         assert alone[0] == alone[1]
 
 
+def _skewed(spark):
+    """100,300 machines, nearly all in one group, of few kinds, with IOPS that bind now and then."""
+    of, i = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int")), F.col("id")
+    rows = spark.range(100_300).select(i.alias("row_index"), F.when(i % 1000 == 3, "b").otherwise("a").alias("cluster"), (7.0 * (i * 7919 % 41) + 3).alias("required_mib"), of([1.0, 600.0, 9000.0], i % 3).alias("peak_iops"))
+    return rows.withColumns({"avg_iops": F.lit(0.0), "workload_key": of(["Database/x", "Web/y", "Email/z"], F.col("row_index") % 7 % 3)})
+
+
+def test_large_groups_are_packed_exactly(spark):
+    """However many machines a group has, its placement is that of the greedy over all of them."""
+    vms, c = _skewed(spark), J.Constraints(max_mib=1000, iops_budget=20000.0)
+    placed = J.all_proposals(vms, T.iops(spark), c, ["cluster"]).toArrow().to_pandas().sort_values("row_index")
+    assert set(placed.packing) == {"exact", "alone"} and len(placed) == 3 * 100_300
+    for cluster, rows in vms.toArrow().to_pandas().sort_values("row_index").groupby("cluster"):
+        for strategy, pack, prefix in (("consolidation", J.best_fit, "DS_CONSOL"), ("uniform", J.least_loaded, "DS_UNIFORM")):
+            found = placed[(placed.cluster == cluster) & (placed.strategy == strategy)]
+            assert found.datastore.tolist() == [f"{prefix}_{b + 1:02}" for b in pack(rows, c.usable_mib, c.iops_budget, c.max_machines)]
+
+
 def test_overfull_datastores_hand_over(spark):
     rng, c = random.Random(6), J.Constraints(max_mib=1000)
     vms = spark.createDataFrame([(i, rng.choice([5.0, 300.0, 600.0]), 1.0, "w") for i in range(500)], "row_index long, required_mib double, peak_iops double, workload_key string")
