@@ -255,6 +255,17 @@ def test_large_groups_are_packed_exactly(spark):
             assert found.datastore.tolist() == [f"{prefix}_{b + 1:02}" for b in pack(rows, c.usable_mib, c.iops_budget, c.max_machines)]
 
 
+def test_datastores_of_large_groups_are_those_of_the_exact_placement(spark):
+    """The figures of layout_comparison and layout_recommendation: bins are summed while their machines come."""
+    vms, c = _skewed(spark), J.Constraints(max_mib=1000, iops_budget=20000.0)
+    vms = vms.withColumn("workload_key", F.when(F.col("row_index") % 5 > 0, F.col("workload_key")))
+    want = J.datastores(J.all_proposals(vms, T.iops(spark), c, ["cluster"], described=True), groups=["cluster"])
+    found = J.all_stores(vms, T.iops(spark), c, ["cluster"])
+    of = lambda df: sorted(str({k: round(v, 6) if isinstance(v, float) else v for k, v in r.items()}) for r in df.select(want.columns).toArrow().to_pylist())
+    got = of(found)
+    assert got == of(want) and not any("_p0_" in r or "_r_" in r for r in got)
+
+
 def test_overfull_datastores_hand_over(spark):
     rng, c = random.Random(6), J.Constraints(max_mib=1000)
     vms = spark.createDataFrame([(i, rng.choice([5.0, 300.0, 600.0]), 1.0, "w") for i in range(500)], "row_index long, required_mib double, peak_iops double, workload_key string")
