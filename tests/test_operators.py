@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,18 @@ def test_datastores_of_large_groups_are_those_of_the_exact_placement(spark):
     assert got == of(want) and not any("_p0_" in r or "_r_" in r for r in got)
 
 
+def test_recommendation_of_large_groups_is_by_the_exact_greedy(spark):
+    c = J.Constraints(max_mib=1000, iops_budget=20000.0)
+    vms = _skewed(spark).withColumn("peak_iops", F.least("peak_iops", F.lit(700.0)) + 600)  # all are hot, none alone
+    vms = vms.withColumn("workload_key", F.when(F.pmod(F.xxhash64("row_index"), F.lit(4)) == 0, "Web/y").otherwise("Database/x"))
+    found = J.recommend(J.layout_metrics(J.all_stores(vms, T.iops(spark), c, ["cluster"])), vms).first()
+    rows = vms.toArrow().to_pandas().sort_values("row_index")
+    kinds = []
+    for _, one in rows.groupby("cluster"):
+        kinds += one.assign(bin=J.best_fit(one, c.usable_mib, c.iops_budget, J.HOT_MACHINES)).groupby("bin").workload_key.nunique().tolist()
+    assert found["isolation_score"] == pytest.approx(np.mean(np.array(kinds) <= 1), abs=1e-12)
+
+
 def test_overfull_datastores_hand_over(spark):
     rng, c = random.Random(6), J.Constraints(max_mib=1000)
     vms = spark.createDataFrame([(i, rng.choice([5.0, 300.0, 600.0]), 1.0, "w") for i in range(500)], "row_index long, required_mib double, peak_iops double, workload_key string")
