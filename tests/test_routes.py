@@ -1,6 +1,7 @@
 """Similarity routes beyond one matrix: equal cosines, thresholds, vectors without a verdict."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stratasize.operators import classify as E
 
@@ -33,3 +34,21 @@ def test_blocks_of_rows_and_exemplars_against_brute_force(spark, monkeypatch):
     for least in (None, 0.6):
         found = {r["row_index"]: (r["route"], round(r["score"], 9)) for r in E.best_routes(vectors, exemplars, bound=2, threshold=least).collect()}
         assert found == {i: (f"r{c.argmax():03}", round(c.max(), 9)) for i, c in enumerate(cos) if least is None or c.max() >= least}
+
+
+def test_many_rows_and_exemplars_travel_packed(spark, monkeypatch):
+    """Blocks by both tables' sizes, vectors packed; names as the query has them, against brute force with all of them."""
+    names = [f"{p}{k}" for k in range(700, 1100) for p in ("SQL-SRV-", "WEB-SRV-", "MONGO-")]
+    texts = [f"APP-SRV-{k}{s}" for k in range(600, 1200) for s in ("", " Windows Server")]
+    vectors = spark.createDataFrame(list(enumerate(texts)), "row_index long, text string").select("row_index", E.gram_vector(F.col("text")).alias("vector")).cache()
+    exemplars = spark.createDataFrame([(n[:3], "c", "s", n) for n in names], "route string, category string, subcategory string, text string")
+    exemplars = exemplars.select("route", "category", "subcategory", E.gram_vector(F.col("text")).alias("vector")).cache()
+    v, e = (np.array([r["vector"] for r in df.collect()]) for df in (vectors.orderBy("row_index"), exemplars))
+    routes, cos = [r["route"] for r in exemplars.collect()], (v @ e.T).round(12)
+    monkeypatch.setattr(E, "PRODUCT_EXEMPLARS", 500)
+    monkeypatch.setattr(E, "PRODUCT_STEP", 200)
+    for least in (None, 0.5, 0.7):
+        found = {r["row_index"]: (r["route"], round(r["score"], 9)) for r in E.best_routes(vectors, exemplars, bound=2, threshold=least).collect()}
+        assert found == {i: (min(routes[j] for j in np.flatnonzero(c == c.max())), round(c.max(), 9)) for i, c in enumerate(cos) if least is None or c.max() >= least}
+    packed = vectors.select(E._packed_unit(F.col("vector")).alias("u")).agg(F.avg(F.length("u.bits") + F.length("u.values"))).first()[0]
+    assert packed < 0.15 * 8 * v.shape[1]
